@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from treeweft.llm.common import documents
 from treeweft.llm.mixing import MIX_SQL, mix
+from treeweft.llm.packing import pack
+from treeweft.llm.token_count import token_counts
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), vocabulary())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +28,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_count": op1_token_count,
+    "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
 
