@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/treeweft/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -28,7 +33,7 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     them is computed twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeweft/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from treeweft.llm.common import documents
+from treeweft.llm.huffman import read_ids, write_ids
 from treeweft.llm.mixing import MIX_SQL, mix
 from treeweft.llm.packing import pack
 from treeweft.llm.token_count import token_counts
@@ -19,6 +20,10 @@ def op1_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary())
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ids(spark, write_ids(documents(spark, sf_dir), vocabulary()), ids=False)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary())
 
@@ -29,6 +34,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_count": op1_token_count,
+    "op2_token_ids": op2_token_ids,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
