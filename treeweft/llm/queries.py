@@ -9,6 +9,7 @@ from treeweft.llm.common import documents
 from treeweft.llm.huffman import read_ids, write_ids
 from treeweft.llm.mixing import MIX_SQL, mix
 from treeweft.llm.packing import pack
+from treeweft.llm.simhash import near_duplicates
 from treeweft.llm.tiff import media_digest, to_media
 from treeweft.llm.token_count import token_counts
 
@@ -25,6 +26,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, write_ids(documents(spark, sf_dir), vocabulary()), ids=False)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(to_media(documents(spark, sf_dir)))
 
@@ -40,6 +45,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_token_ids": op2_token_ids,
+    "op4_simhash": op4_simhash,
     "op5_media_tiff": op5_media_tiff,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
