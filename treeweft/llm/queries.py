@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeweft.llm.common import documents
 from treeweft.llm.huffman import read_ids, write_ids
+from treeweft.llm.lines import dedup_lines
 from treeweft.llm.mixing import MIX_SQL, mix
 from treeweft.llm.packing import pack
 from treeweft.llm.simhash import near_duplicates
@@ -34,6 +36,12 @@ def op5_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(to_media(documents(spark, sf_dir)))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    left = dedup_lines(docs, counts=True)
+    return left.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary())
 
@@ -47,6 +55,7 @@ QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op4_simhash": op4_simhash,
     "op5_media_tiff": op5_media_tiff,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
