@@ -11,6 +11,7 @@ from treeweft.llm.huffman import read_ids, write_ids
 from treeweft.llm.lines import dedup_lines
 from treeweft.llm.mixing import MIX_SQL, mix
 from treeweft.llm.packing import pack
+from treeweft.llm.quality import REJECT_BELOW, fit_quality, fold_of, with_score
 from treeweft.llm.simhash import near_duplicates
 from treeweft.llm.tiff import media_digest, to_media
 from treeweft.llm.token_count import token_counts
@@ -50,6 +51,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = (fold_of("doc_id") == 0).alias("held_out")
+    predicted = (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted")
+    return with_score(docs, model).select("doc_id", held_out, "score", predicted)
+
+
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_token_ids": op2_token_ids,
@@ -58,6 +67,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
