@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeweft.llm.common import documents
+from treeweft.llm.hnsw import build_index, search_index
 from treeweft.llm.huffman import read_ids, write_ids
 from treeweft.llm.lines import dedup_lines
 from treeweft.llm.mixing import MIX_SQL, mix
@@ -29,6 +30,11 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, write_ids(documents(spark, sf_dir), vocabulary()), ids=False)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search_index(build_index(vectors), vectors.filter("vec_id % 50 = 0"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -62,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_token_ids": op2_token_ids,
+    "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
     "op5_media_tiff": op5_media_tiff,
     "op7_line_dedup": op7_line_dedup,
