@@ -226,7 +226,7 @@ def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_c
     dealt = points.join(sizes.select("dim", shards.alias("_shards")), "dim")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("v"), F.col("_shards")).cast("int")).drop("_shards")
 
-    def graph(key, table: pa.Table) -> pa.Table:
+    def graph(key, table):
         dim = key[0].as_py()
         v = matrix(table["v"], dim)
         ids = table["ids"].to_pylist()
@@ -252,7 +252,7 @@ def search_index(
     asked = asked.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def answer(key, left, right):
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             dim, n = key[0].as_py(), right["n"][0].as_py()
