@@ -81,9 +81,10 @@ def near_duplicates(
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS
 ) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; of rows with that id one stays.
+    """The rows of ``docs`` without those whose component has a smaller id.
 
-    Rows with null ids stay if their component has no other.
+    Rows of one id are one document: they stay or go together. Rows with null ids stay if their component has no
+    other.
     """
     found = near_duplicates(docs, id_col, text_col, words, radius)
     drop = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
