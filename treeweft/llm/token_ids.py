@@ -9,28 +9,73 @@ import numpy as np
 from treeweft.llm.chunks import ChunkTable
 
 _TABLES: dict[str, tuple[ChunkTable, np.dtype]] = {}
-#: Chunks given to the library in one call.
-AT_ONCE = 4096
+#: Characters of chunks that the library gets as one text, and other chunks given to it in one call.
+JOINED = 1 << 16
+AT_ONCE = 1024
 
 
-def chunk_table(path: str) -> tuple[ChunkTable, np.dtype]:
-    """The table of a tokenizer file's chunks, as bytes of ids, and the type of an id in them."""
-    if path not in _TABLES:
+class ChunkEncoder:
+    """The ids of chunks, as bytes.
+
+    Chunks that follow each other are encoded as one text: a chunk that begins with white space and goes on
+    without ends before the next one, so that its ids are those of its bytes. The bytes that each id stands for
+    tell where.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        size = max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        size = max(vocab.values()) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.wide = np.zeros(size, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.wide[i] = len(token)  # a character for each byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.wide[i] = len(token.content.encode())
 
-        def ids(chunks: list[str]) -> list[bytes]:
-            found = []
-            for i in range(0, len(chunks), AT_ONCE):
-                part = tokenizer.encode_batch(chunks[i : i + AT_ONCE], add_special_tokens=False)
-                found += [np.array(e.ids, dtype=kind).tobytes() for e in part]
-            return found
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        found: list = [None] * len(chunks)
+        alone = [i for i, c in enumerate(chunks) if len(c) < 2 or c[0] not in " \n" or c[1].isspace() or c[-1].isspace()]
+        for i in range(0, len(alone), AT_ONCE):
+            part = alone[i : i + AT_ONCE]
+            encoded = self.tokenizer.encode_batch([chunks[k] for k in part], add_special_tokens=False)
+            for k, e in zip(part, encoded, strict=True):
+                found[k] = np.array(e.ids, dtype=self.kind).tobytes()
+        apart = set(alone)
+        held, size = [], 0
+        for i, chunk in enumerate(chunks):
+            if i not in apart:
+                held.append(i)
+                size += len(chunk)
+                if size > JOINED:
+                    self._joined(chunks, held, found)
+                    held, size = [], 0
+        if held:
+            self._joined(chunks, held, found)
+        return found
 
-        _TABLES[path] = ChunkTable(ids), kind
+    def _joined(self, chunks: list[str], which: list[int], found: list) -> None:
+        texts = [chunks[i] for i in which]
+        ids = np.array(self.tokenizer.encode("".join(texts), add_special_tokens=False).ids, dtype=self.kind)
+        ends = np.cumsum(self.wide[ids])
+        edges = np.cumsum(np.fromiter((len(t.encode()) for t in texts), dtype=np.int64, count=len(texts)))
+        cuts = np.searchsorted(ends, edges) + 1
+        if cuts[-1] != len(ids) or (ends[cuts - 1] != edges).any():
+            raise ValueError("this tokenizer's ids don't keep to the chunks")
+        data, width, begin = ids.tobytes(), self.kind.itemsize, 0
+        for i, end in zip(which, (cuts * width).tolist(), strict=True):
+            found[i] = data[begin:end]
+            begin = end
+
+
+def chunk_table(path: str) -> tuple[ChunkTable, np.dtype]:
+    """The table of a tokenizer file's chunks, as bytes of ids, and the type of an id in them."""
+    if path not in _TABLES:
+        encoder = ChunkEncoder(path)
+        _TABLES[path] = ChunkTable(encoder.encode), encoder.kind
     return _TABLES[path]
 
 
