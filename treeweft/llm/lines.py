@@ -8,7 +8,7 @@ then the line's number; a line is judged by the whole input, not by what is left
 1. Every line gets a 128-bit hash, and keys of ``PARTS`` partial lines: of two lines one edit apart, all but one
    part are equal. Keys that meet one line only are of no use; what holds of the others is a fixed-size bit table.
 2. The lines that the table lets through emit their deletion neighbourhood: hashes of the line and of all variants
-   with one character left out. Variants with the same character place left out belong to lines one replacement
+   with one character left out, in the parts where their keys allow an edit. Variants with the same character place left out belong to lines one replacement
    apart, and each only needs the earliest of them; a variant that is a whole line belongs to lines one insertion
    apart. So no group is expanded into pairs. Each link's edit distance is verified on the texts.
 3. Each line is held against the earliest of its equals and neighbours.
@@ -70,9 +70,12 @@ class Rolled:
         """The hash of the characters from place a to b among all lines."""
         return (self.sums[b] - self.sums[a]) * self.back[a]
 
-    def keys(self, parts: int = PARTS, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key): two lines of 1 edit share a key, made of all parts but the one with the edit."""
-        lines, found = [], []
+    def keys(self, parts: int = PARTS, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, key, span): two lines of 1 edit share a key, made of all parts but the one with the edit.
+
+        ``span`` is that part's first place and the place after its last.
+        """
+        lines, found, spans = [], [], []
         unit = self.sizes // parts // step * step
         other = np.maximum(self.sizes - 1, 0) // parts // step * step
         every = np.arange(len(self.sizes))
@@ -83,13 +86,19 @@ class Rolled:
                 tail = self.piece(a + n - (parts - 1 - k) * u, a + n)
                 lines.append(of)
                 found.append(mix(mix(head + np.uint64(k + 1)) + mix(tail) * MIX1 + u.astype(np.uint64)))
-        return np.concatenate(lines), np.concatenate(found)
-
-    def neighbourhood(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, hash): place -1 is the whole line, others leave that character out."""
-        line = np.repeat(np.arange(len(self.sizes)), self.sizes)
+                spans.append(np.stack([k * u, (k + 1) * u if k < parts - 1 else n], axis=1))
+        return np.concatenate(lines), np.concatenate(found), np.concatenate(spans)
+
+    def neighbourhood(self, of: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, place, hash): place -1 is the whole line, others leave that character out.
+
+        Characters are left out within ``spans`` of the lines ``of``.
+        """
+        begin, wide = self.starts[of] + spans[:, 0], spans[:, 1] - spans[:, 0]
+        at = np.repeat(begin - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+        at = np.unique(at)
+        line = np.searchsorted(self.starts, at, side="right") - 1
         start, size = self.starts[line], self.sizes[line]
-        at = np.arange(len(line))
         short = (self.sums[at] - self.sums[start]) + (self.sums[start + size] - self.sums[at + 1]) * INVERSE
         short = mix(short * self.back[start] + mix((size - 1).astype(np.uint64)))
         every = np.arange(len(self.sizes))
@@ -150,7 +159,7 @@ def line_rows(rows: DataFrame) -> DataFrame:
             if not lines:
                 continue
             long_ = [n for n, x in enumerate(lines) if len(x) >= MIN_FUZZY]
-            of, keys = Rolled([lines[n] for n in long_]).keys()
+            of, keys, _ = Rolled([lines[n] for n in long_]).keys()
             of = np.array(long_, dtype=np.int64)[of]
             order = np.argsort(of, kind="stable")
             ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(lines)))].astype(np.int32)
@@ -197,7 +206,7 @@ def key_table(keys: DataFrame) -> bytes:
 
 
 def passed_lines(rows: DataFrame, table) -> DataFrame:
-    """(h, text) of the lines with a key that the table holds."""
+    """(h, text, spans) of the lines with a key that the table holds: where those keys allow an edit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, dtype=np.uint8)
@@ -206,31 +215,38 @@ def passed_lines(rows: DataFrame, table) -> DataFrame:
             if not lines:
                 continue
             lines = list(lines)
-            of, keys = Rolled(lines).keys()
+            of, keys, spans = Rolled(lines).keys()
             hit = np.ones(len(keys), dtype=bool)
             for place in bit_places(keys):
                 hit &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
-            found = [lines[i] for i in np.unique(of[hit]).tolist()]
+            order = np.flatnonzero(hit)[np.argsort(of[hit], kind="stable")]
+            which, counts = np.unique(of[order], return_counts=True)
+            found = [lines[i] for i in which.tolist()]
             hashes = pa.array(map(long_hash, found), pa.binary())
-            yield pa.RecordBatch.from_arrays([hashes, pa.array(found, pa.string())], ["h", "text"])
+            ends = pa.array(np.r_[0, 2 * np.cumsum(counts)].astype(np.int32))
+            where = pa.ListArray.from_arrays(ends, pa.array(spans[order].ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([hashes, pa.array(found, pa.string()), where], ["h", "text", "spans"])
 
-    return rows.select("_text").mapInArrow(work, "h binary, text string")
+    return rows.select("_text").mapInArrow(work, "h binary, text string, spans array<int>")
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
-    """(h, pos, place, v) of the whole of each line and its variants of one deletion."""
+    """(h, pos, place, v) of the whole of each line and its variants of one deletion within its spans."""
     schema = T.StructType([lines.schema["h"], lines.schema["pos"], *T._parse_datatype_string("place int, v long")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 128):
                 part = batch.slice(i, 128)
-                of, place, v = Rolled(part["text"].to_pylist()).neighbourhood()
+                spans = part["spans"].to_pylist()
+                owner = np.repeat(np.arange(len(part)), [len(x) // 2 for x in spans])
+                flat = np.array([y for x in spans for y in x], dtype=np.int64).reshape(-1, 2)
+                of, place, v = Rolled(part["text"].to_pylist()).neighbourhood(owner, flat)
                 take = pa.array(of)
                 kinds = [pa.array(place.astype(np.int32)), pa.array(v.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([part["h"].take(take), part["pos"].take(take), *kinds], schema.names)
 
-    return lines.select("h", "pos", "text").mapInArrow(work, schema)
+    return lines.select("h", "pos", "text", "spans").mapInArrow(work, schema)
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -249,10 +265,10 @@ def verified(pairs: DataFrame) -> DataFrame:
 def near_links(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h, best): lines with an earlier line one edit away, and the earliest such place."""
     spark = rows.sparkSession
-    keys = lines.select("h", F.explode("keys").alias("key")).groupBy("key")
-    shared = keys.agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
+    keys = lines.select(F.xxhash64("h").alias("x"), F.explode("keys").alias("key")).groupBy("key")
+    shared = keys.agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b").select("key")
     table = spark.sparkContext.broadcast(key_table(stored(shared, "line-keys")))
-    texts = passed_lines(rows, table).groupBy("h").agg(F.first("text").alias("text"))
+    texts = passed_lines(rows, table).groupBy("h").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     texts = stored(texts.join(firsts.select("h", "pos"), "h"), "line-texts")
     near = stored(neighbourhoods(texts), "line-variants")
     variants = near.filter("place >= 0")
