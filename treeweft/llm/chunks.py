@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import islice
 
 TOUCHING = re.compile(r"\s\s")
@@ -20,7 +19,7 @@ MOST_KEPT = 800_000
 
 
 def cut(text: str) -> list[str]:
-    """The keys of a text's chunks, in order; see ``plain``.
+    """The keys of a text's chunks, in order; see ``plain``. They hold unless one of them is ``touching``.
 
     A key without a leading line feed stands for itself after a space; with one, for itself; with two, for what
     follows them.
@@ -28,7 +27,7 @@ def cut(text: str) -> list[str]:
     if not text:
         return []
     body = text.rstrip(" \n\r\t")
-    if not body or body[0].isspace() or body[-1].isspace() or TOUCHING.search(body):
+    if not body or body[0].isspace() or body[-1].isspace():
         return ["\n\n" + text]
     keys = body.replace("\n", " \n").split(" ")
     keys[0] = "\n\n" + keys[0]
@@ -37,6 +36,13 @@ def cut(text: str) -> list[str]:
     return keys
 
 
+def touching(key: str) -> bool:
+    """Whether white space touches white space in the key or beside it, so that its text can't be cut there."""
+    if key.startswith("\n\n"):
+        return False
+    return key in ("", "\n") or key[-1].isspace() or TOUCHING.search(plain(key)) is not None
+
+
 def plain(key: str) -> str:
     """The text of the chunk that a key stands for."""
     if key.startswith("\n\n"):
@@ -56,12 +62,23 @@ class ChunkTable:
         self.places: defaultdict[str, int] = defaultdict()
         self.places.default_factory = self.places.__len__  # a new key gets the next place
 
-    def look_up(self, texts: list[str]) -> Iterator[Iterator]:
-        """For each text the values of its chunks, in order."""
+    def look_up(self, texts: list[str], combine) -> list:
+        """For each text what ``combine`` makes of the values of its chunks, in order."""
         if len(self.values) > self.most:
             self.clear()
         found = [list(map(self.places.__getitem__, cut(t))) for t in texts]
+        self._work_out()
+        out = []
+        for text, places in zip(texts, found, strict=True):
+            try:
+                out.append(combine(map(self.values.__getitem__, places)))
+            except TypeError:  # a chunk without a value: this text is one chunk
+                out.append(combine(self.work_out([text])))
+        return out
+
+    def _work_out(self) -> None:
         if new := len(self.places) - len(self.values):
             keys = list(islice(reversed(self.places), new))[::-1]
-            self.values += self.work_out([plain(k) for k in keys])
-        return (map(self.values.__getitem__, places) for places in found)
+            good = [k for k in keys if not touching(k)]
+            values = dict(zip(good, self.work_out([plain(k) for k in good]), strict=True))
+            self.values += map(values.get, keys)

@@ -26,15 +26,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/treeweft/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd", parts: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The plan that follows starts from files that survive the loss of an executor, and nothing before
-    them is computed twice.
+    them is computed twice. Rows lie in a folder for each value of ``parts``.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

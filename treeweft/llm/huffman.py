@@ -167,37 +167,43 @@ def unpack_block(data: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.
 
 
 def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end: int) -> DataFrame:
-    """(_id, ids): the ids of each row's whole text as bytes, two or four to an id."""
+    """(_id, width, ids, counts): the ids of each row's whole text as bytes, ``width`` to an id.
+
+    Each task adds one row for which ``counts`` is true: its ids and how often it has them, as pairs of 8 bytes.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    schema = T.StructType(
-        [rows.schema["_id"], T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())]
-    )
+    schema = T.StructType([rows.schema["_id"], *T._parse_datatype_string("width int, ids binary, counts boolean")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = np.zeros(0, dtype=np.int64), None
         for batch in batches:
             found, kind = encode_texts(batch["_text"].to_pylist(), path, end)
-            width = pa.array([kind.itemsize] * len(found), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["_id"], width, pa.array(found, pa.binary())], schema.names)
+            here = np.bincount(np.frombuffer(b"".join(found), dtype=kind), minlength=len(total))
+            here[: len(total)] += total
+            total, key = here, batch["_id"].type
+            columns = [[kind.itemsize] * len(found), found, [False] * len(found)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["_id"], *arrays], schema.names)
+        if kind is not None:
+            used = np.flatnonzero(total)
+            pairs = np.stack([used, total[used]], axis=1).astype("<i8").tobytes()
+            arrays = [pa.array([None], key), pa.array([8], pa.int32()), pa.array([pairs], pa.binary()), pa.array([True])]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
 def id_counts(rows: DataFrame) -> dict[int, int]:
-    """How often each id occurs; the driver holds one number for each id of the vocabulary."""
+    """How often each id occurs, from the tasks' counts; the driver holds a number for each id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for width, ids in zip(batch["width"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                found = np.bincount(np.frombuffer(ids, dtype=f"<u{width}"))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    counted = rows.select("width", "ids").mapInArrow(count, "id long, n long")
+            for pairs in batch["ids"].to_pylist():
+                ids, n = np.frombuffer(pairs, dtype="<i8").reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
+
+    counted = rows.filter("counts").select("ids").mapInArrow(count, "id long, n long")
     return {r["id"]: r["n"] for r in counted.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -206,8 +212,9 @@ def write_ids(
 ) -> str:
     """Write the ids of every row of ``docs`` in ascending order of ``id_col``, an integer; returns the folder."""
     spark = docs.sparkSession
-    rows = stored(encoded(docs, path, id_col, text_col, end), "token-ids")
+    rows = stored(encoded(docs, path, id_col, text_col, end), "token-ids", parts=("counts",))
     counts = id_counts(rows)
+    rows = rows.filter("not counts").drop("counts")
     freq = np.zeros(max(counts, default=0) + 1, dtype=np.int64)
     freq[list(counts)] = list(counts.values())
     lengths = code_lengths(freq)

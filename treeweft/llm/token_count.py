@@ -125,7 +125,7 @@ def chunk_table(path: str) -> ChunkTable:
 
 
 def count_texts(texts: list[str], path: str) -> list[int]:
-    return [sum(counts) for counts in chunk_table(path).look_up(texts)]
+    return chunk_table(path).look_up(texts, sum)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT):

@@ -83,4 +83,4 @@ def encode_texts(texts: list[str], path: str, end: int | None = 0) -> tuple[list
     """For each text the bytes of its ids, with the id ``end`` at the end unless that is None."""
     table, kind = chunk_table(path)
     last = b"" if end is None else np.array([end], dtype=kind).tobytes()
-    return [b"".join(ids) + last for ids in table.look_up(texts)], kind
+    return [ids + last for ids in table.look_up(texts, b"".join)], kind
