@@ -35,6 +35,8 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", parts: tuple[str
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", compression).partitionBy(*parts).parquet(path)
+    # shuffle files of plans that are done go when the driver's JVM collects them, which may be much later
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

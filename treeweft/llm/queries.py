@@ -14,6 +14,7 @@ from treeweft.llm.mixing import MIX_SQL, mix
 from treeweft.llm.packing import pack
 from treeweft.llm.quality import REJECT_BELOW, fit_quality, fold_of, with_score
 from treeweft.llm.simhash import near_duplicates
+from treeweft.llm.substrings import dedup_substrings, digest
 from treeweft.llm.tiff import media_digest, to_media
 from treeweft.llm.token_count import token_counts
 
@@ -43,6 +44,10 @@ def op5_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(to_media(documents(spark, sf_dir)))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(dedup_substrings(documents(spark, sf_dir)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     left = dedup_lines(docs, counts=True)
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_simhash": op4_simhash,
     "op5_media_tiff": op5_media_tiff,
+    "op6_substrings": op6_substrings,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
