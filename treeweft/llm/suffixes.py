@@ -84,7 +84,9 @@ def sort_lanes(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.full(total + 1, -1, dtype=np.int64)
     lane = np.repeat(np.arange(len(texts)), sizes)
     inside = np.arange(int(sizes.sum())) + lane + 1
-    flat[inside] = np.concatenate(texts) if len(texts) else 0
+    if not len(inside):
+        return flat[:total], flat[:total].copy()
+    flat[inside] = np.concatenate(texts)
     width = int(flat.max()) + 2
     by = np.argsort(lane * width + flat[inside], kind="stable")
     sa = np.full(total + 1, -1, dtype=np.int64)
