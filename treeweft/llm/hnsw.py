@@ -238,6 +238,9 @@ def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_c
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.binary())]
         return pa.table([pa.array(r, t) for r, t in zip(row, kinds, strict=True)], names=["dim", "shard", "n", "vectors", "ids", "layers"])
 
+    # a task a shard: a shard is small to move and long to build, so that partitions must not be put together
+    total = sizes.agg(F.sum(shards)).head()[0] or 1
+    dealt = dealt.repartition(int(total), "dim", "shard")
     return stored(dealt.groupBy("dim", "shard").applyInArrow(graph, GRAPH), "graphs")
 
 
@@ -276,6 +279,8 @@ def search_index(
         return pa.table({c: pa.array(out[c], t) for c, t in kinds.items()})
 
     keys = ("dim", "shard", "block")
+    tasks = max(1, index.count() * blocks)
+    asked, copies = asked.repartition(tasks, *keys), copies.repartition(tasks, *keys)
     parts = asked.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
