@@ -191,4 +191,5 @@ def pack(
             kept = [batch[c] for c in ("_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], schema.names)
 
-    return numbered.mapInArrow(place, schema).withColumnRenamed("_id", id_col)
+    placed = numbered.mapInArrow(place, schema).withColumn("piece", F.col("piece").cast("int"))
+    return placed.withColumnRenamed("_id", id_col)
