@@ -102,6 +102,13 @@ def test_medians_skip_null_groups_and_nan(spark):
     assert [tuple(r) for r in evaluate.medians(rows, "depth", ["r_hat"]).collect()] == [(0, 2.0)]
 
 
+def test_node_posterior(spark):
+    draws = spark.createDataFrame([(0, 0, "a", 0, 0.5), (0, 0, "b", 0, 0.1)], "chain int, draw int, node string, k int, value double")
+    assert evaluate.node_posterior(draws, "a").head()["value"] == 0.5
+    with pytest.raises(KeyError):
+        evaluate.node_posterior(draws, "c")
+
+
 def test_hdi(spark):
     x = np.random.default_rng(0).gamma(2, 1, 200)
     rows = spark.createDataFrame([("n", float(v)) for v in x], "node string, value double")

@@ -37,6 +37,14 @@ def realigned(inferred: DataFrame, assignment: DataFrame) -> DataFrame:
     return inferred.join(assignment, F.col("k") == F.col("matched")).select("node", F.col("true_k").alias("k"), "e")
 
 
+def node_posterior(draws: DataFrame, node: str) -> DataFrame:
+    """(chain, draw, k, value) of one node; KeyError if it has no draws."""
+    found = draws.filter(F.col("node") == node).select("chain", "draw", "k", "value")
+    if not found.head(1):
+        raise KeyError(node)
+    return found
+
+
 def posterior_means(draws: DataFrame) -> DataFrame:
     return draws.groupBy("node", "k").agg(F.avg("value").alias("mean"))
 
