@@ -11,29 +11,37 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 TOUCHING = re.compile(r"\s\s")
 #: A worker forgets its chunks when it holds this many.
 MOST_KEPT = 800_000
 
 
-def cut(text: str) -> list[str]:
-    """The keys of a text's chunks, in order; see ``plain``. They hold unless one of them is ``touching``.
+def line_up(text: str) -> str | None:
+    """The keys of a text's chunks, in order, with a space between each two; None if the text can't be cut.
 
     A key without a leading line feed stands for itself after a space; with one, for itself; with two, for what
-    follows them.
+    follows them. They hold unless one of them is ``touching``.
     """
-    if not text:
-        return []
-    body = text.rstrip(" \n\r\t")
+    body = text.rstrip("\n")
     if not body or body[0].isspace() or body[-1].isspace():
-        return ["\n\n" + text]
-    keys = body.replace("\n", " \n").split(" ")
-    keys[0] = "\n\n" + keys[0]
-    if len(body) < len(text):
-        keys.append("\n\n" + text[len(body) :])
-    return keys
+        return None
+    keys = "\n\n" + body.replace("\n", " \n")
+    return keys if len(body) == len(text) else f"{keys} \n\n{text[len(body) :]}"
+
+
+def cut(text: str) -> list[str]:
+    """The keys of a text's chunks, in order; one that stands for all of it if it can't be cut."""
+    keys = line_up(text)
+    if keys is not None and not any(map(touching, found := keys.split(" "))):
+        return found
+    return ["\n\n" + text] if text else []
 
 
 def touching(key: str) -> bool:
@@ -50,6 +58,17 @@ def plain(key: str) -> str:
     return key if key.startswith("\n") else " " + key
 
 
+@dataclass
+class Found:
+    """The chunks of a batch of texts: the values of the different ones, which of them each chunk is, and how many
+    each text has. Texts in ``whole`` are one chunk and have none of these."""
+
+    values: list
+    index: np.ndarray
+    counts: np.ndarray
+    whole: list[int]
+
+
 class ChunkTable:
     """What ``work_out`` makes of each chunk, kept for later batches."""
 
@@ -62,19 +81,26 @@ class ChunkTable:
         self.places: defaultdict[str, int] = defaultdict()
         self.places.default_factory = self.places.__len__  # a new key gets the next place
 
-    def look_up(self, texts: list[str], combine) -> list:
-        """For each text what ``combine`` makes of the values of its chunks, in order."""
+    def look_up(self, texts: list[str]) -> Found:
         if len(self.values) > self.most:
             self.clear()
-        found = [list(map(self.places.__getitem__, cut(t))) for t in texts]
+        lined = [line_up(t) for t in texts]
+        counts = np.array([0 if x is None else x.count(" ") + 1 for x in lined], dtype=np.int64)
+        chunks = pc.split_pattern(pa.array([" ".join(x for x in lined if x is not None)], pa.large_string()), " ").values
+        coded = chunks.dictionary_encode() if counts.any() else pa.array([], pa.large_string()).dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        places = list(map(self.places.__getitem__, coded.dictionary.to_pylist()))
         self._work_out()
-        out = []
-        for text, places in zip(texts, found, strict=True):
-            try:
-                out.append(combine(map(self.values.__getitem__, places)))
-            except TypeError:  # a chunk without a value: this text is one chunk
-                out.append(combine(self.work_out([text])))
-        return out
+        values = list(map(self.values.__getitem__, places))
+        whole = [i for i, x in enumerate(lined) if x is None and texts[i]]
+        if None in values:  # chunks that can't be cut off: their texts are one chunk each
+            bad = np.array([v is None for v in values])[index]
+            owner = np.repeat(np.arange(len(texts)), counts)
+            spoilt = np.zeros(len(texts), dtype=bool)
+            spoilt[owner[bad]] = True
+            whole += np.flatnonzero(spoilt).tolist()
+            index, counts = index[~spoilt[owner]], np.where(spoilt, 0, counts)
+        return Found(values, index, counts, whole)
 
     def _work_out(self) -> None:
         if new := len(self.places) - len(self.values):

@@ -125,7 +125,14 @@ def chunk_table(path: str) -> ChunkTable:
 
 
 def count_texts(texts: list[str], path: str) -> list[int]:
-    return chunk_table(path).look_up(texts, sum)
+    table = chunk_table(path)
+    found = table.look_up(texts)
+    of = np.array([v or 0 for v in found.values], dtype=np.int64)
+    sums, ends = np.r_[0, np.cumsum(of[found.index])], np.cumsum(found.counts)
+    counts = (sums[ends] - sums[ends - found.counts]).tolist()
+    for i, n in zip(found.whole, table.work_out([texts[i] for i in found.whole]), strict=True):
+        counts[i] = n
+    return counts
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT):

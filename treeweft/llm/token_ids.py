@@ -82,5 +82,17 @@ def chunk_table(path: str) -> tuple[ChunkTable, np.dtype]:
 def encode_texts(texts: list[str], path: str, end: int | None = 0) -> tuple[list[bytes], np.dtype]:
     """For each text the bytes of its ids, with the id ``end`` at the end unless that is None."""
     table, kind = chunk_table(path)
+    found = table.look_up(texts)
+    parts = [v or b"" for v in found.values]
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // kind.itemsize
+    held, begin = np.frombuffer(b"".join(parts), dtype=kind), np.cumsum(sizes) - sizes
+    wide = sizes[found.index]
+    ends = np.cumsum(wide)
+    places = np.repeat(begin[found.index] - (ends - wide), wide) + np.arange(int(wide.sum()))
+    data = held[places].tobytes()
+    cuts = np.r_[0, ends][np.r_[0, np.cumsum(found.counts)]] * kind.itemsize
     last = b"" if end is None else np.array([end], dtype=kind).tobytes()
-    return [ids + last for ids in table.look_up(texts, b"".join)], kind
+    out = [data[a:b] + last for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    for i, ids in zip(found.whole, table.work_out([texts[i] for i in found.whole]), strict=True):
+        out[i] = ids + last
+    return out, kind
