@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from treeweft.llm.common import shared_path
 from treeweft.llm.lines import dedup_lines
 from treeweft.llm.mixing import mix
+from treeweft.llm.near import keep_first_near
 from treeweft.llm.packing import pack
 from treeweft.llm.quality import keep_good
-from treeweft.llm.simhash import keep_first
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near-duplicates."""
-    return keep_first(docs)
+    return keep_first_near(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
