@@ -368,34 +368,62 @@ BEST = """s AS (SELECT *, sqrt(sum(p * p) OVER (PARTITION BY odd, k)) AS n FROM
 
 
 def aligned(spark, d):
+    """What the SQL above can align."""
     inferred, true = D.vector_signatures(spark, d, 1).filter("k < 7"), D.vector_signatures(spark, d, 0).filter("k < 5")
     return inferred, true, assign.align(inferred, true)
 
 
+def all_aligned(spark, d):
+    """All labels of both sides; trying all their assignments is too much for SQL."""
+    inferred, true = D.vector_signatures(spark, d, 1), D.vector_signatures(spark, d, 0)
+    return inferred, true, assign.align(inferred, true)
+
+
 @query("SELECT true_k, matched, round(c, 6) AS cosine FROM pairs JOIN cosm ON a = matched AND b = true_k", BEST, True)
 def align_signatures(spark, d):
     return aligned(spark, d)[2].select("true_k", "matched", r6("cosine"))
 
 
+@query()
+def align_all_signatures(spark, d):
+    return all_aligned(spark, d)[2].select("true_k", "matched", r6("cosine"))
+
+
+def signature_rows(inferred, true, pairs) -> DataFrame:
+    found = evaluate.compare_signatures(inferred, true, pairs)
+    return found.select("true_signature", "matched_inferred_idx", r6("mae"), r6("cosine_similarity"))
+
+
 @query("""SELECT 'True_Sig_' || true_k AS true_signature, matched AS matched_inferred_idx, round(avg(abs(t.p - i.p)), 6) AS mae,
 round(sum(t.p * i.p) / (sqrt(sum(t.p * t.p)) * sqrt(sum(i.p * i.p)) + 1e-12::DOUBLE), 6) AS cosine_similarity
 FROM pairs JOIN vecsig t ON t.odd = 0 AND t.k = true_k JOIN vecsig i ON i.odd = 1 AND i.k = matched AND i.channel = t.channel GROUP BY true_k, matched""", BEST, True)
 def compare_signatures(spark, d):
-    inferred, true, pairs = aligned(spark, d)
-    found = evaluate.compare_signatures(inferred, true, pairs)
-    return found.select("true_signature", "matched_inferred_idx", r6("mae"), r6("cosine_similarity"))
+    return signature_rows(*aligned(spark, d))
+
+
+@query()
+def compare_all_signatures(spark, d):
+    return signature_rows(*all_aligned(spark, d))
+
+
+def realigned_recovery(spark, acts, pairs, size: int) -> DataFrame:
+    inferred = evaluate.realigned(acts.select("node", "k", F.col("inferred_e").alias("e")), pairs).withColumnRenamed("e", "inferred_e")
+    both = acts.select("node", "k", "true_e").filter(F.col("k") < size).join(inferred, ["node", "k"], "full")
+    nodes_ = acts.select("node").distinct()
+    full = vectors.densify(both, nodes_, ids(spark, size, "k"), {"true_e": 0.0, "inferred_e": 0.0})
+    return evaluate.recovery(full, size).select("node", r6("mae"))
 
 
 @query("""SELECT a.node, round(sum(abs(coalesce(t.true_e, 0) - coalesce(i.inferred_e, 0))) / 5, 6) AS mae
 FROM (SELECT DISTINCT node FROM activities) a CROSS JOIN pairs LEFT JOIN activities t ON t.node = a.node AND t.k = true_k
 LEFT JOIN activities i ON i.node = a.node AND i.k = matched GROUP BY a.node""", BEST, True)
 def compare_activities_unknown(spark, d):
-    acts, (_, _, pairs) = D.activities(spark, d), aligned(spark, d)
-    inferred = evaluate.realigned(acts.select("node", "k", F.col("inferred_e").alias("e")), pairs).withColumnRenamed("e", "inferred_e")
-    both = acts.select("node", "k", "true_e").filter("k < 5").join(inferred, ["node", "k"], "full")
-    nodes_ = acts.select("node").distinct()
-    full = vectors.densify(both, nodes_, ids(spark, 5, "k"), {"true_e": 0.0, "inferred_e": 0.0})
-    return evaluate.recovery(full, 5).select("node", r6("mae"))
+    return realigned_recovery(spark, D.activities(spark, d), aligned(spark, d)[2], 5)
+
+
+@query()
+def compare_all_activities_unknown(spark, d):
+    return realigned_recovery(spark, D.activities(spark, d), all_aligned(spark, d)[2], K)
 
 
 # ---- random draws by key
@@ -562,7 +590,15 @@ def clustered_counts(spark, d):
 
 @query("SELECT a, b, round(c, 6) AS cosine, p.matched IS NOT NULL AS is_match FROM cosm LEFT JOIN pairs p ON p.true_k = b AND p.matched = a", BEST, True)
 def cosine_heatmap(spark, d):
-    inferred, true, pairs = aligned(spark, d)
+    return heatmap_rows(*aligned(spark, d))
+
+
+@query()
+def cosine_heatmap_all(spark, d):
+    return heatmap_rows(*all_aligned(spark, d))
+
+
+def heatmap_rows(inferred, true, pairs) -> DataFrame:
     hit = pairs.select(F.col("true_k").alias("b"), F.col("matched").alias("a"), F.lit(True).alias("hit"))
     both = vectors.cosine_matrix(inferred, true).join(hit, ["a", "b"], "left")
     return both.select("a", "b", r6("cosine"), F.coalesce("hit", F.lit(False)).alias("is_match"))
@@ -570,7 +606,15 @@ def cosine_heatmap(spark, d):
 
 @query("SELECT true_k, matched, t.channel, round(t.p, 6) AS true_p, round(i.p, 6) AS inferred_p FROM pairs JOIN vecsig t ON t.odd = 0 AND t.k = true_k JOIN vecsig i ON i.odd = 1 AND i.k = matched AND i.channel = t.channel", BEST, True)
 def comparison_grid(spark, d):
-    inferred, true, pairs = aligned(spark, d)
+    return grid_rows(*aligned(spark, d))
+
+
+@query()
+def comparison_grid_all(spark, d):
+    return grid_rows(*all_aligned(spark, d))
+
+
+def grid_rows(inferred, true, pairs) -> DataFrame:
     left = true.select(F.col("k").alias("true_k"), "channel", r6("p", "true_p"))
     right = inferred.select(F.col("k").alias("matched"), "channel", r6("p", "inferred_p"))
     return left.join(pairs.select("true_k", "matched"), "true_k").join(right, ["matched", "channel"])
