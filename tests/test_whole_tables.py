@@ -65,3 +65,9 @@ def test_activities_of_all_labels(spark, sides):
     want = {n: np.mean([abs(true[n].get(k, 0) - inferred[n].get(a, 0)) for k, a in enumerate(picks)]) for n in true}
     found = {r["node"]: r["mae"] for r in QUERIES["compare_all_activities_unknown"](spark, TABLES).collect()}
     assert found == {n: pytest.approx(x, abs=2e-6) for n, x in want.items()}
+
+
+def test_half_even_and_fractions_of_every_part(spark):
+    parts = {r["p_partkey"]: r["p_size"] for r in D.table(spark, TABLES, "part").collect()}
+    found = {r["p_partkey"]: (r["quarter"], r["share"]) for r in QUERIES["half_even_and_fractions_all"](spark, TABLES).collect()}
+    assert found == {k: (round(n / 4), n / 96) for k, n in parts.items()}

@@ -181,6 +181,12 @@ def half_even_and_fractions(spark, d):
     return orders.crossJoin(F.broadcast(sizes)).select("o_orderkey", "p_size", F.bround(F.col("p_size") / 4.0, 0).alias("quarter"), arrays.fraction(F.lit("1/96")).alias("share"))
 
 
+@query("SELECT p_partkey, p_size, round_even(p_size / 4.0::DOUBLE, 0) AS quarter, p_size::DOUBLE / 96 AS share FROM part")
+def half_even_and_fractions_all(spark, d):
+    share = arrays.fraction(F.concat(F.col("p_size").cast("string"), F.lit("/96")))
+    return D.table(spark, d, "part").select("p_partkey", "p_size", F.bround(F.col("p_size") / 4.0, 0).alias("quarter"), share.alias("share"))
+
+
 # ---- filters and joins
 
 
