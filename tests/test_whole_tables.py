@@ -1,9 +1,11 @@
 """Queries that take whole tables where the SQL of their namesakes takes a part."""
 
 from collections import defaultdict
+from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from treeweft.plans import domain as D
 from treeweft.plans.queries import QUERIES
 
@@ -71,3 +73,50 @@ def test_half_even_and_fractions_of_every_part(spark):
     parts = {r["p_partkey"]: r["p_size"] for r in D.table(spark, TABLES, "part").collect()}
     found = {r["p_partkey"]: (r["quarter"], r["share"]) for r in QUERIES["half_even_and_fractions_all"](spark, TABLES).collect()}
     assert found == {k: (round(n / 4), n / 96) for k, n in parts.items()}
+
+
+def plain_ess(x):
+    """Of (chains, draws), autocovariances one lag at a time; Geyer's initial monotone sequence."""
+    m, n = x.shape
+    away = x - x.mean(axis=1, keepdims=True)
+    acov = [np.mean([sum(c[: n - lag] * c[lag:]) / n for c in away]) for lag in range(n)]
+    within = acov[0] * n / (n - 1)
+    plus = within * (n - 1) / n + x.mean(axis=1).var(ddof=1)
+    rho = [1.0, *(1 - (within - a) / plus for a in acov[1:])]
+    kept = []
+    for i in range(0, n - 1, 2):
+        if rho[i] + rho[i + 1] <= 0:
+            break
+        kept.append(min([rho[i] + rho[i + 1], *kept[-1:]]))
+    return m * n / max(2 * sum(kept) - 1, 1 / np.log10(m * n))
+
+
+def plain_sizes(x):
+    half = x.shape[1] // 2
+    halves = np.concatenate([x[:, :half], x[:, -half:]])
+    ranks = halves.ravel().argsort().argsort() + 1
+    z = np.array([NormalDist().inv_cdf((r - 0.375) / (x.size + 0.25)) for r in ranks]).reshape(halves.shape)
+    return plain_ess(z), min(plain_ess((halves <= np.quantile(x, q)).astype(float)) for q in (0.05, 0.95))
+
+
+def test_effective_sizes_reach_the_gates(spark, monkeypatch):
+    """Slowly moving chains for component 0, so that some sizes are under the gate and most are not."""
+    rows = D.draws(spark, TABLES).filter("k < 3 and node < 'N12'")
+    slow = F.col("value") + F.when(F.col("k") == 0, F.col("draw") * 1.0).otherwise(0.0)
+    made = rows.withColumn("value", slow).toPandas()
+    frame = spark.createDataFrame(made)
+    monkeypatch.setattr(D, "draws", lambda spark, d: frame)
+    want = {}
+    for key, part in made.groupby(["node", "k"]):
+        want[key] = plain_sizes(part.pivot(index="chain", columns="draw", values="value").to_numpy())
+    stats = {(r["node"], r["signature"]): r for r in QUERIES["depth_stats_ess"](spark, TABLES).collect()}
+    assert {k: (r["ess_bulk"], r["ess_tail"]) for k, r in stats.items()} == {k: pytest.approx(x, abs=1e-4) for k, x in want.items()}
+    low = sum(bulk < 100 for bulk, _ in want.values())
+    bad = sum(r["r_hat"] > 1.01 for r in stats.values())
+    gates = QUERIES["convergence_gates_ess"](spark, TABLES).first()
+    assert 0 < low < len(want) and (gates["n"], gates["n_bad_r_hat"], gates["n_low_ess"]) == (len(want), bad, low)
+    assert gates["pct_low_ess"] == pytest.approx(100 * low / len(want), abs=1e-6)
+    for r in QUERIES["depth_medians_ess"](spark, TABLES).collect():
+        here = [k for k, s in stats.items() if s["depth"] == r["depth"]]
+        assert r["median_ess_bulk"] == pytest.approx(np.median([want[k][0] for k in here]), abs=1e-4)
+        assert r["median_ess_tail"] == pytest.approx(np.median([want[k][1] for k in here]), abs=1e-4)

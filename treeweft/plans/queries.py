@@ -333,6 +333,12 @@ def depth_stats_rows(spark, d) -> DataFrame:
     return stats.join(diagnostics.split_r_hat(draws, ["node", "k"]), ["node", "k"]).join(D.inner_nodes(spark, d), "node")
 
 
+def depth_diagnostics_rows(spark, d) -> DataFrame:
+    """depth_stats_rows with both effective sample sizes, which SQL does not express."""
+    sizes = diagnostics.summary(D.draws(spark, d), ("node", "k")).select("node", "k", "ess_bulk", "ess_tail")
+    return depth_stats_rows(spark, d).join(sizes, ["node", "k"])
+
+
 @query("SELECT node, k, round(r_hat, 6) AS r_hat FROM rhat", RHAT)
 def split_r_hat(spark, d):
     return diagnostics.split_r_hat(D.draws(spark, d), ["node", "k"]).select("node", "k", r6("r_hat"))
@@ -351,10 +357,29 @@ def depth_medians(spark, d):
 
 @query("SELECT count(*) AS n, count_if(r_hat > 1.01)::BIGINT AS n_bad_r_hat, round(100.0::DOUBLE * count_if(r_hat > 1.01) / count(*), 6) AS pct_bad_r_hat FROM stats", RHAT)
 def convergence_gates(spark, d):
-    found = evaluate.gates(depth_stats_rows(spark, d).withColumn("ess_bulk", F.lit(1000.0)))
+    found = evaluate.gates(depth_diagnostics_rows(spark, d))
     return found.select("n", "n_bad_r_hat", r6("pct_bad_r_hat"))
 
 
+@query()
+def convergence_gates_ess(spark, d):
+    found = evaluate.gates(depth_diagnostics_rows(spark, d))
+    return found.select("n", "n_bad_r_hat", r6("pct_bad_r_hat"), "n_low_ess", r6("pct_low_ess"))
+
+
+@query()
+def depth_stats_ess(spark, d):
+    found = depth_diagnostics_rows(spark, d)
+    return found.select("node", "depth", F.col("k").alias("signature"), *map(r6, ("mean", "sd", "ess_bulk", "ess_tail", "r_hat")))
+
+
+@query()
+def depth_medians_ess(spark, d):
+    columns = ["ess_bulk", "ess_tail", "sd", "r_hat"]
+    found = evaluate.medians(depth_diagnostics_rows(spark, d), "depth", columns)
+    return found.select("depth", *[r6(f"median_{c}") for c in columns])
+
+
 @query()
 def mcmc_summary(spark, d):
     return diagnostics.summary(D.draws(spark, d), ("node", "k"))
