@@ -5,22 +5,25 @@ that follows one always starts the next pre-token. Where no two white-space char
 the concatenation of its chunks: each a space or line feed with what follows up to the next one. Chunks repeat
 far more often than texts do, so each distinct chunk is worked out once and looked up from then on. A text in
 which white space touches white space, or that begins with it, is one chunk as a whole.
+
+Chunks are told apart, looked up and put together as Arrow arrays; only new ones become Python strings.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 TOUCHING = re.compile(r"\s\s")
-#: A worker forgets its chunks when it holds this many.
-MOST_KEPT = 800_000
+#: Bytes of chunks and their values beyond which a worker forgets the half that it has not met for longest.
+MOST_BYTES = 32 << 20
+#: Bytes of texts that are best looked up at once.
+AT_ONCE_BYTES = 8 << 20
 
 
 def line_up(text: str) -> str | None:
@@ -46,65 +49,88 @@ def cut(text: str) -> list[str]:
 
 def touching(key: str) -> bool:
     """Whether white space touches white space in the key or beside it, so that its text can't be cut there."""
+    if key.isprintable():  # without any white space, as a key holds no space
+        return not key
     if key.startswith("\n\n"):
         return False
-    return key in ("", "\n") or key[-1].isspace() or TOUCHING.search(plain(key)) is not None
+    return key == "\n" or key[-1].isspace() or TOUCHING.search(plain(key)) is not None
 
 
 def plain(key: str) -> str:
     """The text of the chunk that a key stands for."""
-    if key.startswith("\n\n"):
-        return key[2:]
-    return key if key.startswith("\n") else " " + key
+    if key[:1] != "\n":
+        return " " + key
+    return key[2:] if key.startswith("\n\n") else key
 
 
 @dataclass
 class Found:
-    """The chunks of a batch of texts: the values of the different ones, which of them each chunk is, and how many
-    each text has. Texts in ``whole`` are one chunk and have none of these."""
+    """The chunks of a batch of texts: their values one after another, and how many each text has. Texts in
+    ``whole`` are one chunk and have none of these."""
 
-    values: list
-    index: np.ndarray
+    values: pa.Array
     counts: np.ndarray
     whole: list[int]
 
 
 class ChunkTable:
-    """What ``work_out`` makes of each chunk, kept for later batches."""
+    """What ``work_out`` makes of each chunk, kept for later batches; ``kind`` is the type of its values."""
 
-    def __init__(self, work_out, most: int = MOST_KEPT):
-        self.work_out, self.most = work_out, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.values: list = []
-        self.places: defaultdict[str, int] = defaultdict()
-        self.places.default_factory = self.places.__len__  # a new key gets the next place
+    def __init__(self, work_out: Callable[[list[str]], list], kind: pa.DataType, most: int = MOST_BYTES):
+        self.work_out, self.kind, self.most = work_out, kind, most
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], kind)
+        self.met, self.time = np.zeros(0, dtype=np.int64), 0
 
     def look_up(self, texts: list[str]) -> Found:
-        if len(self.values) > self.most:
-            self.clear()
         lined = [line_up(t) for t in texts]
         counts = np.array([0 if x is None else x.count(" ") + 1 for x in lined], dtype=np.int64)
-        chunks = pc.split_pattern(pa.array([" ".join(x for x in lined if x is not None)], pa.large_string()), " ").values
-        coded = chunks.dictionary_encode() if counts.any() else pa.array([], pa.large_string()).dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        places = list(map(self.places.__getitem__, coded.dictionary.to_pylist()))
-        self._work_out()
-        values = list(map(self.values.__getitem__, places))
         whole = [i for i, x in enumerate(lined) if x is None and texts[i]]
-        if None in values:  # chunks that can't be cut off: their texts are one chunk each
-            bad = np.array([v is None for v in values])[index]
+        if not counts.any():
+            return Found(pa.array([], self.kind), counts, whole)
+        chunks = pc.split_pattern(pa.array([" ".join(x for x in lined if x is not None)], pa.large_string()), " ").values
+        coded = chunks.dictionary_encode()
+        values, index = self._values(coded.dictionary), coded.indices
+        if values.null_count:  # chunks that can't be cut off: their texts are one chunk each
+            bad = np.asarray(values.is_null())[index.to_numpy()]
             owner = np.repeat(np.arange(len(texts)), counts)
             spoilt = np.zeros(len(texts), dtype=bool)
             spoilt[owner[bad]] = True
             whole += np.flatnonzero(spoilt).tolist()
-            index, counts = index[~spoilt[owner]], np.where(spoilt, 0, counts)
-        return Found(values, index, counts, whole)
-
-    def _work_out(self) -> None:
-        if new := len(self.places) - len(self.values):
-            keys = list(islice(reversed(self.places), new))[::-1]
-            good = [k for k in keys if not touching(k)]
-            values = dict(zip(good, self.work_out([plain(k) for k in good]), strict=True))
-            self.values += map(values.get, keys)
+            index, counts = index.filter(pa.array(~spoilt[owner])), np.where(spoilt, 0, counts)
+        return Found(values.take(index), counts, whole)
+
+    def _values(self, wanted: pa.Array) -> pa.Array:
+        """The values of different keys, null for those that can't be cut off."""
+        self.time += 1
+        place = pc.index_in(wanted, value_set=self.keys)
+        if place.null_count:
+            new = wanted.filter(place.is_null())
+            place = place.to_numpy(zero_copy_only=False)
+            missing = np.isnan(place)
+            place[missing] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.values = pa.concat_arrays([self.values, self._worked_out(new.to_pylist())])
+            self.met = np.r_[self.met, np.zeros(len(new), dtype=np.int64)]
+        place = np.asarray(place, dtype=np.int64)
+        self.met[place] = self.time
+        found = self.values.take(pa.array(place))
+        self._forget()
+        return found
+
+    def _worked_out(self, keys: list[str]) -> pa.Array:
+        good = [k for k in keys if not touching(k)]
+        values = self.work_out([plain(k) for k in good])
+        if len(good) < len(keys):
+            of = dict(zip(good, values, strict=True))
+            values = [of.get(k) for k in keys]
+        return pa.array(values, self.kind)
+
+    def _forget(self) -> None:
+        if self.keys.nbytes + self.values.nbytes <= self.most:
+            return
+        order = np.argsort(-self.met, kind="stable")
+        wide = pc.binary_length(self.keys).to_numpy(zero_copy_only=False) + 24
+        if pa.types.is_binary(self.kind):
+            wide = wide + pc.fill_null(pc.binary_length(self.values), 0).to_numpy(zero_copy_only=False)
+        stay = np.sort(order[np.cumsum(wide[order]) <= self.most // 2])
+        self.keys, self.values, self.met = self.keys.take(pa.array(stay)), self.values.take(pa.array(stay)), self.met[stay]

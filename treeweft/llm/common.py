@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS = 4096
+BATCH_BYTES = 2 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir.
@@ -40,9 +46,26 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", parts: tuple[str
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows in one Arrow batch, so that a worker holds few of the very long texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session, so that a worker holds few of the very long texts at once.
+
+    All operators want the same bounds, whichever of them ran last: a batch ends with the text that makes it full.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes, or less where they end."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def whole_text(name: str = "text"):

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import shared_path, small_batches, stored, whole_text
+from treeweft.llm.chunks import AT_ONCE_BYTES
+from treeweft.llm.common import gathered, shared_path, small_batches, stored, whole_text
 from treeweft.llm.token_ids import encode_texts
 
 MAX_BITS = 16
@@ -35,7 +36,7 @@ MAGIC = 0x31465548
 #: Bytes of codes after which a block is closed, and ids that a shard holds about.
 BLOCK_BYTES = 2 << 20
 SHARD_IDS = 8_000_000
-MOST_SHARDS = 4096
+MOST_SHARDS = 1 << 16
 HEAD = struct.Struct("<4I")
 
 
@@ -177,7 +178,7 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end: int) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, kind = np.zeros(0, dtype=np.int64), None
-        for batch in batches:
+        for batch in gathered(batches, AT_ONCE_BYTES):
             found, kind = encode_texts(batch["_text"].to_pylist(), path, end)
             here = np.bincount(np.frombuffer(b"".join(found), dtype=kind), minlength=len(total))
             here[: len(total)] += total

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import small_batches, stored, whole_text
+from treeweft.llm.chunks import AT_ONCE_BYTES
+from treeweft.llm.common import gathered, small_batches, stored, whole_text
 from treeweft.llm.token_ids import encode_texts
 
 CAPACITY = 2048
@@ -129,7 +130,7 @@ def pieces_of(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in gathered(batches, AT_ONCE_BYTES):
             encoded, kind = encode_texts(batch["_text"].to_pylist(), path, end)
             owner, out = [], []
             for i, ids in enumerate(encoded):

@@ -327,7 +327,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(id, page, width, height, samples, bits, pixels, error): one row per page of each file."""
-    small_batches(media.sparkSession, 64)
+    small_batches(media.sparkSession)
     rows = media.select(F.col(id_col).alias("_id"), F.col(media_col).cast("binary").alias("_media"))
     ints = ("page", "width", "height", "samples", "bits")
     schema = T.StructType(
@@ -377,7 +377,7 @@ def feature_of(found: list[Page]) -> str:
 
 def media_digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
     """What a file holds, from its pages: size and checksums of the samples and of the file, and a feature."""
-    small_batches(media.sparkSession, 256)
+    small_batches(media.sparkSession)
     rows = media.select(F.col(id_col).alias("_id"), F.col(size_col), F.col(media_col).alias("_media"))
     fields = [
         T.StructField("payload_bytes", T.LongType()),

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.chunks import ChunkTable
-from treeweft.llm.common import small_batches, whole_text
+from treeweft.llm.chunks import AT_ONCE_BYTES, ChunkTable
+from treeweft.llm.common import gathered, small_batches, whole_text
 
 #: The byte-level pre-token pattern (a fixed value of this tokenizer family).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,19 +41,23 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file describes byte-level BPE over PRETOKEN, without anything that changes texts before."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    whole = not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added)
+    return bool(model["type"] == "BPE" and plain and whole and not spec.get("normalizer") and not model.get("ignore_merges"))
+
+
 class RankMerger:
     """Counts the tokens of pre-tokens and of chunks under one tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        if model["type"] != "BPE" or not byte_level or spec.get("normalizer") or model.get("ignore_merges"):
+        if not byte_level(spec):
             raise ValueError(f"{path}: only byte-level BPE without normalizer is counted")
-        added = spec.get("added_tokens") or []
-        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
-            raise ValueError(f"{path}: added tokens that take neighbours along are not counted")
+        model, added = spec["model"], spec.get("added_tokens") or []
         vocab = model["vocab"]
         self.first = np.array([vocab[s] for s in byte_symbols()], dtype=np.int64)
         self.base = max(vocab.values()) + 1
@@ -120,15 +124,14 @@ _TABLES: dict[str, ChunkTable] = {}
 
 def chunk_table(path: str) -> ChunkTable:
     if path not in _TABLES:
-        _TABLES[path] = ChunkTable(RankMerger(path).chunk_counts)
+        _TABLES[path] = ChunkTable(RankMerger(path).chunk_counts, pa.int64())
     return _TABLES[path]
 
 
 def count_texts(texts: list[str], path: str) -> list[int]:
     table = chunk_table(path)
     found = table.look_up(texts)
-    of = np.array([v or 0 for v in found.values], dtype=np.int64)
-    sums, ends = np.r_[0, np.cumsum(of[found.index])], np.cumsum(found.counts)
+    sums, ends = np.r_[0, np.cumsum(found.values.to_numpy())], np.cumsum(found.counts)
     counts = (sums[ends] - sums[ends - found.counts]).tolist()
     for i, n in zip(found.whole, table.work_out([texts[i] for i in found.whole]), strict=True):
         counts[i] = n
@@ -149,7 +152,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, AT_ONCE_BYTES):
             counts = pa.array(count_texts(batch["_text"].to_pylist(), path), pa.int64())
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["n_bytes"], counts], ["_id", "n_bytes", "n_tokens"])
 
