@@ -1,6 +1,9 @@
 import corpus_pipeline
 import numpy as np
 
+from treeweft.llm.near import keep_first_near
+from treeweft.llm.simhash import keep_first
+
 
 def plain_sets(text):
     words = (text or "").lower().split()
@@ -60,3 +63,15 @@ def test_rows_without_ids_and_without_rows(spark):
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, frame, "").collect())
     assert kept == [(3, text), (3, "third")]
     assert corpus_pipeline.near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
+def test_columns_that_clash(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, 5, "a", None, 7), (2, text, 6, "b", None, 8), (3, "other", 7, "c", None, 9)]
+    kind = "doc_id long, text string, _gone long, key string, n binary, _id long"
+    frame = spark.createDataFrame(rows, kind)
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert kept.columns == frame.columns and sorted(kept.collect()) == [rows[0], rows[2]]
+    frame = frame.withColumnsRenamed({"key": "_first", "n": "component_id"})
+    assert sorted(keep_first(frame).collect()) == [rows[0], rows[2]]
+    assert sorted(keep_first_near(frame).collect()) == [rows[0], rows[2]]

@@ -68,6 +68,14 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(name: str = "text"):
     """The text, or the empty text in place of a null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -1,9 +1,10 @@
 """Connected components of an edge table, by contraction.
 
-In each round every node merges into its smallest neighbour, if that is smaller than itself, and the edges are
-drawn anew between what is left. Every component keeps its smallest node, and a round at least halves the nodes
-that still have edges, so the rounds grow with the logarithm of the longest chain. No neighbour list is gathered:
-a round is a minimum per node and two joins, whose large keys adaptive execution can split.
+In each round the nodes get a new order by a hash; each merges into the first of its neighbours, if that comes
+before itself, and follows that one's own merges four steps far. The edges are then drawn anew between what is left.
+A node with an edge comes before a given neighbour in half of all orders, so that a round leaves half of the nodes
+at most, on average, whatever the edges look like: the rounds grow with the logarithm of the nodes. No neighbour
+list is gathered: a round is a minimum per node and a few joins, whose large keys adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 from treeweft.llm.common import stored
 
 
+def hop(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(n, m): where ``y`` leads from where ``x`` leads from n; nodes that ``y`` lacks stay."""
+    via = x.select("n", F.col("m").alias("_via")).join(y.select(F.col("n").alias("_via"), F.col("m").alias("_to")), "_via", "left")
+    return via.select("n", F.coalesce("_to", "_via").alias("m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``edges``; the label is the component's smallest node.
 
@@ -21,20 +28,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
     left = stored(left, "edges")
-    labels = None
+    moved = None
+    turn = 0
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        merge = both.groupBy("a").agg(F.min("b").alias("m"))
-        merge = stored(merge.select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "merges")
-        if labels is None:
-            labels = merge.select(F.col("n").alias("node"), F.col("m").alias("label"))
-        else:
-            after = labels.join(merge, labels["label"] == merge["n"], "left")
-            labels = stored(after.select("node", F.coalesce("m", "label").alias("label")), "labels")
-        ends = left.join(merge, left["a"] == merge["n"]).select(F.col("m").alias("a"), "b")
-        ends = ends.join(merge, ends["b"] == merge["n"]).select("a", F.col("m").alias("b"))
-        low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        left = stored(ends.filter("a <> b").select(low, high).distinct(), "edges")
-    if labels is None:
+
+        def rank(c, turn=turn):
+            return F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("n"))
+
+        first = both.groupBy("a").agg(F.min(rank("b")).alias("to"))
+        step = first.select(F.col("a").alias("n"), F.least(F.col("to"), rank("a"))["n"].alias("m"))
+        step = stored(step, "merges")
+        two = hop(step, step)
+        four = stored(hop(two, two), "merges")
+        ends = left.select(F.col("a").alias("n"), F.col("b").alias("m"))
+        ends = hop(ends, four).select(F.col("m").alias("n"), F.col("n").alias("m"))
+        ends = hop(ends, four).select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b"))
+        left = stored(ends.filter("a <> b").distinct(), "edges")
+        moved = four if moved is None else hop(moved, four)
+        turn += 1
+    if moved is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels
+    moved = stored(moved, "labels")
+    least = moved.groupBy("m").agg(F.min("n").alias("label"))
+    return moved.join(least, "m").select(F.col("n").alias("node"), "label")

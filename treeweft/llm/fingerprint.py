@@ -34,11 +34,23 @@ def set_bits(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def simhash(text: str, words: int = 3) -> int:
-    """A bit is set if it is in over half of the shingles' XXH64 hashes, repeats included; without words 0."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The XXH64 hash of each shingle, repeats included."""
     found = shingles(text, words)
-    if not found:
-        return 0
-    hashes = np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=len(found))
+    return np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=len(found))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes; without hashes 0."""
     over = set_bits(hashes) * 2 > len(hashes)
     return int.from_bytes(np.packbits(over, bitorder="little").tobytes(), "little")
+
+
+def simhash(text: str, words: int = 3) -> int:
+    """The fingerprint of a text's shingles."""
+    return fingerprint(shingle_hashes(text, words))
+
+
+def signed(x: int) -> int:
+    """The 64-bit number with the same bits."""
+    return x - (1 << 64) if x >> 63 else x

@@ -1,11 +1,16 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least four fifths.
+"""SimHash near-duplicates at a similarity: documents whose sets of five-word shingles have a Jaccard similarity of at
+least four fifths.
 
-Documents with equal sets are one node, whatever their number. MinHash bands find the candidates: a pair shares a
-bucket if all ``ROWS`` minima of one of ``BANDS`` bands agree, which a pair of similarity 0.8 misses with a chance of
-7 in a million and a closer one with less. Candidates are then decided on the whole sets, by counting.
+Documents with equal sets are one node, whatever their number. Candidates are close SimHash fingerprints of the same
+shingles, found by multi-index hashing (see simhash.py), and, as its balls reach a tenth of the pairs near 0.8 only
+(those differ in ten bits on average), documents that share a bucket: all ``ROWS`` minima of one of ``BANDS`` bands
+agree, which a pair of similarity 0.8 misses with a chance of 7 in a million and a closer one with less. Candidates are
+decided on the whole sets, by counting.
 
-Components are what is asked for, so a bucket's members first meet its smallest member only; of the pairs that are
-left, those within one component need no look, and all others are decided.
+Components are what is asked for. So a bucket's members first meet its head only, the one that shares most buckets
+with others. What is then in one component needs no further look; of all other pairs, those go on to be decided whose
+sketches differ in at most ``DIFFER`` of ``SKETCH`` bits. Each bit differs with half the chance of an odd minimum: a
+pair of similarity 0.8 differs in 205 bits on average, with a deviation of 13.6, so that one in a billion is lost.
 
 Null texts are empty; texts without a word have the empty set, which is like itself only. Rows with null ids take
 part; a component of such rows alone has a null id. Repeated rows fall together. An empty table gives an empty result.
@@ -14,7 +19,7 @@ part; a component of such rows alone has a null id. Repeated rows fall together.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,66 +30,78 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from treeweft.llm.common import small_batches, stored, whole_text
 from treeweft.llm.components import components
-from treeweft.llm.fingerprint import SEED, shingles
+from treeweft.llm.fingerprint import SEED, fingerprint, shingle_hashes, signed
+from treeweft.llm.simhash import close_pairs
 
 WORDS = 5
 BANDS, ROWS = 30, 5
-#: Hashes that are permuted at once.
-AT_ONCE = 2048
+SKETCH, DIFFER = 2048, 286
+LONGS = SKETCH // 64
+#: Hashes times minima that are worked on at once.
+AT_ONCE = 1 << 18
 
 _RANDOM = np.random.default_rng(SEED)
 _TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_RANDOM = np.random.default_rng(SEED + 1)
+_SKETCH_TIMES = _RANDOM.integers(0, 1 << 64, SKETCH, dtype=np.uint64) | np.uint64(1)
+_SKETCH_PLUS = _RANDOM.integers(0, 1 << 64, SKETCH, dtype=np.uint64)
 
 
-def hashes(text: str, words: int = WORDS) -> np.ndarray:
-    """The set of the shingles' XXH64 hashes, ascending."""
-    found = shingles(text, words)
-    return np.unique(np.fromiter(map(xxh64_intdigest, found, repeat(SEED)), dtype="<u8", count=len(found)))
+def minima(found: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of the permutations."""
+    least = np.full(len(times), np.iinfo(np.uint64).max, dtype=np.uint64)
+    step = AT_ONCE // len(times)
+    for i in range(0, len(found), step):
+        np.minimum(least, (found[i : i + step, None] * times + plus).min(axis=0), out=least)
+    return least
 
 
 def buckets(found: np.ndarray) -> list[int]:
     """A signed number for each band of the set's minima."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(found), AT_ONCE):
-        part = found[i : i + AT_ONCE, None] * _TIMES + _PLUS
-        np.minimum(least, part.min(axis=0), out=least)
-    keys = [xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))]
-    return [x - (1 << 64) if x >> 63 else x for x in keys]
+    rows = minima(found, _TIMES, _PLUS).reshape(BANDS, ROWS)
+    return [signed(xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(_id, key, n, buckets): of each row's set a digest, its size and its buckets."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-    more = "key binary, n int, buckets array<bigint>"
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bit of each of the set's other minima, as LONGS numbers."""
+    least = minima(found, _SKETCH_TIMES, _SKETCH_PLUS)
+    return np.packbits(least * _ODD >> np.uint64(63) != 0).view("<i8")
+
+
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """(_id, key, n, fp, buckets): of each row's set a digest, its size, fingerprint and buckets."""
+    more = "key binary, n int, fp bigint, buckets array<bigint>"
     schema = T.StructType([rows.schema["_id"], *T.StructType.fromDDL(more)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [hashes(t, words) for t in batch["_text"].to_pylist()]
+            every = [shingle_hashes(t, words) for t in batch["_text"].to_pylist()]
+            sets = [np.unique(x) for x in every]
             keys = pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             sizes = pa.array([len(x) for x in sets], pa.int32())
+            prints = pa.array([signed(fingerprint(x)) for x in every], pa.int64())
             filed = pa.array([buckets(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["_id"], keys, sizes, filed], schema.names)
+            yield pa.RecordBatch.from_arrays([batch["_id"], keys, sizes, prints, filed], schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
-def whole_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(key, hashes): each set once."""
-    small_batches(docs.sparkSession)
-    names = ["key", "hashes"]
+def whole_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(key, hashes, sketch): each set once."""
+    names = ["key", "hashes", "sketch"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [hashes(t, words) for t in batch["_text"].to_pylist()]
+            sets = [np.unique(shingle_hashes(t, words)) for t in batch["_text"].to_pylist()]
             keys = pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
             held = pa.array([x.view("<i8") for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, held], names)
+            drawn = pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, held, drawn], names)
 
-    found = docs.select(whole_text(text_col).alias("_text")).mapInArrow(work, "key binary, hashes array<bigint>")
-    return found.dropDuplicates(["key"])
+    kind = "key binary, hashes array<bigint>, sketch array<bigint>"
+    return rows.select("_text").mapInArrow(work, kind).dropDuplicates(["key"])
 
 
 def sizes_allow(n: str, m: str):
@@ -101,22 +118,46 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(enough).select("a", "b")
 
 
-def near_edges(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def in_order(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), the smaller first, each once."""
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def close_prints(distinct: DataFrame) -> DataFrame:
+    """(a, b): keys with equal or close fingerprints; of those with equal ones each with the smallest only."""
+    heads = distinct.groupBy("fp").agg(F.min("key").alias("head"), F.count("*").alias("n"))
+    one, other = (heads.select(F.col("fp").alias(f"_{c}"), F.col("head").alias(c)) for c in "ab")
+    close = close_pairs(heads.select("fp")).withColumnsRenamed({"a": "_a", "b": "_b"}).distinct()
+    close = close.join(one, "_a").join(other, "_b").select("a", "b")
+    equal = distinct.join(heads.filter("n > 1"), "fp").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    return close.unionByName(equal)
+
+
+def near_edges(rows: DataFrame, distinct: DataFrame, words: int) -> DataFrame:
     """(a, b): edges between similar sets of ``distinct`` that have the components of all of them."""
-    filed = distinct.filter("n > 0").select("key", "n", F.explode("buckets").alias("bucket"))
-    heads = filed.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("members"))
-    busy = stored(filed.join(heads.filter("members > 1").select("bucket", "head"), "bucket"), "buckets")
-    wanted = distinct.join(busy.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("_first")).distinct()
-    sets = stored(whole_sets(docs.join(wanted, docs[id_col].eqNullSafe(F.col("_first")), "left_semi"), text_col, words), "sets")
-    star = busy.filter((F.col("head.key") != F.col("key")) & sizes_allow("head.n", "n"))
-    found = stored(alike(star.select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), sets), "near-head")
+    distinct = distinct.filter("n > 0")
+    filed = distinct.select("key", "n", F.explode("buckets").alias("bucket"))
+    shared = filed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    busy = stored(filed.join(shared, "bucket"), "buckets")
+    weight = busy.groupBy("key").agg(F.sum("members").alias("weight"))
+    heads = busy.join(weight, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key", "n")).alias("head"))
+    star = busy.join(heads, "bucket").filter(sizes_allow("head.n", "n"))
+    star = star.select(F.col("head.key").alias("a"), F.col("key").alias("b"))
+    first = stored(in_order(star.unionByName(close_prints(distinct))), "near-candidates")
+    met = busy.select("key").unionByName(first.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    wanted = distinct.join(met, "key", "left_semi").select(F.col("first").alias("_first")).distinct()
+    texts = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_first"]), "left_semi")
+    sets = stored(whole_sets(texts, words), "sets")
+    found = stored(alike(first, sets), "near-head")
     labels = components(found)
     member = busy.join(labels, busy["key"] == labels["node"], "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed = member.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = stored(member.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    one = rest.select("bucket", F.col("key").alias("a"), F.col("n").alias("m"), F.col("label").alias("l"))
-    met = one.join(rest, "bucket").filter((F.col("l") < F.col("label")) & sizes_allow("m", "n"))
-    pairs = met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+    rest = member.join(mixed, "bucket", "left_semi").join(sets.select("key", "sketch"), "key")
+    rest = stored(rest.select("bucket", "key", "n", "label", *[F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)]), "mixed-buckets")
+    one = rest.select("bucket", *[F.col(c).alias(f"_{c}") for c in rest.columns if c != "bucket"])
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"_s{i}"))) for i in range(LONGS)])
+    met = one.join(rest, "bucket").filter((F.col("_label") < F.col("label")) & sizes_allow("_n", "n") & (differ <= DIFFER))
+    pairs = in_order(met.select(F.col("_key").alias("a"), F.col("key").alias("b")))
     return found.unionByName(alike(pairs, sets))
 
 
@@ -126,14 +167,17 @@ def keep_first_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows of one id are one document: they stay or go together. Rows with null ids stay if their component has no
     other.
     """
-    marked = stored(sketches(docs, id_col, text_col, words), "sketches")
+    small_batches(docs.sparkSession)
+    texts = docs.select(docs[id_col].alias("_id"), whole_text(text_col).alias("_text"))
+    marked = stored(sketches(texts, words), "sketches")
     some = [F.first(c).alias(c) for c in ("n", "buckets")]  # the same in all rows of a key
-    distinct = stored(marked.groupBy("key").agg(F.min("_id").alias("first"), *some), "distinct-sets")
-    labels = components(near_edges(docs, distinct, id_col, text_col, words))
+    # the fingerprint counts repeats, which may differ
+    distinct = stored(marked.groupBy("key").agg(F.min("_id").alias("first"), F.min("fp").alias("fp"), *some), "distinct-sets")
+    labels = components(near_edges(texts, distinct, words))
     labelled = distinct.join(labels, distinct["key"] == labels["node"], "left")
     labelled = labelled.select("key", "first", F.coalesce("label", "key").alias("label"))
     heads = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labelled.join(heads, "label").select(F.col("key").alias("_key"), "component_id")
     rows = marked.select("_id", "key").join(named, F.col("key") == F.col("_key"))
     drop = rows.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_gone")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["_gone"]), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from treeweft.llm.common import small_batches, stored, whole_text
 from treeweft.llm.components import components
-from treeweft.llm.fingerprint import simhash
+from treeweft.llm.fingerprint import signed, simhash
 
 RADIUS = 3
 WORDS = 3
@@ -36,9 +36,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(t, words) for t in batch["_text"].to_pylist()]
-            signed = pa.array([x - (1 << 64) if x >> 63 else x for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["_id"], signed], schema.names)
+            found = pa.array([signed(simhash(t, words)) for t in batch["_text"].to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["_id"], found], schema.names)
 
     return rows.mapInArrow(work, schema)
 
@@ -87,6 +86,6 @@ def keep_first(
     other.
     """
     found = near_duplicates(docs, id_col, text_col, words, radius)
-    drop = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    kept = docs.join(drop.distinct(), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    return kept
+    gone = ~F.col(id_col).eqNullSafe(F.col("component_id"))
+    drop = stored(found.filter(gone).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["_gone"]), "left_anti")
