@@ -1,36 +1,46 @@
 """Approximate nearest neighbours by cosine: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one point, which keeps the ``k + 1`` smallest of their ids: no more can be in an answer. Points
-are dealt by a hash of the vector into shards of about ``SHARD_SIZE``; each shard becomes one row that holds its
-vectors and, for each layer, a flat array of neighbours. Blocks of queries then meet every shard, and the shards'
-answers are merged. Within a shard, building and searching go in lockstep over many vectors at a time.
+are dealt by a hash of the vector into shards; each shard becomes one row that holds its vectors and, for each layer, a
+flat array of neighbours. The queries go past the shards in blocks of ``QUERY_BYTES``: a block is handed to all tasks,
+each of which reads its shards where they lie, keeps the best it has met for each query, and gives that once. No shard
+is copied or moved for a query. Within a shard, building and searching go in lockstep over many vectors at a time.
 
 Points are ordered by layer, highest first, so that each layer holds a prefix of them, and layers are built from
-the top. Answers are scored in double precision on the original vectors.
+the top. All that a search has found is scored in double precision on the original vectors. Where the last of it may
+tie with an answer, so that there may be more like it, that query is held against the whole shard.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, take no part; neither do null ids.
-Vectors meet only those of their own length. Rows that repeat an id and vector count once. Ties go to the smaller
-id. An empty table gives an empty result. Only the id and vector columns are read.
+Vectors meet only those of their own length. Rows that repeat an id and vector count once; of query rows that repeat an
+id with other vectors the one with the smallest vector asks (by its first component that differs). Ties go to the
+smaller id. An empty table gives an empty result. Only the id and vector columns are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeweft.llm.common import stored
+from treeweft.llm.common import shared_path, stored
 
+#: Points of a shard; beyond ``SHARDS`` shards these grow up to ``LARGEST``.
 SHARD_SIZE = 8192
-QUERY_BLOCK = 4096
+SHARDS = 4096
+LARGEST = 1 << 17
+QUERY_BYTES = 32 << 20
 LINKS = 16
 EF_BUILD = 64
 EF_SEARCH = 96
 BATCH = 256
 FIRST = 512
 AT_ONCE = 4
-RESCORED = 32
+#: Single precision may be off by this much.
+CLOSE = 1e-6
 NONE = -1
 
 
@@ -210,19 +220,22 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-GRAPH = "dim int, shard int, n int, vectors binary, ids array<array<long>>, layers array<binary>"
+GRAPH = "dim int, shard int, n int, kept int, vectors binary, ids binary, layers array<binary>"
 
 
-def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def build_index(
+    vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD_SIZE
+) -> DataFrame:
     """One row a shard: its distinct vectors, the smallest k+1 ids of each, and its layers; written to the shared
-    folder."""
+    folder. It answers searches for up to ``k`` neighbours."""
     rows = usable(vectors, id_col, vector_col).distinct()
     alike = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("r", F.row_number().over(alike)).filter(F.col("r") <= k + 1)
     points = few.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     points = stored(points, "points")
     sizes = points.groupBy("dim").agg(F.count("*").alias("n"))
-    shards = F.ceil(F.col("n") / SHARD_SIZE).cast("int")
+    size = F.greatest(F.lit(shard_size), F.least(F.lit(LARGEST), F.col("n") / SHARDS))
+    shards = F.ceil(F.col("n") / size).cast("int")
     dealt = points.join(sizes.select("dim", shards.alias("_shards")), "dim")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("v"), F.col("_shards")).cast("int")).drop("_shards")
 
@@ -233,10 +246,13 @@ def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_c
         # a fixed order that has nothing to do with the vectors' places
         order = np.argsort([hash((i[0], 7)) & 0xFFFFFFFF for i in ids], kind="stable")
         v, ids = np.ascontiguousarray(v[order]), [ids[i] for i in order]
+        members = np.array([i + [NONE] * (k + 1 - len(i)) for i in ids], dtype=np.int64)
+        given = np.array([len(i) for i in ids], dtype=np.int64)
         layers = build(unit(v).astype(np.float32))
-        row = [[dim], [key[1].as_py()], [len(v)], [v.tobytes()], [ids], [[x.tobytes() for x in layers]]]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.binary())]
-        return pa.table([pa.array(r, t) for r, t in zip(row, kinds, strict=True)], names=["dim", "shard", "n", "vectors", "ids", "layers"])
+        row = [[dim], [key[1].as_py()], [len(v)], [k + 1], [v.tobytes()], [given.tobytes() + members.tobytes()], [[x.tobytes() for x in layers]]]
+        kinds = [*[pa.int32()] * 4, pa.binary(), pa.binary(), pa.list_(pa.binary())]
+        names = ["dim", "shard", "n", "kept", "vectors", "ids", "layers"]
+        return pa.table([pa.array(r, t) for r, t in zip(row, kinds, strict=True)], names=names)
 
     # a task a shard: a shard is small to move and long to build, so that partitions must not be put together
     total = sizes.agg(F.sum(shards)).head()[0] or 1
@@ -244,44 +260,101 @@ def build_index(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_c
     return stored(dealt.groupBy("dim", "shard").applyInArrow(graph, GRAPH), "graphs")
 
 
+class Shard:
+    """One row of an index, ready to be searched."""
+
+    def __init__(self, row: dict):
+        n, dim = row["n"], row["dim"]
+        self.unit = unit(np.frombuffer(row["vectors"], dtype=np.float64).reshape(n, dim))
+        self.single = self.unit.astype(np.float32)
+        layers = [np.frombuffer(b, dtype=np.int32) for b in row["layers"]]
+        self.layers = [x.reshape(s, -1) for x, s in zip(layers, layer_sizes(n), strict=True)]
+        ids = np.frombuffer(row["ids"], dtype=np.int64)
+        self.given, self.ids = ids[:n], ids[n:].reshape(n, row["kept"])
+
+    def nearest(self, asked: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(score, id) of the k nearest found of each query, -inf and NONE as filling; ``asked`` are their own ids."""
+        found, near = search(self.single, self.layers, queries.astype(np.float32), max(EF_SEARCH, 4 * k))
+        scores = np.einsum("nd,nkd->nk", queries, self.unit[np.maximum(found, 0)])
+        scores[found < 0] = -np.inf
+        out = self.best(asked, found, scores, k)
+        # one point may be the query's own, so that the answers lie in the k + 1 best points
+        last = -np.partition(-scores, k, axis=1)[:, k]
+        for i in np.flatnonzero((found[:, -1] >= 0) & (near[:, -1] >= last - CLOSE)).tolist():
+            every = self.unit @ queries[i]
+            edge = -np.partition(-every, k)[k]
+            these = np.flatnonzero(every >= edge)[None]
+            # scored like all others, so that equal vectors of two shards have equal scores
+            exact = np.einsum("nd,nkd->nk", queries[i : i + 1], self.unit[these])
+            for whole, part in zip(out, self.best(asked[i : i + 1], these, exact, k), strict=True):
+                whole[i] = part[0]
+        return out
+
+    def best(self, asked: np.ndarray, points: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.ids[np.maximum(points, 0)]
+        good = (np.arange(ids.shape[2]) < self.given[np.maximum(points, 0)][:, :, None]) & (points >= 0)[:, :, None]
+        good &= ids != asked[:, None, None]
+        scores = np.where(good, scores[:, :, None], -np.inf)
+        return first_by_score(scores.reshape(len(asked), -1), ids.reshape(len(asked), -1), k)
+
+
+def first_by_score(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores of each row and their ids, ties by the smaller id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def answers(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each query in ``asked``, a block of bounded size, the best that each task found."""
+    block = asked.toArrow()
+    blocks = {}
+    for dim in block["dim"].unique().to_pylist():
+        part = block.filter(pc.equal(block["dim"], dim))
+        blocks[dim] = part["id"].to_numpy(), unit(matrix(part["v"], dim))
+    held = index.sparkSession.sparkContext.broadcast(blocks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list] = {}
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch[c][i].as_py() for c in batch.schema.names}
+                if row["dim"] not in held.value:
+                    continue
+                ids, queries = held.value[row["dim"]]
+                shard = Shard(row)
+                parts = [shard.nearest(ids[j : j + BATCH], queries[j : j + BATCH], k) for j in range(0, len(ids), BATCH)]
+                found = [padded(np.concatenate(c), k, fill) for c, fill in zip(zip(*parts, strict=True), (-np.inf, NONE), strict=True)]
+                if row["dim"] in best:
+                    found = [np.concatenate(c, axis=1) for c in zip(best[row["dim"]], found, strict=True)]
+                best[row["dim"]] = first_by_score(*found, k)
+        for dim, (scores, ids) in best.items():
+            at, place = np.nonzero(scores > -np.inf)
+            columns = [held.value[dim][0][at], ids[at, place], scores[at, place]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    return index.mapInArrow(work, "query_id long, vec_id long, score double")
+
+
+def padded(x: np.ndarray, k: int, fill) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, k - x.shape[1])), constant_values=fill)
+
+
 def search_index(
     index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, its own id left out."""
-    asked = stored(usable(queries, id_col, vector_col).dropDuplicates(["id"]), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("_n"))
-    asked = asked.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(key, left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            dim, n = key[0].as_py(), right["n"][0].as_py()
-            v = np.frombuffer(right["vectors"][0].as_py(), dtype=np.float64).reshape(n, dim)
-            layers = [np.frombuffer(b, dtype=np.int32) for b in right["layers"][0].as_py()]
-            layers = [x.reshape(s, -1) for x, s in zip(layers, layer_sizes(n), strict=True)]
-            ids, x64 = right["ids"][0].as_py(), unit(v)
-            x = x64.astype(np.float32)
-            asked_ids, q64 = left["id"].to_pylist(), unit(matrix(left["v"], dim))
-            for i in range(0, len(q64), BATCH):
-                part = q64[i : i + BATCH]
-                found = search(x, layers, part.astype(np.float32))[0][:, :RESCORED]
-                scores = np.einsum("nd,nkd->nk", part, x64[np.maximum(found, 0)])
-                for q, points, s in zip(asked_ids[i : i + BATCH], found.tolist(), scores.tolist(), strict=True):
-                    hits = [(-c, j) for p, c in zip(points, s, strict=True) if p >= 0 for j in ids[p] if j != q]
-                    for c, j in sorted(hits)[:k]:
-                        out["query_id"].append(q)
-                        out["vec_id"].append(j)
-                        out["score"].append(-c)
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
-        return pa.table({c: pa.array(out[c], t) for c, t in kinds.items()})
-
-    keys = ("dim", "shard", "block")
-    tasks = max(1, index.count() * blocks)
-    asked, copies = asked.repartition(tasks, *keys), copies.repartition(tasks, *keys)
-    parts = asked.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    kept = index.agg(F.min("kept")).head()[0]
+    if kept is not None and kept <= k:
+        raise ValueError(f"this index answers searches for {kept - 1} neighbours at most")
+    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = stored(asked, "queries")
+    components = asked.agg(F.sum("dim")).head()[0] or 0
+    blocks = max(1, -(-8 * components // QUERY_BYTES))
+    paths = []
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        ranked = answers(index, block, k).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        paths.append(shared_path(index.sparkSession, "nearest"))
+        ranked.select("query_id", "rank", "vec_id", "score").write.parquet(paths[-1])
+    return index.sparkSession.read.schema("query_id long, rank int, vec_id long, score double").parquet(*paths)
