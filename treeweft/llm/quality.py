@@ -1,12 +1,12 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Each line that isn't blank is labelled good or bad from its own shape (letter case, symbols, digits, repeated
-words) and that of the lines beside it. The field is fitted to labelled documents, whose lines carry the label of
-the document. Forward-backward gives each line's probability of being good; a document's evidence is their mean,
+words) and that of the lines beside it. The field is fitted to labelled documents; their lines' labels are hidden, and
+the document's label is evidence for each of them. Forward-backward gives each line's probability of being good; a document's evidence is their mean,
 weighted by length, which a logistic curve fitted to the same documents turns into the score.
 
-The fit uses at most ``MAX_DOCUMENTS`` labelled documents, those with the smallest hashes of their ids, and of
-each at most ``MAX_LINES`` lines from its start; scoring always covers whole texts. Labels, language, source and
+The fit uses at most ``MAX_DOCUMENTS`` labelled documents as a whole, those with the smallest hashes of their ids, and
+fewer if these have over ``MAX_LINES`` lines; scoring covers whole texts of all. Labels, language, source and
 id are no inputs of a score. Rows whose crc32 of the id's text divides by 5 are never learnt from.
 
 Null and empty texts, and texts of white space, have no line and get the share of good among the learnt labels.
@@ -22,17 +22,18 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import small_batches, whole_text
+from treeweft.llm.common import fresh, small_batches, whole_text
 
 MAX_DOCUMENTS = 6000
-MAX_LINES = 64
+MAX_LINES = 200_000
 FOLDS = 5
 BINS = 8
-STEPS = 150
+STEPS = 100
+TRUST = 2.0
 SHAPES = 10
 REJECT_BELOW = 0.3
 
@@ -53,11 +54,11 @@ def class_table() -> np.ndarray:
     return _CLASSES[0]
 
 
-def lines_of(texts: list[str], most: int | None = None) -> tuple[list[str], np.ndarray]:
+def lines_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """All lines of the texts that aren't blank, and how many each text has."""
     found, counts = [], []
     for text in texts:
-        lines = [x for x in text.split("\n") if x and not x.isspace()][:most]
+        lines = [x for x in text.split("\n") if x and not x.isspace()]
         found += lines
         counts.append(len(lines))
     return found, np.array(counts, dtype=np.int64)
@@ -182,18 +183,22 @@ class Field:
         return x
 
     def fit(self, own: np.ndarray, counts: np.ndarray, good: np.ndarray, sizes: np.ndarray) -> None:
-        """Adam on the log-likelihood of the line labels, then the curve on the documents' evidence."""
+        """Adam on the likelihood of the documents' labels, then the curve on the documents' evidence.
+
+        What lines are labelled is hidden: a document's label speaks for each of its lines with a weight of ``TRUST``
+        only. So the slope is what the field expects with that evidence less what it expects without, in line labels
+        as in pairs of them, and a good document may have bad lines and changes between the two.
+        """
         x, lanes = self.inputs(own, counts), Lanes(counts)
-        label = np.repeat(good, counts)
-        lines = max(len(label), 1)
-        inside = counts[counts > 0] - 1
+        told = TRUST * (2 * np.repeat(good, counts) - 1)
+        lines = max(len(told), 1)
         share = good[counts > 0]
-        seen = np.array([[(inside * (1 - share)).sum(), 0], [0, (inside * share).sum()]])
-        target = x.T @ label
         state = np.zeros((2, self.size + 4))
         for step in range(1, STEPS + 1):
-            _, p, pairs = lanes.marginals(x @ self.weights, self.change)
-            slope = np.concatenate([target - x.T @ p, (seen - pairs).ravel()]) / lines
+            score = x @ self.weights
+            _, p, pairs = lanes.marginals(score, self.change)
+            _, seen, seen_pairs = lanes.marginals(score + told, self.change)
+            slope = np.concatenate([x.T @ (seen - p), (seen_pairs - pairs).ravel()]) / lines
             slope -= 1e-4 * np.concatenate([self.weights, self.change.ravel()])
             state[0] = 0.9 * state[0] + 0.1 * slope
             state[1] = 0.99 * state[1] + 0.01 * slope**2
@@ -235,28 +240,32 @@ def fold_of(id_col: str):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality") -> Field | None:
-    """A model of the labels of at most MAX_DOCUMENTS documents outside the held-out fold."""
+    """A model of the labels of at most MAX_DOCUMENTS documents outside the held-out fold, MAX_LINES lines in all."""
     small_batches(docs.sparkSession)
     learnt = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
     learnt = learnt.filter("_id is not null and _y is not null").filter(fold_of("_id") != 0)
     learnt = learnt.groupBy("_id").agg(F.avg("_y").alias("_y"))
-    learnt = learnt.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(MAX_DOCUMENTS)
+    turn = F.md5(F.col("_id").cast("string").cast("binary"))
+    learnt = learnt.orderBy(turn, "_id").limit(MAX_DOCUMENTS)
     rows = docs.select(F.col(id_col).alias("_key"), whole_text(text_col).alias("_text"))
-    found = rows.join(F.broadcast(learnt), F.col("_key") == F.col("_id")).select("_id", "_y", "_text")
+    found = rows.join(F.broadcast(learnt), F.col("_key") == F.col("_id"))
+    found = found.select("_id", "_y", F.xxhash64("_text").alias("_th"), "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, counts = lines_of(batch["_text"].to_pylist(), MAX_LINES)
+            lines, counts = lines_of(batch["_text"].to_pylist())
             own, sizes = shapes(lines)
             ends = np.cumsum(counts).tolist()
             cuts = list(zip([0, *ends], ends, strict=False))
             arrays = [pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (own, sizes)]
-            yield pa.RecordBatch.from_arrays([batch["_id"], batch["_y"], *arrays], ["_id", "_y", "own", "sizes"])
-
-    kind = T.StructType([*found.schema.fields[:2], *T._parse_datatype_string("own binary, sizes binary")])
-    # rows that repeat an id beyond the sample's size are not gathered
-    taken = found.mapInArrow(work, kind).limit(2 * MAX_DOCUMENTS).collect()
-    taken.sort(key=lambda r: (str(r["_id"]), r["sizes"], r["own"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], ["_id", "_y", "_th", "own", "sizes"])
+
+    kind = T.StructType([*found.schema.fields[:3], *T._parse_datatype_string("own binary, sizes binary")])
+    # of rows that repeat an id one is learnt from
+    once = found.mapInArrow(work, kind).groupBy("_id", "_y").agg(F.min(F.struct("_th", "own", "sizes")).alias("one"))
+    once = once.select("_id", "_y", turn.alias("turn"), "one.own", "one.sizes", (F.octet_length("one.sizes") / 8).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("turn", "_id").rowsBetween(Window.unboundedPreceding, 0))  # MAX_DOCUMENTS rows at most
+    taken = once.withColumn("upto", upto).filter(F.col("upto") <= MAX_LINES).orderBy("turn", "_id").collect()
     if not taken:
         return None
     own = np.concatenate([np.frombuffer(r["own"], dtype=np.float32) for r in taken]).reshape(-1, SHAPES)
@@ -273,13 +282,13 @@ def with_score(docs: DataFrame, model: Field | None, text_col: str = "text", nam
     """``docs`` with the column ``name``, the score of each whole text; a column of that name is replaced."""
     small_batches(docs.sparkSession)
     data = pickle.dumps(model)
-    rows = docs.drop(name).withColumn("_scored", whole_text(text_col))
+    rows = docs.withColumn(fresh(docs, "_scored"), whole_text(text_col)).drop(name)
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = pickle.loads(data)
         for batch in batches:
-            texts = batch["_scored"].to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             found = field.score(texts) if field else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], schema.names)
 
@@ -289,4 +298,5 @@ def with_score(docs: DataFrame, model: Field | None, text_col: str = "text", nam
 def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of ``docs`` that score REJECT_BELOW or more, with their columns as they were."""
     model = fit_quality(docs, labels, id_col, text_col)
-    return with_score(docs, model, text_col, "_score").filter(F.col("_score") >= REJECT_BELOW).drop("_score")
+    name = fresh(docs, "_score")
+    return with_score(docs, model, text_col, name).filter(F.col(name) >= REJECT_BELOW).drop(name)
