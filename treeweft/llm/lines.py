@@ -284,11 +284,14 @@ def near_links(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
     return verified(pairs).groupBy("h").agg(F.min("best").alias("near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False
+) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``; on request also n_lines, n_exact and n_near.
 
     A document that loses lines and a null text come out as the text that is left. ``n_near`` counts lines that
-    only a line one edit away took out.
+    only a line one edit away took out. ``drop_emptied`` leaves out documents of which nothing but white space is
+    left. Columns of ``docs`` that are named like the counts give way to these if they are asked for.
     """
     small_batches(docs.sparkSession)
     own = ("n_lines", "n_exact", "n_near")
@@ -308,15 +311,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.groupBy("_gid", "_gth").agg(
         F.collect_list("line").alias("_lines"), F.count_if("exact").alias("_exact"), F.count("*").alias("_all")
     )
-    carried = docs.withColumn("_text", whole_text(text_col)).withColumn("_th", F.xxhash64("_text"))
-    both = carried.join(gone, carried[id_col].eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
-    parts = F.split("_text", "\n")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col])
+    carried = docs.select(row.alias("_row"), docs[id_col].alias("_id"), whole_text(text_col).alias("_text"))
+    carried = carried.withColumn("_th", F.xxhash64("_text"))
+    both = carried.join(gone, carried["_id"].eqNullSafe(gone["_gid"]) & (carried["_th"] == gone["_gth"]), "left")
     left = F.expr("filter(split(_text, '\\n'), (x, i) -> not array_contains(_lines, i))")
-    text = F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
+    both = both.withColumn("_left", F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n")))
+    if drop_emptied:
+        both = both.filter(F.col("_lines").isNull() | F.col("_left").rlike(r"\S"))
     extra = [
-        F.size(parts).cast("long").alias("n_lines"),
+        F.size(F.split("_text", "\n")).cast("long").alias("n_lines"),
         F.coalesce("_exact", F.lit(0)).cast("long").alias("n_exact"),
         (F.coalesce("_all", F.lit(0)) - F.coalesce("_exact", F.lit(0))).cast("long").alias("n_near"),
     ]
-    kept = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if not (counts and c in own)]
+    names = [c for c in docs.columns if not (counts and c in own)]
+    kept = [F.col("_left").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in names]
     return both.select(*kept, *(extra if counts else []))
