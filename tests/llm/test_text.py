@@ -8,10 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from treeweft.llm import hnsw, lines, quality, tiff
+from treeweft.llm import components as module
+from treeweft.llm import hnsw, lines, mixing, quality, tiff
 from treeweft.llm.components import components
 from treeweft.llm.fingerprint import simhash
-from treeweft.llm.mixing import mix
+from treeweft.llm.mixing import mix, mixed
 from treeweft.llm.simhash import close_pairs, keep_first, near_duplicates
 from treeweft.llm.substrings import dedup_substrings, digest
 from treeweft.llm.suffixes import sort_lanes, sort_one
@@ -72,6 +73,17 @@ def test_long_chain(spark):
     assert components(edges.filter("a < 0")).count() == 0
 
 
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    """An ascending path, a star whose centre is its largest node, and a descending path beside them."""
+    edges = [(k, k + 1) for k in range(300)] + [(9000, 1000 + k) for k in range(50)] + [(8000 - k, 7999 - k) for k in range(60)]
+    tables = []
+    kept = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name, **more: (tables.append(name), kept(df, name, **more))[1])
+    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(301), 0), **dict.fromkeys([*range(1000, 1050), 9000], 1000), **dict.fromkeys(range(7940, 8001), 7940)}
+    assert 2 <= tables.count("edges") - 1 <= 9
+
+
 def test_near_duplicates(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(4, text, 1), (2, text.upper(), 2), (9, "quite another text with nothing shared", 3), (7, None, 4), (8, "  ", 5), (None, "x y", 6), (2, text, 7)]
@@ -315,6 +327,41 @@ def test_nearest(spark):
     assert hnsw.search_index(hnsw.build_index(none), none).count() == 0
 
 
+def test_shards_are_merged(spark, monkeypatch):
+    """Several shards and blocks of queries against brute force: 120 multiples of one vector, copies, one id twice."""
+    monkeypatch.setattr(hnsw, "QUERY_BYTES", 2000)
+    g = np.random.default_rng(2)
+    base = g.standard_normal((40, 12))
+    v = (base[g.integers(0, 40, 3000)] + 0.5 * g.standard_normal((3000, 12))).astype(np.float32).astype(np.float64)
+    one = v[0].astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(5000 + i, (one * np.float32(i + 1)).astype(np.float64).tolist()) for i in range(120)]
+    rows += [(6000 + i, v[100].tolist()) for i in range(30)] + [(150, v[7].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    index = hnsw.build_index(frame, shard_size=700)
+    assert index.select("shard").distinct().count() >= 4
+    found = {}
+    for r in hnsw.search_index(index, frame.filter("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    ids, units = np.array([i for i, _ in rows]), hnsw.unit(np.array([x for _, x in rows]))
+    hits = total = 0
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        own = min((x for i, x in rows if i == q))
+        scores = np.einsum("nd,nkd->nk", hnsw.unit(np.array([own])), units[None])[0]
+        best = {}
+        for i, c in zip(ids.tolist(), scores.tolist(), strict=True):
+            if i != q:
+                best[i] = max(c, best.get(i, -2))
+        want = sorted((-c, i) for i, c in best.items())[:5]
+        got = [i for i, _ in found[q]]
+        hits, total = hits + len({i for _, i in want} & set(got)), total + 5
+        if q in (0, 100, 5000, 5050, 6000):  # ties by the smaller id
+            assert [(-c, i) for i, c in found[q]] == want, q
+    assert hits / total >= 0.9 and len(found) == len({i for i, _ in rows if i % 50 == 0})
+    with pytest.raises(ValueError):
+        hnsw.search_index(index, frame, k=6)
+
+
 # ---- mixing
 
 
@@ -323,13 +370,13 @@ def test_mix(spark):
     rows = [(i, " ".join("w" * int(g.integers(0, 30))), ["a", "b", "c", None][int(g.choice(4, p=[0.6, 0.2, 0.1, 0.1]))], 1) for i in range(400)]
     rows += [(500, None, "a", 2), (None, "x y", "b", 3), (3, "again", "b", 4), (600, "", "empty", 5)]
     frame = docs(spark, rows, ", source string, target int")
-    found = mix(frame, keep=["source", "target"]).collect()
-    again = mix(frame.repartition(7), keep=["source", "target"]).collect()
+    found = mix(frame).collect()
+    again = mix(frame.repartition(7)).collect()
     assert sorted(map(repr, found)) == sorted(map(repr, again)) and len(found) == len(rows)
-    by = {}
+    by, source = {}, {(i, len((t or "").split())): s for i, t, s, _ in rows}
     for r in found:
         assert 0 <= r["taken"] <= 2 * r["size"]
-        by.setdefault(r["source"], []).append(r)
+        by.setdefault(source[r["doc_id"], r["size"]], []).append(r)
     total = sum(r["size"] for r in found)
     assert abs(sum(v[0]["target"] for v in by.values()) - 1.5 * total) < 1e-6
     for v in by.values():
@@ -337,3 +384,45 @@ def test_mix(spark):
         assert v[0]["target"] <= 2 * v[0]["source_size"] + 1e-9
     assert mix(frame.limit(0)).count() == 0
     assert {r["taken"] for r in mix(frame.filter("doc_id = 600")).collect()} == {0}
+    copies = {(r["doc_id"], r["size"]): r["copies"] for r in found}
+    want = sorted(repr(r) for r in rows for _ in range(copies[r[0], len((r[1] or "").split())]))
+    assert sorted(repr(tuple(r)) for r in mixed(frame).collect()) == want
+    few = mixing.BROADCAST_BYTES
+    try:  # more sources than are broadcast
+        mixing.BROADCAST_BYTES = 0
+        assert sorted(map(repr, mix(frame).collect())) == sorted(map(repr, found))
+    finally:
+        mixing.BROADCAST_BYTES = few
+
+
+def test_mixed_keeps_columns_that_clash(spark):
+    rows = [(i, "a b c", "s", i, -1, "t", [1], 0.5, 7) for i in range(9)]
+    kind = "doc_id long, text string, source string, size long, copies int, target string, _copy array<int>, upto double, _h long"
+    frame = spark.createDataFrame(rows, kind)
+    found = mixed(frame, weights=(1,), share=1.0)
+    assert found.columns == frame.columns and sorted(tuple(r) for r in found.collect()) == rows
+
+
+# ---- columns
+
+
+def test_scores_beside_columns_that_clash(spark):
+    frame = docs(spark, [(1, "some text", 7, 8, None), (2, None, 9, 1, "x")], ", _scored int, _score int, _text string")
+    found = quality.with_score(frame, None)
+    assert found.columns == [*frame.columns, "score"] and sorted(r[:5] for r in found.collect()) == sorted(frame.collect())
+    labels = spark.createDataFrame([(9, 1)], "doc_id long, quality int")
+    kept = quality.keep_good(frame, labels)
+    assert kept.columns == frame.columns and sorted(kept.collect()) == sorted(frame.collect())
+
+
+def test_lines_beside_columns_that_clash(spark):
+    names = ("_text", "_th", "_lines", "_gid", "_gth", "_left", "_row", "_id", "h", "n_lines")
+    rows = [(1, "a line that is here\nthe second one", *range(10)), (2, "a line that is here\n\nthird", *range(10, 20)), (3, " a line that is here \n", *range(10))]
+    frame = docs(spark, rows, "".join(f", {c} int" for c in names))
+    found = lines.dedup_lines(frame)
+    want = [rows[0], (2, "\nthird", *range(10, 20)), (3, "", *range(10))]
+    assert found.columns == frame.columns and sorted(tuple(r) for r in found.collect()) == want
+    assert sorted(tuple(r) for r in lines.dedup_lines(frame, drop_emptied=True).collect()) == want[:2]
+    counted = lines.dedup_lines(frame, counts=True)
+    assert counted.columns == [*frame.columns[:-1], "n_lines", "n_exact", "n_near"]
+    assert sorted((r["doc_id"], r["n_lines"], r["n_exact"]) for r in counted.collect()) == [(1, 2, 0), (2, 3, 1), (3, 2, 1)]

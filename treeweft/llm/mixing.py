@@ -8,6 +8,7 @@ budget runs out, and only that bucket is split further, 12 bits a level, until o
 * Rows with the same id have the same hash and are taken or left together.
 * A source of size 0 has target 0 and takes no words. An empty table gives an empty result.
 * Only the named columns are read, so other columns, whatever their names, do not matter.
+* The targets come from running sums over the sources in one task: a row of a few bytes for each source.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 12
 LEVELS = 5
 SALTS = 64
+#: Bytes of the table of sources' limits up to which every task gets it.
+BROADCAST_BYTES = 8 << 20
 
 
 def hash60(col) -> F.Column:
@@ -62,51 +65,83 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row a source: how often all its rows are taken (``base``), and the hash up to which one more time."""
+    """One row a source: how often all its rows are taken (``base``), and the hash up to which one more time.
+
+    The first level sums all rows by (source, bucket). The rows in the buckets where budgets run out are then set
+    apart, and each further level sums what the level above has left of them.
+    """
     full = F.col("target") >= F.col("source_size")
-    goal = targets.select(
+    state = targets.select(
         F.col("source").alias("_s"),
         F.col("source_size"),
         F.col("target"),
         full.cast("long").alias("base"),
         F.when(full, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("left"),
+        F.lit(0).cast("long").alias("prefix"),
     )
-    state = goal.withColumn("prefix", F.lit(0).cast("long"))
     kept = ["source_size", "target", "base"]
+    rows = sized.select("source", "size", "h")
     for level in range(LEVELS):
         down = LEVEL_BITS * (LEVELS - 1 - level)
-        # each level looks only at the rows below the prefix that the level above settled
-        rows = sized.select(
-            F.col("source"),
-            F.col("size"),
-            F.shiftright("h", down + LEVEL_BITS).alias("_prefix"),
-            F.shiftright("h", down).alias("_bucket"),
-        )
-        sums = rows.groupBy("source", "_prefix", "_bucket").agg(F.sum("size").alias("bucket_size"))
-        sums = sums.join(
-            state, sums["source"].eqNullSafe(state["_s"]) & (sums["_prefix"] == state["prefix"]), "inner"
-        )
+        if level:
+            here = state.select(F.col("_s").alias("_in"), F.col("prefix").alias("_at"))
+            inside = rows["source"].eqNullSafe(here["_in"]) & (F.shiftright(rows["h"], down + LEVEL_BITS) == here["_at"])
+            rows = rows.join(here, inside, "left_semi")
+            if level == 1:
+                rows = stored(rows, "mix-boundary")
+        sums = rows.groupBy("source", F.shiftright("h", down).alias("_bucket")).agg(F.sum("size").alias("bucket_size"))
+        sums = sums.join(state, sums["source"].eqNullSafe(state["_s"]))
         upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("_sum", F.sum("bucket_size").over(upto)).filter(F.col("_sum") >= F.col("left"))
         first = Window.partitionBy("source").orderBy("_bucket")
-        state = (
-            sums.withColumn("_n", F.row_number().over(first))
-            .filter("_n = 1")
-            .select(
-                F.col("source").alias("_s"),
-                *kept,
-                (F.col("left") - (F.col("_sum") - F.col("bucket_size"))).alias("left"),
-                F.col("_bucket").alias("prefix"),
-                F.col("bucket_size"),
-            )
+        state = sums.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+        state = state.select(
+            F.col("source").alias("_s"),
+            *kept,
+            (F.col("left") - (F.col("_sum") - F.col("bucket_size"))).alias("left"),
+            F.col("_bucket").alias("prefix"),
+            F.col("bucket_size"),
         )
         if level < LEVELS - 1:
             state = state.drop("bucket_size")
+        if level == 0:
+            state = stored(state, "mix-state")
     # the last hash is taken if that comes nearer to the budget than leaving it
     nearer = F.col("left") * 2 >= F.col("bucket_size")
     return state.select("_s", *kept, F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("upto"))
 
 
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(_id, source, size, h) of every row, written once."""
+    sized = docs.select(
+        F.col(id_col).alias("_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size"),
+        hash60(F.col(id_col)).alias("h"),
+    )
+    return stored(sized, "mix-sizes")
+
+
+def limits_of(sized: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """(_s, source_size, target, base, upto) of every source, written once."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return stored(thresholds(sized, source_targets(sums, weights, share, cap)), "mix-limits")
+
+
+def with_limits(rows: DataFrame, limits: DataFrame, source: F.Column, h: F.Column) -> DataFrame:
+    """``rows`` beside the limits of their source. Few sources go to all tasks, so that no row moves; with more, as a
+    source may hold most rows, each row meets one of SALTS copies of its source's limits."""
+    size = limits.agg(F.count("*").alias("n"), F.sum(F.octet_length("_s")).alias("b")).head()
+    if 64 * size["n"] + (size["b"] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(limits), source.eqNullSafe(limits["_s"]))
+    limits = limits.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return rows.join(limits, (F.pmod(h, F.lit(SALTS)) == limits["_salt"]) & source.eqNullSafe(limits["_s"]))
+
+
+def copies_by(h: F.Column) -> F.Column:
+    return F.col("base") + F.when(h <= F.col("upto"), 1).otherwise(0)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -115,39 +150,37 @@ def mix(
     weights=(5, 2, 1),
     share: float = 1.5,
     cap: float = 2.0,
-    keep=(),
 ) -> DataFrame:
-    """(id, *keep, size, source_size, target, copies, taken) for every row of ``docs``.
+    """(id, size, source_size, target, copies, taken) for every row of ``docs``.
 
-    ``copies`` is how many times the mix holds the row: 0, 1 or 2. ``keep`` names columns to carry along; those
-    named like a column of the result are carried as ``in_<name>``.
+    ``copies`` is how many times the mix holds the row: 0, 1 or 2.
     """
-    sized = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.size(F.regexp_extract_all(whole_text(text_col), F.lit(WORD), F.lit(0))).cast("long").alias("size"),
-        hash60(F.col(id_col)).alias("h"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep],
-    )
-    sized = stored(sized, "mix-sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(sized, source_targets(sums, weights, share, cap))
-    # a source may hold most rows: each of its rows meets one of SALTS copies of the source's threshold
-    salts = F.expr(f"sequence(0L, {SALTS - 1}L)")
-    limits = limits.withColumn("_salt", F.explode(salts))
-    rows = sized.withColumn("_salt", F.col("h") % SALTS)
-    both = rows.join(limits, (rows["_salt"] == limits["_salt"]) & rows["source"].eqNullSafe(limits["_s"]), "inner")
-    copies = F.col("base") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0)
-    out = {"size", "source_size", "target", "copies", "taken", id_col}
-    return both.select(
-        F.col("_id").alias(id_col),
-        *[F.col(f"_keep_{c}").alias(f"in_{c}" if c in out else c) for c in keep],
-        "size",
-        "source_size",
-        "target",
-        copies.alias("copies"),
-        (F.col("size") * copies).alias("taken"),
+    sized = sizes_of(docs, id_col, text_col, source_col)
+    both = with_limits(sized, limits_of(sized, weights, share, cap), sized["source"], sized["h"])
+    found = both.withColumn("copies", copies_by(F.col("h")))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return found.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", taken)
+
+
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=(5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+) -> DataFrame:
+    """The rows of ``docs``, all their columns as they were, each as often as the mix holds it."""
+    limits = limits_of(sizes_of(docs, id_col, text_col, source_col), weights, share, cap)
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
+        docs[source_col].cast("string").alias("_source"),
+        hash60(docs[id_col]).alias("_h"),
     )
+    both = with_limits(rows, limits, rows["_source"], rows["_h"])
+    again = F.explode(F.expr("sequence(1L, copies)"))
+    return both.withColumn("copies", copies_by(F.col("_h"))).filter("copies > 0").withColumn("_copy", again).select("_row.*")
 
 
 MIX_SQL = r"""
