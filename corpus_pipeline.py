@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from treeweft.llm.common import shared_path
 from treeweft.llm.lines import dedup_lines
-from treeweft.llm.mixing import mix
+from treeweft.llm.mixing import mixed
 from treeweft.llm.near import keep_first_near
 from treeweft.llm.packing import pack
 from treeweft.llm.quality import keep_good
@@ -21,10 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier document has; n_chars follows the text, and documents left without any go."""
-    left = dedup_lines(docs)
-    # what was empty before was no line's loss and stays
-    left = left.filter((F.col("text") != "") | (F.coalesce(F.col("n_chars"), F.lit(0)) == 0))
-    return left.withColumn("n_chars", F.char_length("text").cast("long"))
+    left = dedup_lines(docs, drop_emptied=True)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: not at all, once or twice."""
-    mixed = mix(docs, keep=[c for c in docs.columns if c != "doc_id"])
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
