@@ -236,3 +236,68 @@ def test_stream(spark, tmp_path):
     q.stop()
     r = spark.sql("select * from moments").head()
     assert (r["n"], r["mean"]) == (4, 1.5)
+
+
+def test_sticks_are_broken_until_they_cover_a_draw(spark):
+    """Draws far out in the stick, beyond any number of pieces that is fixed beforehand."""
+    tops = [0.0, 0.5, 1 - 1e-6, 1 - 1e-12, 1 - 2**-53]
+    draws = spark.createDataFrame([(f"n{i}", j, u) for i in range(4) for j, u in enumerate(tops)], "node string, draw int, u double")
+    found = sticks.pick(draws, 3.0)
+    rows = {(r["node"], r["draw"]): r["k"] for r in found.collect()}
+    assert len(rows) == 20 and max(rows.values()) > 60
+    for i in range(4):
+        ks = [rows[f"n{i}", j] for j in range(len(tops))]
+        assert ks == sorted(ks) and ks[0] == 0
+    held = {(r["node"], r["k"]): r for r in sticks.sticks(draws.select("node").distinct(), 40, 3.0).collect()}
+    for (node, draw), k in rows.items():
+        if draw < 2:
+            assert held[node, k]["cum_lo"] - 1e-9 <= tops[draw] < held[node, k]["cum_hi"] + 1e-9
+    assert sticks.pick(draws.limit(0), 3.0).count() == 0
+
+
+def test_atoms_of_any_half(spark):
+    ks = spark.range(40).select(F.col("id").cast("int").alias("k"))
+    spread = {}
+    for c in (0.5, 1.0, 2.5):
+        rows = sticks.atoms(ks, 50, "t", c).groupBy("k").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")).collect()
+        assert all(abs(r["s"] - 1) < 1e-9 for r in rows)
+        spread[c] = np.mean([r["q"] for r in rows])
+    for c, q in spread.items():  # the mean of the sum of squares is (c + 1) / (50 c + 1)
+        assert abs(q / ((c + 1) / (50 * c + 1)) - 1) < 0.1
+    with pytest.raises(ValueError):
+        sticks.atoms(ks, 50, "t", 0.3)
+
+
+def test_fixed_prior_and_the_default_scale():
+    from treeweft.operators import infer
+
+    g = np.random.default_rng(0)
+    model = infer.TreeModel("abc", [-1, 0, 0], g.integers(0, 9, (3, 4)), g.dirichlet(np.ones(4), 3), ("Fixed", 0.7))
+    assert model.sigma_0 == 1.0
+    theta = g.standard_normal(model.size)
+    assert model.walk(theta)[0] == 0.7
+    value, slope = model.logp_grad(theta)
+    for i in range(model.size):
+        step = np.zeros(model.size)
+        step[i] = 1e-6
+        assert abs((model.logp_grad(theta + step)[0] - value) / 1e-6 - slope[i]) < 1e-3
+    for name in ("Dir", "Cauchy"):
+        with pytest.raises(KeyError):
+            infer.prior(name)
+
+
+def test_activity_and_signature_files(spark, tmp_path):
+    wide = spark.createDataFrame([("a", 0.25, 0.75), ("b", 1.0, 0.0)], "node string, Signature_0 double, Signature_1 double")
+    files.write_matrix(wide, f"file://{tmp_path}/true.csv")
+    found = {(r["node"], r["k"]): r["true_e"] for r in files.read_activities(spark, f"file://{tmp_path}/true.csv").collect()}
+    assert found == {("a", 0): 0.25, ("a", 1): 0.75, ("b", 0): 1.0, ("b", 1): 0.0}
+    rows = spark.createDataFrame([(k, c, 1 / 96) for k in (0, 1) for c in range(96)], "k int, channel int, p double")
+    files.write_inferred_signatures(rows, f"file://{tmp_path}/inferred.csv")
+    again = files.read_signatures(spark, f"file://{tmp_path}/inferred.csv").collect()
+    assert sorted(r["name"] for r in again) == ["Signature_0", "Signature_1"] and again[0]["Channel_95"] == pytest.approx(1 / 96)
+
+
+def test_a_tree_a_row(spark):
+    rows = spark.createDataFrame([(7, "(a:1,b:2)c;"), (3, "(x,(y)z)w;"), (5, " ")], "t int, tree string")
+    found = {tuple(r)[:3] for r in newick.parse(rows, "tree", "t").collect()}
+    assert found == {(7, "c", "a"), (7, "c", "b"), (3, "w", "x"), (3, "w", "z"), (3, "z", "y")}

@@ -1,4 +1,4 @@
-"""Queries that take whole tables where the SQL of their namesakes takes a part."""
+"""Queries over whole tables against brute force."""
 
 from collections import defaultdict
 from statistics import NormalDist
@@ -41,9 +41,9 @@ def sides(spark):
 
 def test_alignment_of_all_labels(spark, sides):
     inferred, true, cosine, picks = sides
-    found = {r["true_k"]: (r["matched"], r["cosine"]) for r in QUERIES["align_all_signatures"](spark, TABLES).collect()}
+    found = {r["true_k"]: (r["matched"], r["cosine"]) for r in QUERIES["align_signatures"](spark, TABLES).collect()}
     assert found == {k: (a, pytest.approx(cosine[k, a], abs=2e-6)) for k, a in enumerate(picks)}
-    rows = {r["true_signature"]: r for r in QUERIES["compare_all_signatures"](spark, TABLES).collect()}
+    rows = {r["true_signature"]: r for r in QUERIES["compare_signatures"](spark, TABLES).collect()}
     assert len(rows) == 10
     for k, a in enumerate(picks):
         row = rows[f"True_Sig_{k}"]
@@ -52,9 +52,9 @@ def test_alignment_of_all_labels(spark, sides):
 
 def test_figures_of_all_labels(spark, sides):
     inferred, true, cosine, picks = sides
-    heat = {(r["a"], r["b"]): (r["cosine"], r["is_match"]) for r in QUERIES["cosine_heatmap_all"](spark, TABLES).collect()}
+    heat = {(r["a"], r["b"]): (r["cosine"], r["is_match"]) for r in QUERIES["cosine_heatmap"](spark, TABLES).collect()}
     assert heat == {(a, b): (pytest.approx(cosine[b, a], abs=2e-6), picks[b] == a) for a in range(10) for b in range(10)}
-    grid = QUERIES["comparison_grid_all"](spark, TABLES).collect()
+    grid = QUERIES["comparison_grid"](spark, TABLES).collect()
     assert {(r["true_k"], r["matched"]) for r in grid} == set(enumerate(picks)) and len(grid) == true.size
     assert all(r["true_p"] == pytest.approx(true[r["true_k"], r["channel"]], abs=2e-6) for r in grid)
 
@@ -65,14 +65,14 @@ def test_activities_of_all_labels(spark, sides):
     for r in D.activities(spark, TABLES).collect():
         true[r["node"]][r["k"]], inferred[r["node"]][r["k"]] = r["true_e"], r["inferred_e"]
     want = {n: np.mean([abs(true[n].get(k, 0) - inferred[n].get(a, 0)) for k, a in enumerate(picks)]) for n in true}
-    found = {r["node"]: r["mae"] for r in QUERIES["compare_all_activities_unknown"](spark, TABLES).collect()}
+    found = {r["node"]: r["mae"] for r in QUERIES["compare_activities_unknown"](spark, TABLES).collect()}
     assert found == {n: pytest.approx(x, abs=2e-6) for n, x in want.items()}
 
 
-def test_half_even_and_fractions_of_every_part(spark):
-    parts = {r["p_partkey"]: r["p_size"] for r in D.table(spark, TABLES, "part").collect()}
-    found = {r["p_partkey"]: (r["quarter"], r["share"]) for r in QUERIES["half_even_and_fractions_all"](spark, TABLES).collect()}
-    assert found == {k: (round(n / 4), n / 96) for k, n in parts.items()}
+def test_half_even_and_fractions_of_every_line(spark):
+    want = sorted((r["l_partkey"], round(r["l_quantity"] / 4), r["l_quantity"] / 96) for r in D.table(spark, TABLES, "lineitem").collect())
+    found = QUERIES["half_even_and_fractions"](spark, TABLES).collect()
+    assert sorted((r["l_partkey"], r["quarter"], r["share"]) for r in found) == want
 
 
 def plain_ess(x):
@@ -109,14 +109,14 @@ def test_effective_sizes_reach_the_gates(spark, monkeypatch):
     want = {}
     for key, part in made.groupby(["node", "k"]):
         want[key] = plain_sizes(part.pivot(index="chain", columns="draw", values="value").to_numpy())
-    stats = {(r["node"], r["signature"]): r for r in QUERIES["depth_stats_ess"](spark, TABLES).collect()}
+    stats = {(r["node"], r["signature"]): r for r in QUERIES["depth_stats"](spark, TABLES).collect()}
     assert {k: (r["ess_bulk"], r["ess_tail"]) for k, r in stats.items()} == {k: pytest.approx(x, abs=1e-4) for k, x in want.items()}
     low = sum(bulk < 100 for bulk, _ in want.values())
     bad = sum(r["r_hat"] > 1.01 for r in stats.values())
-    gates = QUERIES["convergence_gates_ess"](spark, TABLES).first()
+    gates = QUERIES["convergence_gates"](spark, TABLES).first()
     assert 0 < low < len(want) and (gates["n"], gates["n_bad_r_hat"], gates["n_low_ess"]) == (len(want), bad, low)
     assert gates["pct_low_ess"] == pytest.approx(100 * low / len(want), abs=1e-6)
-    for r in QUERIES["depth_medians_ess"](spark, TABLES).collect():
+    for r in QUERIES["depth_medians"](spark, TABLES).collect():
         here = [k for k, s in stats.items() if s["depth"] == r["depth"]]
         assert r["median_ess_bulk"] == pytest.approx(np.median([want[k][0] for k in here]), abs=1e-4)
         assert r["median_ess_tail"] == pytest.approx(np.median([want[k][1] for k in here]), abs=1e-4)

@@ -10,31 +10,46 @@ from treeweft.functions.vectors import cosine, mean_abs_error, pearson
 GATE_R_HAT, GATE_ESS, STRONG, NEAR_ZERO = 1.01, 100, 0.3, 0.01
 
 
-def recovery(pairs: DataFrame, size: int, by=("node",)) -> DataFrame:
-    """(*by, mae, cosine_similarity) of (node, k, true_e, inferred_e); absent components count as zeros."""
-    return pairs.groupBy(*by).agg(
-        mean_abs_error("true_e", "inferred_e", size).alias("mae"), cosine("true_e", "inferred_e").alias("cosine_similarity")
-    )
+def recovered(size: int) -> list[Column]:
+    return [mean_abs_error("true_e", "inferred_e", size).alias("mae"), cosine("true_e", "inferred_e").alias("cosine_similarity")]
 
 
-def wide(pairs: DataFrame, size: int) -> DataFrame:
-    """(node, true_k0.., inferred_k0..)"""
-    sums = [
+def spread(size: int) -> list[Column]:
+    """true_k0.., inferred_k0..: a sum for each component and side."""
+    return [
         F.coalesce(F.sum(F.when(F.col("k") == k, F.col(f"{side}_e"))), F.lit(0.0)).alias(f"{side}_k{k}")
         for side in ("true", "inferred")
         for k in range(size)
     ]
-    return pairs.groupBy("node").agg(*sums)
 
 
-def compare_activities(pairs: DataFrame, found_depths: DataFrame, size: int) -> DataFrame:
-    """recovery and wide activities with each node's depth, null where it has none."""
-    return recovery(pairs, size).join(wide(pairs, size), "node").join(found_depths.select("node", "depth"), "node", "left")
+def recovery(pairs: DataFrame, size: int, by=("node",)) -> DataFrame:
+    """(*by, mae, cosine_similarity) of (node, k, true_e, inferred_e); absent components count as zeros."""
+    return pairs.groupBy(*by).agg(*recovered(size))
+
+
+def wide(pairs: DataFrame, size: int) -> DataFrame:
+    """(node, true_k0.., inferred_k0..)"""
+    return pairs.groupBy("node").agg(*spread(size))
 
 
-def realigned(inferred: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(node, k, e) in the true components' numbers; inferred components without a partner are left out."""
-    return inferred.join(assignment, F.col("k") == F.col("matched")).select("node", F.col("true_k").alias("k"), "e")
+def compare_activities(pairs: DataFrame, found_depths: DataFrame, size: int) -> DataFrame:
+    """recovery and wide activities, in one aggregate, with each node's depth, null where it has none."""
+    both = pairs.groupBy("node").agg(*recovered(size), *spread(size))
+    return both.join(found_depths.select("node", "depth"), "node", "left")
+
+
+def realigned(pairs: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(node, k, true_e, inferred_e) with inferred components in the true ones' numbers; those without a partner go.
+
+    The assignment has a row for each signature, some tens.
+    """
+    partner = F.broadcast(assignment.select("true_k", "matched"))
+    rows = pairs.join(partner, F.col("k") == F.col("matched"), "left")
+    own = F.struct(F.col("k"), F.col("true_e"), F.lit(0.0).alias("inferred_e"))
+    other = F.struct(F.col("true_k").alias("k"), F.lit(0.0).alias("true_e"), F.col("inferred_e"))
+    both = rows.select("node", F.inline(F.array(own, other))).filter("k is not null")
+    return both.groupBy("node", "k").agg(F.sum("true_e").alias("true_e"), F.sum("inferred_e").alias("inferred_e"))
 
 
 def node_posterior(draws: DataFrame, node: str) -> DataFrame:

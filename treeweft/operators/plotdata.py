@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def box(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, q1, median, q3, whisker_lo, whisker_hi, n_outliers): whiskers end at the last value within 1.5 IQR."""
-    rows = rows.filter(F.col(by).isNotNull() & ~F.isnan(value))
+def box(rows: DataFrame, by, value: str) -> DataFrame:
+    """(*by, q1, median, q3, whisker_lo, whisker_hi, n_outliers): whiskers end at the last value within 1.5 IQR."""
+    by = [by] if isinstance(by, str) else list(by)
+    for c in by:
+        rows = rows.filter(F.col(c).isNotNull())
+    rows = rows.filter(~F.isnan(value))
     quarters = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    cuts = rows.groupBy(by).agg(quarters).select(F.col(by).alias("_by"), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    cuts = rows.groupBy(*by).agg(quarters).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    both = rows.join(cuts, rows[by] == cuts["_by"])
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return both.groupBy(by, "q1", "median", "q3").agg(
+    return rows.join(cuts, by).groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_lo"), F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"),
     )

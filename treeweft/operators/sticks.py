@@ -2,46 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeweft.functions.rng import beta_one, exponential, uniform
+from treeweft.plans.lineage import settled
 
 
 def sticks(ids: DataFrame, pieces: int, alpha: float, stream: str = "stick") -> DataFrame:
     """(node, k, weight, cum_lo, cum_hi): the first ``pieces`` pieces of each node's stick."""
-    rows = ids.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    rows = rows.withColumn("v", beta_one(alpha, stream, F.col("node"), F.col("k")))
     order = Window.partitionBy("node").orderBy("k")
-    before = F.coalesce(F.sum(F.ln(1 - F.col("v"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = rows.withColumn("weight", F.col("v") * F.exp(before))
+    rows = broken(ids, F.lit(pieces), alpha, stream)
     high = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("node", "k", "weight", (high - F.col("weight")).alias("cum_lo"), high.alias("cum_hi"))
 
 
-def pick(draws: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(node, draw, k): the piece in which each (node, draw, u) falls, cum_lo <= u < cum_hi.
+def broken(ids: DataFrame, pieces: Column, alpha: float, stream: str) -> DataFrame:
+    """(node, k, weight, rest, rest_after): each piece and how much of the stick is left before and after it."""
+    rows = ids.withColumn("k", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    rows = rows.withColumn("v", beta_one(alpha, stream, F.col("node"), F.col("k")))
+    before = Window.partitionBy("node").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("rest", F.exp(F.coalesce(F.sum(F.ln(1 - F.col("v"))).over(before), F.lit(0.0))))
+    return rows.select("node", "k", (F.col("v") * F.col("rest")).alias("weight"), "rest", (F.col("rest") * (1 - F.col("v"))).alias("rest_after"))
+
 
-    A u beyond the pieces held takes none: break more of them first.
+def pick(draws: DataFrame, alpha: float, stream: str = "stick") -> DataFrame:
+    """(node, draw, k): the piece in which each (node, draw, u) falls; u lies in [0, 1).
+
+    Sticks are broken until what is left of them is less than what lies above their node's largest u: pieces are
+    doubled for the nodes that need more, and what is left falls geometrically. Draws meet pieces by what is left of
+    the stick, which stays exact where sums of weights come close to 1.
     """
-    inside = (draws["u"] >= pieces["cum_lo"]) & (draws["u"] < pieces["cum_hi"])
-    both = draws.join(pieces, (draws["node"] == pieces["node"]) & inside)
+    need = settled(draws.groupBy("node").agg(F.min(1 - F.col("u")).alias("above")))
+    pieces, found = 16, None
+    while not need.isEmpty():
+        rows = broken(need.select("node"), F.lit(pieces), alpha, stream)
+        enough = rows.groupBy("node").agg(F.min("rest_after").alias("left"))
+        enough = settled(need.join(enough, "node"))
+        done = rows.join(enough.filter("left < above").select("node"), "node", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        need = enough.filter("left >= above").select("node", "above")
+        pieces *= 2
+    if found is None:
+        return draws.select("node", "draw", F.lit(0).alias("k")).limit(0)
+    above = 1 - draws["u"]
+    both = draws.join(found, (draws["node"] == found["node"]) & (above <= found["rest"]) & (above > found["rest_after"]))
     return both.select(draws["node"], "draw", "k")
 
 
-def atoms(size: int, channels: int, spark, stream: str = "atom") -> DataFrame:
-    """(k, channel, p): ``size`` draws of a flat Dirichlet."""
-    rows = spark.range(size * channels).select(
-        F.floor(F.col("id") / channels).cast("int").alias("k"), (F.col("id") % channels).cast("int").alias("channel")
-    )
-    rows = rows.withColumn("g", exponential(stream, F.col("k"), F.col("channel")))
+def atoms(ks: DataFrame, channels: int, stream: str = "atom", concentration: float = 1.0) -> DataFrame:
+    """(k, channel, p): for each row (k) a draw of a symmetric Dirichlet, whose concentration is a multiple of a half.
+
+    A gamma variate of shape 1 is exponential; one of shape 1/2 is half the square of a normal variate.
+    """
+    halves = round(2 * concentration)
+    if halves < 1 or halves != 2 * concentration:
+        raise ValueError("concentrations are positive multiples of 0.5")
+    rows = ks.select("k", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("channel"))
+    key = (stream, F.col("k"), F.col("channel"))
+    whole = [exponential(*key, *([i] if i else [])) for i in range(halves // 2)]
+    turn = F.cos(2 * math.pi * uniform(*key, "turn"))
+    half = [exponential(*key, "size") * turn * turn] if halves % 2 else []
+    rows = rows.withColumn("g", sum(half, sum(whole[1:], whole[0])) if whole else half[0])
     return rows.withColumn("p", F.col("g") / F.sum("g").over(Window.partitionBy("k"))).drop("g")
 
 
-def sample(ids: DataFrame, draws: int, pieces: int, alpha: float) -> DataFrame:
+def sample(ids: DataFrame, draws: int, alpha: float) -> DataFrame:
     """(node, draw, k): ``draws`` draws from each node's process."""
     rows = ids.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return pick(rows.withColumn("u", uniform("pick", F.col("node"), F.col("draw"))), sticks(ids, pieces, alpha))
+    return pick(rows.withColumn("u", uniform("pick", F.col("node"), F.col("draw"))), alpha)
 
 
 def sample_channel(signatures: DataFrame, draws: DataFrame, stream: str = "channel") -> DataFrame:
@@ -58,8 +89,9 @@ def synthesise(spark, size: int, correlation: float, channels: int = 96) -> Data
     """(k, channel, p): a shared and an own flat Dirichlet row, mixed by ``correlation``, to the power 1.5."""
     if not 0 <= correlation <= 1:
         raise ValueError("the correlation lies between 0 and 1")
-    base = atoms(1, channels, spark, "base").select("channel", F.col("p").alias("b"))
-    rows = atoms(size, channels, spark, "own").join(F.broadcast(base), "channel")
+    ks = spark.range(size).select(F.col("id").cast("int").alias("k"))
+    base = atoms(ks.filter("k = 0"), channels, "base").select("channel", F.col("p").alias("b"))
+    rows = atoms(ks, channels, "own").join(F.broadcast(base), "channel")
     rows = rows.withColumn("m", F.pow(correlation * F.col("b") + (1 - correlation) * F.col("p"), 1.5))
     return rows.select("k", "channel", (F.col("m") / F.sum("m").over(Window.partitionBy("k"))).alias("p"))
 

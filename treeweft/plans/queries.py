@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeweft.functions import arrays, rng, vectors
 from treeweft.operators import assign, diagnostics, evaluate, plotdata, sticks, tree
 from treeweft.plans import domain as D
+from treeweft.plans import mcmc_sql
 from treeweft.sources import newick
 
 K, CHANNELS = D.K, D.CHANNELS
@@ -78,9 +79,8 @@ def in_degree(spark, d):
 
 @query("SELECT tumour, parent, child, round(length, 6) AS length FROM edges")
 def newick_round_trip(spark, d):
-    text = newick.serialise(D.edges(spark, d)).orderBy("tumour")
-    both = newick.parse(text.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tumour", "newick"))), lambda s: s["newick"]), "").alias("value")))
-    return both.select("tumour", "parent", "child", r6("length"))
+    text = newick.serialise(D.edges(spark, d))
+    return newick.parse(text, "newick", "tumour").select("tumour", "parent", "child", r6("length"))
 
 
 @query("""SELECT child, any_value(parent) AS parent FROM (SELECT * FROM edges WHERE tumour <= 2 UNION ALL SELECT * FROM edges WHERE tumour >= 2) GROUP BY child""")
@@ -148,7 +148,7 @@ def wide_activities(spark, d):
 def count_matrix(spark, d):
     from treeweft.sources.files import to_matrix
 
-    return to_matrix(D.counts(spark, d), "node", "channel", "n", [(c, f"Channel_{c}") for c in range(CHANNELS)], F.lit(0).cast("bigint"))
+    return to_matrix(D.lines(spark, d), "node", "channel", "quantity", [(c, f"Channel_{c}") for c in range(CHANNELS)], F.lit(0).cast("bigint"))
 
 
 @query("SELECT node, channel, n FROM counts WHERE n > 0")
@@ -174,17 +174,11 @@ def packed_rows(spark, d):
     return rows.select("k", F.get("v", F.lit(0)).isNotNull().alias("has_first"), r6(arrays.dot("v", "v"), "sq"))
 
 
-@query("SELECT o_orderkey, p_size, round_even(p_size / 4.0::DOUBLE, 0) AS quarter, 1.0::DOUBLE / 96 AS share FROM (SELECT o_orderkey FROM orders WHERE o_orderkey <= 50), (SELECT DISTINCT p_size FROM part)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_quantity / 4.0::DOUBLE, 0) AS quarter, l_quantity::DOUBLE / 96 AS share FROM lineitem")
 def half_even_and_fractions(spark, d):
-    orders = D.table(spark, d, "orders").filter("o_orderkey <= 50").select("o_orderkey")
-    sizes = D.table(spark, d, "part").select("p_size").distinct()
-    return orders.crossJoin(F.broadcast(sizes)).select("o_orderkey", "p_size", F.bround(F.col("p_size") / 4.0, 0).alias("quarter"), arrays.fraction(F.lit("1/96")).alias("share"))
-
-
-@query("SELECT p_partkey, p_size, round_even(p_size / 4.0::DOUBLE, 0) AS quarter, p_size::DOUBLE / 96 AS share FROM part")
-def half_even_and_fractions_all(spark, d):
-    share = arrays.fraction(F.concat(F.col("p_size").cast("string"), F.lit("/96")))
-    return D.table(spark, d, "part").select("p_partkey", "p_size", F.bround(F.col("p_size") / 4.0, 0).alias("quarter"), share.alias("share"))
+    share = arrays.fraction(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("/96")))
+    keys = ("l_orderkey", "l_linenumber", "l_partkey")
+    return D.table(spark, d, "lineitem").select(*keys, F.bround(F.col("l_quantity") / 4.0, 0).alias("quarter"), share.alias("share"))
 
 
 # ---- filters and joins
@@ -321,22 +315,16 @@ RHAT = """halves AS (
   SELECT node, k, chain, CASE WHEN draw < 25 THEN 0 ELSE 1 END AS half, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM draws GROUP BY ALL
 ), rhat AS (
   SELECT node, k, sqrt(((max(n) - 1)::DOUBLE / max(n) * avg(v) + var_samp(m)) / nullif(avg(v), 0)) AS r_hat FROM halves GROUP BY node, k
-), stats AS (
-  SELECT node, k, depth, avg(value) AS mean, stddev_samp(value) AS sd, any_value(r_hat) AS r_hat
-  FROM draws JOIN rhat USING (node, k) JOIN inner_nodes USING (node) GROUP BY ALL
 )"""
+MCMC = mcmc_sql.diagnostics(D.CHAINS, D.DRAWS).strip()
 
 
-def depth_stats_rows(spark, d) -> DataFrame:
-    draws = D.draws(spark, d)
-    stats = draws.groupBy("node", "k").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    return stats.join(diagnostics.split_r_hat(draws, ["node", "k"]), ["node", "k"]).join(D.inner_nodes(spark, d), "node")
+SIZES = ("mean", "sd", "ess_bulk", "ess_tail", "r_hat")
 
 
-def depth_diagnostics_rows(spark, d) -> DataFrame:
-    """depth_stats_rows with both effective sample sizes, which SQL does not express."""
-    sizes = diagnostics.summary(D.draws(spark, d), ("node", "k")).select("node", "k", "ess_bulk", "ess_tail")
-    return depth_stats_rows(spark, d).join(sizes, ["node", "k"])
+def depth_stats_rows(spark, d) -> DataFrame:
+    """Each parameter's summary with its node's depth."""
+    return diagnostics.summary(D.draws(spark, d), ("node", "k")).join(D.inner_nodes(spark, d), "node")
 
 
 @query("SELECT node, k, round(r_hat, 6) AS r_hat FROM rhat", RHAT)
@@ -344,68 +332,46 @@ def split_r_hat(spark, d):
     return diagnostics.split_r_hat(D.draws(spark, d), ["node", "k"]).select("node", "k", r6("r_hat"))
 
 
-@query("SELECT node, depth, k AS signature, round(mean, 6) AS mean, round(sd, 6) AS sd, round(r_hat, 6) AS r_hat FROM stats", RHAT)
+@query("SELECT node, k, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sd", "hdi_lo", "hdi_hi", "mcse_mean", "mcse_sd", "ess_bulk", "ess_tail", "r_hat")) + " FROM mc", MCMC)
+def mcmc_summary(spark, d):
+    found = diagnostics.summary(D.draws(spark, d), ("node", "k"))
+    return found.select("node", "k", *[r6(c) for c in found.columns if c not in ("node", "k")])
+
+
+@query("SELECT node, depth, k AS signature, " + ", ".join(f"round({c}, 6) AS {c}" for c in SIZES) + " FROM stats", MCMC)
 def depth_stats(spark, d):
-    return depth_stats_rows(spark, d).select("node", "depth", F.col("k").alias("signature"), r6("mean"), r6("sd"), r6("r_hat"))
+    return depth_stats_rows(spark, d).select("node", "depth", F.col("k").alias("signature"), *map(r6, SIZES))
 
 
-@query("SELECT depth, round(median(sd), 6) AS median_sd, round(median(r_hat), 6) AS median_r_hat FROM stats GROUP BY depth", RHAT)
+@query("SELECT depth, " + ", ".join(f"round(median({c}), 6) AS median_{c}" for c in SIZES[1:]) + " FROM stats GROUP BY depth", MCMC)
 def depth_medians(spark, d):
-    found = evaluate.medians(depth_stats_rows(spark, d), "depth", ["sd", "r_hat"])
-    return found.select("depth", r6("median_sd"), r6("median_r_hat"))
+    found = evaluate.medians(depth_stats_rows(spark, d), "depth", SIZES[1:])
+    return found.select("depth", *[r6(f"median_{c}") for c in SIZES[1:]])
 
 
-@query("SELECT count(*) AS n, count_if(r_hat > 1.01)::BIGINT AS n_bad_r_hat, round(100.0::DOUBLE * count_if(r_hat > 1.01) / count(*), 6) AS pct_bad_r_hat FROM stats", RHAT)
+@query("""SELECT count(*) AS n, count_if(r_hat > 1.01)::BIGINT AS n_bad_r_hat, round(100.0::DOUBLE * count_if(r_hat > 1.01) / count(*), 6) AS pct_bad_r_hat,
+count_if(ess_bulk < 100)::BIGINT AS n_low_ess, round(100.0::DOUBLE * count_if(ess_bulk < 100) / count(*), 6) AS pct_low_ess FROM stats""", MCMC)
 def convergence_gates(spark, d):
-    found = evaluate.gates(depth_diagnostics_rows(spark, d))
-    return found.select("n", "n_bad_r_hat", r6("pct_bad_r_hat"))
-
-
-@query()
-def convergence_gates_ess(spark, d):
-    found = evaluate.gates(depth_diagnostics_rows(spark, d))
+    found = evaluate.gates(depth_stats_rows(spark, d))
     return found.select("n", "n_bad_r_hat", r6("pct_bad_r_hat"), "n_low_ess", r6("pct_low_ess"))
 
 
-@query()
-def depth_stats_ess(spark, d):
-    found = depth_diagnostics_rows(spark, d)
-    return found.select("node", "depth", F.col("k").alias("signature"), *map(r6, ("mean", "sd", "ess_bulk", "ess_tail", "r_hat")))
-
-
-@query()
-def depth_medians_ess(spark, d):
-    columns = ["ess_bulk", "ess_tail", "sd", "r_hat"]
-    found = evaluate.medians(depth_diagnostics_rows(spark, d), "depth", columns)
-    return found.select("depth", *[r6(f"median_{c}") for c in columns])
-
-
-@query()
-def mcmc_summary(spark, d):
-    return diagnostics.summary(D.draws(spark, d), ("node", "k"))
-
-
-# the best assignment of the first five labels, by trying all: masks of the inferred labels taken
+# the best assignment of all labels: of the ways to take the same inferred labels (a mask) only the best goes on
 BEST = """s AS (SELECT *, sqrt(sum(p * p) OVER (PARTITION BY odd, k)) AS n FROM vecsig), cosm AS (
   SELECT a.k AS a, b.k AS b, sum(a.p / (a.n + 1e-12::DOUBLE) * (b.p / (b.n + 1e-12::DOUBLE))) AS c
-  FROM s a JOIN s b ON a.channel = b.channel AND a.odd = 1 AND b.odd = 0 WHERE b.k < 5 AND a.k < 7 GROUP BY ALL
+  FROM s a JOIN s b ON a.channel = b.channel AND a.odd = 1 AND b.odd = 0 GROUP BY ALL
 ), tries AS (
   SELECT 0 AS b, 0 AS mask, 0.0::DOUBLE AS total, []::INT[] AS picks
   UNION ALL
-  SELECT t.b + 1, t.mask | (1 << m.a), t.total + m.c, list_append(t.picks, m.a) FROM tries t JOIN cosm m ON m.b = t.b AND (t.mask & (1 << m.a)) = 0
-), best AS (SELECT picks FROM tries WHERE b = 5 ORDER BY total DESC LIMIT 1), pairs AS (
-  SELECT unnest(range(0, 5))::INT AS true_k, unnest(picks)::INT AS matched FROM best
+  SELECT b + 1, mask, max(total), arg_max(picks, total) FROM (
+    SELECT t.b, t.mask | (1 << m.a) AS mask, t.total + m.c AS total, list_append(t.picks, m.a) AS picks
+    FROM tries t JOIN cosm m ON m.b = t.b AND (t.mask & (1 << m.a)) = 0) GROUP BY b, mask
+), best AS (SELECT picks FROM tries ORDER BY b DESC, total DESC LIMIT 1), pairs AS (
+  SELECT unnest(range(0, len(picks)))::INT AS true_k, unnest(picks)::INT AS matched FROM best
 )"""
 
 
 def aligned(spark, d):
-    """What the SQL above can align."""
-    inferred, true = D.vector_signatures(spark, d, 1).filter("k < 7"), D.vector_signatures(spark, d, 0).filter("k < 5")
-    return inferred, true, assign.align(inferred, true)
-
-
-def all_aligned(spark, d):
-    """All labels of both sides; trying all their assignments is too much for SQL."""
     inferred, true = D.vector_signatures(spark, d, 1), D.vector_signatures(spark, d, 0)
     return inferred, true, assign.align(inferred, true)
 
@@ -415,59 +381,45 @@ def align_signatures(spark, d):
     return aligned(spark, d)[2].select("true_k", "matched", r6("cosine"))
 
 
-@query()
-def align_all_signatures(spark, d):
-    return all_aligned(spark, d)[2].select("true_k", "matched", r6("cosine"))
-
-
-def signature_rows(inferred, true, pairs) -> DataFrame:
-    found = evaluate.compare_signatures(inferred, true, pairs)
-    return found.select("true_signature", "matched_inferred_idx", r6("mae"), r6("cosine_similarity"))
-
-
 @query("""SELECT 'True_Sig_' || true_k AS true_signature, matched AS matched_inferred_idx, round(avg(abs(t.p - i.p)), 6) AS mae,
 round(sum(t.p * i.p) / (sqrt(sum(t.p * t.p)) * sqrt(sum(i.p * i.p)) + 1e-12::DOUBLE), 6) AS cosine_similarity
 FROM pairs JOIN vecsig t ON t.odd = 0 AND t.k = true_k JOIN vecsig i ON i.odd = 1 AND i.k = matched AND i.channel = t.channel GROUP BY true_k, matched""", BEST, True)
 def compare_signatures(spark, d):
-    return signature_rows(*aligned(spark, d))
-
-
-@query()
-def compare_all_signatures(spark, d):
-    return signature_rows(*all_aligned(spark, d))
+    found = evaluate.compare_signatures(*aligned(spark, d))
+    return found.select("true_signature", "matched_inferred_idx", r6("mae"), r6("cosine_similarity"))
 
 
-def realigned_recovery(spark, acts, pairs, size: int) -> DataFrame:
-    inferred = evaluate.realigned(acts.select("node", "k", F.col("inferred_e").alias("e")), pairs).withColumnRenamed("e", "inferred_e")
-    both = acts.select("node", "k", "true_e").filter(F.col("k") < size).join(inferred, ["node", "k"], "full")
-    nodes_ = acts.select("node").distinct()
-    full = vectors.densify(both, nodes_, ids(spark, size, "k"), {"true_e": 0.0, "inferred_e": 0.0})
-    return evaluate.recovery(full, size).select("node", r6("mae"))
+UNKNOWN = f"""{DEPTHS}, {BEST}, both_ AS (
+  SELECT a.node, true_k AS k, coalesce(t.true_e, 0) AS true_e, coalesce(i.inferred_e, 0) AS inferred_e
+  FROM (SELECT DISTINCT node FROM activities) a CROSS JOIN pairs LEFT JOIN activities t ON t.node = a.node AND t.k = true_k
+  LEFT JOIN activities i ON i.node = a.node AND i.k = matched
+), found AS (
+  SELECT node, sum(abs(true_e - inferred_e)) / 10 AS mae,
+         sum(true_e * inferred_e) / (sqrt(sum(true_e * true_e)) * sqrt(sum(inferred_e * inferred_e)) + 1e-12::DOUBLE) AS cosine_similarity, {WIDE}
+  FROM both_ GROUP BY node
+)"""
 
 
-@query("""SELECT a.node, round(sum(abs(coalesce(t.true_e, 0) - coalesce(i.inferred_e, 0))) / 5, 6) AS mae
-FROM (SELECT DISTINCT node FROM activities) a CROSS JOIN pairs LEFT JOIN activities t ON t.node = a.node AND t.k = true_k
-LEFT JOIN activities i ON i.node = a.node AND i.k = matched GROUP BY a.node""", BEST, True)
+@query("SELECT f.node, depth, round(mae, 6) AS mae, round(cosine_similarity, 6) AS cosine_similarity, f.* EXCLUDE (node, mae, cosine_similarity) FROM found f LEFT JOIN depths d ON d.node = f.node", UNKNOWN, True)
 def compare_activities_unknown(spark, d):
-    return realigned_recovery(spark, D.activities(spark, d), aligned(spark, d)[2], 5)
-
-
-@query()
-def compare_all_activities_unknown(spark, d):
-    return realigned_recovery(spark, D.activities(spark, d), all_aligned(spark, d)[2], K)
+    pairs = evaluate.realigned(D.activities(spark, d), aligned(spark, d)[2])
+    found = evaluate.compare_activities(pairs, tree.depths(D.edges(spark, d)), K)
+    return found.select("node", "depth", *[r6(c) for c in found.columns if c not in ("node", "depth")])
 
 
 # ---- random draws by key
 
 STICKS = """v AS (
-  SELECT node, k::INT AS k, 1.0 - pow(1.0 - unif('stick|' || node || '|' || k), 1.0::DOUBLE / 2.0) AS v FROM inner_nodes, range(20) t(k)
+  SELECT node, k::INT AS k, 1.0 - pow(1.0 - unif('stick|' || node || '|' || k), 1.0::DOUBLE / 2.0) AS v FROM inner_nodes, range(128) t(k)
 ), w AS (
-  SELECT node, k, v * exp(coalesce(sum(ln(1 - v)) OVER (PARTITION BY node ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS weight FROM v
+  SELECT node, k, v, exp(coalesce(sum(ln(1 - v)) OVER (PARTITION BY node ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest FROM v
+), deep AS (
+  SELECT node, k, v * rest AS weight, rest, rest * (1 - v) AS rest_after FROM w
 ), sticks AS (
-  SELECT *, sum(weight) OVER (PARTITION BY node ORDER BY k) AS hi FROM w
+  SELECT node, k, weight, sum(weight) OVER (PARTITION BY node ORDER BY k) AS hi FROM deep WHERE k < 20
 ), picks AS (
   SELECT q.node, q.draw, k FROM (SELECT node, draw::INT AS draw, unif('pick|' || node || '|' || draw) AS u FROM inner_nodes, range(30) t(draw)) q
-  JOIN sticks s ON s.node = q.node AND q.u >= s.hi - s.weight AND q.u < s.hi
+  JOIN deep s ON s.node = q.node AND 1 - q.u <= s.rest AND 1 - q.u > s.rest_after
 )"""
 
 
@@ -479,22 +431,30 @@ def stick_breaking(spark, d):
 
 @query("SELECT * FROM picks", STICKS)
 def atom_select(spark, d):
-    return sticks.sample(D.inner_nodes(spark, d).select("node"), 30, PIECES, ALPHA)
+    return sticks.sample(D.inner_nodes(spark, d).select("node"), 30, ALPHA)
 
 
 DIR1 = """g AS (SELECT (i // 96)::INT AS k, (i % 96)::INT AS channel, -ln(unif('atom|' || (i // 96) || '|' || (i % 96))) AS g FROM range(20 * 96) t(i)),
 atoms AS (SELECT k, channel, g / sum(g) OVER (PARTITION BY k) AS p FROM g)"""
+DEEP = DIR1.replace("20 * 96", "128 * 96")
 
 
 @query("SELECT k, channel, round(p, 6) AS p FROM atoms", DIR1)
 def dirichlet_one(spark, d):
-    return sticks.atoms(PIECES, CHANNELS, spark).select("k", "channel", r6("p"))
+    return sticks.atoms(ids(spark, PIECES, "k"), CHANNELS).select("k", "channel", r6("p"))
+
+
+@query("""SELECT k, channel, round(g / sum(g) OVER (PARTITION BY k), 6) AS p FROM (SELECT (i // 96)::INT AS k, (i % 96)::INT AS channel,
+-ln(unif('half|' || (i // 96) || '|' || (i % 96) || '|size')) * pow(cos(2 * pi() * unif('half|' || (i // 96) || '|' || (i % 96) || '|turn')), 2) AS g FROM range(20 * 96) t(i))""")
+def dirichlet_half(spark, d):
+    return sticks.atoms(ids(spark, PIECES, "k"), CHANNELS, "half", 0.5).select("k", "channel", r6("p"))
 
 
 @query("""SELECT q.node, q.draw, q.k, channel FROM (SELECT *, unif('channel|' || node || '|' || draw || '|' || k) AS u FROM picks) q
-JOIN (SELECT *, sum(p) OVER (PARTITION BY k ORDER BY channel) AS h FROM atoms) a ON a.k = q.k AND q.u >= h - p AND q.u < h""", f"{STICKS}, {DIR1}")
+JOIN (SELECT *, sum(p) OVER (PARTITION BY k ORDER BY channel) AS h FROM atoms) a ON a.k = q.k AND q.u >= h - p AND q.u < h""", f"{STICKS}, {DEEP}")
 def sampled_channels(spark, d):
-    return sticks.sample_channel(sticks.atoms(PIECES, CHANNELS, spark), atom_select(spark, d))
+    picks = atom_select(spark, d)
+    return sticks.sample_channel(sticks.atoms(picks.select("k").distinct(), CHANNELS), picks)
 
 
 @query("""SELECT k, channel, round(m / sum(m) OVER (PARTITION BY k), 6) AS p FROM (
@@ -531,16 +491,21 @@ def branch_lengths(spark, d):
 # ---- tables behind figures
 
 
-@query("""SELECT depth, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(min(sd) FILTER (WHERE ok), 6) AS whisker_lo,
-round(max(sd) FILTER (WHERE ok), 6) AS whisker_hi, count_if(NOT ok)::BIGINT AS n_outliers FROM (
-SELECT s.*, q1, m, q3, sd BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM stats s JOIN (
-SELECT depth, quantile_cont(sd, 0.25) AS q1, quantile_cont(sd, 0.5) AS m, quantile_cont(sd, 0.75) AS q3 FROM stats GROUP BY depth) USING (depth)) GROUP BY depth, q1, m, q3""", RHAT)
+PANELS = " UNION ALL ".join(f"SELECT '{c}' AS panel, depth, {c} AS x FROM stats" for c in SIZES[1:])
+
+
+@query("""SELECT panel, depth, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(min(x) FILTER (WHERE ok), 6) AS whisker_lo,
+round(max(x) FILTER (WHERE ok), 6) AS whisker_hi, count_if(NOT ok)::BIGINT AS n_outliers FROM (
+SELECT s.*, q1, m, q3, x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM panels s JOIN (
+SELECT panel, depth, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) AS q3 FROM panels GROUP BY panel, depth) USING (panel, depth)) GROUP BY panel, depth, q1, m, q3""",
+       f"{MCMC}, panels AS ({PANELS})")
 def box_stats(spark, d):
-    found = plotdata.box(depth_stats_rows(spark, d), "depth", "sd")
-    return found.select("depth", *[r6(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")], "n_outliers")
+    panels = depth_stats_rows(spark, d).unpivot("depth", list(SIZES[1:]), "panel", "x")
+    found = plotdata.box(panels, ["panel", "depth"], "x")
+    return found.select("panel", "depth", *[r6(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")], "n_outliers")
 
 
-@query("SELECT CASE WHEN mean < 0.01 THEN 'near-zero' ELSE 'active' END AS activity, depth, round(median(r_hat), 6) AS median_r_hat FROM stats GROUP BY ALL", RHAT)
+@query("SELECT CASE WHEN mean < 0.01 THEN 'near-zero' ELSE 'active' END AS activity, depth, round(median(r_hat), 6) AS median_r_hat FROM stats GROUP BY ALL", MCMC)
 def zero_vs_active(spark, d):
     rows = depth_stats_rows(spark, d).withColumn("activity", evaluate.near_zero("mean"))
     return evaluate.medians(rows, ["activity", "depth"], ["r_hat"]).select("activity", "depth", r6("median_r_hat"))
@@ -610,7 +575,7 @@ def node_signatures(spark, d):
 def stick_signatures(spark, d):
     pieces = sticks.sticks(D.inner_nodes(spark, d).select("node"), PIECES, ALPHA)
     top = vectors.top_k(pieces, "node", "weight", "k", 3)
-    return top.join(sticks.atoms(PIECES, CHANNELS, spark), "k").select("node", "k", "channel", r6("weight"), r6("p"))
+    return top.join(sticks.atoms(ids(spark, PIECES, "k"), CHANNELS), "k").select("node", "k", "channel", r6("weight"), r6("p"))
 
 
 @query()
@@ -621,15 +586,7 @@ def clustered_counts(spark, d):
 
 @query("SELECT a, b, round(c, 6) AS cosine, p.matched IS NOT NULL AS is_match FROM cosm LEFT JOIN pairs p ON p.true_k = b AND p.matched = a", BEST, True)
 def cosine_heatmap(spark, d):
-    return heatmap_rows(*aligned(spark, d))
-
-
-@query()
-def cosine_heatmap_all(spark, d):
-    return heatmap_rows(*all_aligned(spark, d))
-
-
-def heatmap_rows(inferred, true, pairs) -> DataFrame:
+    inferred, true, pairs = aligned(spark, d)
     hit = pairs.select(F.col("true_k").alias("b"), F.col("matched").alias("a"), F.lit(True).alias("hit"))
     both = vectors.cosine_matrix(inferred, true).join(hit, ["a", "b"], "left")
     return both.select("a", "b", r6("cosine"), F.coalesce("hit", F.lit(False)).alias("is_match"))
@@ -637,15 +594,7 @@ def heatmap_rows(inferred, true, pairs) -> DataFrame:
 
 @query("SELECT true_k, matched, t.channel, round(t.p, 6) AS true_p, round(i.p, 6) AS inferred_p FROM pairs JOIN vecsig t ON t.odd = 0 AND t.k = true_k JOIN vecsig i ON i.odd = 1 AND i.k = matched AND i.channel = t.channel", BEST, True)
 def comparison_grid(spark, d):
-    return grid_rows(*aligned(spark, d))
-
-
-@query()
-def comparison_grid_all(spark, d):
-    return grid_rows(*all_aligned(spark, d))
-
-
-def grid_rows(inferred, true, pairs) -> DataFrame:
+    inferred, true, pairs = aligned(spark, d)
     left = true.select(F.col("k").alias("true_k"), "channel", r6("p", "true_p"))
     right = inferred.select(F.col("k").alias("matched"), "channel", r6("p", "inferred_p"))
     return left.join(pairs.select("true_k", "matched"), "true_k").join(right, ["matched", "channel"])

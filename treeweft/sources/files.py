@@ -34,6 +34,22 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
+def read_activities(spark: SparkSession, path: str) -> DataFrame:
+    """(node, k, true_e) of a CSV with the columns node and Signature_0.., as many as it has."""
+    width = len(spark.read.csv(path).columns)
+    if width < 2:
+        raise ValueError(f"{path}: there is no activity")
+    wide = read_matrix(spark, path, "node", "Signature_", width - 1)
+    return from_matrix(wide, "node", "k", "true_e", "Signature_")
+
+
+def write_inferred_signatures(rows: DataFrame, path: str) -> None:
+    """inferred_signatures.csv of (k, channel, p): a row Signature_<k> for each, columns Channel_0..; absent cells are 0."""
+    names = [(c, f"Channel_{c}") for c in range(CHANNELS)]
+    wide = to_matrix(rows.withColumn("", F.concat(F.lit("Signature_"), "k")), "", "channel", "p", names, F.lit(0.0))
+    write_matrix(wide, path)
+
+
 def check_signature_rows(wide: DataFrame) -> None:
     """ValueError for rows that do not sum to 1, or else have negative entries."""
     names = [c for c in wide.columns if c.startswith("Channel_")]
@@ -71,7 +87,8 @@ def write_newick(trees: DataFrame, path: str) -> None:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    """One file: a report is one row."""
+    report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

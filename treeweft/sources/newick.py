@@ -54,10 +54,12 @@ def parse_tree(text: str, tumour: int) -> list[tuple[int, str, str, float | None
     return edges
 
 
-def parse(texts: DataFrame, column: str = "value") -> DataFrame:
+def parse(texts: DataFrame, column: str = "value", number: str | None = None) -> DataFrame:
     """Edges of the forest in a column of Newick text: trees end with ';' and are numbered in order, blank ones are
-    no trees. Each row is a forest of its own; its trees are numbered from 0."""
-    trees = texts.select(F.posexplode(F.filter(F.transform(F.split(column, ";"), lambda s: F.trim(s)), lambda s: s != "")))
+    no trees. Each row is a forest of its own; its trees are numbered from 0, or all as the column ``number`` says, so
+    that a large forest can be a row a tree."""
+    cut = F.filter(F.transform(F.split(column, ";"), lambda s: F.trim(s)), lambda s: s != "")
+    trees = texts.select(F.posexplode(cut)) if number is None else texts.select(F.col(number).alias("pos"), F.explode(cut))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
