@@ -20,20 +20,19 @@ PRIORS = {
     "Gamma": lambda x, a, b: ((a - 1) * np.log(x) - b * x, (a - 1) / x - b),
     "Norm": lambda x, mu, s: (-((x - mu) ** 2) / (2 * s * s), -(x - mu) / (s * s)),
     "Beta": lambda x, a, b: ((a - 1) * np.log(x) + (b - 1) * np.log1p(-x), (a - 1) / x - (b - 1) / (1 - x)),
-    "Dir": None,
-    "Fixed": None,
 }
 
 
 def prior(name: str):
-    """A registered prior by name; KeyError for others."""
-    return PRIORS[name]
+    """A registered prior of a positive number by name, None for a fixed one; KeyError for others, as for those of
+    vectors."""
+    return None if name == "Fixed" else PRIORS[name]
 
 
 class TreeModel:
     """log density and slope over (log sigma, root logits, steps); parents stand before children."""
 
-    def __init__(self, labels, parents, counts, signatures, sigma_prior=("LogNorm", 0.0, 1.0), sigma_0=2.0):
+    def __init__(self, labels, parents, counts, signatures, sigma_prior=("LogNorm", 0.0, 1.0), sigma_0=1.0):
         self.labels, self.parents = list(labels), np.asarray(parents, dtype=np.int64)
         self.x, self.s, self.sigma_0 = np.asarray(counts, dtype=float), np.asarray(signatures, dtype=float), sigma_0
         self.n, self.free = len(self.labels), self.s.shape[0] - 1
@@ -49,7 +48,8 @@ class TreeModel:
         self.size = 1 + self.n * self.free
 
     def walk(self, theta):
-        sigma, z = np.exp(theta[0]), theta[1:].reshape(self.n, self.free)
+        sigma = np.exp(theta[0]) if self.prior else self.args[0]
+        z = theta[1:].reshape(self.n, self.free)
         eta = np.where(self.root[:, None], z, sigma * z)
         for level in self.levels:
             eta[level] += eta[self.parents[level]]
@@ -69,6 +69,9 @@ class TreeModel:
         r = self.root[:, None]
         var0 = self.sigma_0**2
         dz = np.where(r, g - z / var0, sigma * g - z)
+        if self.prior is None:  # nothing depends on the first number, which is standard normal
+            value = (np.where(seen, self.x * np.log(p), 0.0)).sum() - (np.where(r, z * z / var0, z * z)).sum() / 2 - theta[0] ** 2 / 2
+            return float(value), np.concatenate([[-theta[0]], dz.ravel()])
         lp, slope = self.prior(sigma, *self.args)
         value = (np.where(seen, self.x * np.log(p), 0.0)).sum() - (np.where(r, z * z / var0, z * z)).sum() / 2 + lp + theta[0]
         dsigma = (np.where(r, 0.0, z * g)).sum() + slope

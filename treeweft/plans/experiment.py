@@ -21,7 +21,7 @@ from treeweft.sources import files, newick
 
 CHANNELS = files.CHANNELS
 # the parameters of each prior, in the order in which its density takes them (fixed names of the configuration)
-PRIOR_PARAMETERS = {"LogNorm": ("mu", "sigma"), "Norm": ("mu", "sigma"), "HalfNorm": ("sigma",), "Exp": ("lam",), "Gamma": ("alpha", "beta"), "Beta": ("alpha", "beta")}
+PRIOR_PARAMETERS = {"LogNorm": ("mu", "sigma"), "Norm": ("mu", "sigma"), "HalfNorm": ("sigma",), "Exp": ("lam",), "Gamma": ("alpha", "beta"), "Beta": ("alpha", "beta"), "Fixed": ("value",)}
 
 
 def number(value) -> float:
@@ -118,7 +118,7 @@ def tree_model(spark: SparkSession, config: dict) -> infer.TreeModel:
     infer.prior(name)
     numbers = [number(priors["sigma_prior_parm"][p]) for p in PRIOR_PARAMETERS[name]]
     parents = [-1 if r["parent"] is None else at[r["parent"]] for r in placed]
-    return infer.TreeModel([r["node"] for r in placed], parents, counts, s, (name, *numbers), number(priors.get("sigma_0", 2)))
+    return infer.TreeModel([r["node"] for r in placed], parents, counts, s, (name, *numbers), number(priors.get("sigma_0", 1)))
 
 
 def fit(spark: SparkSession, config: dict) -> str:

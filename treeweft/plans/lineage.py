@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, in the shared folder that spark.checkpoint.dir names.
 
-    Only a session that names none (a test in local mode) gets a folder of its own.
+    Only a session in local mode that names none gets a folder of its own; elsewhere that is an error.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir names a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="treeweft-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
