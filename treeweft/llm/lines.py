@@ -30,12 +30,17 @@ from pyspark.sql import types as T
 
 from treeweft.llm.common import small_batches, stored, whole_text
 
+#: Characters of a line for each edit that is allowed, of which one is: shorter lines have to be equal.
 MIN_FUZZY = 20
 PARTS = 4
 STEP = 4
 BLANK = " \t\r\v\f"
 #: log2 of the bits of the table of keys; 16 MB whatever the input.
 TABLE_BITS = 27
+#: Keys up to which the table lets few others through (one in twenty), and is used.
+MOST_KEYS = 1 << TABLE_BITS - 3
+#: A line is hot from this share of all lines on, so that there are at most as many hot ones.
+HOT = 1000
 PAGE = 4096
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -135,8 +140,8 @@ def bit_places(keys: np.ndarray, bits: int = TABLE_BITS) -> tuple[np.ndarray, np
     return (keys & low).astype(np.int64), ((keys >> np.uint64(bits)) & low).astype(np.int64)
 
 
-def line_rows(rows: DataFrame) -> DataFrame:
-    """(_id, _th, line, h, keys): the lines that aren't empty of (_id, _th, _text)."""
+def line_rows(rows: DataFrame, fuzzy: int) -> DataFrame:
+    """(_id, _th, line, h, keys): the lines that aren't empty of (_id, _th, _text), keys from ``fuzzy`` characters on."""
     schema = T.StructType(
         [
             rows.schema["_id"],
@@ -158,7 +163,7 @@ def line_rows(rows: DataFrame) -> DataFrame:
                         lines.append(line)
             if not lines:
                 continue
-            long_ = [n for n, x in enumerate(lines) if len(x) >= MIN_FUZZY]
+            long_ = [n for n, x in enumerate(lines) if len(x) >= fuzzy]
             of, keys, _ = Rolled([lines[n] for n in long_]).keys()
             of = np.array(long_, dtype=np.int64)[of]
             order = np.argsort(of, kind="stable")
@@ -179,7 +184,7 @@ def line_rows(rows: DataFrame) -> DataFrame:
 
 
 def key_table(keys: DataFrame) -> bytes:
-    """A bit table of the keys: two bits each among 2^TABLE_BITS, gathered page by page."""
+    """A bit table of at most MOST_KEYS keys: two bits each among 2^TABLE_BITS, gathered page by page."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << TABLE_BITS - 3, dtype=np.uint8)
@@ -198,23 +203,26 @@ def key_table(keys: DataFrame) -> bytes:
         return pa.table({"page": table["page"][:1], "bits": pa.array([both.tobytes()], pa.binary())})
 
     kind = "page long, bits binary"
-    marked = keys.select("key").coalesce(64).mapInArrow(mark, kind)
+    marked = keys.select("key").coalesce(64).mapInArrow(mark, kind)  # a page from each task at most
     table = bytearray(1 << TABLE_BITS - 3)
     for row in marked.groupBy("page").applyInArrow(lambda k, t: join(k, t), kind).collect():
         table[row["page"] * PAGE : (row["page"] + 1) * PAGE] = row["bits"]
     return bytes(table)
 
 
-def passed_lines(rows: DataFrame, table) -> DataFrame:
+def long_lines(batch: pa.RecordBatch, fuzzy: int) -> list[str]:
+    return list({x for t in batch["_text"].to_pylist() for x in split(t) if len(x) >= fuzzy})
+
+
+def passed_lines(rows: DataFrame, table, fuzzy: int) -> DataFrame:
     """(h, text, spans) of the lines with a key that the table holds: where those keys allow an edit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, dtype=np.uint8)
         for batch in batches:
-            lines = {x for t in batch["_text"].to_pylist() for x in split(t) if len(x) >= MIN_FUZZY}
+            lines = long_lines(batch, fuzzy)
             if not lines:
                 continue
-            lines = list(lines)
             of, keys, spans = Rolled(lines).keys()
             hit = np.ones(len(keys), dtype=bool)
             for place in bit_places(keys):
@@ -227,7 +235,30 @@ def passed_lines(rows: DataFrame, table) -> DataFrame:
             where = pa.ListArray.from_arrays(ends, pa.array(spans[order].ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays([hashes, pa.array(found, pa.string()), where], ["h", "text", "spans"])
 
-    return rows.select("_text").mapInArrow(work, "h binary, text string, spans array<int>")
+    found = rows.select("_text").mapInArrow(work, "h binary, text string, spans array<int>")
+    return found.groupBy("h").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+
+
+def joined_lines(rows: DataFrame, shared: DataFrame, fuzzy: int) -> DataFrame:
+    """passed_lines for more keys than a table takes: the lines' keys meet the shared ones in a join."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if lines := long_lines(batch, fuzzy):
+                of, keys, spans = Rolled(lines).keys()
+                hashes = pa.array(map(long_hash, lines), pa.binary()).take(pa.array(of))
+                ends = [pa.array(c.astype(np.int32)) for c in spans.T]
+                yield pa.RecordBatch.from_arrays([hashes, pa.array(keys.view(np.int64)), *ends], ["h", "key", "a", "b"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = long_lines(batch, fuzzy)
+            yield pa.RecordBatch.from_arrays([pa.array(map(long_hash, lines), pa.binary()), pa.array(lines, pa.string())], ["h", "text"])
+
+    held = rows.select("_text").mapInArrow(parts, "h binary, key long, a int, b int").join(shared, "key", "left_semi")
+    spans = held.groupBy("h").agg(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda s: F.array(s["a"], s["b"]))).alias("spans"))
+    text = rows.select("_text").mapInArrow(texts, "h binary, text string").groupBy("h").agg(F.first("text").alias("text"))
+    return text.join(spans, "h")
 
 
 def neighbourhoods(lines: DataFrame) -> DataFrame:
@@ -262,13 +293,16 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(work, schema)
 
 
-def near_links(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_links(rows: DataFrame, lines: DataFrame, firsts: DataFrame, fuzzy: int) -> DataFrame:
     """(h, best): lines with an earlier line one edit away, and the earliest such place."""
     spark = rows.sparkSession
     keys = lines.select(F.xxhash64("h").alias("x"), F.explode("keys").alias("key")).groupBy("key")
     shared = keys.agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a <> b").select("key")
-    table = spark.sparkContext.broadcast(key_table(stored(shared, "line-keys")))
-    texts = passed_lines(rows, table).groupBy("h").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    shared = stored(shared, "line-keys")
+    if shared.count() <= MOST_KEYS:
+        texts = passed_lines(rows, spark.sparkContext.broadcast(key_table(shared)), fuzzy)
+    else:
+        texts = joined_lines(rows, shared, fuzzy)
     texts = stored(texts.join(firsts.select("h", "pos"), "h"), "line-texts")
     near = stored(neighbourhoods(texts), "line-variants")
     variants = near.filter("place >= 0")
@@ -285,26 +319,39 @@ def near_links(rows: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    counts: bool = False,
+    drop_emptied: bool = False,
+    fuzzy: int = MIN_FUZZY,
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``; on request also n_lines, n_exact and n_near.
 
     A document that loses lines and a null text come out as the text that is left. ``n_near`` counts lines that
     only a line one edit away took out. ``drop_emptied`` leaves out documents of which nothing but white space is
-    left. Columns of ``docs`` that are named like the counts give way to these if they are asked for.
+    left. Columns of ``docs`` that are named like the counts give way to these if they are asked for. Lines of fewer than
+    ``fuzzy`` characters, 16 at least, go for equality only.
     """
+    if fuzzy < PARTS * STEP:
+        raise ValueError(f"lines are compared for edits from {PARTS * STEP} characters on")
     small_batches(docs.sparkSession)
     own = ("n_lines", "n_exact", "n_near")
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     rows = rows.withColumn("_th", F.xxhash64("_text"))
-    lines = stored(line_rows(rows), "lines")
+    lines = stored(line_rows(rows, fuzzy), "lines")
     # nulls come first in the order of structs
     places = lines.withColumn("pos", F.struct(F.col("_id"), F.col("_th"), F.col("line")))
     firsts = stored(places.groupBy("h").agg(F.min("pos").alias("pos"), F.count("*").alias("n")), "line-firsts")
-    near = near_links(rows, lines, firsts)
+    near = near_links(rows, lines, firsts, fuzzy)
     judged = firsts.join(near, "h", "left").filter("n > 1 or near is not null")
-    judged = judged.select("h", F.col("pos").alias("first"), "near")
-    gone = places.select("h", "pos").join(judged, "h").filter("pos > first or pos > near")
+    judged = judged.select("h", F.col("pos").alias("first"), "near", "n")
+    # the places of hot lines stay where they are
+    hot = F.broadcast(judged.filter(F.col("n") * HOT >= lines.count()).drop("n"))
+    others = judged.filter(F.col("n") * HOT < lines.count()).drop("n")
+    places = places.select("h", "pos")
+    rest = places.join(hot.select("h"), "h", "left_anti").join(others, "h")
+    gone = rest.unionByName(places.join(hot, "h")).filter("pos > first or pos > near")
     gone = gone.select(
         F.col("pos._id").alias("_gid"), F.col("pos._th").alias("_gth"), "pos.line", (F.col("pos") > F.col("first")).alias("exact")
     ).distinct()
