@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from treeweft.llm import components as module
-from treeweft.llm import hnsw, lines, mixing, quality, tiff
+from treeweft.llm import hnsw, lines, mixing, quality, substrings, tiff
 from treeweft.llm.components import components
 from treeweft.llm.fingerprint import simhash
 from treeweft.llm.mixing import mix, mixed
@@ -107,7 +107,10 @@ def test_one_edit(a, b):
         assert lines.one_edit(a, b) == (b in near)
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("most", [lines.MOST_KEYS, 0])
+def test_lines(spark, monkeypatch, most):
+    """By the table of keys, and by joins beyond its size."""
+    monkeypatch.setattr(lines, "MOST_KEYS", most)
     g = np.random.default_rng(5)
     letters = list("abc deé")
 
@@ -170,7 +173,11 @@ def test_suffix_arrays(texts):
         at += len(t)
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize(("most", "many", "huge"), [(substrings.MOST_KEYS, 64, 8192), (0, 64, 8192), (substrings.MOST_KEYS, 4, 16)])
+def test_substrings(spark, monkeypatch, most, many, huge):
+    """By the table of anchors, by joins beyond its size, and with groups that count as large."""
+    for name, value in (("MOST_KEYS", most), ("MANY", many), ("HUGE", huge)):
+        monkeypatch.setattr(substrings, name, value)
     g = np.random.default_rng(8)
 
     def some(n):

@@ -6,10 +6,13 @@ in the same one. Strings are judged on the input and may overlap; matches do not
 1. Every window of 100 bytes has an anchor, a 24-byte string that its bytes alone determine (see winnow.py). Equal
    windows have equal anchors, so windows whose anchor occurs once are unique; most of a corpus ends here.
 2. The run of windows that share an occurrence of an anchor is a segment. Equal segments are one, with its earliest
-   occurrence; all windows of its other occurrences are repeats. The bit table of repeated anchors has a fixed size.
-3. Distinct segments of one anchor are sorted by their suffixes (see suffixes.py). Neighbours that agree in 100
+   occurrence; all windows of its other occurrences are repeats. Repeated anchors are a bit table while they are
+   few enough for its fixed size, and are joined beyond.
+3. Distinct segments of one anchor that share the bytes on one of its sides are sorted by their suffixes (suffixes.py). Neighbours that agree in 100
    bytes are equal windows; all but the earliest of them are repeats. Anchors with more than ``MANY`` distinct
    segments are dealt by the bytes left and right of the anchor instead: of two equal windows, one of both agrees.
+   With more than ``HUGE`` a group would outgrow what is sorted at once; its windows are told apart by their hashes,
+   one by one, so that nothing of it needs to be in one place.
 4. The repeats' spans go to their documents, whose kept bytes are put together.
 
 Null texts are empty. Null ids come before others. Rows with one id are in the order of a hash of their texts; rows
@@ -29,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeweft.llm.common import small_batches, stored, whole_text
-from treeweft.llm.lines import bit_places, key_table, mix
+from treeweft.llm.lines import MOST_KEYS, bit_places, key_table, mix
 from treeweft.llm.suffixes import sort_lanes, sort_one
 from treeweft.llm.winnow import GRAM, WINDOW, anchors
 
-MANY = 64
+MANY, HUGE = 64, 1 << 13
 HALF = (WINDOW - GRAM) // 2
 #: Bytes of segments that are sorted at once, and how many texts of like size make it worth to sort them side by side.
 AT_ONCE = 1 << 21
@@ -57,9 +60,7 @@ def anchor_hashes(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(np.frombuffer(b, dtype=np.uint8))[0] for b in text_bytes(batch)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(text_bytes(batch))[1].view(np.int64))], ["key"])
 
     return rows.select("_text").mapInArrow(work, "key long")
 
@@ -69,56 +70,75 @@ def segment_key(h: np.ndarray, first: np.ndarray, ids: np.ndarray) -> np.ndarray
     return mix(h * np.uint64(3) + mix(ids.astype(np.uint64)) + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def segments(rows: DataFrame, table, wanted=None) -> DataFrame:
-    """(h, sh, _id, _th, first, size) of the segments whose anchor the table holds.
+def segments(rows: DataFrame, table=None, data: bool = False, wanted=None) -> DataFrame:
+    """(h, sh, _id, _th, first, size) of the segments whose anchor the table holds; of all without a table.
 
-    With ``wanted``, of those occurrences only that it holds, together with their bytes and the hashes of the bytes
-    left and right of the anchor.
+    With ``data`` their bytes come along, and the hashes of the bytes left and right of the anchor. ``wanted`` is a
+    table of the occurrences to keep; where ``rows`` have a column _firsts, those that begin at one of its places.
     """
     fields = [T.StructField("h", T.LongType()), T.StructField("sh", T.LongType()), rows.schema["_id"], rows.schema["_th"]]
     schema = T.StructType([*fields, *T._parse_datatype_string("first int, size int")])
-    if wanted is not None:
+    if data:
         schema = T.StructType([*schema, *T._parse_datatype_string("left long, right long, data binary")])
+    listed = "_firsts" in rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, parts, data, left, right = [], [], [], [], []
-            keys = batch["_id"].fill_null(-1).to_numpy(zero_copy_only=False)
-            for i, raw in enumerate(text_bytes(batch)):
-                h, place, first, last = anchors(np.frombuffer(raw, dtype=np.uint8))
-                if not len(h):
-                    continue
-                hit = held(table.value, h)
-                if wanted is not None:
-                    hit &= held(wanted.value, segment_key(h, first, np.full(len(h), keys[i])))
-                if not hit.any():
-                    continue
-                h, place, first, last = h[hit], place[hit], first[hit], last[hit]
-                found = [raw[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                sh = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
-                owner.append(np.full(len(h), i))
-                parts.append((h, sh, first, last - first + WINDOW))
-                if wanted is not None:
-                    data += found
-                    for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True):
-                        # 0: the segment does not reach that far
-                        left.append(xxhash.xxh3_64_intdigest(raw[p - HALF : p + GRAM], 1) if p - HALF >= a else 0)
-                        far = p + GRAM + HALF
-                        right.append(xxhash.xxh3_64_intdigest(raw[p:far], 2) if far <= b + WINDOW else 0)
-            if not owner:
-                continue
-            take = pa.array(np.concatenate(owner))
-            h, sh, first, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-            arrays = [
-                pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch["_id"].take(take), batch["_th"].take(take),
-                pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)),
-            ]
+            texts = text_bytes(batch)
+            owner, h, place, first, last = anchors(texts)
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            starts = np.cumsum(sizes) - sizes
+            hit = np.ones(len(h), dtype=bool) if table is None else held(table.value, h)
             if wanted is not None:
+                keys = batch["_id"].fill_null(-1).to_numpy(zero_copy_only=False)
+                hit &= held(wanted.value, segment_key(h, first - starts[owner], keys[owner]))
+            if listed:
+                places = [np.asarray(x or [], dtype=np.int64) + a for x, a in zip(batch["_firsts"].to_pylist(), starts.tolist(), strict=True)]
+                hit &= np.isin(first, np.concatenate(places))
+            if not hit.any():
+                continue
+            owner, h, place, first, last = owner[hit], h[hit], place[hit], first[hit], last[hit]
+            raw = b"".join(texts)
+            found = [raw[a : b + WINDOW] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            sh = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
+            take = pa.array(owner)
+            numbers = [(first - starts[owner]).astype(np.int32), (last - first + WINDOW).astype(np.int32)]
+            arrays = [pa.array(h.view(np.int64)), pa.array(sh.view(np.int64)), batch["_id"].take(take), batch["_th"].take(take), *map(pa.array, numbers)]
+            if data:
+                left, right = [], []
+                for p, a, b in zip(place.tolist(), first.tolist(), last.tolist(), strict=True):
+                    # 0: the segment does not reach that far
+                    left.append(xxhash.xxh3_64_intdigest(raw[p - HALF : p + GRAM], 1) if p - HALF >= a else 0)
+                    far = p + GRAM + HALF
+                    right.append(xxhash.xxh3_64_intdigest(raw[p:far], 2) if far <= b + WINDOW else 0)
                 arrays += [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (left, right)]
-                arrays.append(pa.array(data, pa.binary()))
+                arrays.append(pa.array(found, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return rows.select("_id", "_th", "_text").mapInArrow(work, schema)
+    kept = ["_id", "_th", "_text", *(["_firsts"] if listed else [])]
+    return rows.select(*kept).mapInArrow(work, schema)
+
+
+def window_spans(texts: DataFrame) -> DataFrame:
+    """(_id, _th, begin, end) of the windows of the segments that an earlier one equals, each by its hash."""
+    schema = T.StructType([*T._parse_datatype_string("w binary"), texts.schema["_id"], texts.schema["_th"], *T._parse_datatype_string("begin int")])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch["data"].to_pylist()
+            each = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) - WINDOW + 1
+            owner = np.repeat(np.arange(len(data)), each)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+            hashes = [xxhash.xxh3_128_digest(x[i : i + WINDOW]) for x in data for i in range(len(x) - WINDOW + 1)]
+            begin = (batch["first"].to_numpy()[owner] + inside).astype(np.int32)
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), batch["_id"].take(take), batch["_th"].take(take), pa.array(begin)], schema.names)
+
+    windows = stored(texts.select("_id", "_th", "first", "data").mapInArrow(work, schema), "windows")
+    place = F.struct("_id", "_th", "begin")
+    firsts = windows.groupBy("w").agg(F.min(place).alias("p"), F.count("*").alias("n")).filter("n > 1").select("w", "p")
+    again = windows.join(firsts, "w").filter(place > F.col("p"))
+    return again.select("_id", "_th", "begin", (F.col("begin") + WINDOW).alias("end"))
 
 
 def equal_windows(groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,6 +218,29 @@ def repeated_spans(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     Rows with equal (h, sub) lie next to each other.
     """
+    kept = np.flatnonzero(may_share(batch))
+    if not len(kept):
+        return kept, kept, kept
+    row, begin, end = sorted_groups(batch.take(pa.array(kept)))
+    return kept[row], begin, end
+
+
+def may_share(batch: pa.Table) -> np.ndarray:
+    """Which segments agree with another one of their group in the bytes left or right of the anchor: of two equal
+    windows, one of both agrees."""
+    h, sub = batch["h"].to_numpy(), batch["sub"].to_numpy()
+    found = np.zeros(len(h), dtype=bool)
+    for side in ("left", "right"):
+        x = batch[side].to_numpy()
+        order = np.lexsort((x, sub, h))
+        same = (h[order[1:]] == h[order[:-1]]) & (sub[order[1:]] == sub[order[:-1]]) & (x[order[1:]] == x[order[:-1]]) & (x[order[1:]] != 0)
+        found[order[1:][same]] = True
+        found[order[:-1][same]] = True
+    return found
+
+
+def sorted_groups(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """repeated_spans() by the suffix arrays of the groups."""
     h, sub = batch["h"].to_numpy(), batch["sub"].to_numpy()
     edges = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (sub[1:] != sub[:-1])])
     data = batch["data"].to_pylist()
@@ -258,34 +301,55 @@ def sorted_spans(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, schema)
 
 
+def first_texts(rows: DataFrame, some: DataFrame, table) -> DataFrame:
+    """segments() with data of the first occurrences in ``some``, and how many distinct ones their anchor has."""
+    if some.count() <= MOST_KEYS:
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch["_id"].fill_null(-1).to_numpy(zero_copy_only=False)
+                key = segment_key(batch["h"].to_numpy().view(np.uint64), batch["first"].to_numpy(), ids)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+        wanted = some.select("h", F.col("p._id").alias("_id"), F.col("p.first").alias("first"))
+        places = rows.sparkSession.sparkContext.broadcast(key_table(wanted.mapInArrow(number, "key long")))
+        texts = segments(rows, table, True, places)
+    else:  # each document gets the list of its own
+        lists = some.groupBy(F.col("p._id").alias("_lid"), F.col("p._th").alias("_lth")).agg(F.collect_set("p.first").alias("_firsts"))
+        both = rows.join(lists, rows["_id"].eqNullSafe(lists["_lid"]) & (rows["_th"] == lists["_lth"]))
+        texts = segments(both.select("_id", "_th", "_text", "_firsts"), None, True)
+    texts = texts.dropDuplicates(["h", "sh", "_id", "_th", "first"])
+    which = some.select("h", "sh", F.col("p").alias("_p"), "texts")
+    return texts.join(which, ["h", "sh"]).filter(F.struct("_id", "_th", "first").eqNullSafe(F.col("_p")))
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """(_id, _th, begin, end): spans of repeated bytes, which may overlap."""
-    spark = rows.sparkSession
     keys = anchor_hashes(rows).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    table = spark.sparkContext.broadcast(key_table(stored(keys, "anchors")))
-    every = stored(segments(rows, table), "segments")
+    keys = stored(keys, "anchors")
+    if keys.count() <= MOST_KEYS:
+        table = rows.sparkSession.sparkContext.broadcast(key_table(keys))
+        every = segments(rows, table)
+    else:
+        table = None
+        every = segments(rows).join(keys.withColumnRenamed("key", "h"), "h", "left_semi")
+    every = stored(every, "segments")
     place = F.struct("_id", "_th", "first")
-    firsts = every.groupBy("h", "sh").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.max("size").alias("size"))
+    firsts = every.groupBy("h", "sh").agg(F.min(place).alias("p"), F.count("*").alias("n"))
     firsts = stored(firsts, "segment-firsts")
     later = firsts.filter("n > 1").select("h", "sh", "p")
     later = every.join(later, ["h", "sh"]).filter(place > F.col("p"))
     later = stored(later.select("_id", "_th", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("end")), "spans")
     many = firsts.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1")
     some = stored(firsts.select("h", "sh", "p").join(many, "h"), "segment-groups")
-    wanted = some.select("h", F.col("p._id").alias("_id"), F.col("p.first").alias("first"))
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["_id"].fill_null(-1).to_numpy(zero_copy_only=False)
-            key = segment_key(batch["h"].to_numpy().view(np.uint64), batch["first"].to_numpy(), ids)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
-
-    places = spark.sparkContext.broadcast(key_table(wanted.mapInArrow(number, "key long")))
-    texts = segments(rows, table, places).dropDuplicates(["h", "sh", "_id", "_th", "first"])
-    same = F.struct(texts["_id"], texts["_th"], texts["first"]).eqNullSafe(some["p"])
-    texts = texts.join(some.select("h", "sh", "p", "texts"), ["h", "sh"]).filter(same)
+    texts = first_texts(rows, some, table)
+    huge = some.filter(F.col("texts") > HUGE)
+    if not huge.isEmpty():
+        texts = stored(texts, "segment-texts")
+        later = later.unionByName(window_spans(texts.filter(F.col("texts") > HUGE)))
+    texts = texts.filter(F.col("texts") <= HUGE)
     sub = F.when(F.col("texts") > MANY, F.array("left", "right")).otherwise(F.array(F.lit(1).cast("long")))
-    texts = texts.select("h", "_id", "_th", "first", "data", F.explode(sub).alias("sub")).filter("sub <> 0")
+    texts = texts.select("h", "_id", "_th", "first", "data", "left", "right", F.explode(sub).alias("sub")).filter("sub <> 0")
     # by the anchor and side alone: as many parts as the session deals a shuffle to
     texts = texts.repartition("h", "sub").sortWithinPartitions("h", "sub")
     return later.unionByName(stored(sorted_spans(texts), "sorted-spans"))
@@ -306,7 +370,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, n_bytes, spans, kept): the removed runs of each row's text, [begin, end), and its remaining bytes."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
-    rows = rows.withColumn("_th", F.hash("_text"))
+    rows = rows.withColumn("_th", F.xxhash64("_text"))
     spans = repeats(rows).groupBy(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"))
     spans = spans.agg(F.collect_list("begin").alias("_begin"), F.collect_list("end").alias("_end"))
     both = rows.join(spans, rows["_id"].eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")), "left")

@@ -40,24 +40,32 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(behind[: n - size + 1], ahead[size - 1 : n])
 
 
-def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-    """(hash, place, first, last): each anchor of ``data``, and the first and last window start it stands for.
+def anchors(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
+    """(owner, hash, place, first, last): each anchor of each text, and the first and last window start it stands for.
 
-    No anchor for fewer bytes than a window. A run of windows with one anchor is one row.
+    Places are counted through all texts as if they were one. No anchor for fewer bytes than a window. A run of windows
+    with one anchor is one row.
     """
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    starts = np.cumsum(sizes) - sizes
     none = np.zeros(0, dtype=np.int64)
-    if len(data) < window:
-        return none.view(np.uint64), none, none, none
+    if not len(sizes) or sizes.max() < window:
+        return none, none.view(np.uint64), none, none, none
     h = gram_hashes(data, gram)
+    held = np.repeat(np.maximum(sizes - window + 1, 0), sizes)  # windows of the text that a place lies in
+    whole = np.arange(len(data)) - np.repeat(starts, sizes) < held
     found, begin = [], 0
     most = (1 << PLACE_BITS) - window
     while begin + window <= len(data):  # parts whose places fit beside the hash
         part = h[begin : begin + most + window - gram]
         mixed = (part >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(part), dtype=np.uint64)
         least = sliding_min(mixed, window - gram + 1)
-        place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[edges[1:], len(place)] - 1
-        found.append((h[place[edges] + begin], place[edges] + begin, edges + begin, last + begin))
-        begin += len(place)
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        at = np.flatnonzero(whole[begin : begin + len(least)])  # windows that end in the text they begin in
+        place = (least[at] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(at) else at
+        last = np.r_[edges[1:], len(place)][: len(edges)] - 1
+        found.append((h[place[edges] + begin], place[edges] + begin, at[edges] + begin, at[last] + begin))
+        begin += len(least)
+    h, place, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    return np.searchsorted(starts, first, side="right") - 1, h, place, first, last
