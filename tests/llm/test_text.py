@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -282,6 +283,18 @@ def test_long_lzw():
     assert tiff.unpack_lzw(tiff.pack_lzw(data), len(data)) == data
 
 
+def plain_feature(payload):
+    """Of the gray rows of all pages: eight by eight cells, brighter than the mean or not."""
+    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, tiff.ROW).astype(int)
+    bits = ""
+    for i in range(8):
+        band = rows[i * len(rows) // 8 : (i + 1) * len(rows) // 8]
+        for j in range(8):
+            cell = band[:, j * tiff.ROW // 8 : (j + 1) * tiff.ROW // 8]
+            bits += "1" if cell.sum() * rows.size > rows.sum() * cell.size else "0"
+    return f"p{-(-len(rows) // tiff.PAGE_ROWS)}_m{rows.mean():.3f}_g{int(bits, 2):016x}"
+
+
 def test_media(spark):
     rows = [(1, None), (2, ""), (3, "x" * 576), (4, "é" * 400), (4, "é" * 400), (None, "ab" * 200000)]
     media = tiff.to_media(docs(spark, rows))
@@ -291,6 +304,10 @@ def test_media(spark):
         payload = tiff.payload_of(texts[r["doc_id"]] or "")
         assert len(payload) % 576 == 0 and r["payload_bytes"] == len(payload) > 0
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["n_bytes"] == len((texts[r["doc_id"]] or "").encode()) and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        stored = tiff.media_of(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == plain_feature(payload)
     pages = tiff.tiff_pages(media).collect()
     assert len(pages) == 7 and all(p["error"] is None for p in pages)
     whole = tiff.write([np.zeros((4, 4, 1), dtype=np.uint8)])
@@ -299,6 +316,9 @@ def test_media(spark):
     errors = {r["doc_id"]: r["error"] for r in tiff.tiff_pages(bad).collect()}
     assert set(errors) == {2, 3, 4} and all(errors.values()) and "circle" in errors[4]
     assert tiff.tiff_pages(bad.limit(0)).count() == 0
+    broken = {r["doc_id"]: r for r in tiff.media_digest(bad.withColumn("n_bytes", F.lit(1))).collect()}
+    assert set(broken) == {1, 2, 3, 4} and all(r["payload_sha256"] is None and r["feature"] is None for r in broken.values())
+    assert broken[1]["media_bytes"] is None and broken[3]["media_bytes"] == 40
 
 
 # ---- nearest neighbours

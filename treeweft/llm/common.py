@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MADE: list[str] = []
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS = 4096
 BATCH_BYTES = 2 << 20
@@ -18,10 +19,12 @@ BATCH_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only a session that names none (a test in local mode) gets one of its own.
+    Only a session in local mode that names none gets one of its own; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir names a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="treeweft-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -29,7 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/treeweft/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/treeweft/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def made_paths() -> list[str]:
+    """The paths given out so far and not removed."""
+    return list(_MADE)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove what was written there, once no plan that is still to run reads it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        where = hadoop(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd", parts: tuple[str, ...] = ()) -> DataFrame:

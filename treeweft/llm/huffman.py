@@ -211,8 +211,10 @@ def id_counts(rows: DataFrame) -> dict[int, int]:
 def write_ids(
     docs: DataFrame, path: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0
 ) -> str:
-    """Write the ids of every row of ``docs`` in ascending order of ``id_col``, an integer; returns the folder."""
+    """Write the ids of every row of ``docs`` in ascending order of ``id_col``, an int or a long; returns the folder."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, (T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} is neither an int nor a long")
     rows = stored(encoded(docs, path, id_col, text_col, end), "token-ids", parts=("counts",))
     counts = id_counts(rows)
     rows = rows.filter("not counts").drop("counts")

@@ -340,7 +340,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     later = firsts.filter("n > 1").select("h", "sh", "p")
     later = every.join(later, ["h", "sh"]).filter(place > F.col("p"))
     later = stored(later.select("_id", "_th", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("end")), "spans")
-    many = firsts.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1")
+    # written, so that the join below has two plain sides, of which a hot anchor's can be split
+    many = stored(firsts.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1"), "anchor-counts")
     some = stored(firsts.select("h", "sh", "p").join(many, "h"), "segment-groups")
     texts = first_texts(rows, some, table)
     huge = some.filter(F.col("texts") > HUGE)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import small_batches, whole_text
+from treeweft.llm.common import BATCH_BYTES, gathered, small_batches, whole_text
 
 # fixed values of the format: tags, compressions, predictors, sizes of the field types
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -325,82 +325,109 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
 
 
-def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, page, width, height, samples, bits, pixels, error): one row per page of each file."""
-    small_batches(media.sparkSession)
-    rows = media.select(F.col(id_col).alias("_id"), F.col(media_col).cast("binary").alias("_media"))
-    ints = ("page", "width", "height", "samples", "bits")
-    schema = T.StructType(
-        [
-            rows.schema["_id"],
-            *[T.StructField(c, T.IntegerType()) for c in ints],
-            T.StructField("pixels", T.BinaryType()),
-            T.StructField("error", T.StringType()),
-        ]
-    )
-    kinds = [*[pa.int32()] * len(ints), pa.binary(), pa.string()]
+PAGE_FIELDS = "page int, width int, height int, samples int, bits int, pixels binary, error string"
+FILE_FIELDS = "left int, media_bytes long, media_sha256 string"
+
 
-    def row(page: Page | None, error: str | None = None):
-        if page is None:
-            return (*[None] * 6, error)
-        shape = (page.number, page.width, page.height, page.samples, page.pixels.itemsize * 8)
-        return (*shape, page.pixels.tobytes(), None)
+def page_rows(media: DataFrame, media_col: str, carried: list[str]) -> DataFrame:
+    """(*carried, *PAGE_FIELDS, *FILE_FIELDS): one row per page, in order, and one without a page for a null or a
+    broken file, whose error is null or says what is wrong. ``left`` counts the rows of the file that follow."""
+    small_batches(media.sparkSession)
+    rows = media.select(*carried, F.col(media_col).cast("binary").alias("_media"))
+    fields = [*T._parse_datatype_string(PAGE_FIELDS), *T._parse_datatype_string(FILE_FIELDS)]
+    schema = T.StructType([*rows.schema.fields[:-1], *fields])
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = [kinds[f.dataType.simpleString()] for f in fields]
+
+    def page_row(page: Page) -> tuple:
+        return page.number, page.width, page.height, page.samples, page.pixels.itemsize * 8, page.pixels.tobytes(), None
+
+    def rows_of(data: bytes | None) -> list[tuple]:
+        if data is None:
+            return [(*[None] * 7, 0, None, None)]
+        try:
+            found = [page_row(p) for p in pages(data)] or [(*[None] * 6, "no image directory")]
+        except TiffError as e:
+            found = [(*[None] * 6, str(e))]
+        file = len(data), hashlib.sha256(data).hexdigest()
+        return [(*row, len(found) - 1 - i, *file) for i, row in enumerate(found)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch["_media"].to_pylist()):
-                found = []
-                if data is not None:
-                    try:
-                        found = [row(p) for p in pages(data)]
-                    except TiffError as e:
-                        found = [row(None, str(e))]
-                if found:
-                    key = batch["_id"].take(pa.array([i] * len(found), pa.int64()))
-                    columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([key, *columns], schema.names)
+            for i, data in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = rows_of(data)
+                take = pa.array([i] * len(found), pa.int64())
+                columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), *columns], schema.names)
 
-    return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(lambda batches: gathered(work(batches), BATCH_BYTES), schema)
 
 
-def feature_of(found: list[Page]) -> str:
-    """Pages, mean sample, and which cells of an 8 by 8 grid over all rows are brighter than that (16 hex digits)."""
-    rows = np.concatenate([p.pixels[:, :, 0] for p in found]).astype(np.int64)
-    edges = np.arange(9) * len(rows) // 8
-    across = rows.reshape(len(rows), 8, -1).sum(axis=2)
-    sums = np.concatenate([np.zeros((1, 8), dtype=np.int64), np.cumsum(across, axis=0)])
-    cells = np.diff(sums[edges], axis=0)
-    sizes = np.diff(edges)[:, None] * (rows.shape[1] // 8)
-    bright = (cells * rows.size > rows.sum() * sizes).ravel()
-    return f"p{len(found)}_m{rows.mean():.3f}_g{int.from_bytes(np.packbits(bright).tobytes(), 'big'):016x}"
+def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id, page, width, height, samples, bits, pixels, error): one row per page of each file."""
+    rows = page_rows(media.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_file")), "_file", ["_id"])
+    names = [f.name for f in T._parse_datatype_string(PAGE_FIELDS)]
+    return rows.filter("page is not null or error is not null").select(F.col("_id").alias(id_col), *names)
+
+
+class Digest:
+    """Of the pages of one file, as they come: sums by row and eighth, and hashes of the samples."""
+
+    def __init__(self):
+        self.size, self.hash, self.tail, self.across, self.pages = 0, hashlib.sha256(), b"", [], 0
+
+    def add(self, pixels: bytes, width: int, samples: int, bits: int) -> None:
+        self.size += len(pixels)
+        self.hash.update(pixels)
+        self.tail = (self.tail + pixels[-32:])[-32:]
+        rows = np.frombuffer(pixels, dtype=np.uint8 if bits == 8 else np.uint16).reshape(-1, width, samples)[:, :, 0]
+        eighths = np.add.reduceat(rows.astype(np.int64), np.arange(8) * width // 8, axis=1) if width >= 8 else np.zeros((len(rows), 8), np.int64)
+        self.across.append(eighths)
+        self.pages += 1
+        self.width = width
+
+    def feature(self) -> str:
+        """Pages, mean sample, and which cells of an 8 by 8 grid over all rows are brighter than that (16 hex digits)."""
+        across = np.concatenate(self.across)
+        edges = np.arange(9) * len(across) // 8
+        sums = np.concatenate([np.zeros((1, 8), dtype=np.int64), np.cumsum(across, axis=0)])
+        cells = np.diff(sums[edges], axis=0)
+        wide = np.diff(np.arange(9) * self.width // 8)
+        total, size = int(across.sum()), len(across) * self.width
+        bright = (cells * size > total * np.diff(edges)[:, None] * wide[None]).ravel()
+        return f"p{self.pages}_m{total / size:.3f}_g{int.from_bytes(np.packbits(bright).tobytes(), 'big'):016x}"
+
+    def row(self) -> tuple:
+        return self.size, self.hash.hexdigest(), zlib.crc32(self.tail), self.feature()
 
 
 def media_digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", size_col: str = "n_bytes") -> DataFrame:
-    """What a file holds, from its pages: size and checksums of the samples and of the file, and a feature."""
-    small_batches(media.sparkSession)
-    rows = media.select(F.col(id_col).alias("_id"), F.col(size_col), F.col(media_col).alias("_media"))
-    fields = [
-        T.StructField("payload_bytes", T.LongType()),
-        T.StructField("payload_sha256", T.StringType()),
-        T.StructField("tail_crc32", T.LongType()),
-        T.StructField("media_bytes", T.LongType()),
-        T.StructField("media_sha256", T.StringType()),
-        T.StructField("feature", T.StringType()),
-    ]
-    schema = T.StructType([rows.schema["_id"], rows.schema[size_col], *fields])
-    kinds = [pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in fields]
-
-    def digest(data: bytes):
-        found = list(pages(data))
-        payload = b"".join(p.pixels.tobytes() for p in found)
-        of_file = (len(data), hashlib.sha256(data).hexdigest(), feature_of(found))
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *of_file)
+    """What each file holds, from its pages: size and checksums of the samples and of the file, and a feature.
+
+    The columns are null for a null file, and those of the samples for a broken one.
+    """
+    known = media.select(F.col(id_col).alias("_id"), F.col(size_col).alias("_size"), F.col(media_col).alias("_file"))
+    rows = page_rows(known, "_file", ["_id", "_size"])
+    more = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(more)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Digest()  # a file's rows follow each other, and may go on in the next batch
         for batch in batches:
-            if len(batch):
-                columns = zip(*map(digest, batch["_media"].to_pylist()), strict=True)
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["_id"], batch[size_col], *arrays], schema.names)
-
-    return rows.mapInArrow(work, schema).withColumnRenamed("_id", id_col)
+            ends, out = [], []
+            columns = [batch[c].to_pylist() for c in ("error", "pixels", "width", "samples", "bits", "left", "media_bytes", "media_sha256")]
+            for i, (error, pixels, width, samples, bits, left, size, of_file) in enumerate(zip(*columns, strict=True)):
+                if pixels is not None and error is None:
+                    held.add(pixels, width, samples, bits)
+                if not left:
+                    payload, sha, crc, feature = held.row() if held.pages else [None] * 4
+                    out.append((payload, sha, crc, size, of_file, feature))
+                    ends.append(i)
+                    held = Digest()
+            if out:
+                take = pa.array(ends, pa.int64())
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["_id"].take(take), batch["_size"].take(take), *arrays], schema.names)
+
+    return rows.mapInArrow(work, schema).withColumnsRenamed({"_id": id_col, "_size": size_col})
