@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeweft.llm.common import shared_path
+from treeweft.llm.common import made_paths, remove, shared_path
 from treeweft.llm.lines import dedup_lines
 from treeweft.llm.mixing import mixed
 from treeweft.llm.near import keep_first_near
@@ -53,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each keeps is written, and read again by the next."""
+    """All stages over the documents; what each keeps is written, and read again by the next. What a stage wrote on its
+    way goes when its result is there, and so does the result before it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
+        before = made_paths()
+        kept = stage(spark, docs, sf_dir)
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        kept.write.parquet(path)
         docs = spark.read.parquet(path)
+        remove(spark, [p for p in made_paths() if p != path and (p not in before or p == last)])
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
