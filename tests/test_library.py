@@ -301,3 +301,57 @@ def test_a_tree_a_row(spark):
     rows = spark.createDataFrame([(7, "(a:1,b:2)c;"), (3, "(x,(y)z)w;"), (5, " ")], "t int, tree string")
     found = {tuple(r)[:3] for r in newick.parse(rows, "tree", "t").collect()}
     assert found == {(7, "c", "a"), (7, "c", "b"), (3, "w", "x"), (3, "w", "z"), (3, "z", "y")}
+
+
+def test_measures(spark):
+    from treeweft.operators.measures import DirichletPrior, DirichletProcess, Measure
+
+    with pytest.raises(TypeError):
+        Measure()
+    draws = spark.range(60).select((F.col("id") % 2).cast("string").alias("node"), F.col("id").cast("int").alias("draw"))
+    prior = DirichletPrior(12)
+    for measure, most in ((prior, 60), (DirichletProcess(prior, 1.5), 24)):
+        rows = {}
+        for r in measure.sample(draws).collect():
+            rows.setdefault((r["node"], r["draw"]), {})[r["channel"]] = r["p"]
+        assert len(rows) == 60 and all(len(v) == 12 and abs(sum(v.values()) - 1) < 1e-9 for v in rows.values())
+        kinds = {(node, tuple(sorted(v.items()))) for (node, _), v in rows.items()}
+        assert most / 8 <= len(kinds) <= most
+
+
+def test_linkage_by_its_definition():
+    """Mean distances between the members of all groups, worked out anew before each merge."""
+    g = np.random.default_rng(4)
+    for n in (1, 2, 7, 15):
+        x = g.standard_normal((n, 3))
+        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        groups = [[i] for i in range(n)]
+        while len(groups) > 1:
+            pairs = [(np.mean([far[a, b] for a in p for b in q]), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j]
+            _, i, j = min(pairs)
+            one, other = sorted((groups[i], groups[j]), key=lambda m: m[0])
+            groups = [m for k, m in enumerate(groups) if k not in (i, j)] + [one + other]
+        order = plotdata.average_linkage(far)
+        assert sorted(order) == list(range(n)) and order == groups[0]
+
+
+def test_simulated_activities_and_counts(spark):
+    """What descends keeps its parent's support and mean; counts have the profile's mean and a dispersion of 2."""
+    edges = spark.createDataFrame([(t, f"T{t}", f"T{t}_{i}", 400.0) for t in range(40) for i in range(20)], EDGES)
+    e0 = np.array([0.5, 0.3, 0.2, 0.0])
+    truth = simulate.simulate(edges, e0, alpha=50.0, lam=300.0, dispersion=2.0, seed=1).collect()
+    by = {r["node"]: np.array(r["e"]) for r in truth}
+    gaps = [by[r["node"]] - by[r["parent"]] for r in truth if not r["is_root"]]
+    assert len(gaps) == 800 and np.abs(np.mean(gaps, axis=0)).max() < 0.01
+    assert all(e[3] == 0 and abs(e.sum() - 1) < 1e-9 for e in by.values())
+    spread = np.mean([(g**2) / np.maximum(by[r["parent"]] * (1 - by[r["parent"]]), 1e-9) for g, r in zip(gaps, (r for r in truth if not r["is_root"]), strict=True)], axis=0)[:3]
+    assert np.allclose(spread, 1 / 51, rtol=0.25)
+    n = np.array([r["num_mutations"] for r in truth if not r["is_root"]])
+    assert abs(n.mean() / 400 - 1) < 0.08 and abs(n.var() / (400 * (1 + 400 / 2)) - 1) < 0.25
+    frame = simulate.simulate(edges, e0, alpha=50.0, lam=300.0, dispersion=2.0, seed=1)
+    s = np.random.default_rng(0).dirichlet(np.ones(6), 4)
+    found = np.zeros(6)
+    for r in simulate.count_matrix(frame, s).groupBy("channel").agg(F.sum("n").alias("n")).collect():
+        found[r["channel"]] = r["n"]
+    want = sum(r["num_mutations"] * (np.array(r["e"]) @ s) for r in truth)
+    assert np.abs(found - want).max() < 6 * np.sqrt(want.max()) and found.sum() == sum(r["num_mutations"] for r in truth)

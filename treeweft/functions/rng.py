@@ -30,3 +30,9 @@ def beta_one(alpha, *key) -> Column:
     """Beta(1, alpha) by its inverse distribution function."""
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     return F.lit(1.0) - F.pow(F.lit(1.0) - uniform(*key), F.lit(1.0) / alpha)
+
+
+def gamma_whole(shape: int, *key) -> Column:
+    """A gamma variate of a whole shape, as the sum of so many exponential ones."""
+    parts = [exponential(*key, i) for i in range(shape)]
+    return sum(parts[1:], parts[0])

@@ -75,13 +75,43 @@ def sample(ids: DataFrame, draws: int, alpha: float) -> DataFrame:
     return pick(rows.withColumn("u", uniform("pick", F.col("node"), F.col("draw"))), alpha)
 
 
+def poisson(means: DataFrame, stream: str = "arrival") -> DataFrame:
+    """(node, n) of (node, mean): how many arrivals with exponential gaps come up to the mean.
+
+    Gaps are drawn in rows, twice the mean and some at first; the nodes whose arrivals end before their mean get double.
+    """
+    need = settled(means.select("node", "mean", F.ceil(2 * F.col("mean") + 16).cast("int").alias("size")))
+    order = Window.partitionBy("node").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    found = None
+    while found is None or not need.isEmpty():
+        gaps = need.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+        times = gaps.withColumn("t", F.sum(exponential(stream, F.col("node"), F.col("i"))).over(order))
+        counted = times.groupBy("node", "mean", "size").agg(F.count_if(F.col("t") <= F.col("mean")).alias("n"), F.max("t").alias("last"))
+        counted = settled(counted)
+        done = counted.filter("last > mean").select("node", "n")
+        found = done if found is None else found.unionByName(done)
+        need = counted.filter("last <= mean").select("node", "mean", (F.col("size") * 2).alias("size"))
+    return found
+
+
+def multinomial(totals: DataFrame, signatures: DataFrame, stream: str = "mutation") -> DataFrame:
+    """(node, channel, n): each of a node's n mutations falls on a channel of its signature k; 0 is left out."""
+    rows = totals.filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draws = rows.select("node", F.col("i").alias("draw"), "k", uniform(stream, F.col("node"), F.col("i")).alias("u"))
+    return channel_of(signatures, draws).groupBy("node", "channel").agg(F.count("*").alias("n"))
+
+
 def sample_channel(signatures: DataFrame, draws: DataFrame, stream: str = "channel") -> DataFrame:
     """(node, draw, k, channel): one categorical channel of each draw's signature, by its running sums."""
+    return channel_of(signatures, draws.withColumn("u", uniform(stream, F.col("node"), F.col("draw"), F.col("k"))))
+
+
+def channel_of(signatures: DataFrame, draws: DataFrame) -> DataFrame:
+    """(node, draw, k, channel) of (node, draw, k, u): where u falls among the running sums of signature k."""
     order = Window.partitionBy("k").orderBy("channel").rowsBetween(Window.unboundedPreceding, 0)
     sums = signatures.withColumn("hi", F.sum("p").over(order)).withColumn("lo", F.col("hi") - F.col("p"))
-    rows = draws.withColumn("u", uniform(stream, F.col("node"), F.col("draw"), F.col("k")))
     sums = sums.select(F.col("k").alias("_k"), "channel", "lo", "hi")
-    both = rows.join(sums, (rows["k"] == sums["_k"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    both = draws.join(sums, (draws["k"] == sums["_k"]) & (draws["u"] >= sums["lo"]) & (draws["u"] < sums["hi"]))
     return both.select("node", "draw", "k", "channel")
 
 

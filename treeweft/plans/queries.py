@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from treeweft.functions import arrays, rng, vectors
 from treeweft.operators import assign, diagnostics, evaluate, plotdata, sticks, tree
 from treeweft.plans import domain as D
 from treeweft.plans import mcmc_sql
-from treeweft.sources import newick
+from treeweft.plans.lineage import shared_root
+from treeweft.sources import files, newick
 
 K, CHANNELS = D.K, D.CHANNELS
 QUERIES: dict = {}
@@ -146,16 +149,12 @@ def wide_activities(spark, d):
 
 @query("SELECT node, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE channel = {c}), 0)::BIGINT AS Channel_{c}" for c in range(CHANNELS)) + " FROM counts GROUP BY node")
 def count_matrix(spark, d):
-    from treeweft.sources.files import to_matrix
-
-    return to_matrix(D.lines(spark, d), "node", "channel", "quantity", [(c, f"Channel_{c}") for c in range(CHANNELS)], F.lit(0).cast("bigint"))
+    return files.to_matrix(D.lines(spark, d), "node", "channel", "quantity", [(c, f"Channel_{c}") for c in range(CHANNELS)], F.lit(0).cast("bigint"))
 
 
 @query("SELECT node, channel, n FROM counts WHERE n > 0")
 def unpivoted_counts(spark, d):
-    from treeweft.sources.files import from_matrix
-
-    return from_matrix(count_matrix(spark, d), "node", "channel", "n", "Channel_").filter("n > 0")
+    return files.from_matrix(count_matrix(spark, d), "node", "channel", "n", "Channel_").filter("n > 0")
 
 
 @query("""SELECT node, draw, k, round(exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY node, draw), 6) AS e FROM (
@@ -600,6 +599,117 @@ def comparison_grid(spark, d):
     return left.join(pairs.select("true_k", "matched"), "true_k").join(right, ["matched", "channel"])
 
 
+# ---- files: written to the shared folder and read back
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/treeweft-files/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT node, channel, n FROM counts WHERE n > 0")
+def count_matrix_file(spark, d):
+    files.write_matrix(count_matrix(spark, d), path := scratch(spark, "mutation_count_matrix.csv"))
+    return files.from_matrix(files.read_counts(spark, path), "node", "channel", "n", "Channel_").filter("n > 0")
+
+
+@query("SELECT 'Signature_' || k AS name, channel, round(p, 6) AS p FROM signatures WHERE p > 0")
+def signature_file(spark, d):
+    files.write_inferred_signatures(D.signatures(spark, d), path := scratch(spark, "signatures.csv"))
+    found = files.from_matrix(files.read_signatures(spark, path), "name", "channel", "p", "Channel_").filter("p > 0")
+    return found.select("name", "channel", r6("p"))
+
+
+@query("SELECT node, k, round(true_e, 6) AS true_e FROM activities WHERE true_e > 0")
+def activity_file(spark, d):
+    names = [(k, f"Signature_{k}") for k in range(K)]
+    wide = files.to_matrix(D.activities(spark, d), "node", "k", "true_e", names, F.lit(0.0))
+    files.write_matrix(wide, path := scratch(spark, "true_activities.csv"))
+    return files.read_activities(spark, path).filter("true_e > 0").select("node", "k", r6("true_e"))
+
+
+@query("SELECT tumour, parent, child FROM edges")
+def edge_file(spark, d):
+    files.write_matrix(D.edges(spark, d).select("tumour", "parent", "child"), path := scratch(spark, "tree_edges.csv"))
+    return spark.read.schema("tumour int, parent string, child string").csv(path, header=True)
+
+
+@query("SELECT parent, child, round(length, 6) AS length FROM edges")
+def newick_file(spark, d):
+    files.write_newick(newick.serialise(D.edges(spark, d)), path := scratch(spark, "newick_string.nwk"))
+    return newick.parse(files.read_trees(spark, path)).select("parent", "child", r6("length"))
+
+
+@query("SELECT chain, draw, value FROM sigma")
+def draws_file(spark, d):
+    own = D.global_draws(spark).select(F.lit("sigma").alias("var"), "chain", "draw", F.lit(None).cast("string").alias("node"), F.lit(None).cast("int").alias("k"), "value")
+    nodes_ = D.draws(spark, d).select(F.lit("e").alias("var"), "chain", "draw", "node", "k", "value")
+    files.write_draws(own.unionByName(nodes_), path := scratch(spark, "trace.parquet"))
+    return files.read_draws(spark, path, "sigma").select("chain", "draw", "value")
+
+
+@query("""SELECT (SELECT count(DISTINCT tumour) FROM edges) AS n_tumours, (SELECT count(*) FROM edges) AS n_edges, NULL::DOUBLE AS nb_dispersion,
+(SELECT round(sum(length), 4) FROM edges) AS total_length""")
+def report_file(spark, d):
+    found = D.edges(spark, d).agg(F.count_distinct("tumour").alias("n_tumours"), F.count("*").alias("n_edges"), F.lit(None).cast("double").alias("nb_dispersion"), F.round(F.sum("length"), 4).alias("total_length"))
+    files.write_report(found, path := scratch(spark, "ground_truth_params.json"))
+    return files.read_report(spark, path).select("n_tumours", "n_edges", F.col("nb_dispersion").cast("double").alias("nb_dispersion"), "total_length")
+
+
+# ---- nodes and components one by one
+
+
+@query("SELECT chain, draw, k, round(value, 6) AS value FROM draws WHERE node = 'N3'")
+def node_posterior(spark, d):
+    return evaluate.node_posterior(D.draws(spark, d), "N3").select("chain", "draw", "k", r6("value"))
+
+
+@query("SELECT node, chain, draw, round(max(value) FILTER (WHERE k = 7), 6) AS first, round(max(value) FILTER (WHERE k = 2), 6) AS second FROM draws GROUP BY node, chain, draw")
+def gathered_draws(spark, d):
+    x = F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"])
+    rows = D.draws(spark, d).groupBy("node", "chain", "draw").agg(arrays.gather(x, F.array(F.lit(7), F.lit(2))).alias("v"))
+    return rows.select("node", "chain", "draw", r6(F.col("v")[0], "first"), r6(F.col("v")[1], "second"))
+
+
+@query("SELECT o_orderkey, CASE WHEN lower(o_orderpriority) <> '5-low' THEN o_orderpriority END AS priority FROM orders")
+def text_to_null(spark, d):
+    low = F.when(F.lower("o_orderpriority") == "5-low", F.lit("NONE")).otherwise(F.col("o_orderpriority"))
+    return D.table(spark, d, "orders").select("o_orderkey", arrays.none_to_null(low).alias("priority"))
+
+
+# ---- keyed counts
+
+ARRIVALS = """means AS (
+  SELECT child AS node, (5 + length / 500) * (-ln(unif('gamma|' || child || '|0')) - ln(unif('gamma|' || child || '|1'))) / 2 AS mean FROM edges
+), arrivals AS (
+  SELECT node, i, mean, sum(-ln(unif('arrival|' || node || '|' || i))) OVER (PARTITION BY node ORDER BY i) AS t FROM means, range(512) t(i)
+), totals AS (
+  SELECT node, count_if(t <= mean)::BIGINT AS n FROM arrivals GROUP BY node
+)"""
+MUTATIONS = f"""{ARRIVALS}, sums AS (
+  SELECT k, channel, sum(p) OVER (PARTITION BY k ORDER BY channel) AS hi, p FROM signatures
+), mutations AS (
+  SELECT node, i, (ascii(substr(node, length(node), 1)) - 48)::INT AS k, unif('mutation|' || node || '|' || i) AS u FROM totals, range(512) t(i) WHERE i < n
+)"""
+
+
+def node_means(spark, d) -> DataFrame:
+    """(node, mean): 5 more than the branch length over 500, with the spread of a dispersion of 2."""
+    mean = F.lit(5.0) + F.col("length") / 500
+    return D.edges(spark, d).select(F.col("child").alias("node"), (mean * rng.gamma_whole(2, "gamma", F.col("child")) / 2).alias("mean"))
+
+
+@query("SELECT node, n FROM totals", ARRIVALS)
+def negative_binomial_counts(spark, d):
+    return sticks.poisson(node_means(spark, d)).select("node", "n")
+
+
+@query("SELECT m.node, s.channel, count(*) AS n FROM mutations m JOIN sums s ON s.k = m.k AND m.u >= s.hi - s.p AND m.u < s.hi GROUP BY ALL", MUTATIONS)
+def multinomial_counts(spark, d):
+    """Each node's mutations from the signature that its last digit names."""
+    totals = sticks.poisson(node_means(spark, d)).withColumn("k", F.substring("node", -1, 1).cast("int"))
+    return sticks.multinomial(totals, D.signatures(spark, d))
+
+
 # ---- kernels
 
 

@@ -82,6 +82,11 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """A row a tree of Newick text with a tree a line, as write_newick writes it; trees have no number of their own."""
+    return spark.read.text(path)
+
+
 def write_newick(trees: DataFrame, path: str) -> None:
     trees.orderBy("tumour").select("newick").write.mode("overwrite").text(path)
 
