@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeweft.plans.lineage import settled
+
 EPS = 1e-12
 
 
@@ -27,13 +29,6 @@ def normalise(rows: DataFrame, by, value: str, out: str) -> DataFrame:
     return rows.withColumn(out, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*by))))
 
 
-def densify(rows: DataFrame, ids: DataFrame, components: DataFrame, values: dict[str, object]) -> DataFrame:
-    """A row for each id and component; absent values take those in ``values``. The components are few."""
-    keys = [*ids.columns, *components.columns]
-    full = ids.crossJoin(F.broadcast(components)).join(rows, keys, "left")
-    return full.select(*keys, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in values.items()])
-
-
 def product(left: DataFrame, right: DataFrame, on: str, by, a: str, b: str, out: str) -> DataFrame:
     """Matrix product: the sum of a*b over the shared index ``on``, for each ``by``."""
     return left.join(right, on).groupBy(*by).agg(F.sum(F.col(a) * F.col(b)).alias(out))
@@ -62,3 +57,18 @@ def top_k(rows: DataFrame, by, value: str, tie: str, k: int) -> DataFrame:
     """The k largest values of each group with their rank; of equal values the larger ``tie`` first."""
     order = Window.partitionBy(by).orderBy(F.col(value).desc(), F.col(tie).desc())
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def positions(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``position``, from 1, of each row among those with its ``by``.
+
+    A group may hold most rows: rows are dealt by ranges of (by, *order), numbered within each range, and a table of
+    a row for each range and group tells how many come before.
+    """
+    placed = settled(rows.repartitionByRange(F.col(by), *[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
+    counts = placed.groupBy(by, "_p").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(by, "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order))
+    both = placed.withColumn("_here", here).join(starts, [by, "_p"])
+    return both.withColumn("position", (F.col("_here") + F.col("_before")).cast("int")).drop("_p", "_here", "_before")

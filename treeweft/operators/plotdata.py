@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_ROWS = 20_000
+
 
 def box(rows: DataFrame, by, value: str) -> DataFrame:
     """(*by, q1, median, q3, whisker_lo, whisker_hi, n_outliers): whiskers end at the last value within 1.5 IQR."""
@@ -53,15 +55,28 @@ def relative_profiles(counts: DataFrame) -> DataFrame:
 
 def average_linkage(distances: np.ndarray) -> list[int]:
     """The leaves in the order of the merge tree: groups with the smallest mean distance merge, the one with the
-    smaller first leaf to the left."""
+    smaller first leaf to the left.
+
+    A chain goes from a group to its nearest until two are nearest to each other; these merge, whatever is nearer
+    elsewhere, as that does not change the tree. So the time is quadratic, like the matrix.
+    """
     n = len(distances)
     members = {i: [i] for i in range(n)}
     d = distances.astype(float).copy()
     np.fill_diagonal(d, np.inf)
+    chain: list[int] = []
     while len(members) > 1:
-        i, j = sorted(divmod(int(np.argmin(d)), n))
-        a, b = len(members[i]), len(members[j])
-        d[i] = (a * d[i] + b * d[j]) / (a + b)
+        if not chain:
+            chain.append(next(iter(members)))
+        a = chain[-1]
+        b = int(np.argmin(d[a]))
+        if len(chain) < 2 or d[a, b] < d[a, chain[-2]]:
+            chain.append(b)
+            continue
+        i, j = sorted((a, chain[-2]))
+        del chain[-2:]
+        x, y = len(members[i]), len(members[j])
+        d[i] = (x * d[i] + y * d[j]) / (x + y)
         d[:, i] = d[i]
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
@@ -72,12 +87,15 @@ def average_linkage(distances: np.ndarray) -> list[int]:
 def cluster_rows(profiles: DataFrame, by: str) -> DataFrame:
     """(by, node, position): the nodes of each group in the order of average linkage of Euclidean distances.
 
-    A group's matrix lies in one task; a patient has some hundreds of nodes.
+    A group's matrix of distances lies in one task: 8 bytes for each pair of a patient's nodes. More than ``MOST_ROWS``
+    of them are a ValueError.
     """
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         table = frame.pivot(index="node", columns="channel", values="share").fillna(0.0).sort_index()
         x = table.to_numpy()
+        if len(x) > MOST_ROWS:
+            raise ValueError(f"{len(x)} rows are more than a heat map of one patient takes")
         square = (x * x).sum(axis=1)
         gaps = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
         order = average_linkage(gaps)

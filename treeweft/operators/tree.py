@@ -49,8 +49,9 @@ def depths(edges: DataFrame) -> DataFrame:
 
 
 def by_depth(found: DataFrame) -> DataFrame:
-    """(depth, n_nodes, nodes): labels in order. For forests whose levels fit a row."""
-    return found.groupBy("depth").agg(F.count("*").alias("n_nodes"), F.array_sort(F.collect_list("node")).alias("nodes"))
+    """(depth, n_nodes, node): every node with the number of nodes of its level; no level is gathered."""
+    sizes = found.groupBy("depth").agg(F.count("*").alias("n_nodes"))
+    return found.join(sizes, "depth").select("depth", "n_nodes", "node")
 
 
 def union(*forests: DataFrame) -> DataFrame:

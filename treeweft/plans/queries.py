@@ -59,10 +59,9 @@ def roots(spark, d):
     return tree.roots(D.edges(spark, d))
 
 
-@query("SELECT depth, count(*) AS n_nodes, md5(string_agg(node, ',' ORDER BY node)) AS labels FROM depths GROUP BY depth", DEPTHS, True)
+@query("SELECT depth, count(*) OVER (PARTITION BY depth) AS n_nodes, node FROM depths", DEPTHS, True)
 def nodes_by_depth(spark, d):
-    found = tree.by_depth(tree.depths(D.edges(spark, d)))
-    return found.select("depth", "n_nodes", F.md5(F.array_join("nodes", ",").cast("binary")).alias("labels"))
+    return tree.by_depth(tree.depths(D.edges(spark, d)))
 
 
 @query("SELECT max(depth) AS max_depth FROM depths", DEPTHS, True)
@@ -549,8 +548,8 @@ def scatter_limit(spark, d):
 @query("SELECT node, k, round(true_e, 6) AS true_e, round(inferred_e, 6) AS inferred_e, (row_number() OVER (PARTITION BY k ORDER BY depth, node))::INT AS position FROM activities JOIN depths USING (node)", DEPTHS, True)
 def activity_heatmap(spark, d):
     rows = D.activities(spark, d).join(tree.depths(D.edges(spark, d)).select("node", "depth"), "node")
-    place = F.row_number().over(Window.partitionBy("k").orderBy("depth", "node"))
-    return rows.select("node", "k", r6("true_e"), r6("inferred_e"), place.alias("position"))
+    placed = vectors.positions(rows, "k", ["depth", "node"])
+    return placed.select("node", "k", r6("true_e"), r6("inferred_e"), "position")
 
 
 @query("SELECT 'Signature_' || k AS signature, 'Channel_' || channel AS channel, round(p, 6) AS p FROM signatures")
