@@ -7,6 +7,7 @@ same data.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeweft.functions.rng import STEPS, uniform_int
 from treeweft.operators.tree import nodes
 
 NODE = "tumour int, node string, parent string, length double, is_root boolean, num_mutations bigint, e array<double>"
@@ -24,12 +26,18 @@ def generator(seed: int, *key) -> np.random.Generator:
     return np.random.default_rng([seed, *(zlib.crc32(str(k).encode()) for k in key)])
 
 
+def keyed(*key) -> float:
+    """The number in (0, 1) that rng.uniform gives for the key."""
+    return (int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:13], 16) + 0.5) / STEPS
+
+
 def random_forest(
     spark: SparkSession, num_trees: int, min_leaves: int, max_leaves: int, seed: int, min_branch=100, max_branch=3000
 ) -> DataFrame:
     """Edges of random binary trees: a leaf at random splits until the number of leaves is reached.
 
-    Labels are T<tree>_<i>, from 1, parents before children; lengths are whole numbers, both ends included.
+    Labels are T<tree>_<i>, from 1, parents before children; lengths are whole numbers, both ends included. All draws
+    are keyed.
     """
     if not 1 <= min_leaves <= max_leaves or min_branch > max_branch:
         raise ValueError("bounds are the wrong way round")
@@ -37,21 +45,18 @@ def random_forest(
     def grow(frames):
         for frame in frames:
             rows = []
-            for t in frame["id"]:
-                rng = generator(seed, "tree", t)
-                leaves, parent = [0], {0: -1}
-                for _ in range(int(rng.integers(min_leaves, max_leaves + 1)) - 1):
-                    at = leaves.pop(int(rng.integers(len(leaves))))
-                    for _ in (0, 1):
-                        leaves.append(len(parent))
-                        parent[len(parent)] = at
-                for i, p in parent.items():
-                    if p >= 0:
-                        far = float(rng.integers(min_branch, max_branch + 1))
-                        rows.append((int(t), f"T{t + 1}_{p + 1}", f"T{t + 1}_{i + 1}", far))
-            yield pd.DataFrame(rows, columns=["tumour", "parent", "child", "length"])
-
-    return spark.range(num_trees).mapInPandas(grow, "tumour int, parent string, child string, length double")
+            for t in frame["id"].tolist():
+                leaves, made = [0], 1
+                for step in range(min_leaves + int(keyed("leaves", seed, t) * (max_leaves - min_leaves + 1)) - 1):
+                    at = leaves.pop(int(keyed("split", seed, t, step) * len(leaves)))
+                    rows += [(t, f"T{t + 1}_{at + 1}", f"T{t + 1}_{i + 1}") for i in (made, made + 1)]
+                    leaves += [made, made + 1]
+                    made += 2
+            yield pd.DataFrame(rows, columns=["tumour", "parent", "child"])
+
+    edges = spark.range(num_trees).mapInPandas(grow, "tumour int, parent string, child string")
+    far = uniform_int(min_branch, max_branch, "branch", str(seed), F.col("child"))
+    return edges.withColumn("length", far.cast("double"))
 
 
 def baseline(size: int, alpha_0: float, sparsity: float, seed: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeweft.functions.vectors import positions
 from treeweft.plans.lineage import settled
 
 
@@ -63,5 +64,5 @@ def union(*forests: DataFrame) -> DataFrame:
 
 
 def topological(found: DataFrame) -> DataFrame:
-    """Parents before children: by depth, then label."""
-    return found.orderBy("depth", "node")
+    """(..., position): parents before children, by depth, then label; numbered without gathering the forest."""
+    return positions(found.withColumn("_all", F.lit(0)), "_all", ["depth", "node"]).drop("_all")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treeweft.functions import arrays, rng, vectors
 from treeweft.operators import assign, diagnostics, evaluate, plotdata, sticks, tree
+from treeweft.operators.simulate import random_forest
 from treeweft.plans import domain as D
 from treeweft.plans import mcmc_sql
 from treeweft.plans.lineage import shared_root
@@ -64,6 +65,27 @@ def nodes_by_depth(spark, d):
     return tree.by_depth(tree.depths(D.edges(spark, d)))
 
 
+@query("SELECT node, (row_number() OVER (ORDER BY depth, node))::INT AS position FROM depths", DEPTHS, True)
+def topological_order(spark, d):
+    return tree.topological(tree.depths(D.edges(spark, d))).select("node", "position")
+
+
+GROWN = """grown AS (
+  SELECT t::INT AS tumour, 0 AS step, (3 + floor(unif('leaves|42|' || t) * 3))::INT AS size, [0] AS leaves, 1 AS made, -1 AS split FROM range(30) r(t)
+  UNION ALL
+  SELECT tumour, step + 1, size, list_concat(list_concat(leaves[1:i], leaves[i + 2:]), [made, made + 1]), made + 2, leaves[i + 1]
+  FROM (SELECT *, floor(unif('split|42|' || tumour || '|' || step) * len(leaves))::INT AS i FROM grown WHERE len(leaves) < size)
+), labels_ AS (
+  SELECT tumour, 'T' || (tumour + 1) || '_' || (split + 1) AS parent, 'T' || (tumour + 1) || '_' || (c + 1) AS child
+  FROM (SELECT tumour, split, unnest([made - 2, made - 1]) AS c FROM grown WHERE step > 0)
+)"""
+
+
+@query("SELECT tumour, parent, child, (100 + floor(unif('branch|42|' || child) * 2901))::DOUBLE AS length FROM labels_", GROWN, True)
+def random_trees(spark, d):
+    return random_forest(spark, 30, 3, 5, 42)
+
+
 @query("SELECT max(depth) AS max_depth FROM depths", DEPTHS, True)
 def max_depth(spark, d):
     return tree.depths(D.edges(spark, d)).agg(F.max("depth").alias("max_depth"))
@@ -716,7 +738,7 @@ def multinomial_counts(spark, d):
 def simulated_counts(spark, d):
     import numpy as np
 
-    from treeweft.operators.simulate import baseline, count_matrix, random_forest, simulate
+    from treeweft.operators.simulate import baseline, count_matrix, simulate
 
     s = np.random.default_rng(7).dirichlet(np.ones(CHANNELS), K)
     forest = random_forest(spark, 30, 3, 5, 42)
