@@ -38,36 +38,43 @@ BANDS, ROWS = 30, 5
 SKETCH, DIFFER = 2048, 286
 LONGS = SKETCH // 64
 #: Hashes times minima that are worked on at once.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 16
 
-_RANDOM = np.random.default_rng(SEED)
-_TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_RANDOM = np.random.default_rng(SEED + 1)
-_SKETCH_TIMES = _RANDOM.integers(0, 1 << 64, SKETCH, dtype=np.uint64) | np.uint64(1)
-_SKETCH_PLUS = _RANDOM.integers(0, 1 << 64, SKETCH, dtype=np.uint64)
 
+def permutations(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and terms of maps x -> a x + b of 32-bit numbers onto themselves."""
+    random = np.random.default_rng(seed)
+    return random.integers(0, 1 << 32, size, dtype=np.uint32) | np.uint32(1), random.integers(0, 1 << 32, size, dtype=np.uint32)
 
-def minima(found: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
-    """The least value of the hashes under each of the permutations."""
-    least = np.full(len(times), np.iinfo(np.uint64).max, dtype=np.uint64)
+
+OF_BANDS, OF_SKETCH = permutations(SEED, BANDS * ROWS), permutations(SEED + 1, SKETCH)
+_ODD = np.uint32(0x9E3779B1)
+
+
+def minima(found: np.ndarray, maps: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The least value of the hashes' upper halves under each of the maps."""
+    times, plus = maps
+    least = np.full(len(times), np.iinfo(np.uint32).max, dtype=np.uint32)
+    upper = (found >> np.uint64(32)).astype(np.uint32)[:, None]
     step = AT_ONCE // len(times)
-    for i in range(0, len(found), step):
-        np.minimum(least, (found[i : i + step, None] * times + plus).min(axis=0), out=least)
+    table = np.empty((min(step, len(upper)), len(times)), dtype=np.uint32)
+    for i in range(0, len(upper), step):
+        part = upper[i : i + step]
+        here = np.multiply(part, times, out=table[: len(part)])
+        here += plus
+        np.minimum(least, here.min(axis=0), out=least)
     return least
 
 
 def buckets(found: np.ndarray) -> list[int]:
     """A signed number for each band of the set's minima."""
-    rows = minima(found, _TIMES, _PLUS).reshape(BANDS, ROWS)
+    rows = minima(found, OF_BANDS).reshape(BANDS, ROWS)
     return [signed(xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
     """A bit of each of the set's other minima, as LONGS numbers."""
-    least = minima(found, _SKETCH_TIMES, _SKETCH_PLUS)
-    return np.packbits(least * _ODD >> np.uint64(63) != 0).view("<i8")
+    return np.packbits(minima(found, OF_SKETCH) * _ODD >> np.uint32(31) != 0).view("<i8")
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
