@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeweft.llm.audit import AUDIT_SQL, interactions
+from treeweft.llm.collocations import COLLOCATIONS_SQL, collocations
 from treeweft.llm.common import documents
 from treeweft.llm.hnsw import build_index, search_index
 from treeweft.llm.huffman import read_ids, write_ids
@@ -17,6 +19,7 @@ from treeweft.llm.simhash import near_duplicates
 from treeweft.llm.substrings import dedup_substrings, digest
 from treeweft.llm.tiff import media_digest, to_media
 from treeweft.llm.token_count import token_counts
+from treeweft.llm.windows import pack_windows
 
 
 def vocabulary() -> str:
@@ -70,6 +73,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_score(docs, model).select("doc_id", held_out, "score", predicted)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(documents(spark, sf_dir), vocabulary())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_token_count": op1_token_count,
     "op2_token_ids": op2_token_ids,
@@ -81,8 +96,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_windows": op12_windows,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op9_mixing": MIX_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
