@@ -7,8 +7,10 @@ each of which reads its shards where they lie, keeps the best it has met for eac
 is copied or moved for a query. Within a shard, building and searching go in lockstep over many vectors at a time.
 
 Points are ordered by layer, highest first, so that each layer holds a prefix of them, and layers are built from
-the top. All that a search has found is scored in double precision on the original vectors. Where the last of it may
-tie with an answer, so that there may be more like it, that query is held against the whole shard.
+the top. All that a search has found is scored in double precision on the original vectors. Scores are rounded to
+``DIGITS`` decimals, which is above the error of their sums, so that vectors of one direction have one score and tie. Where
+the last that a search has found may tie with an answer, so that there may be more like it, or a search ends with too few,
+that query is held against the whole shard.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, take no part; neither do null ids.
 Vectors meet only those of their own length. Rows that repeat an id and vector count once; of query rows that repeat an
@@ -41,6 +43,7 @@ FIRST = 512
 AT_ONCE = 4
 #: Single precision may be off by this much.
 CLOSE = 1e-6
+DIGITS = 12
 NONE = -1
 
 
@@ -275,21 +278,26 @@ class Shard:
     def nearest(self, asked: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(score, id) of the k nearest found of each query, -inf and NONE as filling; ``asked`` are their own ids."""
         found, near = search(self.single, self.layers, queries.astype(np.float32), max(EF_SEARCH, 4 * k))
-        scores = np.einsum("nd,nkd->nk", queries, self.unit[np.maximum(found, 0)])
-        scores[found < 0] = -np.inf
+        scores = self.scores(queries, found)
         out = self.best(asked, found, scores, k)
         # one point may be the query's own, so that the answers lie in the k + 1 best points
         last = -np.partition(-scores, k, axis=1)[:, k]
-        for i in np.flatnonzero((found[:, -1] >= 0) & (near[:, -1] >= last - CLOSE)).tolist():
+        # a search that ends early has met a part of the graph that no link leaves, as many points of one direction may be
+        for i in np.flatnonzero((found[:, -1] < 0) | (near[:, -1] >= last - CLOSE)).tolist():
             every = self.unit @ queries[i]
-            edge = -np.partition(-every, k)[k]
+            # this product rounds otherwise than the scores do: all within a margin are scored
+            edge = -np.partition(-every, k)[k] - 4 * 10.0**-DIGITS if len(every) > k else -np.inf
             these = np.flatnonzero(every >= edge)[None]
-            # scored like all others, so that equal vectors of two shards have equal scores
-            exact = np.einsum("nd,nkd->nk", queries[i : i + 1], self.unit[these])
+            exact = self.scores(queries[i : i + 1], these)
             for whole, part in zip(out, self.best(asked[i : i + 1], these, exact, k), strict=True):
                 whole[i] = part[0]
         return out
 
+    def scores(self, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The rounded cosine of each query and its points, -inf where there is none. Rounding an exact 1 leaves it 1."""
+        found = np.round(np.einsum("nd,nkd->nk", queries, self.unit[np.maximum(points, 0)]), DIGITS)
+        return np.where(points < 0, -np.inf, found)
+
     def best(self, asked: np.ndarray, points: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         ids = self.ids[np.maximum(points, 0)]
         good = (np.arange(ids.shape[2]) < self.given[np.maximum(points, 0)][:, :, None]) & (points >= 0)[:, :, None]
