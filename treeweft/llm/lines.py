@@ -1,12 +1,14 @@
 """Line deduplication with a deletion-neighbourhood join.
 
 A line goes if an earlier line, in this or another document, equals it or differs in one edit (a character put in,
-left out or replaced). Lines are compared without the white space around them; empty ones always stay; lines under
-``MIN_FUZZY`` characters go for equality only. Earlier is by document id (nulls first), then a hash of the text,
+left out or replaced). Lines are compared without the white space around them; empty ones always stay. What counts as an edit
+of a line is the argument ``fuzzy``: from so many characters on one edit is allowed, and shorter lines have to be equal, as another
+character makes another line of them. It may be any number from 1 on. Earlier is by document id (nulls first), then a hash of the text,
 then the line's number; a line is judged by the whole input, not by what is left of it.
 
 1. Every line gets a 128-bit hash, and keys of ``PARTS`` partial lines: of two lines one edit apart, all but one
-   part are equal. Keys that meet one line only are of no use; what holds of the others is a fixed-size bit table.
+   part are equal. Keys that meet one line only are of no use; what holds of the others is a fixed-size bit table. Lines too
+   short for parts have no keys, and all of their few variants are emitted.
 2. The lines that the table lets through emit their deletion neighbourhood: hashes of the line and of all variants
    with one character left out, in the parts where their keys allow an edit. Variants with the same character place left out belong to lines one replacement
    apart, and each only needs the earliest of them; a variant that is a whole line belongs to lines one insertion
@@ -20,6 +22,7 @@ result. Only the id and text columns are read, all others are carried along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,12 @@ from pyspark.sql import types as T
 
 from treeweft.llm.common import small_batches, stored, whole_text
 
-#: Characters of a line for each edit that is allowed, of which one is: shorter lines have to be equal.
+#: Characters from which on a line may differ in one edit, unless the caller says otherwise.
 MIN_FUZZY = 20
 PARTS = 4
 STEP = 4
+#: Shorter lines have no parts, so that a line of up to so many characters may be one edit away from one without.
+PARTED = PARTS * STEP
 BLANK = " \t\r\v\f"
 #: log2 of the bits of the table of keys; 16 MB whatever the input.
 TABLE_BITS = 27
@@ -214,6 +219,12 @@ def long_lines(batch: pa.RecordBatch, fuzzy: int) -> list[str]:
     return list({x for t in batch["_text"].to_pylist() for x in split(t) if len(x) >= fuzzy})
 
 
+def unparted(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lines that a line without parts may be one edit away from, and each one's whole span."""
+    short = np.array([i for i, x in enumerate(lines) if len(x) <= PARTED], dtype=np.int64)
+    return short, np.array([(0, len(lines[i])) for i in short.tolist()], dtype=np.int64).reshape(-1, 2)
+
+
 def passed_lines(rows: DataFrame, table, fuzzy: int) -> DataFrame:
     """(h, text, spans) of the lines with a key that the table holds: where those keys allow an edit."""
 
@@ -227,6 +238,9 @@ def passed_lines(rows: DataFrame, table, fuzzy: int) -> DataFrame:
             hit = np.ones(len(keys), dtype=bool)
             for place in bit_places(keys):
                 hit &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+            short, whole = unparted(lines)
+            of, spans = np.concatenate([of, short]), np.concatenate([spans, whole])
+            hit = np.concatenate([hit, np.ones(len(short), dtype=bool)])
             order = np.flatnonzero(hit)[np.argsort(of[hit], kind="stable")]
             which, counts = np.unique(of[order], return_counts=True)
             found = [lines[i] for i in which.tolist()]
@@ -255,7 +269,16 @@ def joined_lines(rows: DataFrame, shared: DataFrame, fuzzy: int) -> DataFrame:
             lines = long_lines(batch, fuzzy)
             yield pa.RecordBatch.from_arrays([pa.array(map(long_hash, lines), pa.binary()), pa.array(lines, pa.string())], ["h", "text"])
 
-    held = rows.select("_text").mapInArrow(parts, "h binary, key long, a int, b int").join(shared, "key", "left_semi")
+    def short_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = long_lines(batch, fuzzy)
+            of, whole = unparted(lines)
+            hashes = pa.array([long_hash(lines[i]) for i in of.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([hashes, *[pa.array(c.astype(np.int32)) for c in whole.T]], ["h", "a", "b"])
+
+    held = rows.select("_text").mapInArrow(parts, "h binary, key long, a int, b int").join(shared, "key", "left_semi").drop("key")
+    if fuzzy <= PARTED:
+        held = held.unionByName(rows.select("_text").mapInArrow(short_ones, "h binary, a int, b int"))
     spans = held.groupBy("h").agg(F.flatten(F.transform(F.collect_set(F.struct("a", "b")), lambda s: F.array(s["a"], s["b"]))).alias("spans"))
     text = rows.select("_text").mapInArrow(texts, "h binary, text string").groupBy("h").agg(F.first("text").alias("text"))
     return text.join(spans, "h")
@@ -318,6 +341,20 @@ def near_links(rows: DataFrame, lines: DataFrame, firsts: DataFrame, fuzzy: int)
     return verified(pairs).groupBy("h").agg(F.min("best").alias("near"))
 
 
+def without_lines(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+    """Each text without the lines of these numbers; null without any."""
+    out = []
+    for text, gone in zip(texts, numbers, strict=True):
+        if gone.is_valid:
+            lines = text.as_py().split("\n")
+            stay = np.ones(len(lines), dtype=bool)
+            stay[gone.values.to_numpy()] = False
+            out.append("\n".join(compress(lines, stay)))
+        else:
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -331,10 +368,10 @@ def dedup_lines(
     A document that loses lines and a null text come out as the text that is left. ``n_near`` counts lines that
     only a line one edit away took out. ``drop_emptied`` leaves out documents of which nothing but white space is
     left. Columns of ``docs`` that are named like the counts give way to these if they are asked for. Lines of fewer than
-    ``fuzzy`` characters, 16 at least, go for equality only.
+    ``fuzzy`` characters go for equality only.
     """
-    if fuzzy < PARTS * STEP:
-        raise ValueError(f"lines are compared for edits from {PARTS * STEP} characters on")
+    if fuzzy < 1:
+        raise ValueError("an empty line is no line: fuzzy is 1 at least")
     small_batches(docs.sparkSession)
     own = ("n_lines", "n_exact", "n_near")
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
@@ -362,8 +399,9 @@ def dedup_lines(
     carried = docs.select(row.alias("_row"), docs[id_col].alias("_id"), whole_text(text_col).alias("_text"))
     carried = carried.withColumn("_th", F.xxhash64("_text"))
     both = carried.join(gone, carried["_id"].eqNullSafe(gone["_gid"]) & (carried["_th"] == gone["_gth"]), "left")
-    left = F.expr("filter(split(_text, '\\n'), (x, i) -> not array_contains(_lines, i))")
-    both = both.withColumn("_left", F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n")))
+    # texts that lose nothing don't go to Python
+    left = F.arrow_udf(without_lines, "string")(F.when(F.col("_lines").isNotNull(), F.col("_text")), F.col("_lines"))
+    both = both.withColumn("_left", F.coalesce(left, F.col("_text")))
     if drop_emptied:
         both = both.filter(F.col("_lines").isNull() | F.col("_left").rlike(r"\S"))
     extra = [
