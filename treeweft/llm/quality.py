@@ -5,8 +5,9 @@ words) and that of the lines beside it. The field is fitted to labelled document
 the document's label is evidence for each of them. Forward-backward gives each line's probability of being good; a document's evidence is their mean,
 weighted by length, which a logistic curve fitted to the same documents turns into the score.
 
-The fit uses at most ``MAX_DOCUMENTS`` labelled documents as a whole, those with the smallest hashes of their ids, and
-fewer if these have over ``MAX_LINES`` lines; scoring covers whole texts of all. Labels, language, source and
+The fit uses at most ``MAX_DOCUMENTS`` labelled documents as a whole, those with the smallest hashes of their ids, of which
+each is taken that still fits into ``MAX_LINES`` lines; one that doesn't is passed over, and the next one tried. It is an error if
+there are labelled texts and none of them fits. Scoring covers whole texts of all. Labels, language, source and
 id are no inputs of a score. Rows whose crc32 of the id's text divides by 5 are never learnt from.
 
 Null and empty texts, and texts of white space, have no line and get the share of good among the learnt labels.
@@ -22,11 +23,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import fresh, small_batches, whole_text
+from treeweft.llm.common import fresh, small_batches, stored, whole_text
 
 MAX_DOCUMENTS = 6000
 MAX_LINES = 200_000
@@ -263,11 +264,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
     kind = T.StructType([*found.schema.fields[:3], *T._parse_datatype_string("own binary, sizes binary")])
     # of rows that repeat an id one is learnt from
     once = found.mapInArrow(work, kind).groupBy("_id", "_y").agg(F.min(F.struct("_th", "own", "sizes")).alias("one"))
-    once = once.select("_id", "_y", turn.alias("turn"), "one.own", "one.sizes", (F.octet_length("one.sizes") / 8).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("turn", "_id").rowsBetween(Window.unboundedPreceding, 0))  # MAX_DOCUMENTS rows at most
-    taken = once.withColumn("upto", upto).filter(F.col("upto") <= MAX_LINES).orderBy("turn", "_id").collect()
-    if not taken:
+    once = once.select("_id", "_y", turn.alias("turn"), "one.own", "one.sizes", (F.octet_length("one.sizes") / 8).cast("long").alias("n"))
+    once = stored(once, "quality-learnt")
+    fit, room, seen = [], MAX_LINES, 0
+    for r in once.select("_id", "turn", "n").orderBy("turn", "_id").collect():  # MAX_DOCUMENTS rows at most
+        seen += r["n"]
+        if r["n"] <= room:
+            fit.append((r["_id"],))
+            room -= r["n"]
+    if seen and room == MAX_LINES:
+        raise ValueError(f"none of the labelled documents has {MAX_LINES} lines or fewer; raise MAX_LINES")
+    if not fit:
         return None
+    ids = docs.sparkSession.createDataFrame(fit, T.StructType([once.schema["_id"]]))
+    taken = once.join(F.broadcast(ids), "_id", "left_semi").orderBy("turn", "_id").collect()
     own = np.concatenate([np.frombuffer(r["own"], dtype=np.float32) for r in taken]).reshape(-1, SHAPES)
     each = [np.frombuffer(r["sizes"], dtype=np.int64) for r in taken]
     if not len(own):
