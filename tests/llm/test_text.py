@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -108,6 +109,39 @@ def test_one_edit(a, b):
         assert lines.one_edit(a, b) == (b in near)
 
 
+@pytest.mark.parametrize("most", [lines.MOST_KEYS, 0])
+@pytest.mark.parametrize("fuzzy", [1, 5, 16])
+def test_short_lines(spark, monkeypatch, most, fuzzy):
+    """Edits of short lines, about the length from which on lines have parts, against brute force."""
+    monkeypatch.setattr(lines, "MOST_KEYS", most)
+    g = np.random.default_rng(fuzzy)
+    found = [["".join(g.choice(list("ab"), g.integers(1, 4))) for _ in range(12)]]
+    for n in (5, 14, 15, 16, 17, 18, 40):
+        base = "".join(g.choice(list("abc"), n))
+        found.append([base[:k] + x + base[k + d :] for k, x, d in zip(g.integers(0, n, 9), "xyxyxy  x", [0, 1, 1] * 3, strict=True)] + [base])
+    pool = [x.strip() for f in found for x in f]
+    rows = [(i, "\n".join(g.choice(pool, 4))) for i in range(60)]
+    seen, want = [], []
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            if not x or not any(x == y or (min(len(x), len(y)) >= fuzzy and lines.one_edit(x, y)) for y in seen):
+                kept.append(x)
+            if x:
+                seen.append(x)
+        want.append((i, "\n".join(kept)))
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs(spark, rows), fuzzy=fuzzy).collect())
+    assert got == want
+
+
+def test_many_lines_in_one_document(spark):
+    """Time in proportion to the lines that go: a million at once."""
+    rows = [(1, "the same line each time\n" * 1_000_000), (2, "another\nthe same line each time")]
+    began = time.monotonic()
+    got = dict(lines.dedup_lines(docs(spark, rows)).collect())
+    assert got == {1: "the same line each time\n", 2: "another"} and time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize("most", [lines.MOST_KEYS, 0])
 def test_lines(spark, monkeypatch, most):
     """By the table of keys, and by joins beyond its size."""
@@ -258,6 +292,24 @@ def test_quality_edges(spark):
     assert quality.with_score(frame.limit(0), model).count() == 0
 
 
+def test_quality_passes_over_what_does_not_fit(spark, monkeypatch):
+    """A labelled document over the bound on lines, first in turn, leaves the model as it is without it."""
+    g = np.random.default_rng(4)
+    rows = [(i, "\n".join("good words in a line" if i % 2 else "#$ 99 %% @@ !!" for _ in range(int(g.integers(1, 9))))) for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    learnt = [i for i, *_ in spark.createDataFrame(rows, "doc_id long, text string").filter(quality.fold_of("doc_id") != 0).collect()]
+    first = min(learnt, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    monkeypatch.setattr(quality, "MAX_LINES", 1000)
+    without = docs(spark, [r for r in rows if r[0] != first])
+    long_ = docs(spark, [(i, "short\n" * 1001 if i == first else t) for i, t in rows])
+    want = quality.fit_quality(without, labels)
+    got = quality.fit_quality(long_, labels)
+    texts = [t for _, t in rows]
+    assert np.allclose(got.score(texts), want.score(texts), atol=1e-9) and np.ptp(got.score(texts)) > 0.8
+    with pytest.raises(ValueError):
+        quality.fit_quality(docs(spark, [(first, "short\n" * 1001)]), labels)
+
+
 # ---- media
 
 
@@ -374,7 +426,7 @@ def test_shards_are_merged(spark, monkeypatch):
     hits = total = 0
     for q in {i for i, _ in rows if i % 50 == 0}:
         own = min((x for i, x in rows if i == q))
-        scores = np.einsum("nd,nkd->nk", hnsw.unit(np.array([own])), units[None])[0]
+        scores = np.round(np.einsum("nd,nkd->nk", hnsw.unit(np.array([own])), units[None])[0], hnsw.DIGITS)
         best = {}
         for i, c in zip(ids.tolist(), scores.tolist(), strict=True):
             if i != q:
@@ -389,6 +441,22 @@ def test_shards_are_merged(spark, monkeypatch):
         hnsw.search_index(index, frame, k=6)
 
 
+def test_one_direction_is_one_score(spark, monkeypatch):
+    """300 multiples of one vector by factors that aren't whole, whose cosines differ by rounding only."""
+    g = np.random.default_rng(3)
+    v, w = g.standard_normal((2, 16))
+    rows = [(i, (v * (1 + 0.37 * i)).tolist()) for i in range(300)] + [(1000, w.tolist())]
+    rows += [(2000 + i, x.tolist()) for i, x in enumerate(g.standard_normal((200, 16)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for size in (hnsw.SHARD_SIZE, 100):
+        found = {}
+        for r in hnsw.search_index(hnsw.build_index(frame, shard_size=size), frame.filter("vec_id in (0, 1000)")).collect():
+            found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert sorted(found[0]) == [(i, i, 1.0) for i in range(1, 6)]
+        others = {i: round(float(np.dot(w, x) / np.linalg.norm(w) / np.linalg.norm(x)), 12) for i, x in rows if i != 1000}
+        assert [(i, s) for _, i, s in sorted(found[1000])] == sorted(others.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 # ---- mixing
 
 
