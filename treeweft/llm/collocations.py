@@ -1,10 +1,11 @@
 """Collocations: phrases of a language whose words are found together far more often than by chance.
 
 1. Every phrase of 1 to ``max_n`` words becomes a row (language, phrase, times) and is counted by a hash aggregate. A phrase that is
-   there ``least`` times has parts that are, so that longer phrases are only exploded where all their words, and then all
-   their pairs of words, are that frequent: words first, then pairs, then all longer phrases. What is frequent is told by a bit table
-   of fixed size, which may let others through, to be counted and dropped, and never holds one back. Rows are added up within an
-   Arrow batch first, and by Spark within a task before they are shuffled.
+   there ``least`` times has parts that are, so that longer phrases are only exploded where all their words, and all
+   their pairs of words, can be that frequent. Words are counted first, then hashes of pairs of frequent words, and then phrases.
+   What is frequent is told by bit tables of fixed size, which may let others through, to be counted and dropped, and never hold one
+   back; two pairs of one hash have at least as many together as each alone. Rows are added up within an Arrow batch
+   first, and by Spark within a task before they are shuffled.
 2. Each cut of a candidate joins the counts of its first part and of its rest; both are frequent, as the candidate is. Scores are
    worked out in Decimal of 38 digits, and the lowest-scoring cut counts.
 3. A candidate goes if an extension by one word holds ``subsumed`` percent of its occurrences: any longer phrase that does lies
@@ -30,13 +31,16 @@ from pyspark.sql import types as T
 
 from treeweft.llm.chunks import AT_ONCE_BYTES
 from treeweft.llm.common import gathered, small_batches, stored, whole_text
-from treeweft.llm.lines import bit_places, key_table
+from treeweft.llm.lines import BASE, bit_places, key_table, mix
 
 MAX_N = 5
 LEAST = 100
 MOST = 2000
 SUBSUMED = 100
 SALTS = 64
+#: Buckets of hashes of pairs, and words of the corpus for which there is one more.
+LEAST_BUCKETS = 64
+BUCKET_WORDS = 1 << 20
 #: Bytes of the table of languages up to which every task gets it.
 BROADCAST_BYTES = 8 << 20
 #: A-Z to a-z, tab to space, and what ends a piece to a line feed.
@@ -83,10 +87,29 @@ class Words:
         return pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
 
 
-def phrase_keys(lang: str, phrases: pa.Array) -> np.ndarray:
+def word_keys(lang: str, words: pa.Array) -> np.ndarray:
     """What Spark's xxhash64(lang, phrase) gives."""
     seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
-    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in phrases.to_pylist()), dtype=np.uint64, count=len(phrases))
+    return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in words.to_pylist()), dtype=np.uint64, count=len(words))
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket and a number of 32 bits for each pair of words, by their keys."""
+    h = mix(first * BASE + second)
+    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+
+
+def table_keys(bucket, number: np.ndarray) -> np.ndarray:
+    return mix(np.asarray(bucket).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits, a byte of all after the other, so that those that are small compress well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def let_through(table: bytes, keys: np.ndarray) -> np.ndarray:
@@ -99,7 +122,7 @@ def let_through(table: bytes, keys: np.ndarray) -> np.ndarray:
 def longer(words: Words, at: np.ndarray, number: np.ndarray, good: np.ndarray, max_n: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(k, phrases, times) for all k from 3 on, of phrases whose pairs are all marked in ``good``."""
     # the number of the frequent pair that begins at a place, or -1
-    pair = np.full(len(words.ids) + 1, -1, dtype=np.int64)
+    pair = np.full(len(words.ids) + max_n, -1, dtype=np.int64)
     pair[at] = np.where(good[number], number, -1)
     here, known = np.flatnonzero(pair >= 0), pair[pair >= 0]
     for k in range(3, max_n + 1):
@@ -111,63 +134,101 @@ def longer(words: Words, at: np.ndarray, number: np.ndarray, good: np.ndarray, m
         yield k, words.phrases(here[first], k), times
 
 
-def exploded(rows: DataFrame, k: int, max_n: int, words_table=None, pairs_table=None) -> DataFrame:
-    """(lang, k, phrase, a) of single words (k = 1), of pairs of frequent words (2), or of all longer phrases of frequent pairs
-    (3), each phrase once for each batch."""
+def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
+    for batch in gathered(batches, AT_ONCE_BYTES):
+        by: dict[str, list[str]] = {}
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            by.setdefault(lang, []).append(text)
+        for lang, texts in by.items():
+            yield lang, Words(texts)
+
+
+def phrase_batch(lang: str, k: int, phrases: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+    langs = pa.array([lang]).take(pa.array(np.zeros(len(times), dtype=np.int64)))
+    text = phrases.cast(pa.large_string(), safe=False).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(times), k, dtype=np.int32)), text, pa.array(times.astype(np.int64))], ROWS.names)
+
+
+def word_rows(rows: DataFrame) -> DataFrame:
+    """(lang, k, phrase, a) of single words, each once for each batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, AT_ONCE_BYTES):
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                for size, phrases, times in found_in(lang, Words(texts)):
-                    kinds = [pa.array([lang]).take(pa.array(np.zeros(len(times), dtype=np.int64))), pa.array(np.full(len(times), size, dtype=np.int32))]
-                    kept = phrases.cast(pa.large_string(), safe=False).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([*kinds, kept, pa.array(times.astype(np.int64))], ROWS.names)
-
-    def found_in(lang: str, words: Words) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-        if k == 1:
-            yield 1, *words.counts()
-            return
-        words.only(let_through(words_table.value, phrase_keys(lang, words.words)))
-        at, number, first = words.pairs()
-        pairs = words.phrases(first, 2)
-        if k == 2:
-            yield 2, pairs, np.bincount(number, minlength=len(first))
-        else:
-            yield from longer(words, at, number, let_through(pairs_table.value, phrase_keys(lang, pairs)), max_n)
+        for lang, words in by_language(batches):
+            yield phrase_batch(lang, 1, *words.counts())
 
     return rows.mapInArrow(work, ROWS)
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
+def frequent_pairs(rows: DataFrame, words_table, buckets: int, least: int) -> DataFrame:
+    """(key) of the hashes that pairs of frequent words have ``least`` times.
+
+    A batch's numbers are sorted and become one row for each bucket, which hold their distances and times. There are as
+    many buckets as keep those of one small.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words in by_language(batches):
+            keys = word_keys(lang, words.words)
+            words.only(let_through(words_table.value, keys))
+            at, number, first = words.pairs()
+            bucket, low = pair_keys(keys[words.ids[first]], keys[words.ids[first + 1]], buckets)
+            times = np.minimum(np.bincount(number, minlength=len(first)), 0xFFFFFFFF)
+            order = np.lexsort((low, bucket))
+            bucket, low, times = bucket[order], low[order], times[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            ends = np.r_[cuts[1:], len(bucket)]
+            gaps = [planes(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in zip(cuts, ends, strict=False)]
+            held = [planes(times[a:b]) for a, b in zip(cuts, ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(gaps, pa.binary()), pa.array(held, pa.binary())], ["bucket", "gaps", "times"])
+
+    def add(key, table: pa.Table) -> pa.Table:
+        low = np.concatenate([np.cumsum(from_planes(x), dtype=np.uint32) for x in table["gaps"].to_pylist()])
+        times = np.concatenate([from_planes(x) for x in table["times"].to_pylist()])
+        numbers, at = np.unique(low, return_inverse=True)
+        often = numbers[np.bincount(at, weights=times) >= least]
+        return pa.table({"key": pa.array(table_keys(key[0].as_py(), often).view(np.int64))})
 
+    counted = rows.mapInArrow(count, "bucket long, gaps binary, times binary")
+    return counted.groupBy("bucket").applyInArrow(lambda k, t: add(k, t), "key long")
 
-def table_of(frequent: DataFrame):
-    keys = frequent.select(F.xxhash64("lang", "phrase").alias("key"))
-    return frequent.sparkSession.sparkContext.broadcast(key_table(keys))
+
+def phrase_rows(rows: DataFrame, words_table, pairs_table, buckets: int, max_n: int) -> DataFrame:
+    """(lang, k, phrase, a) of all phrases of 2 words and more whose pairs the tables let through, each once for each batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words in by_language(batches):
+            keys = word_keys(lang, words.words)
+            words.only(let_through(words_table.value, keys))
+            at, number, first = words.pairs()
+            pairs = pair_keys(keys[words.ids[first]], keys[words.ids[first + 1]], buckets)
+            good = let_through(pairs_table.value, table_keys(*pairs))
+            yield phrase_batch(lang, 2, words.phrases(first[good], 2), np.bincount(number, minlength=len(first))[good])
+            for k, phrases, times in longer(words, at, number, good, max_n):
+                yield phrase_batch(lang, k, phrases, times)
+
+    return rows.mapInArrow(work, ROWS)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
 
 
 def phrase_counts(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = MAX_N, least: int = LEAST
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, a) of all phrases that are there ``least`` times, and (lang, n) of all words."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
-    words = stored(summed(exploded(rows, 1, max_n)), "words")
+    words = stored(summed(word_rows(rows)), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    enough = F.col("a") >= least
-    frequent = [words.filter(enough)]
-    tables = []
-    for k in range(2, min(max_n, 3) + 1):
-        tables.append(table_of(frequent[-1]))
-        frequent.append(stored(summed(exploded(rows, k, max_n, *tables)).filter(enough), f"phrases-{k}"))
-    counts = frequent[0]
-    for more in frequent[1:]:
-        counts = counts.unionByName(more)
-    return counts, totals
+    frequent = words.filter(F.col("a") >= least)
+    words_table = spark.sparkContext.broadcast(key_table(frequent.select(F.xxhash64("lang", "phrase").alias("key"))))
+    buckets = LEAST_BUCKETS + (totals.agg(F.sum("n")).head()[0] or 0) // BUCKET_WORDS
+    keys = stored(frequent_pairs(rows, words_table, buckets, least), "pairs")
+    pairs_table = spark.sparkContext.broadcast(key_table(keys))
+    phrases = summed(phrase_rows(rows, words_table, pairs_table, buckets, max_n)).filter(F.col("a") >= least)
+    return frequent.unionByName(stored(phrases, "phrases")), totals
 
 
 def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
