@@ -59,16 +59,24 @@ def top_k(rows: DataFrame, by, value: str, tie: str, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def positions(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``position``, from 1, of each row among those with its ``by``.
+def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each name in ``sums``, the sum of its column over the row and those before it in its group.
 
-    A group may hold most rows: rows are dealt by ranges of (by, *order), numbered within each range, and a table of
-    a row for each range and group tells how many come before.
+    A group may hold most rows, or all of them (``by`` empty): rows are dealt by ranges of (*by, *order) and summed within each
+    range, and a table of a row for each range and group tells what comes before. Ties in ``order`` go in any order.
     """
-    placed = settled(rows.repartitionByRange(F.col(by), *[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
-    counts = placed.groupBy(by, "_p").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(by, "_p", F.coalesce(before, F.lit(0)).alias("_before"))
-    here = F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order))
-    both = placed.withColumn("_here", here).join(starts, [by, "_p"])
-    return both.withColumn("position", (F.col("_here") + F.col("_before")).cast("int")).drop("_p", "_here", "_before")
+    dealt = rows.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("_p", F.spark_partition_id())
+    placed = settled(dealt.select("*", *[c.cast("long").alias(f"_v_{n}") for n, c in sums.items()]))
+    parts = placed.groupBy(*by, "_p").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*by, "_p", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    upto = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = placed.select("*", *[F.sum(f"_v_{n}").over(upto).alias(f"_h_{n}") for n in sums])
+    both = here.join(starts, [*by, "_p"])
+    return both.select(*rows.columns, *[(F.col(f"_h_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
+
+
+def positions(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``position``, from 1, of each row among those with its ``by``, which may be most of them."""
+    found = running(rows, [by], order, {"position": F.lit(1)})
+    return found.withColumn("position", F.col("position").cast("int"))

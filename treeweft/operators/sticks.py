@@ -52,6 +52,38 @@ def pick(draws: DataFrame, alpha: float, stream: str = "stick") -> DataFrame:
     return both.select(draws["node"], "draw", "k")
 
 
+def tree_draws(forest: DataFrame, draws: DataFrame, alpha: float, stream: str = "tree") -> DataFrame:
+    """(node, draw, root, k) of (node, draw): draws from processes whose atoms are draws of their parent's process.
+
+    ``forest`` holds (node, parent, depth) of all nodes; labels are unique. Each node breaks one stick, whoever asks. Piece k of a
+    node below a root stands for one draw of its parent, keyed by the two, so that all draws that fall into that piece are
+    one atom, and nodes whose pieces fall into one piece further up share it. Piece k of a root is an atom of its own: what
+    is returned is which. Requests go up level by level, each asked once, and answers come down: one join a level each way.
+    """
+    asked = settled(draws.join(forest, "node").select("node", "depth", F.concat_ws("|", F.lit("draw"), "draw").alias("key"), "draw"))
+    ups = forest.select("node", "parent")
+    above, levels = None, []
+    deepest = asked.agg(F.max("depth")).head()[0]
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        here = asked.filter(F.col("depth") == depth).select("node", "key")
+        here = here if above is None else here.unionByName(above)
+        picked = pick(here.select("node", F.col("key").alias("draw"), uniform(stream, F.col("node"), F.col("key")).alias("u")), alpha, f"{stream}-stick")
+        wanted = F.concat_ws("|", F.lit("atom"), "node", "k").alias("wanted")
+        levels.append(settled(picked.join(ups, "node").select("node", "parent", F.col("draw").alias("key"), "k", wanted)))
+        above = levels[-1].filter("parent is not null").select(F.col("parent").alias("node"), F.col("wanted").alias("key")).distinct()
+    known = found = None
+    for level in reversed(levels):
+        here = level.filter("parent is null").select("node", "key", F.col("node").alias("root"), "k")
+        if known is not None:
+            up = known.select(F.col("node").alias("parent"), F.col("key").alias("wanted"), "root", F.col("k").alias("_k"))
+            here = here.unionByName(level.join(up, ["parent", "wanted"]).select("node", "key", "root", F.col("_k").alias("k")))
+        known = settled(here)
+        found = known if found is None else found.unionByName(known)
+    if found is None:
+        return asked.select("node", "draw", F.col("node").alias("root"), F.lit(0).alias("k"))
+    return asked.join(found, ["node", "key"]).select("node", "draw", "root", "k")
+
+
 def atoms(ks: DataFrame, channels: int, stream: str = "atom", concentration: float = 1.0) -> DataFrame:
     """(k, channel, p): for each row (k) a draw of a symmetric Dirichlet, whose concentration is a multiple of a half.
 

@@ -65,7 +65,7 @@ def generate(spark: SparkSession, config: dict) -> str:
         spark, int(forest["num_trees"]), int(forest["min_leaves"]), int(forest["max_leaves"]), seed,
         bounds.get("min_branch_length", 100), bounds.get("max_branch_length", 3000),
     )
-    files.write_newick(newick.serialise(edges), f"{out}/newick_string.nwk")
+    files.write_newick(newick.text_rows(edges), f"{out}/newick_string.nwk")
     s = signature_matrix(spark, sim)
     size, alpha, sparsity = len(s), number(sim["alpha"]), number(sim.get("activity_sparsity", 0))
     dropout, alpha_0 = number(sim.get("signature_dropout", 0)), number(sim.get("alpha_0", 1))
@@ -104,7 +104,7 @@ def tree_model(spark: SparkSession, config: dict) -> infer.TreeModel:
     """The model of one cohort, which lies in each sampling task as a whole."""
     inf = config["inference"]
     data, priors = inf["data"], inf["priors"]
-    edges = newick.parse(files.read_newick(spark, f"{data['newick_string']}").groupBy().agg(F.array_join(F.collect_list("value"), "").alias("value")))
+    edges = newick.parse_parts(files.read_newick(spark, data["newick_string"]), "value", files.LINE_ORDER)
     tree.check_forest(edges)
     placed = tree.depths(edges).join(tree.nodes(edges), ["tumour", "node"]).orderBy("depth", "node").collect()
     seen, x = matrix(files.read_counts(spark, data["count_matrix"]), "node")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeweft.functions import arrays, rng, vectors
+from treeweft.functions import arrays, rng, tables, vectors
 from treeweft.operators import assign, diagnostics, evaluate, plotdata, sticks, tree
 from treeweft.operators.simulate import random_forest
 from treeweft.plans import domain as D
@@ -101,10 +101,61 @@ def in_degree(spark, d):
     return tree.in_degrees(D.edges(spark, d))
 
 
+CLOSURE = f"""{DEPTHS}, closure AS (
+  SELECT tumour, node AS anc, node FROM depths
+  UNION ALL
+  SELECT c.tumour, e.parent, c.node FROM closure c JOIN edges e ON e.child = c.anc AND e.tumour = c.tumour
+), paths AS (
+  SELECT tumour, node, depth, [node] AS path FROM depths WHERE depth = 0
+  UNION ALL
+  SELECT e.tumour, e.child, p.depth + 1, list_append(path, e.child) FROM paths p JOIN edges e ON e.parent = p.node AND e.tumour = p.tumour
+), placed AS (
+  SELECT tumour, node, depth, size, row_number() OVER (PARTITION BY tumour ORDER BY path) - 1 AS entry
+  FROM paths JOIN (SELECT tumour, anc AS node, count(*) AS size FROM closure GROUP BY ALL) USING (tumour, node)
+)"""
+
+
+@query("SELECT c.node, c.anc AS root, d.depth FROM closure c JOIN depths d ON d.node = c.node WHERE d.depth > 0 AND c.anc IN (SELECT node FROM depths WHERE depth = 0)", CLOSURE, True)
+def node_roots(spark, d):
+    return tree.to_roots(D.edges(spark, d)).select("node", "root", "depth")
+
+
+@query("SELECT tumour, node, depth, size, entry, entry + size - 1 AS exit FROM placed", CLOSURE, True)
+def tree_intervals(spark, d):
+    return tree.intervals(D.edges(spark, d)).select("tumour", "node", "depth", "size", "entry", "exit")
+
+
+@query("SELECT anc AS node, coalesce(sum(n), 0)::BIGINT AS mutations FROM closure c LEFT JOIN counts USING (node) GROUP BY anc", CLOSURE, True)
+def subtree_totals(spark, d):
+    """Mutations of a node and all below it."""
+    placed = tree.intervals(D.edges(spark, d))
+    own = D.counts(spark, d).groupBy("node").agg(F.sum("n").alias("mutations"))
+    return tree.within(placed, placed.join(own, "node"), "mutations").select("node", "mutations")
+
+
+@query("""SELECT z.node, z.k, count(a.node) AS n_violations FROM zeros z JOIN closure c ON c.anc = z.node
+LEFT JOIN activities a ON a.node = c.node AND a.k = z.k AND a.true_e > 0 GROUP BY z.node, z.k""",
+       f"""{CLOSURE}, zeros AS (SELECT node, k::INT AS k FROM inner_nodes, range(10) t(k) WHERE unif('off|' || node || '|' || k) < 0.2)""", True)
+def inheritance(spark, d):
+    """What is off in a node has to be off in all below it: for each, how many nodes break that."""
+    off = D.inner_nodes(spark, d).select("node", F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("k"))
+    off = off.filter(rng.uniform("off", F.col("node"), F.col("k")) < 0.2)
+    placed = tree.intervals(D.edges(spark, d)).select("tumour", "node", "entry", "exit")
+    on = D.activities(spark, d).filter("true_e > 0").select("node", "k", F.lit(1).alias("n_violations"))
+    return tree.within(placed.join(off, "node"), placed.join(on, "node"), "n_violations", "k").select("node", "k", "n_violations")
+
+
 @query("SELECT tumour, parent, child, round(length, 6) AS length FROM edges")
 def newick_round_trip(spark, d):
-    text = newick.serialise(D.edges(spark, d))
-    return newick.parse(text, "newick", "tumour").select("tumour", "parent", "child", r6("length"))
+    text = newick.text_rows(D.edges(spark, d))
+    return newick.parse_parts(text, "text", ["tumour", "position"], "tumour").select("tumour", "parent", "child", r6("length"))
+
+
+@query("SELECT tumour, parent, child, round(length, 6) AS length FROM edges")
+def newick_table_function(spark, d):
+    tables.register(spark)
+    newick.text_rows(D.edges(spark, d)).createOrReplaceTempView("treeweft_newick")
+    return spark.sql("SELECT tumour, parent, child, round(length, 6) AS length FROM newick_edges(TABLE(treeweft_newick))")
 
 
 @query("""SELECT child, any_value(parent) AS parent FROM (SELECT * FROM edges WHERE tumour <= 2 UNION ALL SELECT * FROM edges WHERE tumour >= 2) GROUP BY child""")
@@ -454,6 +505,60 @@ def atom_select(spark, d):
     return sticks.sample(D.inner_nodes(spark, d).select("node"), 30, ALPHA)
 
 
+def _level(depth: int) -> str:
+    """Requests at the nodes of one depth, and the pieces that they fall into."""
+    below = f"UNION SELECT parent, 'atom|' || node || '|' || k FROM p{depth + 1}" if depth < 2 else ""
+    return f"""q{depth} AS (
+  SELECT node, key, unif('tree|' || node || '|' || key) AS u FROM (
+    SELECT node, 'draw|' || draw AS key FROM every, range(3) t(draw) WHERE depth = {depth} {below})
+), p{depth} AS (
+  SELECT q.node, e.parent, q.key, s.k FROM q{depth} q JOIN every e ON e.node = q.node
+  JOIN pieces s ON s.node = q.node AND 1 - q.u <= s.rest AND 1 - q.u > s.rest_after
+)"""
+
+
+def _answer(depth: int) -> str:
+    if not depth:
+        return "a0 AS (SELECT node, key, node AS root, k FROM p0)"
+    return f"""a{depth} AS (
+  SELECT p.node, p.key, a.root, a.k FROM p{depth} p JOIN a{depth - 1} a ON a.node = p.parent AND a.key = 'atom|' || p.node || '|' || p.k)"""
+
+
+HIERARCHY = f"""{DEPTHS}, every AS (
+  SELECT d.node, d.depth, e.parent FROM depths d LEFT JOIN edges e ON e.child = d.node
+), pieces AS (
+  SELECT node, k, exp(coalesce(sum(ln(1 - v)) OVER (PARTITION BY node ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest,
+         rest * (1 - v) AS rest_after
+  FROM (SELECT node, k::INT AS k, 1.0 - pow(1.0 - unif('tree-stick|' || node || '|' || k), 1.0::DOUBLE / 2.0) AS v FROM every, range(64) t(k))
+), {", ".join(map(_level, (2, 1, 0)))}, {", ".join(map(_answer, (0, 1, 2)))}, answers AS (
+  SELECT node, substr(key, 6)::INT AS draw, root, k FROM (SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2) WHERE key LIKE 'draw|%'
+)"""
+
+
+def hierarchy(spark, d):
+    e = D.edges(spark, d)
+    forest = tree.nodes(e).join(tree.depths(e), ["tumour", "node"])
+    asked = forest.select("node", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("draw"))
+    return sticks.tree_draws(forest.select("node", "parent", "depth"), asked, ALPHA)
+
+
+# the 64 pieces of a stick are a bound of the SQL; the library breaks as many as it needs
+@query("SELECT * FROM answers", HIERARCHY, True)
+def hierarchical_draws(spark, d):
+    """Three draws of each node of the forest, as atoms of the roots."""
+    return hierarchy(spark, d)
+
+
+@query("""SELECT parent, count(*) AS n_draws, count(DISTINCT (root, k)) AS n_atoms, max(c)::BIGINT AS most_siblings
+FROM (SELECT e.parent, a.*, count(DISTINCT a.node) OVER (PARTITION BY e.parent, root, k) AS c FROM answers a JOIN edges e ON e.child = a.node) GROUP BY parent""", HIERARCHY, True)
+def shared_atoms(spark, d):
+    """How few atoms the draws of siblings are, and how many siblings have one in common."""
+    up = D.edges(spark, d).select("parent", F.col("child").alias("node"))
+    found = hierarchy(spark, d).join(up, "node").groupBy("parent", "root", "k")
+    found = found.agg(F.count("*").alias("n"), F.count_distinct("node").alias("c"))
+    return found.groupBy("parent").agg(F.sum("n").alias("n_draws"), F.count("*").alias("n_atoms"), F.max("c").alias("most_siblings"))
+
+
 DIR1 = """g AS (SELECT (i // 96)::INT AS k, (i % 96)::INT AS channel, -ln(unif('atom|' || (i // 96) || '|' || (i % 96))) AS g FROM range(20 * 96) t(i)),
 atoms AS (SELECT k, channel, g / sum(g) OVER (PARTITION BY k) AS p FROM g)"""
 DEEP = DIR1.replace("20 * 96", "128 * 96")
@@ -656,8 +761,8 @@ def edge_file(spark, d):
 
 @query("SELECT parent, child, round(length, 6) AS length FROM edges")
 def newick_file(spark, d):
-    files.write_newick(newick.serialise(D.edges(spark, d)), path := scratch(spark, "newick_string.nwk"))
-    return newick.parse(files.read_trees(spark, path)).select("parent", "child", r6("length"))
+    files.write_newick(newick.text_rows(D.edges(spark, d)), path := scratch(spark, "newick_string.nwk"))
+    return newick.parse_parts(files.read_newick(spark, path), "value", files.LINE_ORDER).select("parent", "child", r6("length"))
 
 
 @query("SELECT chain, draw, value FROM sigma")

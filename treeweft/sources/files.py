@@ -78,17 +78,21 @@ def write_matrix(wide: DataFrame, path: str) -> None:
     wide.write.mode("overwrite").csv(path, header=True)
 
 
-def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def write_newick(parts: DataFrame, path: str) -> None:
+    """Parts of Newick text (tumour, position, text), a line each, in order within and between the files of a folder."""
+    ordered = parts.repartitionByRange("tumour", "position").sortWithinPartitions("tumour", "position")
+    ordered.select("text").write.mode("overwrite").text(path)
 
 
-def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """A row a tree of Newick text with a tree a line, as write_newick writes it; trees have no number of their own."""
-    return spark.read.text(path)
+def read_newick(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, value): lines of Newick text, to be read in order of the first three."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    return lines.select("file", "block", F.monotonically_increasing_id().alias("line"), "value")
 
 
-def write_newick(trees: DataFrame, path: str) -> None:
-    trees.orderBy("tumour").select("newick").write.mode("overwrite").text(path)
+LINE_ORDER = ["file", "block", "line"]
 
 
 def write_report(report: DataFrame, path: str) -> None:
