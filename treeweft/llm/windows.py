@@ -37,6 +37,8 @@ from treeweft.llm.token_ids import encode_texts
 
 CAPACITY = 2048
 END = 1
+#: Pieces of dissolved windows up to which the rows of those that are cut go to all tasks, some 100 bytes each.
+FEW = 50_000
 
 
 class RoomTree:
@@ -116,11 +118,13 @@ class Plan:
     ``runs[n]``: rows (first number, times, first window, offset, first place, step) of the pieces of length n, by
     first number. Those of a dissolved window have no window (-1), but a place in the stream of such tokens.
     ``gaps``: rows (first place, first window, room, offset, times), by first place: where the stream goes.
+    ``dissolved``: how many pieces lie in dissolved windows.
     """
 
     runs: dict[int, np.ndarray]
     gaps: np.ndarray
     windows: int
+    dissolved: int
 
 
 def planned(patterns: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY, close: bool = True) -> Plan:
@@ -168,6 +172,7 @@ def planned(patterns: list[tuple[tuple[int, ...], int]], capacity: int = CAPACIT
         {n: np.array(r, dtype=np.int64) for n, r in runs.items()},
         np.array(gaps, dtype=np.int64).reshape(-1, 5),
         windows,
+        sum(len(p) * t for p, t in dissolved),
     )
 
 
@@ -294,6 +299,8 @@ def pack_windows(
     cut = placed if with_ids else placed.filter(F.size("parts") > 1)
     keys = [F.col(c).alias(f"_{c}") for c in ("part", "length", "at")]
     ids = pieces.select(*keys, "ids")
+    if plan.dissolved <= FEW and not with_ids:
+        cut = F.broadcast(cut)
     same = [cut[c] == ids[f"_{c}"] for c in ("part", "length", "at")]
     found = part_rows(cut.join(ids, same).select(*placed.columns, "ids"), with_ids)
     if not with_ids:
