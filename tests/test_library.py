@@ -173,7 +173,7 @@ def test_sticks(spark):
     found = sticks.sticks(rows, 40, 1.0).groupBy("node").agg(F.sum("weight").alias("s"), F.min("weight").alias("m")).collect()
     assert all(0.99 < r["s"] <= 1 + 1e-9 and r["m"] > 0 for r in found)
     with pytest.raises(ValueError):
-        sticks.synthesise(spark, 2, 1.5)
+        sticks.synthesise(spark.range(2).withColumnRenamed("id", "k"), 1.5)
     kept = sticks.dropout(spark.createDataFrame([(str(i), k, 0.5) for i in range(40) for k in (0, 1)], "node string, k int, e double"), 0.95)
     assert kept.groupBy("node").agg(F.count_if("kept").alias("n")).filter("n = 0").count() == 0
 
@@ -355,3 +355,43 @@ def test_simulated_activities_and_counts(spark):
         found[r["channel"]] = r["n"]
     want = sum(r["num_mutations"] * (np.array(r["e"]) @ s) for r in truth)
     assert np.abs(found - want).max() < 6 * np.sqrt(want.max()) and found.sum() == sum(r["num_mutations"] for r in truth)
+
+
+def test_quantiles_and_narrowest_intervals(spark):
+    """Order statistics by ranges: ties that most rows share, nulls, NaN, one row, and no groups at all."""
+    g = np.random.default_rng(8)
+    by = {"a": g.integers(0, 4, 301).astype(float), "b": np.r_[np.zeros(200), g.random(90)], "c": np.array([2.5]), "d": g.random(64)}
+    rows = [(k, float(x)) for k, v in by.items() for x in v] + [("a", None), ("d", float("nan")), ("e", None)]
+    frame = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    found = vectors.quantiles(frame, ["g"], "x", {"low": 0.05, "mid": 0.5, "top": 1.0}).collect()
+    assert {r["g"]: tuple(r)[1:] for r in found} == {k: pytest.approx(tuple(np.quantile(v, (0.05, 0.5, 1.0)))) for k, v in by.items()}
+    every = np.concatenate(list(by.values()))
+    assert vectors.quantiles(frame, [], "x", {"m": 0.25}).head()[0] == pytest.approx(np.quantile(every, 0.25))
+    assert vectors.quantiles(frame.limit(0), ["g"], "x", {"m": 0.5}).count() == 0
+    clean = spark.createDataFrame([(k, float(x)) for k, v in by.items() for x in v], "g string, value double")
+    for prob in (0.5, 0.97):
+        want = {}
+        for k, v in by.items():
+            v = np.sort(v)
+            span = min(int(np.floor(prob * len(v))), len(v) - 1)
+            want[k] = min((v[i + span] - v[i], v[i], v[i + span]) for i in range(len(v) - span))[1:]
+        assert {r["g"]: (r["lo"], r["hi"]) for r in evaluate.hdi(clean, "g", prob=prob).collect()} == want
+    one = evaluate.hdi(clean.drop("g"), [], prob=0.5).head()
+    assert one["hi"] - one["lo"] == min(np.sort(every)[i + len(every) // 2] - np.sort(every)[i] for i in range(len(every) - len(every) // 2))
+
+
+def test_medians_of_columns(spark):
+    rows = [("a", 1.0, float("nan")), ("a", 3.0, float("nan")), ("b", 2.0, 5.0), (None, 9.0, 9.0)]
+    found = evaluate.medians(spark.createDataFrame(rows, "g string, x double, y double"), "g", ["x", "y"]).collect()
+    assert sorted(map(tuple, found)) == [("a", 2.0, None), ("b", 2.0, 5.0)]
+
+
+def test_heaviest_pieces(spark):
+    ids = spark.createDataFrame([(f"n{i}",) for i in range(12)], "node string")
+    for alpha in (0.5, 9.0):
+        plain = sticks.sticks(ids, 400, alpha).collect()
+        want = {n: sorted(((r["weight"], r["k"]) for r in plain if r["node"] == n), reverse=True)[:5] for n in {r["node"] for r in plain}}
+        got = {}
+        for r in sticks.heaviest(ids, 5, alpha).collect():
+            got.setdefault(r["node"], []).append((r["weight"], r["k"]))
+        assert {n: [k for _, k in sorted(v, reverse=True)] for n, v in got.items()} == {n: [k for _, k in v] for n, v in want.items()}

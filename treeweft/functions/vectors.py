@@ -80,3 +80,24 @@ def positions(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """``rows`` with ``position``, from 1, of each row among those with its ``by``, which may be most of them."""
     found = running(rows, [by], order, {"position": F.lit(1)})
     return found.withColumn("position", F.col("position").cast("int"))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """(*by, *names): exact quantiles of each group, between two values by their distances; nulls and NaN don't count.
+
+    Equal values are one row with their number before they are put in order, and the order is by ranges: neither a
+    group nor a value that most rows have is held by one task.
+    """
+    counted = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("_x"))
+    counted = settled(counted.agg(F.count("*").alias("_n")))
+    upto = running(counted, by, ["_x"], {"_upto": F.col("_n")})
+    found = upto.join(counted.groupBy(*by).agg(F.sum("_n").alias("_all")), by) if by else upto.crossJoin(counted.agg(F.sum("_n").alias("_all")))
+    parts = []
+    for i, q in enumerate(names.values()):
+        at = (F.col("_all") - 1) * F.lit(float(q))
+        for side, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
+            here = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+            parts.append(F.max(F.when(here, F.col("_x"))).alias(f"_{side}{i}"))
+        parts.append(F.max(at - F.floor(at)).alias(f"_w{i}"))
+    ends = found.groupBy(*by).agg(*parts)
+    return ends.select(*by, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")).alias(n) for i, n in enumerate(names)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeweft.functions.vectors import cosine, mean_abs_error, pearson
+from treeweft.functions.vectors import cosine, mean_abs_error, pearson, quantiles, running
 
 GATE_R_HAT, GATE_ESS, STRONG, NEAR_ZERO = 1.01, 100, 0.3, 0.01
 
@@ -107,22 +107,29 @@ def gates(stats: DataFrame) -> DataFrame:
 
 
 def medians(stats: DataFrame, by, columns) -> DataFrame:
-    """Medians by group. Rows without a group are left out, NaN doesn't count."""
+    """Medians by group. Rows without a group are left out, NaN doesn't count; a column without any value in a group is null."""
     keys = [by] if isinstance(by, str) else list(by)
     for k in keys:
         stats = stats.filter(F.col(k).isNotNull())
-    return stats.groupBy(*keys).agg(*[F.median(F.when(~F.isnan(c), F.col(c))).alias(f"median_{c}") for c in columns])
+    long = stats.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])).alias("m"))
+    found = quantiles(long.select(*keys, "m._c", "m._v"), [*keys, "_c"], "_v", {"_m": 0.5})
+    wide = [F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(f"median_{c}") for c in columns]
+    return stats.select(*keys).distinct().join(found, keys, "left").groupBy(*keys).agg(*wide)
 
 
 def hdi(samples: DataFrame, by, value: str = "value", prob: float = 0.97) -> DataFrame:
-    """(*by, lo, hi): of the intervals of floor(prob*n)+1 sorted samples the narrowest, the lowest on ties."""
+    """(*by, lo, hi): of the intervals of floor(prob*n)+1 sorted samples the narrowest, the lowest on ties.
+
+    Samples are numbered by ranges, equal ones in any order, and each meets the one so many places further on: the samples of a key
+    may be more than a task holds.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    order = Window.partitionBy(*by).orderBy(value)
-    rows = samples.select(*by, value).withColumn("_i", F.row_number().over(order))
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    span = F.least(F.floor(F.col("_n") * prob), F.col("_n") - 1).cast("int")
-    ends = rows.select(*by, F.col(value).alias("hi"), (F.col("_i") - span).alias("_i"))
-    both = rows.join(ends, [*by, "_i"]).select(*by, F.col(value).alias("lo"), "hi")
+    rows = samples.select(*by, F.col(value).alias("_x")).withColumn("_tie", F.monotonically_increasing_id())
+    rows = running(rows, by, ["_x", "_tie"], {"_i": F.lit(1)}).drop("_tie")
+    sizes = rows.groupBy(*by).agg(F.max("_i").alias("_n"))
+    sizes = sizes.select(*by, F.least(F.floor(F.col("_n") * prob), F.col("_n") - 1).alias("_span"))
+    ends = (rows.join(sizes, by) if by else rows.crossJoin(sizes)).select(*by, F.col("_x").alias("hi"), (F.col("_i") - F.col("_span")).alias("_i"))
+    both = rows.join(ends, [*by, "_i"]).select(*by, F.col("_x").alias("lo"), "hi")
     best = F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), "lo", "hi"))
     if not by:
         return both.agg(best.alias("b")).select("b.lo", "b.hi")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeweft.functions.vectors import quantiles
+
 MOST_ROWS = 20_000
 
 
@@ -16,8 +18,7 @@ def box(rows: DataFrame, by, value: str) -> DataFrame:
     for c in by:
         rows = rows.filter(F.col(c).isNotNull())
     rows = rows.filter(~F.isnan(value))
-    quarters = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    cuts = rows.groupBy(*by).agg(quarters).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    cuts = quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.join(cuts, by).groupBy(*by, "q1", "median", "q3").agg(

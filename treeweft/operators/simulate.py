@@ -39,6 +39,11 @@ def random_forest(
     Labels are T<tree>_<i>, from 1, parents before children; lengths are whole numbers, both ends included. All draws
     are keyed.
     """
+    return grown_forest(spark.range(num_trees), min_leaves, max_leaves, seed, min_branch, max_branch)
+
+
+def grown_forest(trees: DataFrame, min_leaves: int, max_leaves: int, seed: int, min_branch=100, max_branch=3000) -> DataFrame:
+    """The edges of a tree for each row (id)."""
     if not 1 <= min_leaves <= max_leaves or min_branch > max_branch:
         raise ValueError("bounds are the wrong way round")
 
@@ -54,7 +59,7 @@ def random_forest(
                     made += 2
             yield pd.DataFrame(rows, columns=["tumour", "parent", "child"])
 
-    edges = spark.range(num_trees).mapInPandas(grow, "tumour int, parent string, child string")
+    edges = trees.select(F.col("id").cast("long").alias("id")).mapInPandas(grow, "tumour int, parent string, child string")
     far = uniform_int(min_branch, max_branch, "branch", str(seed), F.col("child"))
     return edges.withColumn("length", far.cast("double"))
 

@@ -28,6 +28,24 @@ def broken(ids: DataFrame, pieces: Column, alpha: float, stream: str) -> DataFra
     return rows.select("node", "k", (F.col("v") * F.col("rest")).alias("weight"), "rest", (F.col("rest") * (1 - F.col("v"))).alias("rest_after"))
 
 
+def heaviest(ids: DataFrame, most: int, alpha: float, stream: str = "stick") -> DataFrame:
+    """(node, k, weight): the ``most`` largest of all pieces of each node's stick, the later of equal ones first.
+
+    Sticks are broken, in twice as many pieces each time, until what is left is smaller than the last of these.
+    """
+    need, pieces, found = settled(ids.select("node").distinct()), 16, None
+    order = Window.partitionBy("node").orderBy(F.col("weight").desc(), F.col("k").desc())
+    while not need.isEmpty():
+        rows = broken(need, F.lit(pieces), alpha, stream).withColumn("left", F.min("rest_after").over(Window.partitionBy("node")))
+        top = settled(rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most))
+        done = top.groupBy("node").agg(F.min("weight").alias("w"), F.max("left").alias("left"), F.count("*").alias("n"))
+        done = done.filter((F.col("n") == most) & (F.col("left") < F.col("w"))).select("node")
+        here = top.join(done, "node", "left_semi").select("node", "k", "weight")
+        found = here if found is None else found.unionByName(here)
+        need, pieces = settled(need.join(done, "node", "left_anti")), 2 * pieces
+    return ids.select("node", F.lit(0).alias("k"), F.lit(0.0).alias("weight")).limit(0) if found is None else found
+
+
 def pick(draws: DataFrame, alpha: float, stream: str = "stick") -> DataFrame:
     """(node, draw, k): the piece in which each (node, draw, u) falls; u lies in [0, 1).
 
@@ -147,12 +165,11 @@ def channel_of(signatures: DataFrame, draws: DataFrame) -> DataFrame:
     return both.select("node", "draw", "k", "channel")
 
 
-def synthesise(spark, size: int, correlation: float, channels: int = 96) -> DataFrame:
-    """(k, channel, p): a shared and an own flat Dirichlet row, mixed by ``correlation``, to the power 1.5."""
+def synthesise(ks: DataFrame, correlation: float, channels: int = 96) -> DataFrame:
+    """(k, channel, p) for each row (k): a shared and an own flat Dirichlet row, mixed by ``correlation``, to the power 1.5."""
     if not 0 <= correlation <= 1:
         raise ValueError("the correlation lies between 0 and 1")
-    ks = spark.range(size).select(F.col("id").cast("int").alias("k"))
-    base = atoms(ks.filter("k = 0"), channels, "base").select("channel", F.col("p").alias("b"))
+    base = atoms(ks.sparkSession.range(1).select(F.lit(0).alias("k")), channels, "base").select("channel", F.col("p").alias("b"))
     rows = atoms(ks, channels, "own").join(F.broadcast(base), "channel")
     rows = rows.withColumn("m", F.pow(correlation * F.col("b") + (1 - correlation) * F.col("p"), 1.5))
     return rows.select("k", "channel", (F.col("m") / F.sum("m").over(Window.partitionBy("k"))).alias("p"))

@@ -82,10 +82,11 @@ def vector_signatures(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
 
 
 def inner_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, depth) of regions and nations."""
-    nation = table(spark, sf_dir, "nation")
+    """(node, depth) of regions, nations and suppliers: the parameters that are drawn from, more on larger tables."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     top = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node"), F.lit(0).alias("depth"))
-    return top.unionByName(nation.select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.lit(1).alias("depth")))
+    middle = nation.select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.lit(1).alias("depth"))
+    return top.unionByName(middle).unionByName(supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("node"), F.lit(2).alias("depth")))
 
 
 def chains(spark: SparkSession) -> DataFrame:
@@ -103,9 +104,11 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", level * level * level * (F.lit(0.5) + noise))
 
 
-def global_draws(spark: SparkSession) -> DataFrame:
-    """(chain, draw, value) of the global parameter."""
-    return chains(spark).withColumn("value", F.lit(0.5) + uniform("sigma", F.col("chain"), F.col("draw")))
+def global_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chain, draw, value) of the global parameter, a draw an order."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((key % CHAINS).cast("int").alias("chain"), F.floor(key / CHAINS).cast("int").alias("draw"))
+    return rows.withColumn("value", F.lit(0.5) + uniform("sigma", F.col("chain"), F.col("draw")))
 
 
 CTES = r"""
@@ -137,6 +140,7 @@ edges AS (
   SELECT odd, k, channel, m / sum(m) OVER (PARTITION BY odd, k) AS p FROM vecm
 ), inner_nodes AS (
   SELECT 'R' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation
+  UNION ALL SELECT 'S' || s_suppkey, 2 FROM supplier
 ), chains AS (
   SELECT (i % 4)::INT AS chain, (i // 4)::INT AS draw FROM range(200) t(i)
 ), draws AS (
@@ -144,7 +148,8 @@ edges AS (
          pow3(unif('level|' || node || '|' || k)) * (0.5 + unif('draw|' || node || '|' || k || '|' || chain || '|' || draw)) AS value
   FROM inner_nodes, range(10) t(k), chains
 ), sigma AS (
-  SELECT chain, draw, 0.5 + unif('sigma|' || chain || '|' || draw) AS value FROM chains
+  SELECT chain, draw, 0.5 + unif('sigma|' || chain || '|' || draw) AS value
+  FROM (SELECT (o_orderkey % 4)::INT AS chain, (o_orderkey // 4)::INT AS draw FROM orders)
 )
 """
 

@@ -45,7 +45,7 @@ def signature_matrix(spark: SparkSession, sim: dict) -> np.ndarray:
         found = matrix(files.read_signatures(spark, sim["signatures"]["path"]), "name")[1]
     elif source == "synthesize":
         size = int(sim["signatures"]["num_signatures"])
-        rows = sticks.synthesise(spark, size, number(sim["signatures"].get("correlation") or 0)).collect()
+        rows = sticks.synthesise(spark.range(size).select(F.col("id").cast("int").alias("k")), number(sim["signatures"].get("correlation") or 0)).collect()
         found = np.zeros((size, CHANNELS))
         for r in rows:
             found[r["k"], r["channel"]] = r["p"]

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from treeweft.functions import arrays, rng, tables, vectors
 from treeweft.operators import assign, diagnostics, evaluate, plotdata, sticks, tree
-from treeweft.operators.simulate import random_forest
+from treeweft.operators.simulate import grown_forest
 from treeweft.plans import domain as D
 from treeweft.plans import mcmc_sql
-from treeweft.plans.lineage import shared_root
+from treeweft.plans.lineage import settled, shared_root
 from treeweft.sources import files, newick
 
 K, CHANNELS = D.K, D.CHANNELS
@@ -71,7 +71,7 @@ def topological_order(spark, d):
 
 
 GROWN = """grown AS (
-  SELECT t::INT AS tumour, 0 AS step, (3 + floor(unif('leaves|42|' || t) * 3))::INT AS size, [0] AS leaves, 1 AS made, -1 AS split FROM range(30) r(t)
+  SELECT t::INT AS tumour, 0 AS step, (3 + floor(unif('leaves|42|' || t) * 3))::INT AS size, [0] AS leaves, 1 AS made, -1 AS split FROM (SELECT s_suppkey AS t FROM supplier)
   UNION ALL
   SELECT tumour, step + 1, size, list_concat(list_concat(leaves[1:i], leaves[i + 2:]), [made, made + 1]), made + 2, leaves[i + 1]
   FROM (SELECT *, floor(unif('split|42|' || tumour || '|' || step) * len(leaves))::INT AS i FROM grown WHERE len(leaves) < size)
@@ -83,7 +83,8 @@ GROWN = """grown AS (
 
 @query("SELECT tumour, parent, child, (100 + floor(unif('branch|42|' || child) * 2901))::DOUBLE AS length FROM labels_", GROWN, True)
 def random_trees(spark, d):
-    return random_forest(spark, 30, 3, 5, 42)
+    """A tree a supplier."""
+    return grown_forest(D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), 3, 5, 42)
 
 
 @query("SELECT max(depth) AS max_depth FROM depths", DEPTHS, True)
@@ -323,7 +324,7 @@ CORR = """corr AS (
 
 
 def correlations(spark, d) -> DataFrame:
-    return evaluate.global_correlations(D.draws(spark, d), D.global_draws(spark))
+    return evaluate.global_correlations(D.draws(spark, d), D.global_draws(spark, d))
 
 
 @query("SELECT node, signature, round(correlation, 6) AS correlation_with_alpha, round(mean_activity, 6) AS mean_activity FROM corr", CORR)
@@ -375,10 +376,10 @@ def hdi_94(spark, d):
 
 
 @query("""SELECT 1.0::DOUBLE AS true_alpha, round(m, 6) AS posterior_mean, round(s, 6) AS posterior_sd, round(lo, 6) AS "hdi_3%", round(hi, 6) AS "hdi_97%", lo <= 1 AND hi >= 1 AS true_in_hdi
-FROM (SELECT avg(value) AS m, stddev_pop(value) AS s FROM sigma), (SELECT a.value AS lo, b.value AS hi FROM o a JOIN o b ON b.i = a.i + 194 ORDER BY hi - lo, lo LIMIT 1)""",
-       "o AS (SELECT value, row_number() OVER (ORDER BY value) AS i FROM sigma)")
+FROM (SELECT avg(value) AS m, stddev_pop(value) AS s FROM sigma), (SELECT a.value AS lo, b.value AS hi FROM o a JOIN o b ON b.i = a.i + a.span ORDER BY hi - lo, lo LIMIT 1)""",
+       "o AS (SELECT value, row_number() OVER (ORDER BY value) AS i, least(floor(0.97::DOUBLE * count(*) OVER ()), count(*) OVER () - 1) AS span FROM sigma)")
 def compare_alpha(spark, d):
-    found = evaluate.compare_global(D.global_draws(spark), 1.0, 0.97)
+    found = evaluate.compare_global(D.global_draws(spark, d), 1.0, 0.97)
     return found.select("true_alpha", r6("posterior_mean"), r6("posterior_sd"), r6("`hdi_3%`", "hdi_3%"), r6("`hdi_97%`", "hdi_97%"), "true_in_hdi")
 
 
@@ -394,8 +395,8 @@ SIZES = ("mean", "sd", "ess_bulk", "ess_tail", "r_hat")
 
 
 def depth_stats_rows(spark, d) -> DataFrame:
-    """Each parameter's summary with its node's depth."""
-    return diagnostics.summary(D.draws(spark, d), ("node", "k")).join(D.inner_nodes(spark, d), "node")
+    """Each parameter's summary with its node's depth, worked out once."""
+    return settled(diagnostics.summary(D.draws(spark, d), ("node", "k")).join(D.inner_nodes(spark, d), "node"))
 
 
 @query("SELECT node, k, round(r_hat, 6) AS r_hat FROM rhat", RHAT)
@@ -562,17 +563,24 @@ def shared_atoms(spark, d):
 DIR1 = """g AS (SELECT (i // 96)::INT AS k, (i % 96)::INT AS channel, -ln(unif('atom|' || (i // 96) || '|' || (i % 96))) AS g FROM range(20 * 96) t(i)),
 atoms AS (SELECT k, channel, g / sum(g) OVER (PARTITION BY k) AS p FROM g)"""
 DEEP = DIR1.replace("20 * 96", "128 * 96")
+PARTS = """cells_ AS (SELECT p_partkey AS k, c::INT AS channel FROM part, range(96) t(c)), g AS (SELECT k, channel, -ln(unif('atom|' || k || '|' || channel)) AS g FROM cells_),
+atoms AS (SELECT k, channel, g / sum(g) OVER (PARTITION BY k) AS p FROM g)"""
+
 
+def parts(spark, d):
+    """A component a part."""
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
 
-@query("SELECT k, channel, round(p, 6) AS p FROM atoms", DIR1)
+
+@query("SELECT k, channel, round(p, 6) AS p FROM atoms", PARTS)
 def dirichlet_one(spark, d):
-    return sticks.atoms(ids(spark, PIECES, "k"), CHANNELS).select("k", "channel", r6("p"))
+    return sticks.atoms(parts(spark, d), CHANNELS).select("k", "channel", r6("p"))
 
 
-@query("""SELECT k, channel, round(g / sum(g) OVER (PARTITION BY k), 6) AS p FROM (SELECT (i // 96)::INT AS k, (i % 96)::INT AS channel,
--ln(unif('half|' || (i // 96) || '|' || (i % 96) || '|size')) * pow(cos(2 * pi() * unif('half|' || (i // 96) || '|' || (i % 96) || '|turn')), 2) AS g FROM range(20 * 96) t(i))""")
+@query("""SELECT k, channel, round(g / sum(g) OVER (PARTITION BY k), 6) AS p FROM (SELECT k, channel,
+-ln(unif('half|' || k || '|' || channel || '|size')) * pow(cos(2 * pi() * unif('half|' || k || '|' || channel || '|turn')), 2) AS g FROM cells_)""", PARTS)
 def dirichlet_half(spark, d):
-    return sticks.atoms(ids(spark, PIECES, "k"), CHANNELS, "half", 0.5).select("k", "channel", r6("p"))
+    return sticks.atoms(parts(spark, d), CHANNELS, "half", 0.5).select("k", "channel", r6("p"))
 
 
 @query("""SELECT q.node, q.draw, q.k, channel FROM (SELECT *, unif('channel|' || node || '|' || draw || '|' || k) AS u FROM picks) q
@@ -584,20 +592,28 @@ def sampled_channels(spark, d):
 
 @query("""SELECT k, channel, round(m / sum(m) OVER (PARTITION BY k), 6) AS p FROM (
 SELECT o.k, o.channel, pow(0.3 * b.p + 0.7 * o.p, 1.5) AS m FROM o JOIN b USING (channel))""",
-       """o AS (SELECT k, channel, g / sum(g) OVER (PARTITION BY k) AS p FROM (SELECT (i // 96)::INT AS k, (i % 96)::INT AS channel, -ln(unif('own|' || (i // 96) || '|' || (i % 96))) AS g FROM range(960) t(i))),
+       """o AS (SELECT k, channel, g / sum(g) OVER (PARTITION BY k) AS p FROM (SELECT p_partkey AS k, c::INT AS channel, -ln(unif('own|' || p_partkey || '|' || c)) AS g FROM part, range(96) t(c))),
 b AS (SELECT channel, g / sum(g) OVER () AS p FROM (SELECT i::INT AS channel, -ln(unif('base|0|' || i)) AS g FROM range(96) t(i)))""")
 def synthetic_signatures(spark, d):
-    return sticks.synthesise(spark, K, 0.3).select("k", "channel", r6("p"))
+    return sticks.synthesise(parts(spark, d), 0.3).select("k", "channel", r6("p"))
+
+
+SIZES_ = "SELECT k, row_number() OVER (ORDER BY unif('mask|' || k), k) > round_even(0.4::DOUBLE * count(*) OVER (), 0) AS active FROM (SELECT DISTINCT p_size AS k FROM part)"
+
+
+def part_sizes(spark, d):
+    return D.table(spark, d, "part").select(F.col("p_size").alias("k")).distinct()
 
 
-@query("SELECT k::INT AS k, row_number() OVER (ORDER BY unif('mask|' || k), k) > 4 AS active FROM range(10) t(k)")
+@query(SIZES_)
 def zero_subset(spark, d):
-    return sticks.zero_subset(ids(spark, K, "k"), 0.4)
+    """Sizes of parts as components: a bounded set."""
+    return sticks.zero_subset(part_sizes(spark, d), 0.4)
 
 
-@query("SELECT count_if(active)::BIGINT AS true_K FROM (SELECT row_number() OVER (ORDER BY unif('mask|' || k), k) > 4 AS active FROM range(10) t(k))")
+@query(f"SELECT count_if(active)::BIGINT AS true_K FROM ({SIZES_})")
 def active_count(spark, d):
-    return sticks.zero_subset(ids(spark, K, "k"), 0.4).agg(F.count_if("active").alias("true_K"))
+    return sticks.zero_subset(part_sizes(spark, d), 0.4).agg(F.count_if("active").alias("true_K"))
 
 
 @query("""SELECT node, k, round(e, 6) AS e, CASE WHEN n <= 1 THEN e > 0 WHEN l = 0 THEN e > 0 AND r = 1 ELSE s END AS kept FROM (
@@ -664,7 +680,7 @@ def cosine_histogram(spark, d):
 
 @query(hist_sql("sigma", "value", 60, True))
 def alpha_density(spark, d):
-    return rounded_bins(plotdata.histogram(D.global_draws(spark), "value", 60, True), True)
+    return rounded_bins(plotdata.histogram(D.global_draws(spark, d), "value", 60, True), True)
 
 
 @query("SELECT round(greatest(max(true_e), max(inferred_e)) * 1.05, 6) AS axis_limit FROM activities")
@@ -696,11 +712,11 @@ def node_signatures(spark, d):
     return top.join(D.signatures(spark, d), "k").select("node", "rank", "k", "channel", r6("p"))
 
 
-@query("SELECT s.node, s.k, channel, round(weight, 6) AS weight, round(p, 6) AS p FROM (SELECT * FROM sticks QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, k DESC) <= 3) s JOIN atoms USING (k)", f"{STICKS}, {DIR1}")
+@query("SELECT s.node, s.k, channel, round(weight, 6) AS weight, round(p, 6) AS p FROM (SELECT * FROM deep QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, k DESC) <= 3) s JOIN atoms USING (k)", f"{STICKS}, {DEEP}")
 def stick_signatures(spark, d):
-    pieces = sticks.sticks(D.inner_nodes(spark, d).select("node"), PIECES, ALPHA)
-    top = vectors.top_k(pieces, "node", "weight", "k", 3)
-    return top.join(sticks.atoms(ids(spark, PIECES, "k"), CHANNELS), "k").select("node", "k", "channel", r6("weight"), r6("p"))
+    """The three heaviest of all pieces of each node; the SQL looks at the first 128."""
+    top = sticks.heaviest(D.inner_nodes(spark, d).select("node"), 3, ALPHA)
+    return top.join(sticks.atoms(top.select("k").distinct(), CHANNELS), "k").select("node", "k", "channel", r6("weight"), r6("p"))
 
 
 @query()
@@ -767,7 +783,7 @@ def newick_file(spark, d):
 
 @query("SELECT chain, draw, value FROM sigma")
 def draws_file(spark, d):
-    own = D.global_draws(spark).select(F.lit("sigma").alias("var"), "chain", "draw", F.lit(None).cast("string").alias("node"), F.lit(None).cast("int").alias("k"), "value")
+    own = D.global_draws(spark, d).select(F.lit("sigma").alias("var"), "chain", "draw", F.lit(None).cast("string").alias("node"), F.lit(None).cast("int").alias("k"), "value")
     nodes_ = D.draws(spark, d).select(F.lit("e").alias("var"), "chain", "draw", "node", "k", "value")
     files.write_draws(own.unionByName(nodes_), path := scratch(spark, "trace.parquet"))
     return files.read_draws(spark, path, "sigma").select("chain", "draw", "value")
@@ -841,10 +857,13 @@ def multinomial_counts(spark, d):
 
 @query()
 def simulated_counts(spark, d):
+    """Counts of a tree a supplier, with the parts' signatures."""
     import numpy as np
 
     from treeweft.operators.simulate import baseline, count_matrix, simulate
 
-    s = np.random.default_rng(7).dirichlet(np.ones(CHANNELS), K)
-    forest = random_forest(spark, 30, 3, 5, 42)
+    s = np.zeros((K, CHANNELS))
+    for r in D.signatures(spark, d).collect():  # K x CHANNELS cells at most
+        s[r["k"], r["channel"]] = r["p"]
+    forest = random_trees(spark, d)
     return count_matrix(simulate(forest, baseline(K, 10.0, 0.4, 42), alpha=15.0, dropout=0.1), s)
