@@ -1,10 +1,11 @@
-"""Experiments from a YAML configuration: simulate data into files, and fit the model with fixed signatures.
+"""Experiments from a YAML configuration: simulate data into files, fit the model with fixed signatures, evaluate a run.
 
     python -m treeweft.plans.experiment generate --config c.yaml
     python -m treeweft.plans.experiment fit --config c.yaml
+    python -m treeweft.plans.experiment evaluate --config c.yaml
 
-Matrices, edges and Newick text are written as folders of CSV or text, draws as Parquet by variable. Numbers in the
-configuration may be fractions such as "1/96".
+Matrices, edges and Newick text are written as folders of CSV or text, draws as Parquet by variable and as NetCDF by chain.
+Numbers in the configuration may be fractions such as "1/96".
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeweft.operators import diagnostics, infer, simulate, sticks, tree
-from treeweft.sources import files, newick
+from treeweft.operators import assign, diagnostics, evaluate, infer, simulate, sticks, tree
+from treeweft.plans.lineage import settled
+from treeweft.sources import files, netcdf, newick
 
 CHANNELS = files.CHANNELS
 # the parameters of each prior, in the order in which its density takes them (fixed names of the configuration)
@@ -40,7 +42,11 @@ def matrix(wide: DataFrame, index: str) -> tuple[list[str], np.ndarray]:
 
 
 def signature_matrix(spark: SparkSession, sim: dict) -> np.ndarray:
+    """The signatures that ``sim`` names by its source: those of a file, whatever number it names, or so many made ones."""
     source = sim["signatures"]["source"]
+    needed = {"load": "path", "synthesize": "num_signatures"}.get(source)
+    if needed and sim["signatures"].get(needed) is None:
+        raise ValueError(f"provide a path to load signatures from, or num_signatures to make: {needed} is missing")
     if source == "load":
         found = matrix(files.read_signatures(spark, sim["signatures"]["path"]), "name")[1]
     elif source == "synthesize":
@@ -130,18 +136,75 @@ def fit(spark: SparkSession, config: dict) -> str:
         number(inf.get("target_accept", 0.95)), int(inf.get("max_treedepth", 10)), int(inf.get("seed", 42)),
     )
     files.write_draws(draws, f"{out}/trace.parquet")
+    netcdf.write_draws(files.read_draws(spark, f"{out}/trace.parquet"), f"file://{out}/trace.nc")
     found = diagnostics.summary(files.read_draws(spark, f"{out}/trace.parquet"), ("var", "node", "k"))
     found.write.mode("overwrite").csv(f"{out}/inference_summary.csv", header=True)
     return out
 
 
+def evaluate_run(spark: SparkSession, config: dict) -> str:
+    """What the draws of a fitted run say, against the truth if it is known, from files alone; returns the folder of tables.
+
+    The run's folder has the draws; ``inference.data`` names the Newick text and counts, and may name ``true_activities``,
+    ``ground_truth_params``, and ``inferred_signatures`` beside the true ``fixed_signatures``. Tables that need what isn't named are not written. A node
+    counts if it has mutations; nodes without truth are left out of what needs it, and it is an error if none is left.
+    """
+    inf = config["inference"]
+    data, run = inf["data"], str(files.make_output_dir(inf.get("results_dir", "results"), config["experiment_name"]).resolve())
+    out = f"{run}/evaluation"
+
+    def write(name: str, table: DataFrame) -> None:
+        table.write.mode("overwrite").csv(f"{out}/{name}.csv", header=True)
+
+    edges = newick.parse_parts(files.read_newick(spark, data["newick_string"]), "value", files.LINE_ORDER)
+    depth = settled(tree.depths(edges))
+    counts = files.from_matrix(files.read_counts(spark, data["count_matrix"]), "node", "channel", "n", "Channel_")
+    seen = settled(counts.groupBy("node").agg(F.sum("n").alias("n")).filter("n > 0").select("node"))
+    draws = files.read_draws(spark, f"{run}/trace.parquet", "e").select("chain", "draw", "node", "k", "value")
+    draws = draws.join(seen, "node", "left_semi")
+    sigma = files.read_draws(spark, f"{run}/trace.parquet", "sigma").select("chain", "draw", "value")
+    stats = settled(diagnostics.summary(draws, ("node", "k")).join(depth.select("node", "depth"), "node"))
+    write("depth_stats", stats.select("node", "depth", F.col("k").alias("signature"), "mean", "sd", "ess_bulk", "ess_tail", "r_hat"))
+    write("depth_medians", evaluate.medians(stats, "depth", ["mean", "sd", "ess_bulk", "ess_tail", "r_hat"]))
+    write("convergence", evaluate.gates(stats))
+    related = settled(evaluate.global_correlations(draws, sigma))
+    write("correlations", related.select("node", "signature", F.col("correlation").alias("correlation_with_alpha"), "mean_activity"))
+    write("correlation_summary", evaluate.correlation_summary(related))
+    write("strongest_correlations", evaluate.strongest(related))
+    if "ground_truth_params" in data:
+        alpha = files.read_report(spark, data["ground_truth_params"]).head()["alpha"]
+        write("alpha", evaluate.compare_global(sigma, float(alpha)))
+    pairs = size = None
+    if "true_activities" in data:
+        truth = files.read_activities(spark, data["true_activities"])
+        means = stats.select("node", "k", F.col("mean").alias("inferred_e"))
+        size = truth.agg(F.max("k")).head()[0] + 1
+        pairs = settled(truth.join(means, ["node", "k"]).select("node", "k", "true_e", "inferred_e"))
+        if pairs.isEmpty():
+            raise ValueError("no node has both draws and a true activity")
+    if "inferred_signatures" in data and "fixed_signatures" in data:
+        sides = []
+        for name in ("inferred_signatures", "fixed_signatures"):
+            wide = files.read_signatures(spark, data[name])
+            numbered = wide.withColumn("k", F.regexp_extract("name", "([0-9]+)$", 1).cast("int"))
+            long = files.from_matrix(numbered.drop("name"), "k", "channel", "p", "Channel_")
+            sides.append(settled(long))
+        matched = settled(assign.align(*sides))
+        write("signatures", evaluate.compare_signatures(*sides, matched))
+        pairs = None if pairs is None else evaluate.realigned(pairs, matched)
+    if pairs is not None:
+        write("recovery", evaluate.recovery(pairs, size))
+        write("activities", evaluate.compare_activities(pairs, depth, size))
+    return out
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("task", choices=("generate", "fit"))
+    parser.add_argument("task", choices=("generate", "fit", "evaluate"))
     parser.add_argument("--config", required=True)
     chosen = parser.parse_args(args)
     spark = SparkSession.builder.appName(f"treeweft-{chosen.task}").getOrCreate()
-    print({"generate": generate, "fit": fit}[chosen.task](spark, files.load_config(chosen.config)))
+    print({"generate": generate, "fit": fit, "evaluate": evaluate_run}[chosen.task](spark, files.load_config(chosen.config)))
 
 
 if __name__ == "__main__":

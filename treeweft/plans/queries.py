@@ -13,7 +13,7 @@ from treeweft.operators.simulate import grown_forest
 from treeweft.plans import domain as D
 from treeweft.plans import mcmc_sql
 from treeweft.plans.lineage import settled, shared_root
-from treeweft.sources import files, newick
+from treeweft.sources import files, netcdf, newick
 
 K, CHANNELS = D.K, D.CHANNELS
 QUERIES: dict = {}
@@ -781,12 +781,19 @@ def newick_file(spark, d):
     return newick.parse_parts(files.read_newick(spark, path), "value", files.LINE_ORDER).select("parent", "child", r6("length"))
 
 
-@query("SELECT chain, draw, value FROM sigma")
+@query("""SELECT 'sigma' AS var, chain, draw, NULL::VARCHAR AS node, NULL::INT AS k, round(value, 6) AS value FROM sigma
+UNION ALL SELECT 'e', chain, draw, node, k, round(value, 6) FROM draws""")
 def draws_file(spark, d):
     own = D.global_draws(spark, d).select(F.lit("sigma").alias("var"), "chain", "draw", F.lit(None).cast("string").alias("node"), F.lit(None).cast("int").alias("k"), "value")
     nodes_ = D.draws(spark, d).select(F.lit("e").alias("var"), "chain", "draw", "node", "k", "value")
     files.write_draws(own.unionByName(nodes_), path := scratch(spark, "trace.parquet"))
-    return files.read_draws(spark, path, "sigma").select("chain", "draw", "value")
+    return files.read_draws(spark, path).select("var", "chain", "draw", "node", "k", r6("value"))
+
+
+@query("SELECT 'e' AS var, chain, draw, node, k, round(value, 6) AS value FROM draws")
+def draws_netcdf(spark, d):
+    netcdf.write_draws(D.draws(spark, d).withColumn("var", F.lit("e")), path := scratch(spark, "trace.nc"))
+    return netcdf.read_draws(spark, path, "e").select("var", "chain", "draw", "node", "k", r6("value"))
 
 
 @query("""SELECT (SELECT count(DISTINCT tumour) FROM edges) AS n_tumours, (SELECT count(*) FROM edges) AS n_edges, NULL::DOUBLE AS nb_dispersion,
