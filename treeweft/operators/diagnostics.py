@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SUMMARY = (
-    "mean double, sd double, hdi_lo double, hdi_hi double, mcse_mean double, mcse_sd double, "
-    "ess_bulk double, ess_tail double, r_hat double"
-)
+from treeweft.functions.normal import normal_quantile
+from treeweft.plans.lineage import settled
 
 
 def split_r_hat(draws: DataFrame, by) -> DataFrame:
@@ -32,70 +26,117 @@ def split_r_hat(draws: DataFrame, by) -> DataFrame:
     return parts.groupBy(*by).agg(F.sqrt(inside).alias("r_hat"))
 
 
-def _halves(x: np.ndarray) -> np.ndarray:
-    half = x.shape[1] // 2
-    return np.concatenate([x[:, :half], x[:, x.shape[1] - half :]])
-
-
-def _rank_normal(x: np.ndarray) -> np.ndarray:
-    ranks = pd.Series(x.ravel()).rank(method="average").to_numpy()
-    inverse = NormalDist().inv_cdf
-    return np.array([inverse(r) for r in (ranks - 0.375) / (x.size + 0.25)]).reshape(x.shape)
-
-
-def _r_hat(x: np.ndarray) -> float:
-    n = x.shape[1]
-    within = x.var(axis=1, ddof=1).mean()
-    if not within > 0:
-        return float("nan")
-    return float(np.sqrt((n - 1) / n + x.mean(axis=1).var(ddof=1) / within))
-
-
-def _ess(x: np.ndarray) -> float:
-    m, n = x.shape
-    if n < 4 or np.ptp(x) < 1e-300:
-        return float(m * n)
-    size = 1 << (2 * n - 1).bit_length()
-    power = np.abs(np.fft.rfft(x - x.mean(axis=1, keepdims=True), size, axis=1)) ** 2
-    acov = np.fft.irfft(power, size, axis=1)[:, :n] / n
-    within = acov[:, 0].mean() * n / (n - 1)
-    plus = within * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-    rho = 1 - (within - acov.mean(axis=0)) / plus
-    rho[0] = 1.0
-    pairs = rho[: n - n % 2].reshape(-1, 2).sum(axis=1)
-    negative = np.flatnonzero(pairs <= 0)
-    kept = np.minimum.accumulate(pairs[: negative[0] if len(negative) else len(pairs)])
-    tau = max(-1 + 2 * kept.sum(), 1 / np.log10(m * n))
-    return float(m * n / tau)
-
-
-def summarise(x: np.ndarray, prob: float = 0.94) -> dict[str, float]:
-    """Of (chains, draws)."""
-    flat = np.sort(x.ravel())
-    span = min(int(np.floor(prob * len(flat))), len(flat) - 1)
-    i = int(np.argmin(flat[span:] - flat[: len(flat) - span]))
-    halves = _halves(x)
-    z, folded = _rank_normal(halves), _rank_normal(np.abs(halves - np.median(halves)))
-    low, high = np.quantile(flat, (0.05, 0.95))
-    sd = float(flat.std(ddof=1)) if len(flat) > 1 else float("nan")
-    ess_mean, ess_square = _ess(halves), _ess((halves - flat.mean()) ** 2)
-    r_hats = [_r_hat(z), _r_hat(folded)]
-    return {
-        "mean": float(flat.mean()), "sd": sd, "hdi_lo": flat[i], "hdi_hi": flat[i + span],
-        "mcse_mean": sd / np.sqrt(ess_mean), "mcse_sd": sd / np.sqrt(2 * ess_square),
-        "ess_bulk": _ess(z), "ess_tail": min(_ess((halves <= q).astype(float)) for q in (low, high)),
-        "r_hat": float("nan") if np.isnan(r_hats).all() else float(np.nanmax(r_hats)),
-    }
+def halves(draws: DataFrame, by: list[str]) -> DataFrame:
+    """``draws`` with ``c``, the half of a chain that a draw lies in, and ``i``, its number there; both null for a middle draw."""
+    chain = Window.partitionBy(*by, "chain")
+    rows = draws.withColumn("_i", F.row_number().over(chain.orderBy("draw"))).withColumn("_n", F.count("*").over(chain))
+    half = F.floor(F.col("_n") / 2)
+    late, kept = F.col("_i") > F.col("_n") - half, (F.col("_i") <= half) | (F.col("_i") > F.col("_n") - half)
+    number = F.when(late, F.col("_i") - (F.col("_n") - half)).otherwise(F.col("_i")).cast("int")
+    rows = rows.withColumn("c", F.when(kept, F.struct("chain", late.alias("late")))).withColumn("i", F.when(kept, number))
+    return rows.drop("_i", "_n")
+
+
+def of_sorted(values: str, q: float) -> F.Column:
+    """A quantile of a sorted array, between two values by their distances."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low, high = (F.get(values, x.cast("int")) for x in (F.floor(at), F.ceil(at)))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def narrowest(values: str, prob: float) -> F.Column:
+    """(w, lo, hi): of the intervals of floor(prob*n)+1 of a sorted array the narrowest, the lowest on ties."""
+    n = F.size(values)
+    span = F.least(F.floor(n * prob).cast("int"), n - 1)
+    ends = F.zip_with(F.slice(values, F.lit(1), n - span), F.slice(values, span + 1, n - span), lambda a, b: F.struct((b - a).alias("w"), a.alias("lo"), b.alias("hi")))
+    return F.array_min(ends)
+
+
+def average_rank(x: str, by: list[str]) -> F.Column:
+    order = Window.partitionBy(*by).orderBy(x)
+    return (F.rank().over(order) + F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
+
+
+def effective_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, ess, r_hat) of (*by, c, i, x), chains c of equal length: lags in blocks, each twice as many as the one before, until the
+    correlations of all have come to a pair that isn't positive."""
+    chain = Window.partitionBy(*by, "c")
+    rows = settled(rows.withColumn("y", F.col("x") - F.avg("x").over(chain)).select(*by, "c", "i", "x", "y"))
+    parts = rows.groupBy(*by, "c").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+    between = F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between")
+    stats = parts.groupBy(*by).agg(F.avg("v").alias("within"), between, F.max("n").alias("n"), F.count("*").alias("m"), (F.max("b") - F.min("a")).alias("span"))
+    stats = settled(stats)
+    n, total = F.col("n"), F.col("m") * F.col("n")
+    r_hat = F.when(F.col("within") > 0, F.sqrt((n - 1) / n + F.col("between") / F.col("within"))).otherwise(F.lit(float("nan")))
+    flat = (n < 4) | (F.col("span") < 1e-300)
+    need = stats.filter(~flat).select(*by, F.array().cast("array<double>").alias("acov"))
+    begin, width, done = 0, 32, None
+    while not need.isEmpty():
+        lags = range(begin, begin + width)
+        order = chain.orderBy("i")
+        moved = rows.join(need.select(*by), by, "left_semi").select(*by, *[(F.col("y") * F.lead("y", t).over(order)).alias(f"_{t}") for t in lags])
+        sums = moved.groupBy(*by).agg(F.array(*[F.coalesce(F.sum(f"_{t}"), F.lit(0.0)) for t in lags]).alias("more"))
+        found = need.join(sums, by).join(stats, by)
+        plus = F.col("within") * (n - 1) / n + F.col("between")
+        found = found.select(*by, F.concat("acov", F.transform("more", lambda s: s / total)).alias("acov"), "within", "n", "m", plus.alias("plus"))
+        rho = F.transform("acov", lambda a, t: F.when(t == 0, 1.0).otherwise(1 - (F.col("within") - a) / F.col("plus")))
+        found = found.withColumn("rho", F.slice(rho, 1, F.least(n - n % 2, F.lit(begin + width)).cast("int")))
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("rho") / 2).cast("int") - 1), lambda p: F.get("rho", 2 * p) + F.get("rho", 2 * p + 1))
+        # the sum of the running minimum of pairs up to the first that isn't positive
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(False).alias("over"))
+
+        def step(s, p):
+            over, least = s["over"] | (p <= 0), F.least(s["least"], p)
+            return F.struct((s["sum"] + F.when(over, 0.0).otherwise(least)).alias("sum"), least.alias("least"), over.alias("over"))
+
+        found = settled(found.withColumn("end", F.aggregate(pairs, start, step)))
+        ends = F.col("end.over") | (n - n % 2 <= begin + width)
+        tau = F.greatest(-1 + 2 * F.col("end.sum"), 1 / F.log10(total.cast("double")))
+        here = found.filter(ends).select(*by, (total / tau).alias("ess"))
+        done = here if done is None else done.unionByName(here)
+        need = found.filter(~ends).select(*by, "acov")
+        begin, width = begin + width, 2 * width
+    none = stats.filter(flat).select(*by, total.cast("double").alias("ess"))
+    return (none if done is None else none.unionByName(done)).join(stats.select(*by, r_hat.alias("r_hat")), by)
 
 
 def summary(draws: DataFrame, by=("node", "k"), prob: float = 0.94) -> DataFrame:
-    """One row for each parameter; a group holds one parameter's draws."""
-    by = list(by)
-
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        table = frame.pivot(index="chain", columns="draw", values="value").sort_index().sort_index(axis=1)
-        found = summarise(table.to_numpy(), prob)
-        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in by}, **found}])
-
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in draws.select(*by).schema)
-    return draws.select(*by, "chain", "draw", "value").groupBy(*by).applyInPandas(kernel, f"{keys}, {SUMMARY}")
+    """(*by, mean, sd, hdi_lo, hdi_hi, mcse_mean, mcse_sd, ess_bulk, ess_tail, r_hat): one row for each parameter, by expressions,
+    windows and aggregates. Nulls in ``by`` are values like others. Chains have equal lengths; one parameter's draws are sorted in one
+    array (``evaluate.hdi`` and ``vectors.quantiles`` are for more than that holds)."""
+    names = list(by)
+    # one text a key, as joins don't match nulls
+    key = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_b")
+    by = ["_b"]
+    every = settled(halves(draws.select(key, *[F.col(n).alias(f"_k_{n}") for n in names], "chain", "draw", F.col("value").cast("double").alias("value")), by))
+    own = [F.first(f"_k_{n}").alias(f"_k_{n}") for n in names]
+    lists = [F.array_sort(F.collect_list(x)).alias(n) for n, x in (("_v", F.col("value")), ("_s", F.when(F.col("c").isNotNull(), F.col("value"))))]
+    all_ = every.groupBy(*by).agg(*own, F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *lists)
+    points = [of_sorted("_v", 0.05).alias("_low"), of_sorted("_v", 0.95).alias("_high"), of_sorted("_s", 0.5).alias("_mid"), F.size("_s").alias("_size")]
+    all_ = settled(all_.select("*", *points, narrowest("_v", prob).alias("_n")).drop("_v", "_s"))
+    rows = every.filter("c is not null").select(*by, "c", "i", "value").join(all_.select(*by, "mean", "_low", "_high", "_mid", "_size"), by)
+    rows = rows.withColumn("_fold", F.abs(F.col("value") - F.col("_mid")))
+    # ranks are columns before they are used, as a formula would bring a window for each time that it names them
+    rows = rows.withColumn("_r", average_rank("value", by)).withColumn("_rf", average_rank("_fold", by))
+    z, folded = (normal_quantile((F.col(r) - 0.375) / (F.col("_size") + 0.25)) for r in ("_r", "_rf"))
+    gap = F.col("value") - F.col("mean")
+    kinds = {"raw": F.col("value"), "square": gap * gap, "low": (F.col("value") <= F.col("_low")).cast("double"), "high": (F.col("value") <= F.col("_high")).cast("double"), "z": z, "folded": folded}
+    long = rows.select(*by, "c", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("x")) for k, x in kinds.items()])).alias("s"))
+    found = effective_sizes(long.select(*by, "s.kind", "c", "i", "s.x"), [*by, "kind"]).groupBy(*by)
+
+    def of(kind: str, column: str):
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    def known(kind: str):
+        x = of(kind, "r_hat")
+        return F.when(~F.isnan(x), x)
+
+    wide = found.agg(
+        *[of(k, "ess").alias(f"_{k}") for k in kinds], F.coalesce(F.greatest(known("z"), known("folded")), F.lit(float("nan"))).alias("r_hat")
+    )
+    both = all_.drop("_low", "_high", "_mid", "_size").join(wide, by)
+    return both.select(
+        *[F.col(f"_k_{n}").alias(n) for n in names], "mean", F.coalesce("sd", F.lit(float("nan"))).alias("sd"), F.col("_n.lo").alias("hdi_lo"),
+        F.col("_n.hi").alias("hdi_hi"), (F.col("sd") / F.sqrt("_raw")).alias("mcse_mean"), (F.col("sd") / F.sqrt(2 * F.col("_square"))).alias("mcse_sd"),
+        F.col("_z").alias("ess_bulk"), F.least("_low", "_high").alias("ess_tail"), "r_hat",
+    )
