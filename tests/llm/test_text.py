@@ -330,6 +330,30 @@ def test_codes(data):
     assert tiff.unpack_bits(tiff.pack_bits(data), len(data)) == data
 
 
+def test_both_byte_orders_are_one_image():
+    """16 bits a sample, in the file's own order, come out alike."""
+    import struct
+
+    image = np.arange(48, dtype=np.uint16).reshape(4, 12) * 1000
+
+    def file(order, mark):
+        data = image.astype(f"{order}u2").tobytes()
+        entries = [(256, 3, 12), (257, 3, 4), (258, 3, 16), (259, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, 4), (279, 4, len(data))]
+        fields = b"".join(struct.pack(f"{order}HHI", t, k, 1) + (struct.pack(f"{order}HH", v, 0) if k == 3 else struct.pack(f"{order}I", v)) for t, k, v in entries)
+        return mark + struct.pack(f"{order}HI", 42, 8 + len(data)) + data + struct.pack(f"{order}H", len(entries)) + fields + bytes(4)
+
+    found = [next(tiff.pages(file(o, m))) for o, m in (("<", b"II"), (">", b"MM"))]
+    assert all((p.pixels[:, :, 0] == image).all() for p in found) and found[0].pixels.tobytes() == found[1].pixels.tobytes()
+
+
+def test_inflated_strips_are_cut_short():
+    import zlib
+
+    assert tiff.unpack(zlib.compress(bytes(50_000_000)), tiff.DEFLATE, 100) == bytes(100)
+    with pytest.raises(tiff.TiffError):
+        tiff.unpack(zlib.compress(bytes(50))[:-6], tiff.DEFLATE, 50)
+
+
 def test_long_lzw():
     data = np.random.default_rng(0).integers(0, 40, 60000).astype(np.uint8).tobytes()
     assert tiff.unpack_lzw(tiff.pack_lzw(data), len(data)) == data

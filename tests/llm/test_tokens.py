@@ -46,6 +46,17 @@ def test_any_text(texts):
     same(Tokenizer.from_file(PATH), texts)
 
 
+def test_special_names_of_any_kind(tmp_path):
+    """Added tokens that don't begin with a bracket of one kind only."""
+    from tokenizers import AddedToken
+
+    made = Tokenizer.from_file(PATH)
+    made.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in ("[PAD]", "@@end")])
+    made.save(str(tmp_path / "more.json"))
+    texts = ["ab[PAD]cd", "[PAD]", "x @@end y", "a[PA]b @@en", "<|endoftext|>[PAD]@@end"]
+    assert count_texts(texts, str(tmp_path / "more.json")) == [len(made.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_chunks_make_up_the_text():
     for text in ["a b\nc d. e", "x", "a\n", ""]:
         assert "".join(map(plain, cut(text))) == text

@@ -160,7 +160,7 @@ def unpack(data: bytes, compression: int, size: int) -> bytes:
         found = data[:size]
     elif compression in (DEFLATE, OLD_DEFLATE):
         try:
-            found = zlib.decompress(data)[:size]
+            found = zlib.decompressobj().decompress(data, size)  # no more than fits, whatever the file holds
         except zlib.error as e:
             raise TiffError(str(e)) from None
     elif compression == LZW:
@@ -220,7 +220,7 @@ def read_page(data: bytes, fields: dict[int, tuple[int, ...]], order: str, numbe
     across, down = -(-width // bw), -(-height // bh)
     if len(offsets) < across * down or len(counts) < across * down:
         raise TiffError("strips or tiles are missing")
-    if width * height * samples > 1 << 31:
+    if width * height * samples * kind.itemsize > 1 << 31:
         raise TiffError("an image beyond 2 GB is not read")
     pixels = np.empty((height, width, samples), dtype=kind)
     for k in range(across * down):
@@ -232,7 +232,7 @@ def read_page(data: bytes, fields: dict[int, tuple[int, ...]], order: str, numbe
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         pixels[top : top + rows, left : left + bw] = block[: height - top, : width - left]
-    return Page(number, width, height, samples, pixels)
+    return Page(number, width, height, samples, pixels.astype(pixels.dtype.newbyteorder("<"), copy=False))
 
 
 def pages(data: bytes) -> Iterator[Page]:
@@ -380,7 +380,7 @@ class Digest:
         self.size += len(pixels)
         self.hash.update(pixels)
         self.tail = (self.tail + pixels[-32:])[-32:]
-        rows = np.frombuffer(pixels, dtype=np.uint8 if bits == 8 else np.uint16).reshape(-1, width, samples)[:, :, 0]
+        rows = np.frombuffer(pixels, dtype="u1" if bits == 8 else "<u2").reshape(-1, width, samples)[:, :, 0]
         eighths = np.add.reduceat(rows.astype(np.int64), np.arange(8) * width // 8, axis=1) if width >= 8 else np.zeros((len(rows), 8), np.int64)
         self.across.append(eighths)
         self.pages += 1

@@ -70,6 +70,7 @@ class RankMerger:
         self.pattern = regex.compile(PRETOKEN)
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(regex.escape(n) for n in names)) if names else None
+        self.marks = sorted({n[0] for n in names})
 
     def merged(self, pretokens: list[bytes]) -> np.ndarray:
         """The number of symbols that each pre-token has left after all merges."""
@@ -111,7 +112,7 @@ class RankMerger:
         """The number of tokens of each chunk."""
         parts, extra = [], []
         for chunk in chunks:
-            pieces = self.special.split(chunk) if self.special and "<" in chunk else [chunk]
+            pieces = self.special.split(chunk) if any(map(chunk.__contains__, self.marks)) else [chunk]
             extra.append(len(pieces) - 1)
             parts.append([p for piece in pieces for p in self.pattern.findall(piece)])
         distinct = list(set(chain.from_iterable(parts)))
