@@ -804,6 +804,33 @@ def report_file(spark, d):
     return files.read_report(spark, path).select("n_tumours", "n_edges", F.col("nb_dispersion").cast("double").alias("nb_dispersion"), "total_length")
 
 
+@query(f"""SELECT 42 AS seed, NULL::VARCHAR AS nb_dispersion, (SELECT count(*) FROM sizes_ WHERE active) AS "true_K",
+(SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM sizes_ WHERE active) AS active_indices,
+(SELECT count(DISTINCT tumour) FROM edges) AS n_tumours, (SELECT count(*) FROM (SELECT parent FROM edges UNION SELECT child FROM edges)) AS n_nodes_total,
+(SELECT sum(n)::BIGINT FROM counts) AS n_mutations""", f"sizes_ AS ({SIZES_})")
+def params_file(spark, d):
+    """A report with an array and a nested record, written as JSON and read back."""
+    active = sticks.zero_subset(part_sizes(spark, d), 0.4).filter("active").agg(F.array_sort(F.collect_list("k")).alias("active_signature_indices"))
+    e = D.edges(spark, d)
+    nodes_ = tree.nodes(e).agg(F.count_distinct("tumour").alias("n_tumours"), F.count("*").alias("n_nodes_total"))
+    made = nodes_.join(D.counts(spark, d).agg(F.sum("n").alias("n_mutations")))  # one row each
+    report = active.join(made).select(
+        F.lit(42).alias("seed"), F.lit(None).cast("string").alias("nb_dispersion"), F.size("active_signature_indices").alias("true_K"),
+        "active_signature_indices", F.struct("n_tumours", "n_nodes_total", "n_mutations").alias("dataset_summary"),
+    )
+    files.write_report(report, path := scratch(spark, "ground_truth_params.json"))
+    found = files.read_report(spark, path)
+    indices = F.array_join(F.col("active_signature_indices").cast("array<string>"), ",").alias("active_indices")
+    return found.select("seed", F.col("nb_dispersion").cast("string").alias("nb_dispersion"), "true_K", indices, "dataset_summary.*")
+
+
+@query("""SELECT tumour, arg_min(node, entry) AS node, min(entry) AS entry FROM placed WHERE node IN (SELECT node FROM activities) GROUP BY tumour""", CLOSURE, True)
+def first_in_walk(spark, d):
+    """The first node of each tree, by its place in the walk, that has activities."""
+    placed = tree.intervals(D.edges(spark, d)).join(D.activities(spark, d).select("node").distinct(), "node", "left_semi")
+    return placed.groupBy("tumour").agg(F.min(F.struct("entry", "node")).alias("m")).select("tumour", "m.node", "m.entry")
+
+
 # ---- nodes and components one by one
 
 
