@@ -57,14 +57,22 @@ def average_rank(x: str, by: list[str]) -> F.Column:
     return (F.rank().over(order) + F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
 
 
-def effective_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, ess, r_hat) of (*by, c, i, x), chains c of equal length: lags in blocks, each twice as many as the one before, until the
-    correlations of all have come to a pair that isn't positive."""
-    chain = Window.partitionBy(*by, "c")
-    rows = settled(rows.withColumn("y", F.col("x") - F.avg("x").over(chain)).select(*by, "c", "i", "x", "y"))
-    parts = rows.groupBy(*by, "c").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+def effective_sizes(rows: DataFrame, by: list[str], kinds: dict[str, F.Column]) -> DataFrame:
+    """(*by, kind, ess, r_hat) of each kind of value in (*by, c, i, ...), chains c of equal length.
+
+    A chain is a row with its values as an array. Lags are worked out in blocks, each twice as long as the one before, until the
+    correlations of a parameter have come to a pair that isn't positive.
+    """
+    values = [x.cast("double").alias(k) for k, x in kinds.items()]
+    chains = rows.select(*by, "c", F.struct("i", *values).alias("s")).groupBy(*by, "c").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s.{k}").alias("x")) for k in kinds])
+    chains = chains.select(*by, F.explode(each).alias("e")).select(*by, "e.kind", "e.x")
+    by, size = [*by, "kind"], F.size("x")
+    chains = chains.withColumn("m", F.aggregate("x", F.lit(0.0), lambda s, x: s + x) / size)
+    chains = settled(chains.select(*by, "m", F.transform("x", lambda x: x - F.col("m")).alias("y"), size.alias("n"), F.array_min("x").alias("a"), F.array_max("x").alias("b")))
+    spread = F.try_divide(F.aggregate("y", F.lit(0.0), lambda s, y: s + y * y), F.col("n") - 1)
     between = F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between")
-    stats = parts.groupBy(*by).agg(F.avg("v").alias("within"), between, F.max("n").alias("n"), F.count("*").alias("m"), (F.max("b") - F.min("a")).alias("span"))
+    stats = chains.groupBy(*by).agg(F.avg(spread).alias("within"), between, F.max("n").alias("n"), F.count("*").alias("m"), (F.max("b") - F.min("a")).alias("span"))
     stats = settled(stats)
     n, total = F.col("n"), F.col("m") * F.col("n")
     r_hat = F.when(F.col("within") > 0, F.sqrt((n - 1) / n + F.col("between") / F.col("within"))).otherwise(F.lit(float("nan")))
@@ -72,10 +80,15 @@ def effective_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
     need = stats.filter(~flat).select(*by, F.array().cast("array<double>").alias("acov"))
     begin, width, done = 0, 32, None
     while not need.isEmpty():
-        lags = range(begin, begin + width)
-        order = chain.orderBy("i")
-        moved = rows.join(need.select(*by), by, "left_semi").select(*by, *[(F.col("y") * F.lead("y", t).over(order)).alias(f"_{t}") for t in lags])
-        sums = moved.groupBy(*by).agg(F.array(*[F.coalesce(F.sum(f"_{t}"), F.lit(0.0)) for t in lags]).alias("more"))
+
+        def moved(t):
+            left = F.greatest(n - t, F.lit(0))
+            both = F.zip_with(F.slice("y", F.lit(1), left), F.slice("y", t + 1, left), lambda x, y: x * y)
+            return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
+
+        lags = F.transform(F.sequence(F.lit(begin), F.lit(begin + width - 1)), moved)
+        sums = chains.join(need.select(*by), by, "left_semi").select(*by, lags.alias("t"))
+        sums = sums.groupBy(*by).agg(F.array(*[F.sum(F.get("t", F.lit(i))) for i in range(width)]).alias("more"))
         found = need.join(sums, by).join(stats, by)
         plus = F.col("within") * (n - 1) / n + F.col("between")
         found = found.select(*by, F.concat("acov", F.transform("more", lambda s: s / total)).alias("acov"), "within", "n", "m", plus.alias("plus"))
@@ -89,7 +102,7 @@ def effective_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
             over, least = s["over"] | (p <= 0), F.least(s["least"], p)
             return F.struct((s["sum"] + F.when(over, 0.0).otherwise(least)).alias("sum"), least.alias("least"), over.alias("over"))
 
-        found = settled(found.withColumn("end", F.aggregate(pairs, start, step)))
+        found = settled(found.withColumn("end", F.aggregate(pairs, start, step)).drop("rho"))
         ends = F.col("end.over") | (n - n % 2 <= begin + width)
         tau = F.greatest(-1 + 2 * F.col("end.sum"), 1 / F.log10(total.cast("double")))
         here = found.filter(ends).select(*by, (total / tau).alias("ess"))
@@ -121,8 +134,7 @@ def summary(draws: DataFrame, by=("node", "k"), prob: float = 0.94) -> DataFrame
     z, folded = (normal_quantile((F.col(r) - 0.375) / (F.col("_size") + 0.25)) for r in ("_r", "_rf"))
     gap = F.col("value") - F.col("mean")
     kinds = {"raw": F.col("value"), "square": gap * gap, "low": (F.col("value") <= F.col("_low")).cast("double"), "high": (F.col("value") <= F.col("_high")).cast("double"), "z": z, "folded": folded}
-    long = rows.select(*by, "c", "i", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), x.alias("x")) for k, x in kinds.items()])).alias("s"))
-    found = effective_sizes(long.select(*by, "s.kind", "c", "i", "s.x"), [*by, "kind"]).groupBy(*by)
+    found = effective_sizes(rows, by, kinds).groupBy(*by)
 
     def of(kind: str, column: str):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
