@@ -20,12 +20,19 @@ def none_to_null(text) -> Column:
     return F.when(F.lower(text) != "none", text)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often, and in whatever lambda, ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax_last_zero(eta) -> Column:
     """The softmax of an array of logits with a 0 put at its end."""
     eta = F.concat(F.col(eta) if isinstance(eta, str) else eta, F.array(F.lit(0.0)))
-    powers = F.transform(eta, lambda x: F.exp(x - F.array_max(eta)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+
+    def shares(powers: Column) -> Column:
+        return bound(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(powers, lambda x: x / total))
+
+    return bound(eta, lambda e: bound(F.array_max(e), lambda top: bound(F.transform(e, lambda x: F.exp(x - top)), shares)))
 
 
 def dot(a, b) -> Column:

@@ -15,6 +15,8 @@ from treeweft.functions.vectors import normalise
 CHANNELS = 96
 K = 10
 CHAINS, DRAWS = 4, 50
+#: Nodes whose draws one task makes; each has K x CHAINS x DRAWS of them.
+PART_NODES = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,13 +97,19 @@ def chains(spark: SparkSession) -> DataFrame:
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chain, draw, node, k, value): of each node and component, CHAINS x DRAWS draws."""
-    cells = inner_nodes(spark, sf_dir).select("node").crossJoin(F.broadcast(spark.range(K).select(F.col("id").cast("int").alias("k"))))
-    rows = cells.crossJoin(F.broadcast(chains(spark)))
-    # a level of the component's own, and noise around it
-    level = uniform("level", F.col("node"), F.col("k"))
+    """(chain, draw, node, k, value): of each node and component, CHAINS x DRAWS draws.
+
+    Cells are dealt to tasks before their draws are made, as their tables are a file of a task each. All draws of a node lie in one
+    task, so that groups within nodes need no shuffle.
+    """
+    nodes = inner_nodes(spark, sf_dir).select("node")
+    parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() // PART_NODES))
+    cells = nodes.crossJoin(F.broadcast(spark.range(K).select(F.col("id").cast("int").alias("k"))))
+    # a level of the component's own, worked out once, before the shuffle, and noise around it
+    cells = cells.withColumn("_level", uniform("level", F.col("node"), F.col("k"))).repartition(parts, "node")
+    level, rows = F.col("_level"), cells.crossJoin(F.broadcast(chains(spark)))
     noise = uniform("draw", F.col("node"), F.col("k"), F.col("chain"), F.col("draw"))
-    return rows.withColumn("value", level * level * level * (F.lit(0.5) + noise))
+    return rows.select("node", "k", "chain", "draw", (level * level * level * (F.lit(0.5) + noise)).alias("value"))
 
 
 def global_draws(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeweft.functions import arrays, rng, tables, vectors
@@ -36,6 +36,12 @@ def r6(c, name: str | None = None):
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
 
+def components(value: str, ks, some=None) -> Column:
+    """Over a group of one row a component: the values as an array, in slots of fixed size that need no sort; nulls for those
+    not in ``some``."""
+    return F.array(*[F.max(F.when(F.col("k") == k, F.col(value))) if some is None or k in some else F.lit(None).cast("double") for k in ks])
+
+
 def ids(spark: SparkSession, n: int, name: str) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias(name))
 
@@ -234,9 +240,9 @@ def unpivoted_counts(spark, d):
 SELECT *, max(x) OVER (PARTITION BY node, draw) AS m FROM (
 SELECT node, chain * 1000 + draw AS draw, k, CASE WHEN k = 9 THEN 0 ELSE ln(value) END AS x FROM draws))""")
 def softmax_draws(spark, d):
-    x = F.array_sort(F.collect_list(F.struct("k", F.ln("value").alias("x"))))
     rows = D.draws(spark, d).filter(F.col("k") < K - 1).groupBy("node", (F.col("chain") * 1000 + F.col("draw")).alias("draw"))
-    rows = rows.agg(F.transform(x, lambda s: s["x"]).alias("eta"))
+    rows = rows.agg(components("value", range(K - 1)).alias("value"))
+    rows = rows.withColumn("eta", F.transform("value", F.ln))
     return rows.select("node", "draw", F.posexplode(arrays.softmax_last_zero("eta")).alias("k", "e")).select("node", "draw", "k", r6("e"))
 
 
@@ -841,8 +847,10 @@ def node_posterior(spark, d):
 
 @query("SELECT node, chain, draw, round(max(value) FILTER (WHERE k = 7), 6) AS first, round(max(value) FILTER (WHERE k = 2), 6) AS second FROM draws GROUP BY node, chain, draw")
 def gathered_draws(spark, d):
-    x = F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"])
-    rows = D.draws(spark, d).groupBy("node", "chain", "draw").agg(arrays.gather(x, F.array(F.lit(7), F.lit(2))).alias("v"))
+    wanted = (7, 2)
+    rows = D.draws(spark, d).withColumn("value", F.when(F.col("k").isin(*wanted), F.col("value")))  # others are not worked out
+    rows = rows.groupBy("node", "chain", "draw").agg(components("value", range(max(wanted) + 1), wanted).alias("x"))
+    rows = rows.withColumn("v", arrays.gather("x", F.array(*map(F.lit, wanted))))
     return rows.select("node", "chain", "draw", r6(F.col("v")[0], "first"), r6(F.col("v")[1], "second"))
 
 
