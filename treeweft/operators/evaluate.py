@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeweft.functions.vectors import cosine, mean_abs_error, pearson, quantiles, running
+from treeweft.operators.diagnostics import narrowest
+from treeweft.plans.lineage import settled
 
+#: Samples of a key that are sorted in one array.
+ARRAY = 1 << 16
 GATE_R_HAT, GATE_ESS, STRONG, NEAR_ZERO = 1.01, 100, 0.3, 0.01
 
 
@@ -120,11 +127,32 @@ def medians(stats: DataFrame, by, columns) -> DataFrame:
 def hdi(samples: DataFrame, by, value: str = "value", prob: float = 0.97) -> DataFrame:
     """(*by, lo, hi): of the intervals of floor(prob*n)+1 sorted samples the narrowest, the lowest on ties.
 
-    Samples are numbered by ranges, equal ones in any order, and each meets the one so many places further on: the samples of a key
-    may be more than a task holds.
+    The samples of a key are sorted as an array, up to ``ARRAY`` of them. Of a key with more they are dealt by ranges, so that they may
+    be more than a task holds; whether there is one is counted first.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rows = samples.select(*by, F.col(value).alias("_x")).withColumn("_tie", F.monotonically_increasing_id())
+    rows = samples.select(*by, F.col(value).alias("_x"))
+    if not by:
+        return hdi_by_ranges(rows, by, prob)
+    large = settled(rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > ARRAY))
+    if large.isEmpty():
+        return hdi_by_arrays(rows, by, prob)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    small, other = (rows.alias("l").join(large.alias("r"), same, how) for how in ("left_anti", "left_semi"))
+    return hdi_by_arrays(small, by, prob).unionByName(hdi_by_ranges(other, by, prob))
+
+
+def hdi_by_arrays(rows: DataFrame, by: list[str], prob: float) -> DataFrame:
+    """hdi() of (*by, _x), a sorted array a key; nulls come first. Keys with nulls give nothing, as keys that are joined."""
+    lists = rows.filter(~reduce(or_, [F.col(c).isNull() for c in by])).groupBy(*by).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("_x")).alias("_v"))
+    nulls = F.array_repeat(F.lit(None).cast(rows.schema["_x"].dataType), (F.col("_n") - F.size("_v")).cast("int"))
+    ends = lists.select(*by, F.when(F.size("_v") == F.col("_n"), F.col("_v")).otherwise(F.concat(nulls, "_v")).alias("_v"))
+    return ends.select(*by, narrowest("_v", prob).alias("b")).select(*by, "b.lo", "b.hi")
+
+
+def hdi_by_ranges(rows: DataFrame, by: list[str], prob: float) -> DataFrame:
+    """hdi() of (*by, _x): samples are numbered by ranges, equal ones in any order, and each meets the one so many places further on."""
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
     rows = running(rows, by, ["_x", "_tie"], {"_i": F.lit(1)}).drop("_tie")
     sizes = rows.groupBy(*by).agg(F.max("_i").alias("_n"))
     sizes = sizes.select(*by, F.least(F.floor(F.col("_n") * prob), F.col("_n") - 1).alias("_span"))
