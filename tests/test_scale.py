@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from treeweft.functions import arrays
-from treeweft.operators import evaluate
+from treeweft.operators import diagnostics, evaluate
 from treeweft.plans import domain as D
 from treeweft.plans.queries import QUERIES
 
@@ -52,3 +52,12 @@ def test_narrowest_intervals_of_small_and_large_keys(spark, monkeypatch):
     for bound in (1 << 16, 299, 0):
         monkeypatch.setattr(evaluate, "ARRAY", bound)
         assert {r["g"]: (r["lo"], r["hi"]) for r in evaluate.hdi(frame, "g", prob=0.9).collect()} == want
+
+
+def test_summary_is_one_aggregate(spark):
+    """Each parameter's draws meet once: no table on the way is written or dealt again."""
+    plan = plan_of(QUERIES["mcmc_summary"](spark, TABLES))
+    assert plan.count("Exchange hashpartitioning") == 1 and "ExistingRDD" not in plan and "Window" not in plan and "Join" not in plan.replace("BroadcastNestedLoopJoin", "")
+    one = spark.createDataFrame([(None, c, d, float(c + d)) for c in range(2) for d in range(2)] + [("few", 0, 0, 1.0)], "node string, chain int, draw int, value double")
+    found = diagnostics.summary(one, ["node"]).collect()
+    assert [(r["node"], r["mean"], r["ess_bulk"], r["ess_tail"]) for r in found] == [(None, 1.0, 4.0, 4.0)]  # one draw a chain tells nothing

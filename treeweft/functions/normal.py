@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treeweft.functions.arrays import bound
+
 # fixed values: the coefficients of algorithm AS 241 (Wichura 1988) for the normal quantile, highest power first, with 1 last
 # in the denominators; the branch beyond r = 5 is for probabilities under 1e-11, which
 # ranks of fewer than 10^10 draws don't have
@@ -35,8 +37,7 @@ def polynomial(coefficients: tuple[str, ...], x: Column) -> Column:
 
 def normal_quantile(p: Column) -> Column:
     q = p - 0.5
-    near = F.lit(0.180625) - q * q
+    inside = bound(F.lit(0.180625) - q * q, lambda x: polynomial(NEAR_TOP, x) / polynomial((*NEAR_BOTTOM, "1.0"), x))
     far = F.sqrt(-F.ln(F.least(p, 1 - p))) - 1.6
-    inside = q * polynomial(NEAR_TOP, near) / polynomial((*NEAR_BOTTOM, "1.0"), near)
-    outside = F.signum(q) * polynomial(FAR_TOP, far) / polynomial((*FAR_BOTTOM, "1.0"), far)
-    return F.when(F.abs(q) <= 0.425, inside).otherwise(outside)
+    outside = bound(far, lambda x: polynomial(FAR_TOP, x) / polynomial((*FAR_BOTTOM, "1.0"), x))
+    return F.when(F.abs(q) <= 0.425, q * inside).otherwise(F.signum(q) * outside)

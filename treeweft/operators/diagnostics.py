@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeweft.functions.arrays import bound
 from treeweft.functions.normal import normal_quantile
-from treeweft.plans.lineage import settled
 
 
 def split_r_hat(draws: DataFrame, by) -> DataFrame:
@@ -26,25 +28,14 @@ def split_r_hat(draws: DataFrame, by) -> DataFrame:
     return parts.groupBy(*by).agg(F.sqrt(inside).alias("r_hat"))
 
 
-def halves(draws: DataFrame, by: list[str]) -> DataFrame:
-    """``draws`` with ``c``, the half of a chain that a draw lies in, and ``i``, its number there; both null for a middle draw."""
-    chain = Window.partitionBy(*by, "chain")
-    rows = draws.withColumn("_i", F.row_number().over(chain.orderBy("draw"))).withColumn("_n", F.count("*").over(chain))
-    half = F.floor(F.col("_n") / 2)
-    late, kept = F.col("_i") > F.col("_n") - half, (F.col("_i") <= half) | (F.col("_i") > F.col("_n") - half)
-    number = F.when(late, F.col("_i") - (F.col("_n") - half)).otherwise(F.col("_i")).cast("int")
-    rows = rows.withColumn("c", F.when(kept, F.struct("chain", late.alias("late")))).withColumn("i", F.when(kept, number))
-    return rows.drop("_i", "_n")
-
-
-def of_sorted(values: str, q: float) -> F.Column:
+def of_sorted(values: Column, q: float) -> Column:
     """A quantile of a sorted array, between two values by their distances."""
     at = (F.size(values) - 1) * F.lit(q)
     low, high = (F.get(values, x.cast("int")) for x in (F.floor(at), F.ceil(at)))
     return low + (high - low) * (at - F.floor(at))
 
 
-def narrowest(values: str, prob: float) -> F.Column:
+def narrowest(values, prob: float) -> Column:
     """(w, lo, hi): of the intervals of floor(prob*n)+1 of a sorted array the narrowest, the lowest on ties."""
     n = F.size(values)
     span = F.least(F.floor(n * prob).cast("int"), n - 1)
@@ -52,103 +43,140 @@ def narrowest(values: str, prob: float) -> F.Column:
     return F.array_min(ends)
 
 
-def average_rank(x: str, by: list[str]) -> F.Column:
-    order = Window.partitionBy(*by).orderBy(x)
-    return (F.rank().over(order) + F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))) / 2
+def total_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def effective_sizes(rows: DataFrame, by: list[str], kinds: dict[str, F.Column]) -> DataFrame:
-    """(*by, kind, ess, r_hat) of each kind of value in (*by, c, i, ...), chains c of equal length.
+def split_chains(rows: Column) -> Column:
+    """The halves of the chains, an array each, in an array of (chain, draw, value) in this order. A chain of odd length loses its
+    middle draw."""
 
-    A chain is a row with its values as an array. Lags are worked out in blocks, each twice as long as the one before, until the
-    correlations of a parameter have come to a pair that isn't positive.
-    """
-    values = [x.cast("double").alias(k) for k, x in kinds.items()]
-    chains = rows.select(*by, "c", F.struct("i", *values).alias("s")).groupBy(*by, "c").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"s.{k}").alias("x")) for k in kinds])
-    chains = chains.select(*by, F.explode(each).alias("e")).select(*by, "e.kind", "e.x")
-    by, size = [*by, "kind"], F.size("x")
-    chains = chains.withColumn("m", F.aggregate("x", F.lit(0.0), lambda s, x: s + x) / size)
-    chains = settled(chains.select(*by, "m", F.transform("x", lambda x: x - F.col("m")).alias("y"), size.alias("n"), F.array_min("x").alias("a"), F.array_max("x").alias("b")))
-    spread = F.try_divide(F.aggregate("y", F.lit(0.0), lambda s, y: s + y * y), F.col("n") - 1)
-    between = F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between")
-    stats = chains.groupBy(*by).agg(F.avg(spread).alias("within"), between, F.max("n").alias("n"), F.count("*").alias("m"), (F.max("b") - F.min("a")).alias("span"))
-    stats = settled(stats)
-    n, total = F.col("n"), F.col("m") * F.col("n")
-    r_hat = F.when(F.col("within") > 0, F.sqrt((n - 1) / n + F.col("between") / F.col("within"))).otherwise(F.lit(float("nan")))
-    flat = (n < 4) | (F.col("span") < 1e-300)
-    need = stats.filter(~flat).select(*by, F.array().cast("array<double>").alias("acov"))
-    begin, width, done = 0, 32, None
-    while not need.isEmpty():
-
-        def moved(t):
-            left = F.greatest(n - t, F.lit(0))
-            both = F.zip_with(F.slice("y", F.lit(1), left), F.slice("y", t + 1, left), lambda x, y: x * y)
-            return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
-
-        lags = F.transform(F.sequence(F.lit(begin), F.lit(begin + width - 1)), moved)
-        sums = chains.join(need.select(*by), by, "left_semi").select(*by, lags.alias("t"))
-        sums = sums.groupBy(*by).agg(F.array(*[F.sum(F.get("t", F.lit(i))) for i in range(width)]).alias("more"))
-        found = need.join(sums, by).join(stats, by)
-        plus = F.col("within") * (n - 1) / n + F.col("between")
-        found = found.select(*by, F.concat("acov", F.transform("more", lambda s: s / total)).alias("acov"), "within", "n", "m", plus.alias("plus"))
-        rho = F.transform("acov", lambda a, t: F.when(t == 0, 1.0).otherwise(1 - (F.col("within") - a) / F.col("plus")))
-        found = found.withColumn("rho", F.slice(rho, 1, F.least(n - n % 2, F.lit(begin + width)).cast("int")))
-        pairs = F.transform(F.sequence(F.lit(0), (F.size("rho") / 2).cast("int") - 1), lambda p: F.get("rho", 2 * p) + F.get("rho", 2 * p + 1))
-        # the sum of the running minimum of pairs up to the first that isn't positive
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(False).alias("over"))
-
-        def step(s, p):
-            over, least = s["over"] | (p <= 0), F.least(s["least"], p)
-            return F.struct((s["sum"] + F.when(over, 0.0).otherwise(least)).alias("sum"), least.alias("least"), over.alias("over"))
-
-        found = settled(found.withColumn("end", F.aggregate(pairs, start, step)).drop("rho"))
-        ends = F.col("end.over") | (n - n % 2 <= begin + width)
-        tau = F.greatest(-1 + 2 * F.col("end.sum"), 1 / F.log10(total.cast("double")))
-        here = found.filter(ends).select(*by, (total / tau).alias("ess"))
-        done = here if done is None else done.unionByName(here)
-        need = found.filter(~ends).select(*by, "acov")
-        begin, width = begin + width, 2 * width
-    none = stats.filter(flat).select(*by, total.cast("double").alias("ess"))
-    return (none if done is None else none.unionByName(done)).join(stats.select(*by, r_hat.alias("r_hat")), by)
+    def each(first: Column, end: Column) -> Column:
+        half = ((end - first) / 2).cast("int")
+        return F.transform(F.array(first, end - half), lambda a: F.transform(F.slice(rows, a + 1, half), lambda r: r["value"]))
+
+    places = F.sequence(F.lit(0), F.size(rows) - 1)
+    firsts = F.filter(places, lambda i: (i == 0) | (F.get(rows, i)["chain"] != F.get(rows, i - 1)["chain"]))
+    return bound(firsts, lambda f: F.flatten(F.zip_with(f, F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(F.size(rows))), each)))
+
+
+def average_ranks(values: Column) -> Column:
+    """The rank of each value of an array, from 1; equal ones share the mean of theirs."""
+    n = F.size(values)
+
+    def ranks(order: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(order, i)["x"] != F.get(order, i - 1)["x"]))
+        ends = bound(firsts, lambda f: F.zip_with(f, F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(n)), lambda a, b: F.array_repeat((a + 1 + b) / 2, b - a)))
+        placed = F.zip_with(order, F.flatten(ends), lambda o, r: F.struct(o["i"], r.alias("r")))
+        return F.transform(F.sort_array(placed), lambda o: o["r"])
+
+    return bound(F.sort_array(F.transform(values, lambda x, i: F.struct(x.alias("x"), i.alias("i")))), ranks)
+
+
+def rank_scores(values: Column) -> Column:
+    """Normal scores of the ranks."""
+    return bound(average_ranks(values), lambda ranks: F.transform(ranks, lambda r: bound((r - 0.375) / (F.size(ranks) + 0.25), normal_quantile)))
+
+
+def effective_size(chains: Column, within: Column, between: Column) -> Column:
+    """Of centred chains of equal length. Correlations are worked out by pairs of lags, up to the first that isn't positive."""
+    n = F.size(F.get(chains, F.lit(0)))
+    total = F.size(chains) * n
+
+    def rho(t: Column) -> Column:
+        def moved(y: Column) -> Column:
+            return total_of(F.zip_with(F.slice(y, F.lit(1), n - t), F.slice(y, t + 1, n - t), lambda a, b: a * b))
+
+        summed = F.aggregate(chains, F.lit(0.0), lambda s, y: s + moved(y))
+        return F.when(t == 0, 1.0).otherwise(1 - (within - summed / total) / (within * (n - 1) / n + between))
+
+    def step(s: Column, p: Column) -> Column:
+        def grown(pair: Column) -> Column:
+            least = F.least(s["least"], pair)
+            return F.struct((s["sum"] + F.when(pair > 0, least).otherwise(0.0)).alias("sum"), least.alias("least"), (pair <= 0).alias("over"))
+
+        return F.when(s["over"], s).otherwise(bound(rho(2 * p) + rho(2 * p + 1), grown))
+
+    # the sum of the running minimum of pairs
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(False).alias("over"))
+    found = F.aggregate(F.sequence(F.lit(0), (n / 2).cast("int") - 1), start, step, lambda s: s["sum"])
+    return total / F.greatest(-1 + 2 * found, 1 / F.log10(total.cast("double")))
+
+
+def convergence(values: Column, m: Column, n: Column, size: bool = True) -> Column:
+    """(ess, r_hat) of ``m`` chains of ``n`` values, one after another in an array; without ``size`` ess is null."""
+    chains = F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.slice(values, j * n + 1, n))
+    centred = F.transform(chains, lambda x: bound(total_of(x) / n, lambda mean: F.struct(mean.alias("m"), F.transform(x, lambda v: v - mean).alias("y"))))
+
+    def found(parts: Column) -> Column:
+        spreads = F.transform(parts, lambda c: F.try_divide(total_of(F.transform(c["y"], lambda y: y * y)), n - 1))
+        means = F.transform(parts, lambda c: c["m"])
+        apart = bound(total_of(means) / m, lambda mean: total_of(F.transform(means, lambda x: (x - mean) * (x - mean))))
+        both = F.struct((total_of(spreads) / m).alias("within"), F.coalesce(F.try_divide(apart, m - 1), F.lit(0.0)).alias("between"))
+
+        def last(s: Column) -> Column:
+            within, between = s["within"], s["between"]
+            flat = (n < 4) | (F.array_max(values) - F.array_min(values) < 1e-300)
+            ess = F.when(flat, (m * n).cast("double")).otherwise(effective_size(F.transform(parts, lambda c: c["y"]), within, between))
+            r_hat = F.when(within > 0, F.sqrt((n - 1) / n + between / within)).otherwise(F.lit(float("nan")))
+            return F.struct((ess if size else F.lit(None).cast("double")).alias("ess"), r_hat.alias("r_hat"))
+
+        return bound(both, last)
+
+    return bound(centred, found)
+
+
+def diagnosed(rows: Column, mean: Column, low: Column, high: Column) -> Column:
+    """A struct of the sizes and R-hat of an array of (chain, draw, value), of two draws a chain at least."""
+
+    def of_halves(halves: Column) -> Column:
+        m, n = F.size(halves), F.size(F.get(halves, F.lit(0)))
+
+        def of_values(x: Column) -> Column:
+            middle = of_sorted_once(F.sort_array(x), 0.5)
+            kinds = {
+                "raw": x, "square": F.transform(x, lambda v: (v - mean) * (v - mean)), "low": F.transform(x, lambda v: (v <= low).cast("double")),
+                "high": F.transform(x, lambda v: (v <= high).cast("double")), "z": rank_scores(x),
+                "folded": rank_scores(bound(middle, lambda mid: F.transform(x, lambda v: F.abs(v - mid)))),
+            }
+            with_size, without = (partial(convergence, m=m, n=n, size=size) for size in (True, False))
+            each = [bound(v, lambda values: with_size(values)).alias(k) for k, v in kinds.items() if k != "folded"]
+            each.append(bound(kinds["folded"], lambda values: without(values)).alias("folded"))
+            return F.struct(*each)
+
+        return bound(F.flatten(halves), of_values)
+
+    return bound(split_chains(rows), of_halves)
+
+
+def of_sorted_once(values: Column, q: float) -> Column:
+    return bound(values, lambda v: of_sorted(v, q))
 
 
 def summary(draws: DataFrame, by=("node", "k"), prob: float = 0.94) -> DataFrame:
-    """(*by, mean, sd, hdi_lo, hdi_hi, mcse_mean, mcse_sd, ess_bulk, ess_tail, r_hat): one row for each parameter, by expressions,
-    windows and aggregates. Nulls in ``by`` are values like others. Chains have equal lengths; one parameter's draws are sorted in one
+    """(*by, mean, sd, hdi_lo, hdi_hi, mcse_mean, mcse_sd, ess_bulk, ess_tail, r_hat): one row for each parameter, by expressions over
+    one aggregate. Nulls in ``by`` are values like others. Chains have equal lengths; one parameter's draws are sorted in one
     array (``evaluate.hdi`` and ``vectors.quantiles`` are for more than that holds)."""
-    names = list(by)
-    # one text a key, as joins don't match nulls
-    key = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("_b")
-    by = ["_b"]
-    every = settled(halves(draws.select(key, *[F.col(n).alias(f"_k_{n}") for n in names], "chain", "draw", F.col("value").cast("double").alias("value")), by))
-    own = [F.first(f"_k_{n}").alias(f"_k_{n}") for n in names]
-    lists = [F.array_sort(F.collect_list(x)).alias(n) for n, x in (("_v", F.col("value")), ("_s", F.when(F.col("c").isNotNull(), F.col("value"))))]
-    all_ = every.groupBy(*by).agg(*own, F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *lists)
-    points = [of_sorted("_v", 0.05).alias("_low"), of_sorted("_v", 0.95).alias("_high"), of_sorted("_s", 0.5).alias("_mid"), F.size("_s").alias("_size")]
-    all_ = settled(all_.select("*", *points, narrowest("_v", prob).alias("_n")).drop("_v", "_s"))
-    rows = every.filter("c is not null").select(*by, "c", "i", "value").join(all_.select(*by, "mean", "_low", "_high", "_mid", "_size"), by)
-    rows = rows.withColumn("_fold", F.abs(F.col("value") - F.col("_mid")))
-    # ranks are columns before they are used, as a formula would bring a window for each time that it names them
-    rows = rows.withColumn("_r", average_rank("value", by)).withColumn("_rf", average_rank("_fold", by))
-    z, folded = (normal_quantile((F.col(r) - 0.375) / (F.col("_size") + 0.25)) for r in ("_r", "_rf"))
-    gap = F.col("value") - F.col("mean")
-    kinds = {"raw": F.col("value"), "square": gap * gap, "low": (F.col("value") <= F.col("_low")).cast("double"), "high": (F.col("value") <= F.col("_high")).cast("double"), "z": z, "folded": folded}
-    found = effective_sizes(rows, by, kinds).groupBy(*by)
-
-    def of(kind: str, column: str):
-        return F.max(F.when(F.col("kind") == kind, F.col(column)))
-
-    def known(kind: str):
-        x = of(kind, "r_hat")
+    names, taken = list(by), F.col("value").cast("double")
+    rows = F.sort_array(F.collect_list(F.struct("chain", "draw", taken.alias("value")))).alias("_r")
+    every = draws.groupBy(*names).agg(F.avg(taken).alias("mean"), F.stddev_samp(taken).alias("sd"), F.sort_array(F.collect_list(taken)).alias("_v"), rows)
+    # before the diagnostics, as a condition on them would have them worked out twice
+    every = every.filter(F.size(F.array_distinct(F.transform("_r", lambda r: r["chain"]))) < F.size("_r"))
+    low, high = (of_sorted(F.col("_v"), q).alias(n) for q, n in ((0.05, "_low"), (0.95, "_high")))
+    points = F.struct(low, high, narrowest("_v", prob).alias("n"))
+    found = bound(points, lambda p: F.struct(p["n"].alias("n"), diagnosed(F.col("_r"), F.col("mean"), p["_low"], p["_high"]).alias("d")))
+    found = every.select(*names, "mean", "sd", found.alias("_f"))
+
+    def known(kind: str) -> Column:
+        x = F.col(f"_f.d.{kind}.r_hat")
         return F.when(~F.isnan(x), x)
 
-    wide = found.agg(
-        *[of(k, "ess").alias(f"_{k}") for k in kinds], F.coalesce(F.greatest(known("z"), known("folded")), F.lit(float("nan"))).alias("r_hat")
-    )
-    both = all_.drop("_low", "_high", "_mid", "_size").join(wide, by)
-    return both.select(
-        *[F.col(f"_k_{n}").alias(n) for n in names], "mean", F.coalesce("sd", F.lit(float("nan"))).alias("sd"), F.col("_n.lo").alias("hdi_lo"),
-        F.col("_n.hi").alias("hdi_hi"), (F.col("sd") / F.sqrt("_raw")).alias("mcse_mean"), (F.col("sd") / F.sqrt(2 * F.col("_square"))).alias("mcse_sd"),
-        F.col("_z").alias("ess_bulk"), F.least("_low", "_high").alias("ess_tail"), "r_hat",
+    def size(kind: str) -> Column:
+        return F.col(f"_f.d.{kind}.ess")
+
+    return found.select(
+        *names, "mean", F.coalesce("sd", F.lit(float("nan"))).alias("sd"), F.col("_f.n.lo").alias("hdi_lo"),
+        F.col("_f.n.hi").alias("hdi_hi"), (F.col("sd") / F.sqrt(size("raw"))).alias("mcse_mean"), (F.col("sd") / F.sqrt(2 * size("square"))).alias("mcse_sd"),
+        size("z").alias("ess_bulk"), F.least(size("low"), size("high")).alias("ess_tail"),
+        F.coalesce(F.greatest(known("z"), known("folded")), F.lit(float("nan"))).alias("r_hat"),
     )
