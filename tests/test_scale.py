@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from treeweft.functions import arrays
+from treeweft.llm import hnsw
 from treeweft.operators import diagnostics, evaluate
 from treeweft.plans import domain as D
 from treeweft.plans.queries import QUERIES
@@ -61,3 +62,16 @@ def test_summary_is_one_aggregate(spark):
     one = spark.createDataFrame([(None, c, d, float(c + d)) for c in range(2) for d in range(2)] + [("few", 0, 0, 1.0)], "node string, chain int, draw int, value double")
     found = diagnostics.summary(one, ["node"]).collect()
     assert [(r["node"], r["mean"], r["ess_bulk"], r["ess_tail"]) for r in found] == [(None, 1.0, 4.0, 4.0)]  # one draw a chain tells nothing
+
+
+def test_upper_layer_of_more_points_than_the_first_block(monkeypatch):
+    """A shard of more than 16 x FIRST points has an upper layer that goes beyond what stands of the lower one."""
+    monkeypatch.setattr(hnsw, "FIRST", 64)
+    g = np.random.default_rng(5)
+    x = hnsw.unit(g.standard_normal((3000, 16))).astype(np.float32)
+    assert hnsw.layer_sizes(3000)[1] > hnsw.FIRST
+    layers, asked = hnsw.build(x), x[::30]
+    assert all((links < len(links)).all() for links in layers)
+    found = hnsw.search(x, layers, asked)[0][:, :5]
+    want = np.argsort(-(asked @ x.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found.tolist(), want.tolist(), strict=True)]) > 0.95

@@ -167,6 +167,8 @@ def build(x: np.ndarray) -> list[np.ndarray]:
         for i in range(begin, size, BATCH):
             new = np.arange(i, min(i + BATCH, size), dtype=np.int32)
             start = descend(x, layers[::-1], x[new])
+            if (start >= i).any():
+                start = earlier(layers[-1], start, i)
             ids, near = beam(x, links[:i], x[new], start, EF_BUILD)
             own = x[new] @ x[new].T
             np.fill_diagonal(own, -np.inf)
@@ -183,6 +185,17 @@ def build(x: np.ndarray) -> list[np.ndarray]:
     return layers[::-1]
 
 
+def earlier(above: np.ndarray, start: np.ndarray, i: int) -> np.ndarray:
+    """``start`` with those points that are not among the first ``i`` yet replaced by a neighbour that is, or else by the first point.
+
+    A layer of more than FIRST points stands whole while the one below it, which begins with the same points, is being built.
+    """
+    near = above[start]
+    good = (near >= 0) & (near < i)
+    other = np.where(good.any(axis=1), near[np.arange(len(near)), good.argmax(axis=1)], 0)
+    return np.where(start < i, start, other)
+
+
 def choose_padded(x, ids, near, most):
     out = np.full((len(ids), most), NONE, dtype=np.int32)
     found = choose(x, ids, near, most)
