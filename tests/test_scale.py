@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeweft.functions import arrays
 from treeweft.llm import hnsw
-from treeweft.operators import diagnostics, evaluate
+from treeweft.operators import diagnostics, evaluate, plotdata
 from treeweft.plans import domain as D
 from treeweft.plans.queries import QUERIES
 
@@ -75,3 +75,25 @@ def test_upper_layer_of_more_points_than_the_first_block(monkeypatch):
     found = hnsw.search(x, layers, asked)[0][:, :5]
     want = np.argsort(-(asked @ x.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found.tolist(), want.tolist(), strict=True)]) > 0.95
+
+
+def test_linkage_of_many_rows(monkeypatch):
+    """More rows than a matrix takes, in small blocks, give the tree of the matrix; so do rows that are alike."""
+    g = np.random.default_rng(6)
+    x = g.dirichlet(np.full(9, 0.3), 300)
+    far = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+    want = plotdata.average_linkage(far)
+    assert plotdata.linkage_of_rows(x) == want
+    monkeypatch.setattr(plotdata, "MATRIX", 10)
+    monkeypatch.setattr(plotdata, "BLOCK", 8 * 300 * 7)
+    assert plotdata.linkage_of_rows(x) == want
+    assert sorted(plotdata.linkage_of_rows(np.round(x, 1))) == list(range(300)) and plotdata.linkage_of_rows(x[:0]) == []
+
+
+def test_heat_map_of_more_rows_than_before(spark, monkeypatch):
+    monkeypatch.setattr(plotdata, "MATRIX", 20)
+    monkeypatch.setattr(plotdata, "MOST_ROWS", 20, raising=False)  # the bound beyond which it was an error
+    rows = spark.createDataFrame([(p, f"n{i:03d}", c, float((i * 7 + c * c) % 11)) for p in range(2) for i in range(60) for c in range(4)], "patient int, node string, channel int, share double")
+    found = plotdata.cluster_rows(rows, "patient").collect()
+    assert sorted((r["patient"], r["position"]) for r in found) == [(p, i) for p in range(2) for i in range(60)]
+    assert len({(r["patient"], r["node"]) for r in found}) == 120

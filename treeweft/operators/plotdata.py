@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 
 from treeweft.functions.vectors import quantiles
 
-MOST_ROWS = 20_000
+#: Groups whose distances are held as a matrix at once (128 MB), and bytes of a block of distances to all rows.
+MATRIX = 4096
+BLOCK = 32 << 20
 
 
 def box(rows: DataFrame, by, value: str) -> DataFrame:
@@ -54,15 +58,16 @@ def relative_profiles(counts: DataFrame) -> DataFrame:
     return counts.select("node", "channel", F.try_divide(F.col("n").cast("double"), total).alias("share"))
 
 
-def average_linkage(distances: np.ndarray) -> list[int]:
+def average_linkage(distances: np.ndarray, held: list[list[int]] | None = None) -> list[int]:
     """The leaves in the order of the merge tree: groups with the smallest mean distance merge, the one with the
     smaller first leaf to the left.
 
     A chain goes from a group to its nearest until two are nearest to each other; these merge, whatever is nearer
-    elsewhere, as that does not change the tree. So the time is quadratic, like the matrix.
+    elsewhere, as that does not change the tree. So the time is quadratic, like the matrix. ``held`` are the leaves of the groups to begin
+    with, by their first leaf; a leaf each, if not given.
     """
     n = len(distances)
-    members = {i: [i] for i in range(n)}
+    members = {i: list(held[i]) if held else [i] for i in range(n)}
     d = distances.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     chain: list[int] = []
@@ -85,21 +90,74 @@ def average_linkage(distances: np.ndarray) -> list[int]:
     return next(iter(members.values()), [])
 
 
+def mean_distances(x: np.ndarray, groups: list[list[int]], asked: range | list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, means): for blocks of the groups in ``asked`` the mean distances of their members to those of all groups. No more
+    than a block of the rows' distances is held."""
+    order = np.concatenate(groups)
+    y, sizes = x[order], np.array([len(g) for g in groups])
+    square, starts = (y * y).sum(axis=1), np.cumsum(sizes) - sizes
+    rows = max(1, BLOCK // 8 // len(y))
+
+    def means(some: list[int]) -> np.ndarray:
+        wanted, counts = np.concatenate([groups[g] for g in some]), sizes[some]
+        owner, out = np.repeat(np.arange(len(some)), counts), np.zeros((len(some), len(groups)))
+        for i in range(0, len(wanted), rows):
+            z = x[wanted[i : i + rows]]
+            far = np.sqrt(np.maximum((z * z).sum(axis=1)[:, None] + square[None, :] - 2 * z @ y.T, 0))
+            np.add.at(out, owner[i : i + rows], np.add.reduceat(far, starts, axis=1))
+        return out / (counts[:, None] * sizes[None, :])
+
+    begin = 0
+    while begin < len(asked):
+        end, taken = begin + 1, sizes[asked[begin]]
+        while end < len(asked) and taken + sizes[asked[end]] <= rows:
+            taken += sizes[asked[end]]
+            end += 1
+        yield begin, means(list(asked[begin:end]))
+        begin = end
+
+
+def linkage_of_rows(x: np.ndarray) -> list[int]:
+    """average_linkage() of the Euclidean distances of the rows of ``x``, in memory that grows with the rows and not their square.
+
+    All pairs of groups that are nearest to each other merge at once, which gives the same tree, until the rest's matrix is small. Only
+    groups that are new, or whose nearest has merged, look for their nearest again, by the distances of their members to all rows.
+    """
+    members = {i: [i] for i in range(len(x))}
+    nearest: dict[int, tuple[float, int]] = {}
+    while len(members) > MATRIX:
+        ids = sorted(members)
+        stale = [k for k, i in enumerate(ids) if i not in nearest]
+        for first, means in mean_distances(x, [members[i] for i in ids], stale):
+            own = stale[first : first + len(means)]
+            means[np.arange(len(own)), own] = np.inf
+            best = means.argmin(axis=1)
+            for k, j, far in zip(own, best.tolist(), means[np.arange(len(own)), best].tolist(), strict=True):
+                nearest[ids[k]] = far, ids[j]
+        pairs = [(i, j) for i, (_, j) in nearest.items() if i < j and nearest[j][1] == i]
+        if not pairs:  # equal distances that were rounded apart
+            i = min(nearest, key=lambda k: (nearest[k][0], k))
+            pairs = [tuple(sorted((i, nearest[i][1])))]
+        for i, j in pairs:
+            members[i] += members.pop(j)
+        gone = {i for pair in pairs for i in pair}
+        nearest = {i: v for i, v in nearest.items() if i not in gone and v[1] not in gone}
+    groups = [members[i] for i in sorted(members)]
+    if not groups:
+        return []
+    return average_linkage(np.concatenate([means for _, means in mean_distances(x, groups, range(len(groups)))]), groups)
+
+
 def cluster_rows(profiles: DataFrame, by: str) -> DataFrame:
     """(by, node, position): the nodes of each group in the order of average linkage of Euclidean distances.
 
-    A group's matrix of distances lies in one task: 8 bytes for each pair of a patient's nodes. More than ``MOST_ROWS``
-    of them are a ValueError.
+    A patient's profiles lie in one task, and a bounded part of their distances at a time. Its time grows with the square of their number.
     """
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
         table = frame.pivot(index="node", columns="channel", values="share").fillna(0.0).sort_index()
         x = table.to_numpy()
-        if len(x) > MOST_ROWS:
-            raise ValueError(f"{len(x)} rows are more than a heat map of one patient takes")
-        square = (x * x).sum(axis=1)
-        gaps = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-        order = average_linkage(gaps)
+        order = linkage_of_rows(x)
         return pd.DataFrame({by: frame[by].iloc[0], "node": table.index[order], "position": range(len(order))})
 
     kind = profiles.schema[by].dataType.simpleString()
