@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from treeweft.functions import arrays
-from treeweft.llm import hnsw
+from treeweft.llm import common, hnsw, lines
 from treeweft.operators import diagnostics, evaluate, plotdata
 from treeweft.plans import domain as D
 from treeweft.plans.queries import QUERIES
@@ -97,3 +98,17 @@ def test_heat_map_of_more_rows_than_before(spark, monkeypatch):
     found = plotdata.cluster_rows(rows, "patient").collect()
     assert sorted((r["patient"], r["position"]) for r in found) == [(p, i) for p in range(2) for i in range(60)]
     assert len({(r["patient"], r["node"]) for r in found}) == 120
+
+
+def test_lines_are_hashed_in_parts(spark, monkeypatch):
+    """A batch's texts go in parts of bounded size, none lost and none twice, whatever the bound."""
+    texts = ["a" * 700, "", None, "x\ny\n" * 200, "é" * 90, "b"] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts)], ["i", "_text"])
+    for most in (1, 100, 1000, 1 << 20):
+        parts = list(common.parts_of(iter([batch, batch.slice(0, 0)]), "_text", most))
+        assert pa.concat_batches(parts).equals(batch)
+        assert all(len(p) <= 1 or sum(len((t or "").encode()) for t in p["_text"].to_pylist()[1:]) <= most + 800 for p in parts)
+    docs = spark.createDataFrame([(i, f"{t}\nline number {i % 7} of a text\nline number {i % 7} of a texts") for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(tuple, lines.dedup_lines(docs).collect()))
+    monkeypatch.setattr(lines, "PART_BYTES", 64)
+    assert sorted(map(tuple, lines.dedup_lines(docs).collect())) == want

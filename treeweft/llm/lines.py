@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import small_batches, stored, whole_text
+from treeweft.llm.common import parts_of, small_batches, stored, trimmed, whole_text
 
 #: Characters from which on a line may differ in one edit, unless the caller says otherwise.
 MIN_FUZZY = 20
@@ -47,6 +47,8 @@ MOST_KEYS = 1 << TABLE_BITS - 3
 #: A line is hot from this share of all lines on, so that there are at most as many hot ones.
 HOT = 1000
 PAGE = 4096
+#: Bytes of texts whose lines are hashed at once; that takes several arrays of 8 bytes a character.
+PART_BYTES = 1 << 19
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -158,7 +160,7 @@ def line_rows(rows: DataFrame, fuzzy: int) -> DataFrame:
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, "_text", PART_BYTES):
             owner, number, lines = [], [], []
             for i, text in enumerate(batch["_text"].to_pylist()):
                 for k, line in enumerate(split(text)):
@@ -185,7 +187,7 @@ def line_rows(rows: DataFrame, fuzzy: int) -> DataFrame:
                 schema.names,
             )
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimmed(work), schema)
 
 
 def key_table(keys: DataFrame) -> bytes:
@@ -230,7 +232,7 @@ def passed_lines(rows: DataFrame, table, fuzzy: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in parts_of(batches, "_text", PART_BYTES):
             lines = long_lines(batch, fuzzy)
             if not lines:
                 continue
@@ -249,7 +251,7 @@ def passed_lines(rows: DataFrame, table, fuzzy: int) -> DataFrame:
             where = pa.ListArray.from_arrays(ends, pa.array(spans[order].ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays([hashes, pa.array(found, pa.string()), where], ["h", "text", "spans"])
 
-    found = rows.select("_text").mapInArrow(work, "h binary, text string, spans array<int>")
+    found = rows.select("_text").mapInArrow(trimmed(work), "h binary, text string, spans array<int>")
     return found.groupBy("h").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
 
 

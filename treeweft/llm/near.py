@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from treeweft.llm.common import small_batches, stored, whole_text
+from treeweft.llm.common import small_batches, stored, trimmed, whole_text
 from treeweft.llm.components import components
 from treeweft.llm.fingerprint import SEED, fingerprint, shingle_hashes, signed
 from treeweft.llm.simhash import close_pairs
@@ -92,7 +92,7 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
             filed = pa.array([buckets(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["_id"], keys, sizes, prints, filed], schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimmed(work), schema)
 
 
 def whole_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -108,7 +108,7 @@ def whole_sets(rows: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, held, drawn], names)
 
     kind = "key binary, hashes array<bigint>, sketch array<bigint>"
-    return rows.select("_text").mapInArrow(work, kind).dropDuplicates(["key"])
+    return rows.select("_text").mapInArrow(trimmed(work), kind).dropDuplicates(["key"])
 
 
 def sizes_allow(n: str, m: str):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeweft.llm.chunks import AT_ONCE_BYTES
-from treeweft.llm.common import gathered, small_batches, stored, whole_text
+from treeweft.llm.common import gathered, small_batches, stored, trimmed, whole_text
 from treeweft.llm.token_ids import encode_texts
 
 CAPACITY = 2048
@@ -145,7 +145,7 @@ def pieces_of(docs: DataFrame, path: str, id_col: str, text_col: str, capacity:
             arrays = [batch["_id"].take(pa.array(owner, pa.int64())), *[pa.array(c) for c in columns.T]]
             yield pa.RecordBatch.from_arrays(arrays, ["_id", *longs])
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimmed(work), schema)
 
 
 def pack(

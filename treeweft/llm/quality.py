@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeweft.llm.common import fresh, small_batches, stored, whole_text
+from treeweft.llm.common import fresh, small_batches, stored, trimmed, whole_text
 
 MAX_DOCUMENTS = 6000
 MAX_LINES = 200_000
@@ -263,7 +263,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="t
 
     kind = T.StructType([*found.schema.fields[:3], *T._parse_datatype_string("own binary, sizes binary")])
     # of rows that repeat an id one is learnt from
-    once = found.mapInArrow(work, kind).groupBy("_id", "_y").agg(F.min(F.struct("_th", "own", "sizes")).alias("one"))
+    once = found.mapInArrow(trimmed(work), kind).groupBy("_id", "_y").agg(F.min(F.struct("_th", "own", "sizes")).alias("one"))
     once = once.select("_id", "_y", turn.alias("turn"), "one.own", "one.sizes", (F.octet_length("one.sizes") / 8).cast("long").alias("n"))
     once = stored(once, "quality-learnt")
     fit, room, seen = [], MAX_LINES, 0
@@ -302,7 +302,7 @@ def with_score(docs: DataFrame, model: Field | None, text_col: str = "text", nam
             found = field.score(texts) if field else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimmed(work), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
