@@ -100,3 +100,24 @@ def test_chains_in_several_tasks(tmp_path):
     with pytest.raises(ValueError, match="more than one task"):
         writer.commit([writer.write(iter(b)) for b in by])
     assert not list(tmp_path.glob("*"))
+
+
+def test_a_chain_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """The draws of one chain are made into records by several tasks and read by several; rows come in any order."""
+    rows = rows_of(1, 40)
+    rows[50] = (*rows[50][:5], None)
+    made, whole = [], netcdf.record_files
+    monkeypatch.setattr(netcdf, "record_files", lambda *a: made.append(whole(*a)) or made[-1])
+    monkeypatch.setattr(netcdf, "PART_ROWS", 100)
+    netcdf.write_draws(spark.createDataFrame(rows, netcdf.SCHEMA).repartition(3), str(tmp_path / "t"))
+    assert [p.name for p in Path(tmp_path, "t").iterdir()] == ["chain-00000.nc"]
+    assert len({r["file"] for r in made[0].collect()}) > 1
+    monkeypatch.setattr(netcdf, "PART_BYTES", 10 * 6 * 8)  # ten draws of e, which has six cells
+    reader = Reader({"path": str(tmp_path / "t")})
+    parts = reader.partitions()
+    assert [(p.first, p.stop) for p in parts if p.var == "e"] == [(0, 10), (10, 20), (20, 30), (30, 40)]
+    every = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    rows[50] = (*rows[50][:5], float("nan"))
+    assert sorted(map(repr, every)) == sorted(map(repr, rows))
+    with pytest.raises(ValueError, match="without variable, chain or draw"):
+        netcdf.write_draws(spark.createDataFrame([("e", None, 0, "a", 0, 1.0)], netcdf.SCHEMA), str(tmp_path / "u"))

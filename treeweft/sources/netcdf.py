@@ -5,33 +5,45 @@ record a draw, in the 64-bit offset form of the classic format, so that any NetC
 and the chain's number is an attribute. Files of others are read as well: a variable counts if its dimensions are, in
 this order, any of chain, draw (that one always), nodes and components; labels are looked for in the variable ``node``.
 
-* Writing: rows come a chain a task, in order of draws (``write_draws`` sees to that). A task holds one draw at a time. Every draw of
-  a chain has the same cells. What a task writes has a name of its own until the job commits, so that lost or repeated
-  tasks leave nothing behind.
-* Reading: a partition a chain and variable, of which blocks of draws are read. Equality and IN filters on ``var`` and ``chain`` skip
-  partitions if ``spark.sql.python.filterPushdown.enabled`` is set; the options ``var`` and ``chain`` always do.
+* Writing: ``write_draws`` deals the draws of all chains to tasks, which write them as records, one draw at a time, to a file of the
+  task. Then a task a chain puts the bytes of its records together. To the data source itself rows come a chain a task, in order of
+  draws. Every draw of a chain has the same cells. What a task writes has a name of its own until the job commits, so that lost or
+  repeated tasks leave nothing behind.
+* Reading: a partition a chain and variable, or several if that is long, of which blocks of draws are read. Equality and IN filters on
+  ``var`` and ``chain`` skip partitions if ``spark.sql.python.filterPushdown.enabled`` is set; the options ``var`` and ``chain`` always do.
 
 Paths are those that pyarrow's file systems know (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 from posixpath import basename, dirname, join
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, WriterCommitMessage,
 )
 
+from treeweft.plans.lineage import settled
+
 SCHEMA = "var string, chain int, draw int, node string, k int, value double"
 FORMAT = "netcdf_draws"
+# a draw that is written: where its bytes lie, those of the labels (of a chain's first draw alone), and which cells it has
+RECORDS = """chain int, draw int, file string, place long, size long, labels long, wide int, nodes int, components int,
+variables string, cells string, error string"""
 # fixed values of the format: tags of its lists, and its types by number
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -39,6 +51,8 @@ CHAR, INT, DOUBLE = 2, 4, 6
 MAGIC = b"CDF"
 BLOCK = 8 << 20
 HEAD = 64 << 10
+#: Bytes of a variable that a partition reads, rows that a task writes, and nodes that all tasks may have a table of.
+PART_BYTES, PART_ROWS, MOST_NODES = 16 << 20, 2 << 20, 1 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -196,10 +210,12 @@ class Part(InputPartition):
     var: str
     chain: int
     place: int | None  # of the chain along the variable's own dimension of chains
+    first: int = 0  # of the draws
+    stop: int | None = None
 
-    def __init__(self, path: str, var: str, chain: int, place: int | None):
-        super().__init__((path, var, chain, place))
-        self.path, self.var, self.chain, self.place = path, var, chain, place
+    def __init__(self, path: str, var: str, chain: int, place: int | None, first: int = 0, stop: int | None = None):
+        super().__init__((path, var, chain, place, first, stop))
+        self.path, self.var, self.chain, self.place, self.first, self.stop = path, var, chain, place, first, stop
 
 
 def draw_variables(head: Header) -> Iterator[tuple[Variable, list[str]]]:
@@ -210,6 +226,13 @@ def draw_variables(head: Header) -> Iterator[tuple[Variable, list[str]]]:
             yield v, names
 
 
+def extent(head: Header, v: Variable, names: list[str]) -> tuple[int, int]:
+    """Draws of a variable, and the bytes of one."""
+    inner = [head.dims[d][1] for d, n in zip(v.dims, names, strict=True) if n not in ("chain", "draw")]
+    draws = head.records if head.is_record(v) else head.dims[v.dims[names.index("draw")]][1]
+    return draws, int(np.prod(inner, dtype=np.int64)) * np.dtype(TYPES[v.kind]).itemsize
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -235,7 +258,9 @@ class Reader(DataSourceReader):
                 for place in chains:
                     chain = head.attributes.get("chain", 0) if place is None else place
                     if v.name in self.wanted.get("var", {v.name}) and chain in self.wanted.get("chain", {chain}):
-                        out.append(Part(f.path, v.name, chain, place))
+                        draws, size = extent(head, v, names)
+                        each = max(1, PART_BYTES // max(size, 1))
+                        out += [Part(f.path, v.name, chain, place, a, min(a + each, draws)) for a in range(0, max(draws, 1), each)]
         return out or [Part("", "", 0, None)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
@@ -246,25 +271,25 @@ class Reader(DataSourceReader):
             head = read_header(file, file.size())
             v, names = next(x for x in draw_variables(head) if x[0].name == part.var)
             inner = [head.dims[d][1] for d, n in zip(v.dims, names, strict=True) if n not in ("chain", "draw")]
-            draws = head.records if head.is_record(v) else head.dims[v.dims[names.index("draw")]][1]
-            width, kind = int(np.prod(inner, dtype=np.int64)), np.dtype(TYPES[v.kind])
+            kind = np.dtype(TYPES[v.kind])
+            draws, size = extent(head, v, names)
+            width = size // kind.itemsize
             labels = self.labels(file, head)
             named = [labels[i] if i < len(labels) else str(i) for i in range(inner[0])] if inner else [None]
             ks = list(range(inner[1])) if len(inner) > 1 else [None]
             nodes = pa.array(named, pa.string()).take(pa.array(np.repeat(np.arange(len(named)), len(ks))))
             components = pa.array(ks * len(named), pa.int32())
-            size = kind.itemsize * width
             step, at = (head.step(), v.begin) if head.is_record(v) else (size, v.begin + (part.place or 0) * draws * size)
             block = max(1, BLOCK // max(step, 1))
-            for first in range(0, draws, block):
-                n = min(block, draws - first)
+            stop = draws if part.stop is None else min(part.stop, draws)
+            for first in range(part.first, stop, block):
+                n = min(block, stop - first)
                 file.seek(at + first * step)
                 data = file.read((n - 1) * step + size)
                 x = np.concatenate([np.frombuffer(data, kind, width, i * step) for i in range(n)]).astype(np.float64)
                 each = np.arange(first, first + n, dtype=np.int32)
-                again = pa.array(np.tile(np.arange(width), n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.var] * len(x)), pa.array(np.full(len(x), part.chain, np.int32)), pa.array(np.repeat(each, width)), nodes.take(again), components.take(again), pa.array(x)],
+                    [pa.repeat(part.var, len(x)), pa.array(np.full(len(x), part.chain, np.int32)), pa.array(np.repeat(each, width)), pa.concat_arrays([nodes] * n), pa.concat_arrays([components] * n), pa.array(x)],
                     names=["var", "chain", "draw", "node", "k", "value"],
                 )
 
@@ -292,6 +317,20 @@ class PushingReader(Reader):
 # ---- writing
 
 
+def header(chain: int, records: int, nodes: int, wide: int, components: int, variables: dict[str, int]) -> Header:
+    """Of a chain's file, whose variables have none, one or both of the dimensions of nodes and components."""
+    dims = [("draw", 0), ("node", nodes), ("component", components), ("label", wide)]
+    dims = [d for d in dims if d[1] or d[0] == "draw" or d[0] == "label"]
+    at = {n: i for i, (n, _) in enumerate(dims)}
+    made = [Variable("node", [at["node"], at["label"]], CHAR)] if nodes else []
+    made += [Variable(v, [at[n] for n in ("draw", "node", "component")[: 1 + inner]], DOUBLE) for v, inner in variables.items()]
+    return Header(dims, made, {"chain": int(chain)}, records)
+
+
+def final_name(made: str, chain: int) -> str:
+    return join(dirname(made), f"chain-{chain:05d}.nc")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -353,13 +392,7 @@ class Writer(DataSourceWriter):
         chain["file"].close()
         labels = [n.encode() for n in chain["nodes"]]
         wide = max(map(len, labels), default=1)
-        dims = [("draw", 0), ("node", len(labels)), ("component", len(chain["ks"])), ("label", wide)]
-        dims = [d for d in dims if d[1] or d[0] == "draw" or d[0] == "label"]
-        at = {n: i for i, (n, _) in enumerate(dims)}
-        variables = [Variable("node", [at["node"], at["label"]], CHAR)] if labels else []
-        for var, shape in chain["shapes"].items():
-            variables.append(Variable(var, [at[n] for n in ("draw", "node", "component")[: 1 + len(shape)]], DOUBLE))
-        head = Header(dims, variables, {"chain": int(chain["number"])}, chain["records"])
+        head = header(chain["number"], chain["records"], len(labels), wide, len(chain["ks"]), {v: len(s) for v, s in chain["shapes"].items()})
         with where.open_output_stream(f"{chain['path']}.made") as out:
             out.write(head.encode())
             if labels:
@@ -368,7 +401,7 @@ class Writer(DataSourceWriter):
                 while block := records.read(BLOCK):
                     out.write(block)
         where.delete_file(f"{chain['path']}.records")
-        return f"{chain['path']}.made", join(dirname(chain["path"]), f"chain-{chain['number']:05d}.nc")
+        return f"{chain['path']}.made", final_name(chain["path"], chain["number"])
 
     def commit(self, messages) -> None:
         where, path = opened(self.path)
@@ -396,6 +429,48 @@ class Writer(DataSourceWriter):
                 where.delete_file(f.path)
 
 
+class Joiner(Writer):
+    """Takes what record_files() gives, a chain a task, in order of draws: the bytes are copied as they are."""
+
+    def write(self, iterator: Iterator) -> Written:
+        where, path = opened(self.path)
+        where.create_dir(path, recursive=True)
+        return Written([self.joined(where, path, list(draws)) for _, draws in groupby(iterator, key=lambda r: r["chain"])])
+
+    def joined(self, where, path: str, draws: list) -> tuple[str, str]:
+        first = draws[0]
+        for d in draws:
+            if d["error"]:
+                raise ValueError(d["error"])
+            if d["cells"] != first["cells"]:
+                raise ValueError("all draws of a chain have the same cells")
+        dims = dict(json.loads(first["variables"]))
+        head = header(first["chain"], len(draws), first["nodes"], first["wide"], first["components"], dims)
+        made = join(path, f"_{uuid.uuid4().hex}.made")
+        with contextlib.ExitStack() as stack, where.open_output_stream(made) as out:
+            files: dict[str, pa.NativeFile] = {}
+
+            def copy(file: str, at: int, size: int) -> None:
+                if file not in files:
+                    files[file] = stack.enter_context(where.open_input_file(file))
+                files[file].seek(at)
+                while size:
+                    block = files[file].read(min(BLOCK, size))
+                    if not block:
+                        raise OSError(f"{file} ends early")
+                    out.write(block)
+                    size -= len(block)
+
+            out.write(head.encode())
+            if first["nodes"]:
+                labels = first["nodes"] * first["wide"]
+                copy(first["file"], first["labels"], labels)
+                out.write(bytes(-labels % 4))
+            for d in draws:
+                copy(d["file"], d["place"], d["size"])
+        return made, final_name(made, first["chain"])
+
+
 class NetcdfDraws(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -408,7 +483,99 @@ class NetcdfDraws(DataSource):
         return (PushingReader if self.options.get("push") == "true" else Reader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return Writer(dict(self.options), overwrite)
+        return (Joiner if "cells" in schema.names else Writer)(dict(self.options), overwrite)
+
+
+def record(names: list[str], v: np.ndarray, node: np.ndarray, k: np.ndarray, value: np.ndarray):
+    """(variables with their numbers of inner dimensions, numbers of the nodes, number of components, bytes) of one draw.
+
+    Cells come in any order. -1 stands for no node or component.
+    """
+    nodes, ks = np.unique(node[node >= 0]), np.unique(k[k != -1])
+    at = np.searchsorted(nodes, node)
+    variables, data = [], []
+    for i in np.flatnonzero(np.bincount(v)).tolist():
+        own = v == i
+        none, flat = node[own] < 0, k[own] == -1
+        dims = 0 if none.all() and flat.all() else 1 if flat.any() else 2
+        shape = (len(nodes), len(ks))[:dims]
+        size = int(np.prod(shape, dtype=np.int64))
+        full = len(none) == size and np.array_equal(ks, np.arange(len(ks))) and not (dims and none.any()) and not (dims == 1 and not flat.all())
+        if full:
+            to = (0, at[own], at[own] * len(ks) + k[own])[dims]
+            seen = np.zeros(size, dtype=bool)
+            seen[to] = True
+            full = bool(seen.all())
+        if not full:
+            raise ValueError(f"the cells of {names[i]} are no full table of nodes and components from 0, each of them once")
+        out = np.empty(size, ">f8")
+        out[to] = value[own]
+        variables.append((names[i], dims))
+        data.append(out.tobytes())
+    return variables, nodes, len(ks), b"".join(data)
+
+
+def record_files(rows: DataFrame, path: str, names: list[str]) -> DataFrame:
+    """RECORDS of (at, v, node, k, value, label): rows with one ``at``, which tells chain and draw, lie next to each other.
+
+    ``v`` is the place in ``names``, ``node`` a number that is ordered as the labels are; these come with a chain's first draw.
+    """
+    schema = T._parse_datatype_string(RECORDS)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, folder = opened(path)
+        made, wait, out = [], [], None
+        target, place = join(folder, f"_{uuid.uuid4().hex}.records"), 0
+
+        def done() -> None:
+            nonlocal wait, out, place
+            table = pa.Table.from_batches(wait)
+            wait = []
+            at = table["at"][0].as_py() + (1 << 31)
+            row = {"chain": at >> 32, "draw": (at & 0xFFFFFFFF) - (1 << 31), "file": target}
+            made.append(row)
+            v, node, k, value = (table[c].to_numpy() for c in ("v", "node", "k", "value"))
+            try:
+                variables, nodes, components, data = record(names, v, node, k, value)
+            except ValueError as e:  # for the chain's task, so that nothing is written when the job ends
+                row["error"] = str(e)
+                return
+            if out is None:
+                where.create_dir(folder, recursive=True)
+                out = where.open_output_stream(target)
+            row |= {"place": place, "size": len(data), "nodes": len(nodes), "components": components, "variables": json.dumps(variables)}
+            row["cells"] = hashlib.sha256(f"{row['variables']} {components} ".encode() + nodes.tobytes()).hexdigest()
+            out.write(data)
+            place += len(data)
+            labels = table["label"].combine_chunks()
+            if len(labels) - labels.null_count or not len(nodes):
+                first = np.unique(node, return_index=True)[1][-len(nodes) :] if len(nodes) else []
+                found = [x.encode() for x in labels.take(pa.array(first, pa.int64())).to_pylist()]
+                row |= {"labels": place, "wide": max(map(len, found), default=1)}
+                data = b"".join(x.ljust(row["wide"], b"\0") for x in found)
+                out.write(data)
+                place += len(data)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = batch["at"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if wait and wait[-1]["at"][0].as_py() != at[a]:
+                    done()
+                wait.append(batch.slice(a, b - a))
+        if wait:
+            done()
+        if out is not None:
+            out.close()
+        if made:
+            yield pa.RecordBatch.from_pydict({f.name: pa.array([r.get(f.name) for r in made], KINDS[f.dataType.typeName()]) for f in schema})
+
+    return rows.mapInArrow(work, schema)
+
+
+KINDS = {"integer": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
 
 def write_draws(draws: DataFrame, path: str) -> None:
@@ -416,8 +583,31 @@ def write_draws(draws: DataFrame, path: str) -> None:
     spark = draws.sparkSession
     spark.dataSource.register(NetcdfDraws)
     rows = draws.selectExpr("cast(var AS string) AS var", "cast(chain AS int) AS chain", "cast(draw AS int) AS draw", "cast(node AS string) AS node", "cast(k AS int) AS k", "cast(value AS double) AS value")
-    ordered = rows.repartition("chain").sortWithinPartitions("chain", "draw")
-    ordered.write.format(FORMAT).mode("overwrite").save(path)
+    # without the values: which variables, chains and nodes there are
+    held = settled(rows.groupBy("chain", "var", "node").agg(F.min("draw").alias("draw"), F.count("draw").alias("n"), F.count("*").alias("rows")))
+    chains = held.groupBy("chain").agg(F.min("draw").alias("_first"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    found = chains.collect()
+    names = sorted(r["var"] or "" for r in held.select("var").distinct().collect())
+    if "" in names or any(r["chain"] is None or r["n"] < r["rows"] for r in found):
+        raise ValueError("a row without variable, chain or draw")
+    nodes = held.select(F.col("node").alias("_node")).filter("_node IS NOT NULL").distinct().orderBy("_node")
+    nodes = settled(nodes.withColumn("_number", F.monotonically_increasing_id()))
+    if nodes.count() <= MOST_NODES:
+        nodes = F.broadcast(nodes)
+    both = rows.join(nodes, rows["node"] == nodes["_node"], "left").join(F.broadcast(chains.select(F.col("chain").alias("_chain"), "_first")), F.col("chain") == F.col("_chain"))
+    k = F.when(F.col("k").isNull(), -1).when(F.col("k") < 0, -2).otherwise(F.col("k"))
+    cells = both.select(
+        (F.shiftleft(F.col("chain").cast("long"), 32) + F.col("draw")).alias("at"), (F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("var")) - 1).cast("int").alias("v"),
+        F.coalesce("_number", F.lit(-1).cast("long")).alias("node"), k.cast("int").alias("k"), F.coalesce("value", F.lit(float("nan"))).alias("value"),
+        F.when(F.col("draw") == F.col("_first"), F.col("node")).alias("label"),
+    )
+    parts = max(spark.sparkContext.defaultParallelism, -(-sum(r["rows"] for r in found) // PART_ROWS))
+    made = record_files(cells.repartition(parts, "at").sortWithinPartitions("at"), path, names)
+    try:
+        made.repartition("chain").sortWithinPartitions("chain", "draw").write.format(FORMAT).mode("overwrite").save(path)
+    except Exception:
+        Writer.drop(*opened(path))
+        raise
 
 
 def read_draws(spark: SparkSession, path: str, var: str | None = None, chain: int | None = None) -> DataFrame:
