@@ -242,6 +242,18 @@ def test_substrings(spark, monkeypatch, most, many, huge):
     assert dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_shared_strings_just_under_a_window(spark):
+    """99 bytes are shared, and no window of 100: segments agree beside their anchor, and nothing goes."""
+    g = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, g.integers(97, 123, n)))
+    shared = [word(99) for _ in range(60)]
+    rows = [(2 * i + j, word(80) + "ABCD"[j] + x + "ABCD"[j] + word(80)) for i, x in enumerate(shared) for j in range(2)]
+    found = digest(dedup_substrings(docs(spark, rows))).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == [
+        (i, len(x), 0, 0, hashlib.sha256(x.encode()).hexdigest()) for i, x in rows
+    ]
+
+
 # ---- quality
 
 

@@ -84,6 +84,8 @@ def segments(rows: DataFrame, table=None, data: bool = False, wanted=None) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             texts = text_bytes(batch)
             owner, h, place, first, last = anchors(texts)
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -246,6 +248,8 @@ def sorted_groups(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = batch["data"].to_pylist()
     groups = [data[a:b] for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(data)], strict=True)]
     run, segment, start = equal_windows(groups)
+    if not len(run):  # they agree beside the anchor, but in no whole window
+        return run, run, run
     first = batch["first"].to_numpy().astype(np.int64)
     frame = batch.select(["_id", "_th"]).to_pandas()
     # equal windows have one anchor, but two groups of it may lie side by side
