@@ -112,3 +112,47 @@ def test_lines_are_hashed_in_parts(spark, monkeypatch):
     want = sorted(map(tuple, lines.dedup_lines(docs).collect()))
     monkeypatch.setattr(lines, "PART_BYTES", 64)
     assert sorted(map(tuple, lines.dedup_lines(docs).collect())) == want
+
+
+def test_linkage_by_short_lists(monkeypatch):
+    """Lists that run out, few groups compared at once and sums of large groups give the tree of the matrix."""
+    g = np.random.default_rng(8)
+    x = g.dirichlet(np.full(12, 0.5), 500)
+    x[:250] = (x[:250] + 3 / 12) / 4
+    want = plotdata.average_linkage(np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0)))
+    monkeypatch.setattr(plotdata, "MATRIX", 1)
+    for near, pending in ((2, 1), (5, 40), (64, 3), (1000, 9)):
+        monkeypatch.setattr(plotdata, "NEAR", near)
+        monkeypatch.setattr(plotdata, "PENDING", pending)
+        assert plotdata.linkage_of_rows(x) == want
+
+
+def test_rows_alike_are_together(monkeypatch):
+    """Copies of rows are groups to begin with, and rows at one distance from all others end."""
+    monkeypatch.setattr(plotdata, "MATRIX", 20)
+    g = np.random.default_rng(9)
+    kinds = g.integers(0, 40, 600)
+    order = plotdata.linkage_of_rows(g.dirichlet(np.full(9, 0.3), 40)[kinds])
+    runs = np.flatnonzero(np.diff(kinds[order], prepend=-1))
+    assert len(runs) == 40 and all(r.tolist() == sorted(r.tolist()) for r in np.split(np.array(order), runs[1:]))
+    assert sorted(plotdata.linkage_of_rows(np.eye(300))) == list(range(300))
+
+
+def test_work_of_the_linkage(monkeypatch):
+    """Groups are compared with all others a few times each, and not again after each merge nearby."""
+    done = [0]
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def sqrt(self, a, *more, **named):
+            done[0] += np.size(a)
+            return np.sqrt(a, *more, **named)
+
+    g = np.random.default_rng(10)
+    x = g.multinomial(40, np.full(96, 1 / 96), 1500) / 40
+    monkeypatch.setattr(plotdata, "MATRIX", 100)
+    monkeypatch.setattr(plotdata, "np", Counted())
+    assert sorted(plotdata.linkage_of_rows(x)) == list(range(1500))
+    assert done[0] < 8 * 1500 * 1500, done[0] / 1500**2
