@@ -16,6 +16,7 @@ BLOCK = 32 << 20
 NEAR = 64
 PENDING = 64
 SUMS = 128 << 20
+GROUP_PARTS = 1000
 
 
 def box(rows: DataFrame, by, value: str) -> DataFrame:
@@ -163,10 +164,12 @@ class Lists:
         sizes, place = self.size[ids], np.empty(len(self.label), np.int64)
         place[ids] = np.arange(len(ids))
         starts, single = np.cumsum(sizes) - sizes, int((sizes == 1).sum())
-        plain = single == len(ids)
+        plain, rows = single == len(ids), max(1, BLOCK // 8 // len(self.label))
+        # fresh memory for each block would take longer than the sums in it
+        fars, totals, means = (np.empty((min(rows, len(self.label)), len(m))) for m in (self.label, ids, ids))
 
         def keep(some: np.ndarray, total: np.ndarray, squared: bool = False) -> None:
-            mean = total if plain and (self.size[some] == 1).all() else total / (self.size[some][:, None] * sizes)
+            mean = total if plain else np.divide(total, sizes, out=means[: len(some)])
             mean[np.arange(len(some)), place[some]] = np.inf
             # about NEAR of the smallest lie below a bound that a sample of the columns gives
             sample = mean[:, ::16]
@@ -181,13 +184,13 @@ class Lists:
                     end = 2 * mean[r, at].max() + 1
                 sums = total[r, at]
                 self.lists[g] = ids[at], sizes[at], np.sqrt(sums) if squared else sums, np.ones(len(at), bool)
-                self.bound[g] = np.sqrt(end) if squared else end
+                self.bound[g] = np.sqrt(end) if squared else end / self.size[g]
 
         for g in asked:
             if g in self.sums:
                 self.add_up(g)
                 keep(np.array([g]), np.bincount(self.label, self.sums[g], len(self.label))[ids][None])
-        rest, rows, begin = [g for g in asked if g not in self.sums], max(1, BLOCK // 8 // len(self.label)), 0
+        rest, begin = [g for g in asked if g not in self.sums], 0
         y = self.right[np.concatenate([self.members[i] for i in ids.tolist()])].T if rest else None
         while begin < len(rest):
             end, taken = begin + 1, self.size[rest[begin]]
@@ -197,10 +200,13 @@ class Lists:
             some = np.array(rest[begin:end])
             own, begin = np.concatenate([self.members[g] for g in some.tolist()]), end
             squared = plain and len(own) == len(some)
-            total = None if squared else np.zeros((len(some), len(ids)))
+            total = totals[: len(some)]
+            if not squared:
+                total[:] = 0
             ends = np.cumsum(self.size[some])
             for i in range(0, len(own), rows):
-                far = self.left[own[i : i + rows]] @ y
+                part = self.left[own[i : i + rows]]
+                far = np.matmul(part, y, out=fars[: len(part)])
                 np.maximum(far, 0, out=far)
                 if squared:
                     total = far
@@ -233,7 +239,7 @@ class Lists:
             return f[:2]
         self.refresh(g)
         ids, sizes, low, sure = self.lists[g]
-        mean = low / (self.size[g] * sizes)
+        mean = low / sizes / self.size[g]
         while True:
             least = min(mean[sure].min(initial=np.inf), self.bound[g])
             open_ = np.flatnonzero(~sure & (mean <= least))
@@ -242,7 +248,7 @@ class Lists:
             if len(open_) > 16:
                 open_ = open_[np.argpartition(mean[open_], 8)[:8]]
             low[open_] = self.exact(g, ids[open_])
-            mean[open_], sure[open_] = low[open_] / (self.size[g] * sizes[open_]), True
+            mean[open_], sure[open_] = low[open_] / sizes[open_] / self.size[g], True
         left = mean <= self.bound[g]
         self.lists[g] = ids[left], sizes[left], low[left], sure[left]
         best = ids[sure & left & (mean == least)]
@@ -308,7 +314,7 @@ class Lists:
         while begin < len(small):  # each pair once
             end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + most, "right")))
             far = self.far(rows[starts[begin] : ends[end - 1]], rows[starts[begin] :])
-            far = np.add.reduceat(np.add.reduceat(far, starts[begin:end] - starts[begin], axis=0), starts[begin:] - starts[begin], axis=1)
+            far = np.add.reduceat(np.add.reduceat(far, starts[begin:] - starts[begin], axis=1), starts[begin:end] - starts[begin], axis=0)
             out[np.ix_(small[begin:end], small[begin:])] = far
             out[np.ix_(small[begin:], small[begin:end])] = far.T
             begin = end
@@ -352,7 +358,7 @@ def linkage_of_rows(x: np.ndarray) -> list[int]:
         elif near is None:
             pending.add(a)
             chain = []
-        elif len(chain) > 1 and (near[1] == chain[-2] or near[0] >= lists.found[chain[-2]][0]):
+        elif len(chain) > 1 and (near[1] in chain or near[0] >= lists.found[chain[-2]][0]):  # a ring has equal distances, rounded apart
             lists.merge(a, chain[-2])
             del chain[-2:]
         else:
@@ -363,7 +369,8 @@ def linkage_of_rows(x: np.ndarray) -> list[int]:
 def cluster_rows(profiles: DataFrame, by: str) -> DataFrame:
     """(by, node, position): the nodes of each group in the order of average linkage of Euclidean distances.
 
-    A patient's profiles lie in one task, and a bounded part of their distances at a time. Its time grows with the square of their number.
+    A patient's profiles lie in one task, and a bounded part of their distances at a time. Its time grows with the square of their number,
+    so patients are dealt to GROUP_PARTS partitions, which are not put together for being small: few share a task.
     """
 
     def kernel(frame: pd.DataFrame) -> pd.DataFrame:
@@ -373,5 +380,5 @@ def cluster_rows(profiles: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame({by: frame[by].iloc[0], "node": table.index[order], "position": range(len(order))})
 
     kind = profiles.schema[by].dataType.simpleString()
-    rows = profiles.select(by, "node", "channel", "share")
+    rows = profiles.select(by, "node", "channel", "share").repartition(GROUP_PARTS, by)
     return rows.groupBy(by).applyInPandas(kernel, f"{by} {kind}, node string, position int")
